@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, jaccard, licenses, rules
 from .common import tables
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -28,5 +28,32 @@ def bpe_digest(encoded: DataFrame) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_bpe": op8_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(tables(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(tables(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_decontaminate": op6_decontaminate,
+    "op7_rules": op7_rules,
+    "op8_bpe": op8_bpe,
+    "op9_jaccard": op9_jaccard,
+    "op10_licenses": op10_licenses,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": decontaminate.oracle_sql(),
+    "op7_rules": rules.oracle_sql(),
+    "op10_licenses": licenses.oracle_sql(),
+}
