@@ -15,20 +15,16 @@ import base64
 import functools
 import itertools
 import re
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, as_list, pack, slices, unpack
+from .common import BLOCK_BYTES, Block, pack, parts, per_block, unpack, unpack_words, word_blocks
 
 #: The classes of the pattern for characters below U+0250, where the standard library's faster
 #: matcher can stand in for \p{L}, \p{N} and \s.
@@ -75,49 +71,9 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     """One row for each document: the id, ``ids`` array<int> and ``decoded`` binary.
 
     ``path`` names a rank file that every machine has. The decoded bytes come from the ids, by the
-    token-byte table, not from the text. ``docs`` should read the same in the same order each time
-    (a file or a checkpoint does), as a lost task is computed again. A block is named by a hash of
-    its content, so that one which does come out otherwise fails and is never mixed up.
-
-    What is shuffled: each block once (word positions, compressed), and for each block its distinct
-    words, dealt by a hash of the word and packed by shuffle partition, out as bytes and back as
-    ids. Even the commonest word is there once for each block.
+    token-byte table, not from the text. For ``docs`` see ``common.word_blocks``.
     """
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", block_bytes):
-                index: dict[str, int] = defaultdict(itertools.count().__next__)
-                seqs = [np.fromiter(map(index.__getitem__, pre_tokens(x, pattern)), np.int64) if x else np.empty(0, np.int64) for x in part.column("text").to_pylist()]
-                words = [w.encode() for w in index]
-                dealt = np.fromiter((zlib.crc32(w) % ranges for w in words), np.int64, len(words))
-                seq, lens = pack(np.concatenate(seqs)), np.array([len(s) for s in seqs], np.int32)
-                sizes, cells = [], []
-                for r in range(ranges):
-                    own = [words[i] for i in np.flatnonzero(dealt == r)]
-                    sizes.append(pack(np.array([len(w) for w in own], np.int64)))
-                    cells.append(zstandard.compress(b"".join(own), 3))
-                name = xxhash.xxh64(seq)
-                for x in (lens.tobytes(), str(part.column("id")).encode(), *cells):
-                    name.update(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.intdigest() - (1 << 63)], pa.int64()), as_list(part.column("id"), pa.int64()), as_list(lens, pa.int32()), pa.array([seq], pa.binary()),
-                     pa.array([pack(dealt)], pa.binary()), as_list(sizes, pa.binary()), as_list(cells, pa.binary())],
-                    names=["block", "ids", "lens", "seq", "dealt", "sizes", "cells"],
-                )
-
-    schema = "block bigint, ids array<bigint>, lens array<int>, seq binary, dealt binary, sizes array<binary>, cells array<binary>"
-    blocks = rows.mapInArrow(build, schema).repartition(ranges, "block")
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each block and range. In Python, so that both uses of ``blocks`` read the
-        same columns and Spark computes and shuffles them once."""
-        for batch in batches:
-            for block, sizes, cells in zip(batch.column("block"), batch.column("sizes"), batch.column("cells")):
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * ranges, pa.int64()), pa.array(range(ranges), pa.int32()), sizes.values, cells.values], names=["block", "part", "sizes", "cells"])
+    blocks = word_blocks(docs, functools.partial(pre_tokens, pattern=pattern), id_col=id_col, text_col=text_col, block_bytes=block_bytes)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All parts with a word come to one task, which encodes the word when it first meets it."""
@@ -125,47 +81,36 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         for batch in batches:
             out_n, out_ids = [], []
             for sizes, cell in zip(batch.column("sizes").to_pylist(), batch.column("cells").to_pylist()):
-                ends = np.cumsum(unpack(sizes).astype(np.int64)).tolist()
-                data = zstandard.decompress(cell) if ends else b""
                 ids = []
-                for a, b in zip([0, *ends], ends):
-                    if (word := data[a:b]) not in known:
+                for word in unpack_words(sizes, cell):
+                    if word not in known:
                         known[word] = tuple(enc.encode_ordinary(word.decode()))
                     ids.append(known[word])
                 out_n.append(pack(np.fromiter(map(len, ids), np.int64, len(ids))))
                 out_ids.append(pack(np.fromiter(itertools.chain.from_iterable(ids), np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), pa.array(out_n, pa.binary()), pa.array(out_ids, pa.binary())], names=["block", "part", "n", "ids"])
 
-    words = blocks.mapInArrow(explode, "block bigint, part int, sizes binary, cells binary").repartition(ranges, "part")
-    encoded = words.mapInArrow(once, "block bigint, part int, n binary, ids binary")
-
-    def assemble(same: pa.Table, values: pa.Table) -> pa.Table:
-        """Blocks of one name are equal in all."""
-        dealt = unpack(same.column("dealt")[0].as_py()).astype(np.int64) if same.num_rows else np.empty(0, np.int64)
-        size, flat = np.empty(len(dealt), np.int64), []
-        part = dict(zip(values.column("part").to_pylist(), zip(values.column("n").to_pylist(), values.column("ids").to_pylist())))
-        first = np.empty(len(dealt), np.int64)
-        base = 0
-        for r in range(ranges):
-            n, at = unpack(part[r][0]).astype(np.int64), np.flatnonzero(dealt == r)  # a missing or shorter part fails
-            size[at], first[at] = n, base + np.cumsum(n) - n
-            flat.append(unpack(part[r][1]).astype(np.int32))
+    encoded = parts(blocks).mapInArrow(once, "block bigint, part int, n binary, ids binary")
+
+    def assemble(block: Block) -> pa.Table:
+        size, first, flat, base = block.numbers("n"), np.empty(block.size, np.int64), [], 0
+        for r, at in enumerate(block.places):
+            first[at] = base + np.cumsum(size[at]) - size[at]
+            flat.append(unpack(block.rows[r]["ids"]).astype(np.int32))
             base += len(flat[-1])
         flat = np.concatenate(flat)
         table, ids_list = token_bytes(path), flat.tolist()
         as_bytes = [b"".join(map(table.__getitem__, ids_list[a : a + k])) for a, k in zip(first.tolist(), size.tolist())]
-        seq, lens = unpack(same.column("seq")[0].as_py()).astype(np.int64), np.asarray(same.column("lens")[0].values)
-        n = size[seq]  # ids of each pre-token
-        at = np.repeat(first[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        cut = np.concatenate([[0], np.cumsum(lens)])
+        n = size[block.seq]  # ids of each pre-token
+        at = np.repeat(first[block.seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cut = np.concatenate([[0], np.cumsum(block.lens)])
         ends = np.concatenate([[0], np.cumsum(n)])[cut]
-        seq_list, cut = seq.tolist(), cut.tolist()
-        decoded = [b"".join(map(as_bytes.__getitem__, seq_list[a:b])) for a, b in zip(cut, cut[1:])]
+        seq, cut = block.seq.tolist(), cut.tolist()
+        decoded = [b"".join(map(as_bytes.__getitem__, seq[a:b])) for a, b in zip(cut, cut[1:])]
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[at], pa.int32()))
-        out = pa.table({id_col: same.column("ids")[0].values, "ids": ids, "decoded": pa.array(decoded, pa.binary())})
-        return pa.concat_tables([out] * same.num_rows)
+        return pa.table({id_col: block.ids, "ids": ids, "decoded": pa.array(decoded, pa.binary())})
 
-    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, f"`{id_col}` bigint, ids array<int>, decoded binary")
+    return per_block(blocks, encoded, assemble, f"`{id_col}` bigint, ids array<int>, decoded binary")
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -2,8 +2,8 @@
 
 A *block* is a run of whole documents of one input partition, about ``block_bytes`` of text long.
 Its tokens are stored once as positions in the block's own list of distinct words, so that what
-crosses the network per word is one row for each (block, distinct word) rather than one for each
-occurrence, and no word - however common - has more rows than there are blocks.
+crosses the network per word is one entry for each (block, distinct word) rather than one for each
+occurrence, and no word - however common - has more entries than there are blocks.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BLOCK_BYTES = 8 << 20
 BLOCK_SCHEMA = (
-    "block_id bigint, ids array<bigint>, marks array<bigint>, lens array<int>, seq binary, words array<binary>, counts array<int>"
+    "block bigint, ids array<bigint>, marks array<bigint>, lens array<int>, seq binary, dealt binary, "
+    "sizes array<binary>, cells array<binary>, counts array<binary>"
 )
 
 
@@ -80,42 +83,56 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
 
 
 def word_blocks(
-    docs: DataFrame, words_of: Callable[[str], list], *, id_col: str = "doc_id", text_col: str = "text",
-    mark: Column | None = None, block_bytes: int = BLOCK_BYTES,
+    docs: DataFrame, words_of: Callable[[str], list], *, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Blocks of ``docs`` (see the module), computed once into the checkpoint folder.
+    """Blocks of ``docs`` (see the module), shuffled by ``block``.
 
-    ``words_of`` gives the words of one text, as str or bytes. ``mark`` is a bigint carried with
-    each document. ``counts`` has how often each word of the block stands in documents whose mark
-    is not 0. Null texts are empty. Blocks hold whole documents, so one longer than ``block_bytes``
-    is a block of its own.
+    ``words_of`` gives the words of one text (a null one is empty), as str or bytes. ``mark`` is a
+    bigint carried with each document, 1 if not given. A block's distinct words are dealt by hash
+    into as many parts as there are shuffle partitions; ``cells`` has each part's words, ``sizes``
+    their lengths, and ``counts`` how often each stands in documents whose mark is not 0. Blocks
+    hold whole documents, so one longer than ``block_bytes`` is a block of its own.
+
+    ``docs`` should read the same in the same order each time (a file or a checkpoint does), as a
+    lost task is computed again. A block is named by a hash of its content, so that one which does
+    come out otherwise fails and is never mixed up.
     """
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", block_bytes):
                 index: dict = defaultdict(itertools.count().__next__)
-                seqs = [np.fromiter(map(index.__getitem__, words_of(x)), np.int64) if x else np.empty(0, np.int64) for x in part.column("text").to_pylist()]
+                seqs = []
+                for x in part.column("text").to_pylist():
+                    words = words_of(x or "")
+                    seqs.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
                 lens = np.array([len(s) for s in seqs], np.int32)
-                seq = np.concatenate(seqs)
-                marks = np.asarray(part.column("mark"))
-                counts = np.bincount(seq[np.repeat(marks != 0, lens)], minlength=len(index)).astype(np.int32)
+                seq, marks = np.concatenate(seqs), np.asarray(part.column("mark"))
+                counts = np.bincount(seq[np.repeat(marks != 0, lens)], minlength=len(index))
                 words = [w if isinstance(w, bytes) else w.encode() for w in index]
-                row = [[block_id], [part.column("id")], [part.column("mark")], [lens], [pack(seq)], [words], [counts]]
+                dealt = np.fromiter((zlib.crc32(w) % ranges for w in words), np.int64, len(words))
+                sizes, cells, sums = [], [], []
+                for r in range(ranges):
+                    at = np.flatnonzero(dealt == r)
+                    own = [words[i] for i in at]
+                    sizes.append(pack(np.array([len(w) for w in own], np.int64)))
+                    cells.append(zstandard.compress(b"".join(own), 3))
+                    sums.append(pack(counts[at]))
+                packed = pack(seq)
+                name = xxhash.xxh64(packed)
+                for x in (lens.tobytes(), marks.tobytes(), str(part.column("id")).encode(), *cells):
+                    name.update(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[0], pa.int64()), as_list(row[1][0], pa.int64()), as_list(row[2][0], pa.int64()), as_list(lens, pa.int32()),
-                     pa.array(row[4], pa.binary()), as_list(words, pa.binary()), as_list(counts, pa.int32())],
-                    names=["block_id", "ids", "marks", "lens", "seq", "words", "counts"],
+                    [pa.array([name.intdigest() - (1 << 63)], pa.int64()), as_list(part.column("id"), pa.int64()), as_list(marks, pa.int64()), as_list(lens, pa.int32()), pa.array([packed], pa.binary()),
+                     pa.array([pack(dealt)], pa.binary()), as_list(sizes, pa.binary()), as_list(cells, pa.binary()), as_list(sums, pa.binary())],
+                    names=["block", "ids", "marks", "lens", "seq", "dealt", "sizes", "cells", "counts"],
                 )
-                block_id += 1
 
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.lit(1) if mark is None else mark, F.lit(0)).cast("bigint").alias("mark"), F.col(text_col).cast("string").alias("text")
     )
-    return reliable(rows.mapInArrow(build, BLOCK_SCHEMA))
+    return rows.mapInArrow(build, BLOCK_SCHEMA).repartition(ranges, "block")
 
 
 def as_list(values, kind: pa.DataType) -> pa.ListArray:
@@ -124,17 +141,88 @@ def as_list(values, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
 
-def dictionary(blocks: DataFrame) -> DataFrame:
-    """One row for each distinct word of each block: block_id, local, word, n (see counts)."""
-    both = blocks.select("block_id", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w"))
-    return both.select("block_id", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+def unpack_words(sizes: bytes, cell: bytes) -> list[bytes]:
+    ends = np.cumsum(unpack(sizes).astype(np.int64)).tolist()
+    data = zstandard.decompress(cell) if ends else b""
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def parts(blocks: DataFrame) -> DataFrame:
+    """One row for each block and part, dealt so that all parts with a word come to one task. Even
+    the commonest word is there once for each block. Exploded in Python, so that both uses of
+    ``blocks`` read the same columns and Spark computes and shuffles them once."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                cells = [batch.column(c)[i].values for c in ("sizes", "cells", "counts")]
+                n = len(cells[0])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *cells], names=["block", "part", "sizes", "cells", "counts"])
+
+    ranges = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.mapInArrow(explode, "block bigint, part int, sizes binary, cells binary, counts binary").repartition(ranges, "part")
+
+
+def total_counts(batches: list[pa.RecordBatch]) -> dict[bytes, int]:
+    """Counts over all blocks of the words of one task's parts: its share of the vocabulary."""
+    total: dict[bytes, int] = defaultdict(int)
+    for batch in batches:
+        for sizes, cell, counts in zip(*(batch.column(c).to_pylist() for c in ("sizes", "cells", "counts"))):
+            for w, n in zip(unpack_words(sizes, cell), unpack(counts).tolist()):
+                total[w] += n
+    return total
+
+
+def corpus_counts(blocks: DataFrame) -> DataFrame:
+    """block, part, n: the counts of each part's words over all blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # a task's compressed share of the vocabulary
+        total = total_counts(held)
+        for batch in held:
+            out = [pack(np.fromiter(map(total.__getitem__, unpack_words(s, c)), np.int64)) for s, c in zip(batch.column("sizes").to_pylist(), batch.column("cells").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), pa.array(out, pa.binary())], names=["block", "part", "n"])
+
+    return parts(blocks).mapInArrow(count, "block bigint, part int, n binary")
 
 
-def with_words(blocks: DataFrame, values: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``fn(block, its dictionary rows)`` for each block. ``values`` has block_id, local, ...; a
-    block's rows are bounded by ``block_bytes``."""
-    left = blocks.select("block_id", "ids", "marks", "lens", "seq").groupBy("block_id")
-    return left.cogroup(values.groupBy("block_id")).applyInArrow(fn, schema)
+class Block:
+    """A block put together again. ``values`` are its parts' rows; a missing part fails."""
+
+    def __init__(self, same: pa.Table, values: pa.Table):
+        self.copies = same.num_rows  # blocks of one name are equal in all
+        self.ids, self.marks = same.column("ids")[0].values, np.asarray(same.column("marks")[0].values)
+        self.lens = np.asarray(same.column("lens")[0].values).astype(np.int64)
+        self.seq = unpack(same.column("seq")[0].as_py()).astype(np.int64)
+        dealt = unpack(same.column("dealt")[0].as_py()).astype(np.int64)
+        self.places = [np.flatnonzero(dealt == r) for r in range(len(same.column("sizes")[0]))]
+        self.size = len(dealt)
+        self._same, rows = same, values.to_pylist()
+        self.rows = {x["part"]: x for x in rows}
+
+    def words(self) -> list[bytes]:
+        out = [b""] * self.size
+        for at, sizes, cell in zip(self.places, self._same.column("sizes")[0].as_py(), self._same.column("cells")[0].as_py()):
+            for i, w in zip(at.tolist(), unpack_words(sizes, cell)):
+                out[i] = w
+        return out
+
+    def numbers(self, column: str) -> np.ndarray:
+        """A packed column of the parts, by local word."""
+        out = np.empty(self.size, np.int64)
+        for r, at in enumerate(self.places):
+            out[at] = unpack(self.rows[r][column])
+        return out
+
+
+def per_block(blocks: DataFrame, values: DataFrame, fn: Callable[[Block], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of each block with its parts' ``values``, at most ``block_bytes`` of text at a time."""
+
+    def apply(same: pa.Table, rows: pa.Table) -> pa.Table:
+        block = Block(same, rows)
+        return pa.concat_tables([fn(block)] * block.copies)
+
+    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(apply, schema)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,3 +238,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: Bits of ``hash_filter``: 8 MB whatever the input.
+FILTER_BITS = 26
+
+
+def hash_filter(keys: DataFrame, col: str) -> Callable[[str], Column]:
+    """A filter of fixed size over bigint hashes: true for all of ``keys``, false for most others.
+
+    It only keeps rows that cannot match out of a shuffle; the join that follows is exact.
+    """
+    low = F.col(col).bitwiseAND((1 << FILTER_BITS) - 1)
+    bits = keys.groupBy(F.shiftright(low, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({col} & 63 as int))")).alias("b")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[bits["k"].to_numpy(np.int64)] = bits["b"].to_numpy(np.int64)
+    sent = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        x = h.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
+        return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return maybe

@@ -21,16 +21,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_words, dictionary, reliable, unpack, with_words, word_blocks
+from .common import Block, ascii_words, corpus_counts, hash_filter, per_block, reliable, word_blocks
 from .graph import components
 
 #: Odd multipliers of the shingle hash.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-#: Bits of the filter that keeps most texts without a candidate out of the shuffle: 8 MB whatever the input.
-FILTER_BITS = 26
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,14 +70,11 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, num:
     """For each document: id, text_hash, n (set size), sid (hash of the set), gid (hash of prefix
     and size) and the prefix, rarest shingles first."""
     blocks = word_blocks(docs, ascii_words, id_col=id_col, text_col=text_col, mark=F.xxhash64(F.col(text_col)))
-    words = dictionary(blocks).select("block_id", "local", F.xxhash64("word").alias("h"), "n")
-    counted = words.select("block_id", "local", "h", F.sum("n").over(W.partitionBy("h")).alias("c"))
-
-    def sets(block: pa.Table, values: pa.Table) -> pa.Table:
-        local = np.asarray(values.column("local"))
-        h, c = np.empty(len(local), np.uint64), np.empty(len(local), np.int64)
-        h[local], c[local] = np.asarray(values.column("h")).view(np.uint64), np.asarray(values.column("c"))
-        seq, lens = unpack(block.column("seq")[0].as_py()), np.asarray(block.column("lens")[0].values).astype(np.int64)
+
+    def sets(block: Block) -> pa.Table:
+        words = block.words()
+        h, c = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)), block.numbers("n")
+        seq, lens = block.seq, block.lens
         doc, hashed, first = shingle(h[seq], lens, width)
         rarity = c[seq]
         rare = rarity[first]
@@ -100,11 +94,11 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, num:
         gid = mix(sum_by(mix(flat ^ ODD[0]), p) + n.astype(np.uint64) * ODD[1])
         ends = pa.array(np.concatenate([[0], np.cumsum(p)]), pa.int32())
         return pa.table({
-            "id": block.column("ids")[0].values, "text_hash": block.column("marks")[0].values, "n": pa.array(n.astype(np.int64)),
+            "id": block.ids, "text_hash": pa.array(block.marks), "n": pa.array(n.astype(np.int64)),
             "sid": pa.array(sid.view(np.int64)), "gid": pa.array(gid.view(np.int64)), "prefix": pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))),
         })
 
-    return reliable(with_words(blocks, counted, sets, "id bigint, text_hash bigint, n bigint, sid bigint, gid bigint, prefix array<bigint>"))
+    return reliable(per_block(blocks, corpus_counts(blocks), sets, "id bigint, text_hash bigint, n bigint, sid bigint, gid bigint, prefix array<bigint>"))
 
 
 def overlap_possible(a: str, b: str, num: int, den: int) -> Column:
@@ -118,21 +112,6 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) ->
     """sid and its sorted shingle hashes, for ``wanted`` (sid, text_hash): one text of each set is
     found by its hash, and its set computed again. A fixed-size bit filter keeps most other texts
     out of the shuffle; what it lets through wrongly, the join and the set's hash drop."""
-    spark = docs.sparkSession
-    at = F.col("text_hash").bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = wanted.groupBy(F.shiftright(at, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(text_hash & 63 as int))")).alias("b"))
-    filter_ = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    rows = bits.toPandas()
-    filter_[rows["k"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast(filter_)
-
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        x = h.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
-        import pandas as pd
-
-        return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
-
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sids, cells, known = [], [], {}
@@ -146,7 +125,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) ->
                     sids.append(sid), cells.append(hashed.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(cells, pa.binary())], names=["sid", "cells"])
 
-    texts = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text")).filter("text is not null").filter(maybe("text_hash"))
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text")).filter("text is not null").filter(hash_filter(wanted, "text_hash")(F.col("text_hash")))
     found = texts.join(wanted, "text_hash").mapInArrow(compute, "sid bigint, cells binary")
     return reliable(found.dropDuplicates(["sid"]))
 
@@ -184,19 +163,19 @@ def similar_components(
     ignored; an empty table gives no rows. Sets and shingles are told apart by 64-bit hashes.
     """
     each = document_sets(docs, id_col, text_col, width, num, den)
-    sets = reliable(each.filter("n > 0").groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.first("prefix").alias("prefix")))
-    groups = reliable(sets.groupBy("gid", "n").agg(F.min("sid").alias("head"), F.count("*").alias("members"), F.first("prefix").alias("prefix")))
+    some = each.filter("n > 0")
+    sets = reliable(some.groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash")))
+    groups = some.groupBy("gid", "n").agg(F.min("sid").alias("head"), F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", "head", F.posexplode("prefix").alias("pos", "token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "n", "gid", "head")).alias("first")).filter("size > 1").drop("size")
     shared = reliable(postings.join(lists, "token"))
 
     # First pass: each group's head against one leader, each further member against its head.
-    a, b = shared.select("gid", "head", "n", "pos", "first"), None
-    near = a.alias("a").filter(F.col("a.gid") != F.col("a.first.gid"))
+    near = shared.filter(F.col("gid") != F.col("first.gid"))
     least = F.expr(f"({num} * (n + first.n) + {num + den - 1}) div {num + den}")
     fits = (F.least("n", F.col("first.n")) * den >= F.greatest("n", F.col("first.n")) * num) & (F.least(F.col("n") - F.col("pos"), F.col("first.n") - F.col("first.pos")) >= least)
     leaders = near.filter(fits).groupBy("head").agg(F.min(F.struct("first.pos", "first.head")).alias("l")).select(F.col("head").alias("u"), F.col("l.head").alias("v"))
-    many = groups.filter("members > 1").select("gid", "n", "head")
+    many = sets.groupBy("gid", "n").agg(F.min("sid").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
     inside = sets.select("gid", "n", "sid").join(many, ["gid", "n"]).filter("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
     first_pairs = leaders.union(inside)
     candidates = shared.select("gid", "n").union(many.select("gid", "n")).distinct()
