@@ -261,3 +261,29 @@ def hash_filter(keys: DataFrame, col: str) -> Callable[[str], Column]:
         return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
 
     return maybe
+
+
+def sum_tables(rows: DataFrame, dtype: str, salts: int = 64) -> dict[int, np.ndarray]:
+    """The element-wise sums of ``rows`` (k int, data binary: zstd of an array of ``dtype``) by k.
+
+    Each task adds up what it reads as it comes, first by k and a salt, then by k, so that neither
+    a task nor the driver ever holds more than one array for each k. The k and their arrays' sizes
+    are fixed by the caller.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column("k").to_pylist(), batch.column("data").to_pylist()):
+                x = np.frombuffer(zstandard.decompress(data), dtype)
+                total[k] = total[k] + x if k in total else x
+        yield table_rows(total)
+
+    salted = rows.withColumn("salt", F.spark_partition_id() % salts).repartition("k", "salt").select("k", "data").mapInArrow(add, "k int, data binary")
+    summed = salted.repartition("k").mapInArrow(add, "k int, data binary")
+    return {r.k: np.frombuffer(zstandard.decompress(r.data), dtype) for r in summed.toLocalIterator()}
+
+
+def table_rows(tables_: dict[int, np.ndarray]) -> pa.RecordBatch:
+    cells = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in tables_.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(tables_), pa.int32()), pa.array(cells, pa.binary())], names=["k", "data"])

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, repeats, rules
+from . import bpe, decontaminate, jaccard, licenses, maxent, repeats, rules
 from .common import tables
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,10 @@ def bpe_digest(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(tables(spark, sf_dir, "documents"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(tables(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,6 +55,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_maxent": op2_maxent,
     "op3_repeats": op3_repeats,
     "op6_decontaminate": op6_decontaminate,
     "op7_rules": op7_rules,
