@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, maxent, repeats, rules
+from . import bpe, decontaminate, jaccard, langid, licenses, maxent, quality, repeats, rules, token_counts
 from .common import tables
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,10 @@ def bpe_digest(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(tables(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+
+
 def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(tables(spark, sf_dir, "documents"))
 
@@ -37,6 +41,14 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(tables(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
@@ -55,8 +67,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_maxent": op2_maxent,
     "op3_repeats": op3_repeats,
+    "op4_quality": op4_quality,
+    "op5_langid": op5_langid,
     "op6_decontaminate": op6_decontaminate,
     "op7_rules": op7_rules,
     "op8_bpe": op8_bpe,
