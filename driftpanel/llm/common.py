@@ -54,6 +54,13 @@ def py_fold(value: object, n: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % n
 
 
+def once(col: Column) -> Column:
+    """``col``, computed once for each row. Spark copies the definition of a column into filters
+    that use it, and with it a costly array into each step over another; it does not copy what it
+    takes for non-deterministic, as this condition, which always holds."""
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def ascii_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, as UTF-8."""
     return text.encode().translate(ASCII_LOWER).split()

@@ -16,6 +16,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 #: Sentences of public licences and notices as they are written.
 SENTENCES: dict[str, str] = {
     "apache2-notice": "Licensed under the Apache License, Version 2.0",
@@ -90,13 +92,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sen
     known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (normal(s), k)])
     longest = max(len(normal(s)) for s in sentences.values())
     plain = F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), SENTENCE_END, "\n"), NOT_PLAIN, " ")
-    cut = docs.select(F.col(id_col), F.transform(F.split(plain, "\n"), lambda s: F.trim(s)).alias("s"))
+    cut = docs.select(F.col(id_col), once(F.transform(F.split(plain, "\n"), lambda s: F.trim(s))).alias("s"))
     numbered = F.transform("s", lambda s, i: F.struct(F.when((F.length(s) > 0) & (F.length(s) <= longest), F.try_element_at(known, s)).alias("k"), i.alias("i")))
-    ids = cut.select(id_col, F.filter(numbered, lambda x: x["k"].isNotNull()).alias("m")).filter(F.size("m") > 0)
+    ids = cut.select(id_col, once(F.filter(numbered, lambda x: x["k"].isNotNull())).alias("m")).filter(F.size("m") > 0)
     table = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"), F.array(*map(F.lit, seq)).alias("seq")) for r, (lic, seq) in rules.items()])
-    ids = ids.select(id_col, "m", F.transform("m", lambda x: x["k"]).alias("k"))
+    ids = ids.select(id_col, "m", once(F.transform("m", lambda x: x["k"])).alias("k"))
     at = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(table, lambda r: F.slice("k", i + 1, F.size(r["seq"])) == r["seq"]), lambda r: F.struct(r["rule"].alias("rule"), r["license"].alias("license"), i.alias("a"), (i + F.size(r["seq"])).alias("b"), x["i"].alias("first")))))
-    found = ids.select(id_col, at.alias("f"))
+    found = ids.select(id_col, once(at).alias("f"))
     whole = F.filter("f", lambda x: ~F.exists("f", lambda y: (y["a"] <= x["a"]) & (y["b"] >= x["b"]) & (y["b"] - y["a"] > x["b"] - x["a"])))
     rows = found.select(id_col, F.explode(whole).alias("r"))
     return rows.select(id_col, "r.rule", "r.license", F.col("r.first").cast("bigint").alias("first"), (F.col("r.b") - F.col("r.a")).cast("bigint").alias("n_sentences"))

@@ -1,6 +1,6 @@
 """Removal of long repeated byte strings by common-prefix interval trees.
 
-Every string of ``length`` bytes holds a *seed*, the ``SEED``-byte string in it of the least hash
+Every string of ``length`` bytes holds a *seed*, the ``seed_bytes(length)``-byte string in it of the least hash
 (the leftmost of equals), so that equal strings have equal seeds at equal places. One seed stands
 for a run of windows; its context is those windows' bytes. Only seeds that occur more than once go
 on. Contexts that are equal as a whole are counted and need no text. Of the rest, the suffixes that
@@ -29,12 +29,17 @@ from pyspark.sql import functions as F
 
 from .common import hash_filter, reliable, slices, written
 
-SEED, BLOCK = 128, 2 << 20
+BLOCK = 2 << 20
 MAX_CONTEXTS = 5000
 MULTIPLIER = 0x9E3779B97F4A7C15
 ODD = np.array([0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+def seed_bytes(length: int) -> int:
+    """A third of the length, about: longer seeds meet less by chance, shorter ones are fewer."""
+    return max(1, length * 8 // 25)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * ODD[0]
     x = (x ^ (x >> np.uint64(29))) * ODD[1]
@@ -69,12 +74,13 @@ class Hashes:
 def seeds(data: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of documents of ``lens`` bytes in ``data``: each seed's document, its place, the first and
     last window that it stands for (places in ``data``), its hash and its context's hash."""
-    w, n = length - SEED + 1, len(data) - SEED + 1
+    size = seed_bytes(length)
+    w, n = length - size + 1, len(data) - size + 1
     if len(data) < length:
         return tuple(np.empty(0, np.int64) for _ in range(6))
     hashes = Hashes(data)
     place = np.arange(len(data) + 1)
-    h = hashes.of(place[:n], place[SEED : SEED + n])
+    h = hashes.of(place[:n], place[size : size + n])
     key = (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
     padded = np.full(-(-n // w) * w, np.iinfo(np.uint64).max)
     padded[:n] = key

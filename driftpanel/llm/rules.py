@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 WINDOW = 5
 ROUNDS = 25
 #: name -> (condition to reject, condition to keep); SQL that Spark and DuckDB read alike.
@@ -38,30 +40,30 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     spaces = r"[\x20\x09-\x0D]+"
     one = docs.withColumns({
-        "_w": F.array_remove(F.split(text, spaces), ""),
-        "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        "_w": once(F.array_remove(F.split(text, spaces), "")),
+        "_lines": once(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
         "word_chars": F.length(F.regexp_replace(text, spaces, "")).cast("bigint"),
         "n_letters": F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("bigint"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint"),
     })
     two = one.withColumns({
         "n_words": F.size("_w").cast("bigint"),
-        "_h": F.transform("_w", lambda x: F.xxhash64(x)),
+        "_h": once(F.transform("_w", lambda x: F.xxhash64(x))),
         "n_lines": F.size("_lines").cast("bigint"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
     }).drop("_w", "_lines")
     last = F.size("_h") - WINDOW
     window = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WINDOW)]))
-    three = two.withColumn("_g", F.when(last >= 0, window).otherwise(F.array().cast("array<bigint>"))).drop("_h")
+    three = two.withColumn("_g", once(F.when(last >= 0, window).otherwise(F.array().cast("array<bigint>")))).drop("_h")
     # Only a text with some window twice needs its positions.
-    four = three.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.array_sort(F.transform("_g", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_g")
+    four = three.withColumn("_s", once(F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.array_sort(F.transform("_g", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))).drop("_g")
     twice = F.filter("_s", lambda s, k: (s["h"].eqNullSafe(F.get("_s", k - 1)["h"])) | (s["h"].eqNullSafe(F.get("_s", k + 1)["h"])))
-    five = four.withColumn("_p", F.array_sort(F.transform(twice, lambda s: s["i"]))).drop("_s")
+    five = four.withColumn("_p", once(F.array_sort(F.transform(twice, lambda s: s["i"])))).drop("_s")
     covered = F.aggregate(
         "_p", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"],
     )
-    return five.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("_p")
+    return five.withColumn("n_repeat_words", once(F.coalesce(covered, F.lit(0)).cast("bigint"))).drop("_p")
 
 
 def votes() -> str:
