@@ -108,26 +108,42 @@ def overlap_possible(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(na - pa_, nb - pb) >= least)
 
 
+class WordHashes(dict):
+    """Hashes of words, kept for the words met last."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
-    """sid and its sorted shingle hashes, for ``wanted`` (sid, text_hash): one text of each set is
-    found by its hash, and its set computed again. A fixed-size bit filter keeps most other texts
-    out of the shuffle; what it lets through wrongly, the join and the set's hash drop."""
+    """sid and its sorted shingle hashes (48 bits of each), for ``wanted`` (sid, text_hash): one text
+    of each set is found by its hash, and its set computed again. A filter of fixed size keeps most
+    other texts out of the shuffle; what it lets through wrongly, the join and the set's hash drop."""
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            sids, cells, known = [], [], {}
+            sids, cells = [], []
             for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text").to_pylist()):
                 words = ascii_words(text)
-                for w in set(words) - known.keys():
-                    known[w] = xxhash.xxh64_intdigest(w, 42)
                 hashed = np.unique(shingle(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array([len(words)]), width)[1])
                 own = mix(sum_by(mix(hashed), np.array([len(hashed)])) + np.uint64(len(hashed)))
                 if int(own.view(np.int64)[0]) == sid:
-                    sids.append(sid), cells.append(hashed.tobytes())
+                    sids.append(sid), cells.append(np.ascontiguousarray(hashed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(cells, pa.binary())], names=["sid", "cells"])
 
-    texts = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text")).filter("text is not null").filter(hash_filter(wanted, "text_hash")(F.col("text_hash")))
-    found = texts.join(wanted, "text_hash").mapInArrow(compute, "sid bigint, cells binary")
-    return reliable(found.dropDuplicates(["sid"]))
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.filter("text is not null").filter(hash_filter(wanted, "text_hash")(F.col("text_hash")))
+    return texts.join(wanted, "text_hash").dropDuplicates(["text_hash"]).select("sid", "text").mapInArrow(compute, "sid bigint, cells binary")
+
+
+def cell_values(cell: bytes) -> np.ndarray:
+    out = np.zeros((len(cell) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(cell, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -137,8 +153,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([a, b])
+                both = np.concatenate([cell_values(x), cell_values(y)])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(common * den >= (len(both) - common) * num)
@@ -164,27 +179,33 @@ def similar_components(
     """
     each = document_sets(docs, id_col, text_col, width, num, den)
     some = each.filter("n > 0")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = reliable(pairs)
+        members = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
+        wanted = reliable(sets.select("sid", "text_hash").join(members, "sid"))
+        return verified(pairs, whole_sets(docs, wanted, text_col, width), num, den)
+
     sets = reliable(some.groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash")))
     groups = some.groupBy("gid", "n").agg(F.min("sid").alias("head"), F.first("prefix").alias("prefix"))
-    postings = groups.select("gid", "n", "head", F.posexplode("prefix").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "n", "gid", "head")).alias("first")).filter("size > 1").drop("size")
-    shared = reliable(postings.join(lists, "token"))
+    postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
+    heads = sets.groupBy("gid", "n").agg(F.min("sid").alias("head"), (F.min("sid") != F.max("sid")).alias("many"))
+    shared = reliable(postings.join(lists, "token").join(heads, ["gid", "n"]))
 
     # First pass: each group's head against one leader, each further member against its head.
-    near = shared.filter(F.col("gid") != F.col("first.gid"))
+    leader = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "gid", "head")).alias("first"))
+    near = shared.join(leader, "token").filter(F.col("gid") != F.col("first.gid"))
     least = F.expr(f"({num} * (n + first.n) + {num + den - 1}) div {num + den}")
     fits = (F.least("n", F.col("first.n")) * den >= F.greatest("n", F.col("first.n")) * num) & (F.least(F.col("n") - F.col("pos"), F.col("first.n") - F.col("first.pos")) >= least)
     leaders = near.filter(fits).groupBy("head").agg(F.min(F.struct("first.pos", "first.head")).alias("l")).select(F.col("head").alias("u"), F.col("l.head").alias("v"))
-    many = sets.groupBy("gid", "n").agg(F.min("sid").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    many = heads.filter("many").select("gid", "n", "head")
     inside = sets.select("gid", "n", "sid").join(many, ["gid", "n"]).filter("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
-    first_pairs = leaders.union(inside)
-    candidates = shared.select("gid", "n").union(many.select("gid", "n")).distinct()
-    wanted = sets.join(candidates, ["gid", "n"], "left_semi").select("sid", "text_hash")
-    cells = whole_sets(docs, wanted, text_col, width)
-    links = reliable(verified(first_pairs, cells, num, den))
-    roots = components(links)
+    links = reliable(verify(leaders.union(inside)))
+    roots = reliable(components(links))
 
     # Second pass: pairs of candidates that are still apart.
+    candidates = shared.select("gid", "n").union(many.select("gid", "n")).distinct()
     member = sets.select("sid", "gid", "n").join(candidates, ["gid", "n"], "left_semi").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     member = reliable(member.select("sid", "gid", "n", F.coalesce("root", "sid").alias("root")))
     span = member.groupBy("gid", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -200,7 +221,7 @@ def similar_components(
     left = met.union(own).join(member.select(F.col("gid").alias("g"), F.col("n").alias("gn"), F.col("sid").alias("u"), F.col("root").alias("ru")), ["g", "gn"])
     right = member.select(F.col("gid").alias("h"), F.col("n").alias("hn"), F.col("sid").alias("v"), F.col("root").alias("rv"))
     second_pairs = left.join(right, ["h", "hn"]).filter("ru <> rv and (g <> h or u < v)").select("u", "v")
-    more = verified(second_pairs, cells, num, den)
+    more = verify(second_pairs)
     joined = more.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
     upper = components(joined.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
 
