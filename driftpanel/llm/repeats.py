@@ -160,7 +160,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
 
     found = written(rows.mapInArrow(find, "key bigint, n_bytes bigint, p bigint, s bigint, e bigint, seed bigint, context bigint"), "seeds")
     often = found.groupBy("seed").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("varied")).filter("n > 1").drop("n")
-    candidates = reliable(found.join(often, "seed"))
+    candidates = reliable(found.join(often.repartition("seed"), "seed"))  # both sides by a shuffle of their own: Spark can split a hot seed
     same = candidates.filter("not varied").select("key", "n_bytes", "s", "e")
 
     varied = candidates.filter("varied")
