@@ -90,9 +90,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
 
 
 def word_blocks(
-    docs: DataFrame, words_of: Callable[[str], list], *, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None, block_bytes: int = BLOCK_BYTES,
+    docs: DataFrame, words_of: Callable[[str], list], *, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None, block_bytes: int = BLOCK_BYTES, kept: bool = False,
 ) -> DataFrame:
-    """Blocks of ``docs`` (see the module), shuffled by ``block``.
+    """Blocks of ``docs`` (see the module), shuffled by ``block``; with ``kept``, not shuffled but
+    computed once into the checkpoint folder, for use in several jobs.
 
     ``words_of`` gives the words of one text (a null one is empty), as str or bytes. ``mark`` is a
     bigint carried with each document, 1 if not given. A block's distinct words are dealt by hash
@@ -139,7 +140,8 @@ def word_blocks(
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.lit(1) if mark is None else mark, F.lit(0)).cast("bigint").alias("mark"), F.col(text_col).cast("string").alias("text")
     )
-    return rows.mapInArrow(build, BLOCK_SCHEMA).repartition(ranges, "block")
+    blocks = rows.mapInArrow(build, BLOCK_SCHEMA)
+    return reliable(blocks) if kept else blocks.repartition(ranges, "block")
 
 
 def as_list(values, kind: pa.DataType) -> pa.ListArray:

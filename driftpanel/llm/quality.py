@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, fold, slices, sum_tables, table_rows
 
 BUCKETS, WIDTH, NONZERO, REACH, BLOCK = 1 << 14, 64, 2, 2, 1 << 20
+#: The table travels in pieces of this many numbers.
+PIECE = 1 << 16
 MAX_LABELLED, HIDDEN, EPOCHS = 20_000, 32, 60
 TOKEN = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^\sa-z0-9\x80-\xff]+")
 
@@ -66,10 +68,12 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
                     for x, y in ((b[near], b[near + d]), (b[near + d], b[near])):
                         for k in range(NONZERO):
                             table += np.bincount(x * WIDTH + place[y, k], sign[y, k], len(table))
-        yield table_rows({0: table.astype(np.int64)})
+        yield table_rows(dict(enumerate(np.split(table.astype(np.int64), range(PIECE, len(table), PIECE)))))
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(gather, "k int, data binary")
-    table = sum_tables(rows, "i8").get(0, np.zeros(BUCKETS * WIDTH, np.int64)).reshape(BUCKETS, WIDTH).astype(np.float32)
+    sums = sum_tables(rows, "i8", salts=16)
+    flat = np.concatenate([sums[k] for k in range(len(sums))]) if sums else np.zeros(BUCKETS * WIDTH, np.int64)
+    table = flat.reshape(BUCKETS, WIDTH).astype(np.float32)
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
