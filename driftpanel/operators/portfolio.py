@@ -118,12 +118,14 @@ def optimize_groups(cov: DataFrame, mu: DataFrame | None, problem: Problem, keys
     cells = cov.groupBy(*keys, F.col("asset_i").alias("asset")).agg(F.sort_array(F.collect_list(F.struct("asset_j", "cov"))).alias("row"))
     cells = cells.join(mu, [*keys, "asset"], "left") if mu is not None else cells.withColumn("mu", F.lit(None).cast("double"))
 
+    no_mu = mu is None
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("asset", ignore_index=True)
         names = list(pdf["asset"])
         matrix = np.array([[dict((x["asset_j"], x["cov"]) for x in row)[n] for n in names] for row in pdf["row"]], float)
         seed = zlib.crc32(repr([str(pdf[k].iloc[0]) for k in keys]).encode())
-        w, record = optimize(matrix, None if mu is None else pdf["mu"].to_numpy(float), problem, seed)
+        w, record = optimize(matrix, None if no_mu else pdf["mu"].to_numpy(float), problem, seed)
         out = pdf[[*keys, "asset"]].copy()
         out["weight"] = [None if np.isnan(x) else float(x) for x in w]
         for k, v in record.items():
