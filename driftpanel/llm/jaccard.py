@@ -4,17 +4,18 @@ A document's set holds its distinct shingles, as 64-bit hashes. Any two sets who
 similarity reaches the threshold share a shingle within the first ``n - ceil(t n) + 1`` of each,
 in any common order; the order here puts shingles with the rarest word first, by exact counts of
 words over all documents. Sets with the same prefix and size form one group. Groups meet on the
-shingles of their prefixes, group pairs are filtered by size and position, and those that are left
-are expand to members and verified on whole sets.
+shingles of their prefixes.
 
-Only components are asked for, so two passes keep a large group of near copies from emitting all
-its pairs: first each set is verified against one leader, the group that comes earliest in a list
-they share; then only pairs of sets that the first pass left in different components are
-expanded. Between them they verify every candidate pair that could join two components.
+Groups that meet on a prefix shingle at fitting sizes are joined to the list's leader, and the
+connected clusters of groups hold every candidate pair. A cluster's sets go to one task, or, if it
+is large, each pair of its parts does; there group pairs are filtered by size, members verified by
+whole overlap counts, and only a spanning forest of the links comes out. So no list and no group
+of near copies ever emits its pairs, and none is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ from .graph import components
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+#: A task's share of a large cluster, and the shingles whose overlaps are counted at a time.
+PART_SETS, PART_SHINGLES, COLUMNS = 1024, 4 << 20, 4096
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * ODD[3]
     return x ^ (x >> np.uint64(29))
@@ -101,13 +106,6 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, num:
     return reliable(per_block(blocks, corpus_counts(blocks), sets, "id bigint, text_hash bigint, n bigint, sid bigint, gid bigint, prefix array<bigint>"))
 
 
-def overlap_possible(a: str, b: str, num: int, den: int) -> Column:
-    """Size and position filter of two postings with n and pos, first common shingle at pos."""
-    na, nb, pa_, pb = (F.col(f"{t}.{c}") for c in ("n", "pos") for t in (a, b))
-    least = F.expr(f"({num} * ({a}.n + {b}.n) + {num + den - 1}) div {num + den}")
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(na - pa_, nb - pb) >= least)
-
-
 class WordHashes(dict):
     """Hashes of words, kept for the words met last."""
 
@@ -146,23 +144,75 @@ def cell_values(cell: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (u, v: sids) whose similarity reaches num / den."""
+def forest(cells: list[bytes], n: np.ndarray, num: int, den: int, first: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(member, least member of its component) under links of similarity num / den or more. With
+    ``first``, only links between members of either side are looked for."""
+    m = len(cells)
+    owner = np.repeat(np.arange(m), n)
+    _, value, df = np.unique(np.concatenate([cell_values(c) for c in cells]), return_inverse=True, return_counts=True)
+    shared = df[value] > 1
+    owner, value = owner[shared], np.unique(value[shared], return_inverse=True)[1]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    common = np.zeros((m, m), np.float32)
+    width = int(value[-1]) + 1 if len(value) else 0
+    for a in range(0, width, COLUMNS):  # overlap counts, some shingles at a time
+        lo, hi = np.searchsorted(value, [a, a + COLUMNS])
+        part = np.zeros((m, COLUMNS), np.float32)
+        part[owner[lo:hi], value[lo:hi] - a] = 1
+        used = np.flatnonzero(part.any(axis=1))
+        common[np.ix_(used, used)] += part[used] @ part[used].T
+    both = n[:, None] + n[None, :] - common
+    link = common * den >= num * both
+    np.fill_diagonal(link, False)
+    if first is not None:
+        link &= first[:, None] != first[None, :]
+    label = np.arange(m)
+    i, j = np.nonzero(link)
+    while len(i):
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return [(k, int(r)) for k, r in enumerate(label) if r != k]
+
+
+def links_in_clusters(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``members`` has cluster, sid, n: edges u, v (sids) that connect what links connect.
+
+    A cluster of at most PART_SETS sets and PART_SHINGLES shingles is one task's work. A larger one
+    is cut into parts of about that size by a hash of the sid, and each pair of parts is one.
+    """
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
+    parts = F.greatest(F.ceil(F.col("m") / PART_SETS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
+    dealt = members.join(sizes.select("cluster", parts.alias("parts")), "cluster").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("a"), F.greatest(k, F.col("part")).alias("b")))
+    rows = dealt.join(sets, "sid").select("cluster", "sid", "n", "part", "cells", F.explode(pairs).alias("p"))
+    rows = rows.select("cluster", "p.a", "p.b", "sid", "n", "part", "cells").repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by unit of work."""
+        key, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            sid, n, part, cells = (list(x) for x in zip(*held))
+            part = np.array(part)
+            found = forest(cells, np.array(n), num, den, part if key[1] != key[2] else None)
+            return pa.RecordBatch.from_arrays([pa.array([sid[i] for i, _ in found], pa.int64()), pa.array([sid[r] for _, r in found], pa.int64())], names=["u", "v"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                both = np.concatenate([cell_values(x), cell_values(y)])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(common * den >= (len(both) - common) * num)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+            for *unit, sid, n, part, cell in zip(*(batch.column(c).to_pylist() for c in ("cluster", "a", "b", "sid", "n", "part", "cells"))):
+                if unit != key:
+                    if len(held) > 1:
+                        yield flush()
+                    key, held = unit, []
+                held.append((sid, n, part, cell))
+        if len(held) > 1:
+            yield flush()
 
-    one = pairs.join(sets.select(F.col("sid").alias("u"), F.col("cells").alias("x")), "u")
-    both = one.join(sets.select(F.col("sid").alias("v"), F.col("cells").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(check, "u bigint, v bigint")
+    return rows.mapInArrow(solve, "u bigint, v bigint")
 
 
 def similar_components(
@@ -180,53 +230,27 @@ def similar_components(
     each = document_sets(docs, id_col, text_col, width, num, den)
     some = each.filter("n > 0")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = reliable(pairs)
-        members = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
-        wanted = reliable(sets.select("sid", "text_hash").join(members, "sid"))
-        return verified(pairs, whole_sets(docs, wanted, text_col, width), num, den)
-
     sets = reliable(some.groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash")))
-    groups = some.groupBy("gid", "n").agg(F.min("sid").alias("head"), F.first("prefix").alias("prefix"))
-    postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    groups = some.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
+    postings = groups.select("gid", "n", F.explode("prefix").alias("token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
-    heads = sets.groupBy("gid", "n").agg(F.min("sid").alias("head"), (F.min("sid") != F.max("sid")).alias("many"))
-    shared = reliable(postings.join(lists, "token").join(heads, ["gid", "n"]))
-
-    # First pass: each group's head against one leader, each further member against its head.
-    leader = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "gid", "head")).alias("first"))
-    near = shared.join(leader, "token").filter(F.col("gid") != F.col("first.gid"))
-    least = F.expr(f"({num} * (n + first.n) + {num + den - 1}) div {num + den}")
-    fits = (F.least("n", F.col("first.n")) * den >= F.greatest("n", F.col("first.n")) * num) & (F.least(F.col("n") - F.col("pos"), F.col("first.n") - F.col("first.pos")) >= least)
-    leaders = near.filter(fits).groupBy("head").agg(F.min(F.struct("first.pos", "first.head")).alias("l")).select(F.col("head").alias("u"), F.col("l.head").alias("v"))
-    many = heads.filter("many").select("gid", "n", "head")
-    inside = sets.select("gid", "n", "sid").join(many, ["gid", "n"]).filter("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
-    links = reliable(verify(leaders.union(inside)))
-    roots = reliable(components(links))
-
-    # Second pass: pairs of candidates that are still apart.
-    candidates = shared.select("gid", "n").union(many.select("gid", "n")).distinct()
-    member = sets.select("sid", "gid", "n").join(candidates, ["gid", "n"], "left_semi").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    member = reliable(member.select("sid", "gid", "n", F.coalesce("root", "sid").alias("root")))
-    span = member.groupBy("gid", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    spread = shared.select("token", "gid", "n", "pos").join(span, ["gid", "n"])
-    apart = spread.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
-    spread = reliable(spread.join(apart, "token"))
-    x, y = spread.alias("x"), spread.filter(f"n - pos >= ({2 * num} * n + {num + den - 1}) div {num + den}").alias("y")
-    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.gid") < F.col("x.gid")))
-    still = (F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & still & overlap_possible("x", "y", num, den))
-    met = met.select(F.col("x.gid").alias("g"), F.col("x.n").alias("gn"), F.col("y.gid").alias("h"), F.col("y.n").alias("hn")).distinct()
-    own = span.filter("lo <> hi").select(F.col("gid").alias("g"), F.col("n").alias("gn"), F.col("gid").alias("h"), F.col("n").alias("hn"))
-    left = met.union(own).join(member.select(F.col("gid").alias("g"), F.col("n").alias("gn"), F.col("sid").alias("u"), F.col("root").alias("ru")), ["g", "gn"])
-    right = member.select(F.col("gid").alias("h"), F.col("n").alias("hn"), F.col("sid").alias("v"), F.col("root").alias("rv"))
-    second_pairs = left.join(right, ["h", "hn"]).filter("ru <> rv and (g <> h or u < v)").select("u", "v")
-    more = verify(second_pairs)
-    joined = more.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-    upper = components(joined.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
-
-    base = sets.select("sid", "least_id").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least_id", F.coalesce("root", "sid").alias("node"))
-    base = base.join(upper, "node", "left").select("sid", "least_id", F.coalesce("root", "node").alias("root"))
+    bucket = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(den / num))).cast("int")
+    shared = reliable(postings.join(lists.repartition("token"), "token").select("token", "gid", bucket.alias("size")))
+
+    # Fitting sizes fall into one bucket or two adjacent ones, so a leader for each list and bucket,
+    # tied to that of the next, connects all that can link.
+    leaders = reliable(shared.groupBy("token", "size").agg(F.min("gid").alias("leader")))
+    own = shared.join(leaders.repartition("token", "size"), ["token", "size"]).select(F.col("gid").alias("u"), F.col("leader").alias("v"))
+    after = leaders.select("token", (F.col("size") - 1).alias("size"), F.col("leader").alias("v"))
+    across = leaders.join(after, ["token", "size"]).select(F.col("leader").alias("u"), "v")
+    clusters = reliable(components(own.union(across)))
+    several = sets.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1").select("gid")
+    placed = sets.join(clusters.withColumnRenamed("node", "gid"), "gid", "left").join(several.withColumn("many", F.lit(True)), "gid", "left")
+    members = reliable(placed.filter("root is not null or many").select("sid", "n", "text_hash", F.coalesce("root", "gid").alias("cluster")))
+    cells = whole_sets(docs, members.select("sid", "text_hash"), text_col, width)
+    roots = components(links_in_clusters(members.select("cluster", "sid", "n"), cells, num, den))
+
+    base = sets.select("sid", "least_id").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least_id", F.coalesce("root", "sid").alias("root"))
     ids = base.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = base.join(ids, "root").select("sid", "component_id")
     rows = each.select("id", "n", "sid").join(named, "sid", "left")
