@@ -139,6 +139,18 @@ def optimize_groups(cov: DataFrame, mu: DataFrame | None, problem: Problem, keys
     return cells.groupBy(F.lit(0).alias("_")).applyInPandas(run, schema)
 
 
+def closed_form(cov: DataFrame) -> DataFrame:
+    """asset, weight of least variance without bounds: inverse(cov) 1, scaled to sum to 1."""
+    cells = cov.groupBy(F.col("asset_i").alias("asset")).agg(F.sort_array(F.collect_list(F.struct("asset_j", "cov"))).alias("row"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("asset", ignore_index=True)
+        x = np.linalg.solve(np.array([[c["cov"] for c in row] for row in pdf["row"]], float), np.ones(len(pdf)))
+        return pd.DataFrame({"asset": pdf["asset"], "weight": x / x.sum()})
+
+    return cells.groupBy(F.lit(0).alias("_")).applyInPandas(run, "asset string, weight double")
+
+
 def diagnostics(solved: DataFrame, keys: list[str]) -> DataFrame:
     """One record for each group."""
     return solved.select(*keys, *NAMES).distinct()

@@ -7,8 +7,6 @@ run of dates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame

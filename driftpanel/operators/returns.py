@@ -62,3 +62,17 @@ def wide_factors(factors: DataFrame, names: list[str]) -> DataFrame:
     """One column f1, f2, ... for each named factor, by path (if any) and time."""
     keys = [c for c in ("path", "time", "time_idx") if c in factors.columns]
     return factors.groupBy(*keys).agg(*[F.max(F.when(F.col("factor") == n, F.col("ret"))).alias(f"f{k}") for k, n in enumerate(names, 1)])
+
+
+def select_series(df: DataFrame, label: str, names: list[str]) -> DataFrame:
+    """The named series; ValueError if one is missing."""
+    found = {r[0] for r in df.filter(F.col(label).isin(names)).select(label).distinct().collect()}
+    if missing := [n for n in names if n not in found]:
+        raise ValueError(f"missing: {missing}")
+    return df.filter(F.col(label).isin(names))
+
+
+def reindex(df: DataFrame, labels: DataFrame, label: str, fill: float | None = None) -> DataFrame:
+    """One row for each of ``labels``; what ``df`` lacks is NULL, or ``fill`` in numbers."""
+    out = labels.select(label).distinct().join(df, label, "left")
+    return out if fill is None else out.fillna(fill)

@@ -171,4 +171,14 @@ select count(*) as n_paths, {r('avg(x)', 'mean')}, {r('quantile_cont(x, 0.75) -
     "factor_heatmap": f"""{BASE}, q2 as (select *, {rolling(TWO)} as b1, {rolling(OTHER)} as b2, {rolling("var_samp(f1)")} as v1, {rolling("var_samp(f2)")} as v2, {rolling("covar_samp(f1, f2)")} as c from x)
 select time, asset, {r('b1 * (v1 * b1 + c * b2)', '"c_R"')}, {r('b2 * (c * b1 + v2 * b2)', '"c_A"')} from q2 where b1 is not null""",
     "event_daily_mean": f"select ts::date as time, event_type as series, {r('avg(value)', 'price')} from events group by all",
+    "minvar_closed_form_3": f"""{panels().replace("a as (select", "a0 as (select", 1)}, a as (select * from a0 where asset in (select distinct asset from a0 order by asset limit 3)),
+{STABLE}, o as (select asset, row_number() over (order by asset) as k from (select distinct asset_i as asset from st)),
+g as (select max(cov) filter (i.k = 1 and j.k = 1) as a, max(cov) filter (i.k = 1 and j.k = 2) as b, max(cov) filter (i.k = 1 and j.k = 3) as c, max(cov) filter (i.k = 2 and j.k = 2) as d,
+  max(cov) filter (i.k = 2 and j.k = 3) as e, max(cov) filter (i.k = 3 and j.k = 3) as f from st join o i on i.asset = asset_i join o j on j.asset = asset_j),
+w as (select (d * f - e * e) + (c * e - b * f) + (b * e - c * d) as w1, (c * e - b * f) + (a * f - c * c) + (b * c - a * e) as w2, (b * e - c * d) + (b * c - a * e) + (a * d - b * b) as w3 from g)
+select asset, round(case k when 1 then w1 when 2 then w2 else w3 end / (w1 + w2 + w3), 8) + 0 as weight from o, w""",
+    "risk_lines": f"{BASE},\n{rolling1()},\n{RISK1} select time, asset, {r('sys_var / (sys_var + idio_var)', 'sys')}, {r('idio_var / (sys_var + idio_var)', 'idio')} from risk1 where asset = (select min(asset) from risk1)",
+    "noisy_returns": f"{panels()} select time, asset, {r(f"ret + (cast('0x' || substr(md5(asset || '-' || time_idx::varchar || '-{SEED}'), 1, 8) as bigint) / 4294967296.0 * 2 - 1) * 0.001", 'ret')} from a",
+    "volatility_regime": f"{panels()}, m as (select asset, avg(ret) as m from a group by asset) select time, asset, {r("case when time between date '1995-01-01' and date '1995-12-31' then m + 2 * (ret - m) else ret end", 'ret')} from a join m using (asset)",
+    "reindexed_means": f"with {log_returns('p', prices('brand', 'month'))} select series, {r('coalesce(mean, 0)', 'mean')} from (select distinct p_brand as series from part) left join (select series, avg(ret) as mean from p_r group by series) using (series)",
 }

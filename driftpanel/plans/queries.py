@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, checks, moments, portfolio, regression, returns, risk
+from ..operators import bootstrap, checks, moments, perturb, portfolio, regression, returns, risk
 from ..sources.prices import derived_prices, from_wide, to_wide
 from . import report
 
@@ -360,20 +360,24 @@ def _stable(spark, sf_dir, names=None):
     return a, moments.stabilized(moments.shrink_cov(moments.cov_hist(a), SHRINKAGE))
 
 
-def _pair(spark, sf_dir) -> DataFrame:
-    """The first two assets by name, as a short table."""
+def _first_cov(spark, sf_dir, n: int) -> DataFrame:
+    """The stable covariance of the first ``n`` assets by name."""
     a = panels(spark, sf_dir)[0]
-    names = a.select("asset").distinct().orderBy("asset").limit(2)
-    return a.join(F.broadcast(names), "asset")
+    names = a.select("asset").distinct().orderBy("asset").limit(n)
+    return moments.stabilized(moments.shrink_cov(moments.cov_hist(a.join(F.broadcast(names), "asset")), SHRINKAGE))
 
 
 @query
 def minvar_two_asset(spark, sf_dir):
-    cov = moments.stabilized(moments.shrink_cov(moments.cov_hist(_pair(spark, sf_dir)), SHRINKAGE))
-    solved = portfolio.optimize_groups(cov, None, portfolio.Problem(), [])
+    solved = portfolio.optimize_groups(_first_cov(spark, sf_dir, 2), None, portfolio.Problem(), [])
     return solved.select("asset", F.round("weight", 6).alias("weight"))
 
 
+@query
+def minvar_closed_form_3(spark, sf_dir):
+    return portfolio.closed_form(_first_cov(spark, sf_dir, 3)).select("asset", F.round("weight", 8).alias("weight"))
+
+
 @query
 def minvar_weights(spark, sf_dir):
     return portfolio.optimize_groups(_stable(spark, sf_dir)[1], None, portfolio.Problem(), []).select("asset", "weight")
@@ -512,3 +516,30 @@ def factor_heatmap(spark, sf_dir):
 def event_daily_mean(spark, sf_dir):
     """What the streaming job of ``streaming.events`` gives once all events are in."""
     return derived_prices(spark, sf_dir, "event", "day")
+
+
+@query
+def risk_lines(spark, sf_dir):
+    """Shares of systematic and own variance of one asset by week."""
+    model = regression.rolling_ols(*one_factor(spark, sf_dir), WINDOW)
+    one = model.join(F.broadcast(model.agg(F.min("asset").alias("asset"))), "asset")
+    whole = F.col("sys_var") + F.col("idio_var")
+    return risk.rolling_risk(one, WINDOW).select("time", "asset", F.try_divide("sys_var", whole).alias("sys"), F.try_divide("idio_var", whole).alias("idio"))
+
+
+@query
+def noisy_returns(spark, sf_dir):
+    return perturb.noisy(panels(spark, sf_dir)[0], 0.001, SEED).select("time", "asset", "ret")
+
+
+@query
+def volatility_regime(spark, sf_dir):
+    return perturb.volatility_regime(panels(spark, sf_dir)[0], 2.0, "1995-01-01", "1995-12-31").select("time", "asset", "ret")
+
+
+@query
+def reindexed_means(spark, sf_dir):
+    """Mean returns for every brand that the parts have, 0 where the panel lacks it."""
+    means = returns.complete_dates(returns.log_returns(derived_prices(spark, sf_dir, "brand", "month"))).groupBy("series").agg(F.avg("ret").alias("mean"))
+    labels = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("series"))
+    return returns.reindex(means, labels, "series", 0.0)
