@@ -86,7 +86,7 @@ def estimates(patterns: DataFrame) -> DataFrame:
         return f"transform(sequence(0, {n - 1}), j -> greatest({low}D, least({high}D, ({hit} + 1D) / ({all_} + 2D))))"
 
     step = f"""transform(array({weighed}), t -> named_struct(
-        'pi', greatest({pi0}D, least({pi1}D, {total("x.n * x.w")} / {total("x.n")})),
+        'pi', greatest({pi0}D, least({pi1}D, try_divide({total("x.n * x.w")}, {total("x.n")}))),
         'q', {rates(1, "x.w", q0, q1)}, 'r', {rates(-1, "(1D - x.w)", r0, r1)}))[0]"""
     start = f"named_struct('pi', {pi}D, 'q', array_repeat({q}D, {n}), 'r', array_repeat({r}D, {n}))"
     row = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("pats"))
