@@ -1,8 +1,8 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
 A word's probability is that of its class given the two words before it, times its own within the
-class. Classes are a softmax over hashed features: the word before, and the word before that (a
-skip). The most frequent words form classes of ``MEMBERS``, with a softmax of their own over
+class. Classes are softmaxes over hashed features: the word before, the word before that (a skip),
+and the pair. The most frequent words form classes of ``MEMBERS``, with a softmax of their own over
 the word before and the class; other words fall into classes by their ending, with their share of
 the class's counts; words seen once share a class with the one unknown word. The whole is a
 distribution over the words of training and one unknown.
@@ -10,7 +10,9 @@ distribution over the words of training and one unknown.
 Words are counted over all training documents by the block exchange of ``common``. Training makes
 one pass over every training token: each task takes gradient steps from the class shares on its own
 documents, and the tasks' weights are averaged by tokens. Weights and head words have a fixed size,
-whatever the input; counts stay distributed. Scoring works on packed words in numpy batches.
+whatever the input: ``ROWS`` rows for each kind of feature, which more contexts share the larger the
+input, and ``HEADS * MEMBERS`` words predicted in context within their class; of any other word only
+the class is. Counts stay distributed. Scoring works on packed words in numpy batches.
 
 Null and empty texts hold only the end token. Repeated rows and null ids are scored like others;
 other columns are ignored; an empty table gives no rows. Without training tokens every word is
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, as_list, Block, corpus_counts, fold, pack, parts, per_block, reliable, sum_tables, table_rows, total_counts, unpack, word_blocks
 
-HEADS, MEMBERS, ENDINGS = 8, 64, 24
+HEADS, MEMBERS, ENDINGS = 8, 128, 32
 RARE = HEADS + ENDINGS
 CLASSES = RARE + 1
 ROWS = 1 << 13
@@ -124,7 +126,7 @@ def coded(blocks: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 
 def features(code: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Class, place, the two feature rows of the class softmax and the row of the in-class one."""
+    """Class, place, the three feature rows of the class softmax and the row of the in-class one."""
     cls, place, word = (code >> 24).astype(np.int64), (code >> 16 & 0xFF).astype(np.int64), code & 0xFFFF
     start = np.cumsum(lens) - lens
     one, two = np.empty_like(word), np.empty_like(word)
@@ -134,13 +136,14 @@ def features(code: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, ...]:
     second = start[lens > 1] + 1
     two[second] = START
     with np.errstate(over="ignore"):
-        k = [one * np.uint32(2654435761), two * np.uint32(2246822519), (one * np.uint32(374761393) + cls.astype(np.uint32)) * np.uint32(2654435761)]
+        k = [one * np.uint32(2654435761), two * np.uint32(2246822519), (one * np.uint32(40503) + two * np.uint32(3266489917)) * np.uint32(668265263), (one * np.uint32(374761393) + cls.astype(np.uint32)) * np.uint32(2654435761)]
     rows = [(x >> np.uint32(19)).astype(np.int64) for x in k]  # 13 bits
-    return cls, place, rows[0], rows[1] + ROWS, rows[2]
+    return cls, place, rows[0], rows[1] + ROWS, rows[2], rows[3]
 
 
 class Model:
-    """Weights of the class softmax and of the head classes' own; biases are the shares."""
+    """Weights of the class softmax and of the head classes' own; biases are the shares. ``flat``
+    holds those of single words, the head classes' own, and those of pairs (zero if left out)."""
 
     def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None):
         self.bias = np.log((vocab.mass + 1e-3) / (vocab.mass.sum() + 1e-3 * CLASSES)).astype(np.float32)
@@ -148,13 +151,16 @@ class Model:
         n = len(vocab.head_counts)
         member.ravel()[:n] = np.log(vocab.head_counts + 0.5)
         self.member = member
-        size = 2 * ROWS * CLASSES
-        flat = np.zeros(size + ROWS * MEMBERS, np.float32) if flat is None else flat.astype(np.float32)
-        self.flat, self.w, self.u = flat, flat[:size].reshape(-1, CLASSES), flat[size:].reshape(-1, MEMBERS)
+        ends = np.cumsum([2 * ROWS * CLASSES, ROWS * MEMBERS, ROWS * CLASSES])
+        self.flat = np.zeros(ends[2], np.float32)
+        if flat is not None:
+            self.flat[: len(flat)] = flat
+        self.w, self.u, self.pair = (x.reshape(-1, n) for x, n in zip(np.split(self.flat, ends[:2]), (CLASSES, MEMBERS, CLASSES)))
 
     def classes(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
         x = np.take(self.w, rows[0], axis=0)
         x += np.take(self.w, rows[1], axis=0)
+        x += np.take(self.pair, rows[2], axis=0)
         x += self.bias
         x -= x.max(axis=1, keepdims=True)
         return x
@@ -171,10 +177,10 @@ class Model:
         out = np.empty(len(code))
         for a in range(0, len(code), BATCH):
             b = slice(a, a + BATCH)
-            x = self.classes(tuple(r[b] for r in rows[:2]))
+            x = self.classes(tuple(r[b] for r in rows[:3]))
             out[b] = x[np.arange(len(x)), cls[b]] - np.log(np.exp(x).sum(axis=1))
             head = np.flatnonzero(cls[b] < HEADS)
-            y = self.members(cls[b][head], rows[2][b][head])
+            y = self.members(cls[b][head], rows[3][b][head])
             out[a + head] += y[np.arange(len(y)), place[b][head]] - np.log(np.exp(y).sum(axis=1))
         return out / LN10
 
@@ -183,17 +189,18 @@ class Model:
         cls, place, *rows = features(code, lens)
         for a in range(0, len(code), BATCH):
             b = slice(a, a + BATCH)
-            x = np.exp(self.classes(tuple(r[b] for r in rows[:2])))
+            x = np.exp(self.classes(tuple(r[b] for r in rows[:3])))
             x /= x.sum(axis=1, keepdims=True)
             x[np.arange(len(x)), cls[b]] -= 1
             for r in rows[:2]:
                 step(self.w, seen[0], r[b], x)
+            step(self.pair, seen[2], rows[2][b], x)
             head = np.flatnonzero(cls[b] < HEADS)
             if len(head):
-                y = np.exp(self.members(cls[b][head], rows[2][b][head]))
+                y = np.exp(self.members(cls[b][head], rows[3][b][head]))
                 y /= y.sum(axis=1, keepdims=True)
                 y[np.arange(len(y)), place[b][head]] -= 1
-                step(self.u, seen[1], rows[2][b][head], y)
+                step(self.u, seen[1], rows[3][b][head], y)
 
 
 def step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
@@ -212,7 +219,7 @@ def fit(table: DataFrame, vocab: Vocabulary) -> Model:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, n = Model(sent.value), 0
-        seen = [np.zeros(2 * ROWS, np.float32), np.zeros(ROWS, np.float32)]
+        seen = [np.zeros(n, np.float32) for n in (2 * ROWS, ROWS, ROWS)]
         for batch in batches:
             for code, lens, marks in zip(*(batch.column(c) for c in ("code", "lens", "marks"))):
                 lens, keep = np.asarray(lens.values), np.asarray(marks.values) != 0
