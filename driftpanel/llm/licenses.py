@@ -1,9 +1,13 @@
 """Licence scans by sentence rules, in DataFrame expressions only.
 
-A text is cut into sentences, each normalised to lower-case letters and digits. Sentences that are
-known from public licences become identifiers, and a rule names a licence by an ordered sequence of
-identifiers that must follow one another among the known sentences of a text. A match inside a
-longer one is dropped. All of it happens within the row: nothing is shuffled.
+A text is cut into pieces at its line ends and sentence ends, normalised to lower-case letters and
+digits. A known sentence of public licences is one piece, or the pieces of lines that follow one
+another without a sentence end or a blank line between (the text is wrapped, maybe in a comment of
+marks other than letters and digits); of two at one place the longer counts. A colon ends a sentence
+if the texts before and after it are known. Known sentences become identifiers, and a rule names a
+licence by an ordered sequence of identifiers that must follow one another among the known sentences
+of a text. A match inside a longer one is dropped. All of it happens within the row: nothing is
+shuffled.
 
 Null and empty texts, and texts without a known sentence, give no rows. Repeated rows each give
 their matches; other columns are ignored; null ids stay null.
@@ -80,21 +84,34 @@ RULES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SENTENCE_END, NOT_PLAIN = r"[.!?;]+[ \t\r\n]+", r"[^a-z0-9\n]+"
+#: In a plain text, which is lower case, S is a sentence end, and B and E enclose known sentences.
+PLAIN = r"[^a-z0-9:\nS]+"
 
 
 def normal(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def marks(sentences: dict[str, str]) -> str:
+    """Pattern of a known sentence in a plain text, from one boundary to the next."""
+    ordered = sorted({normal(s) for s in sentences.values()}, key=len, reverse=True)
+    known = "|".join(s.replace(" ", r"(?:[ :]+|[ :]*\n[ :]*)") for s in ordered)
+    end = r"(?=[ :]*(?:[\nS]|\z))"
+    return rf"((?:^|[\nS]|\G(?!^) *:)[ :]*)({known})(?:{end}|(?= *:[ :]*(?:{known}){end}))"
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: dict[str, tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """One row for each match: the id, rule, license, first (the number of its first sentence in
     the text, from 0) and n_sentences."""
     known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (normal(s), k)])
-    longest = max(len(normal(s)) for s in sentences.values())
-    plain = F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), SENTENCE_END, "\n"), NOT_PLAIN, " ")
-    cut = docs.select(F.col(id_col), once(F.transform(F.split(plain, "\n"), lambda s: F.trim(s))).alias("s"))
-    numbered = F.transform("s", lambda s, i: F.struct(F.when((F.length(s) > 0) & (F.length(s) <= longest), F.try_element_at(known, s)).alias("k"), i.alias("i")))
-    ids = cut.select(id_col, once(F.filter(numbered, lambda x: x["k"].isNotNull())).alias("m")).filter(F.size("m") > 0)
+    ends = F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), SENTENCE_END, "S")
+    marked = F.regexp_replace(F.regexp_replace(ends, PLAIN, " "), marks(sentences), "$1B$2E")
+    cut = docs.select(F.col(id_col), once(F.split(marked, "B")).alias("p")).filter(F.size("p") > 1)
+    cut = cut.select(id_col, "p", once(F.transform("p", lambda x: F.length(x) - F.length(F.translate(x, "\nS", "")))).alias("n"))
+    before = lambda i: F.aggregate(F.slice("n", 1, i + 1), F.lit(0), lambda a, x: a + x)
+    sentence = lambda x: F.trim(F.regexp_replace(F.substring_index(x, "E", 1), "[ :\n]+", " "))
+    each = F.transform(F.slice("p", 2, F.size("p")), lambda x, i: F.struct(F.try_element_at(known, sentence(x)).alias("k"), before(i).alias("i")))
+    ids = cut.select(id_col, once(each).alias("m"))
     table = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"), F.array(*map(F.lit, seq)).alias("seq")) for r, (lic, seq) in rules.items()])
     ids = ids.select(id_col, "m", once(F.transform("m", lambda x: x["k"])).alias("k"))
     at = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(table, lambda r: F.slice("k", i + 1, F.size(r["seq"])) == r["seq"]), lambda r: F.struct(r["rule"].alias("rule"), r["license"].alias("license"), i.alias("a"), (i + F.size(r["seq"])).alias("b"), x["i"].alias("first")))))
