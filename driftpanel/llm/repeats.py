@@ -17,7 +17,9 @@ are recognised by a 64-bit hash of the text and its length.
 
 from __future__ import annotations
 
+import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import hash_filter, reliable, slices, written
 
@@ -282,6 +285,76 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     return stripped.select(*columns, "_r.n_removed", "_r.n_spans", "_r.kept").union(maybe.filter("not _maybe").select(*columns, *none))
 
 
+#: Letters of scripts that are written without blanks: each counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ANY_UNSPACED, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+#: Characters of a word's code, 6 bits of its hash each.
+CODE = 6
+
+
+class Codes(dict):
+    """Codes of words, of one width."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 1 << 18:
+            self.clear()
+        code = base64.b64encode(xxhash.xxh3_64_digest(word.encode()))[:CODE].decode()
+        self[word] = code
+        return code
+
+    def of(self, text: str) -> str:
+        words = WORD.findall(text) if ANY_UNSPACED.search(text) else text.split()
+        return "".join(map(self.__getitem__, words))
+
+
+def remove_passages(docs: DataFrame, *, words: int = 51, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_removed (words) and kept (string): each text without the runs of ``words``
+    words or more that also stand anywhere else, from the first to the last of their words.
+
+    A passage is judged by its words alone, whatever their bytes; blanks between them may differ.
+    Words are parted by blanks, or are letters of ``UNSPACED``. Repeats of words are those of their
+    codes' bytes, as codes have one width (words are compared by 36 bits of hash). A string that
+    begins inside a code is repeated without the words around it only by chance of that size, and
+    spans are narrowed to whole words. Columns of ``docs`` named like an output are replaced.
+    """
+    docs = docs.drop("n_removed", "kept")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            for part in slices(batch, text_col, BLOCK):
+                cells = pa.array([codes.of(x or "") for x in part.column(text_col).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, cells], names=[*part.schema.names, "_codes"])
+
+    typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    schema = T.StructType([*typed.schema.fields, T.StructField("_codes", T.StringType())])
+    keyed = typed.mapInArrow(code, schema)
+    spans = reliable(repeated_spans(typed.select(text_col).mapInArrow(code, T.StructType([typed.schema[text_col], schema["_codes"]])), length=words * CODE, text_col="_codes"))
+    keyed = keyed.withColumns({"_key": F.xxhash64("_codes"), "_bytes": F.octet_length("_codes").cast("bigint")}).drop("_codes")
+    own = spans.select(F.col("key").alias("_key"), F.col("n_bytes").alias("_bytes"), F.col("spans").alias("_spans")).repartition("_key", "_bytes")
+    maybe = keyed.withColumn("_maybe", hash_filter(spans.select("key"), "key")(F.col("_key")))
+
+    @F.pandas_udf("n_removed long, kept string")
+    def strip(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, s in zip(texts, all_spans):
+            # first and last word; a repeat holds whole words, so touching ones are one run to remove
+            runs = merged({"s": -(-int(x["s"]) // CODE), "e": int(x["e"]) // CODE} for x in s)
+            places = [m.span() for m in WORD.finditer(text)] if runs else []
+            at, parts = 0, []
+            for a, b in runs:
+                parts.append(text[at : places[a][0]])
+                at = places[b - 1][1]
+            out.append((sum(b - a for a, b in runs), "".join([*parts, text[at:]])))
+        return pd.DataFrame(out, columns=["n_removed", "kept"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hit = maybe.filter("_maybe").join(own, ["_key", "_bytes"], "left")
+    stripped = hit.withColumn("_r", strip(text, F.coalesce("_spans", F.array().cast("array<struct<s:bigint,e:bigint>>"))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return stripped.select(*columns, "_r.n_removed", "_r.kept").union(maybe.filter("not _maybe").select(*columns, F.lit(0).cast("bigint").alias("n_removed"), text.alias("kept")))
+
+
 def inner(data: bytes, a: int, b: int) -> tuple[int, int]:
     """The part of data[a:b] made of whole UTF-8 characters."""
     while a < b and data[a] & 0xC0 == 0x80:
