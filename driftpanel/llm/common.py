@@ -9,7 +9,6 @@ occurrence, and no word - however common - has more entries than there are block
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 import zlib
 from collections import defaultdict
@@ -35,16 +34,49 @@ BLOCK_SCHEMA = (
 def reliable(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, its lineage cut.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where none is
-    named (tests on one machine) is a temporary one set.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Where none is named, a
+    session on one machine (``local[...]``) gets a folder beside its warehouse, any other fails.
     """
-    sc = df.sparkSession.sparkContext
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+#: A key that holds more than one in HEAVY of the rows is heavy: of such there are at most HEAVY.
+HEAVY = 1000
+
+
+def spread_join(rows: DataFrame, marks: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``marks``, which has a row or a few for each key.
+
+    Rows of heavy keys stay where they are and get their marks by broadcast, which is bounded by
+    HEAVY keys; all others are shuffled as usual, so that no key takes a task's time. ``rows`` is read
+    twice: give it as a file or a checkpoint. Null keys find no marks.
+    """
+    spark, total = rows.sparkSession, rows.count()
+    heavy = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") * HEAVY > total).select(*on).dropna().collect()
+    if not heavy:
+        return rows.join(marks, on, how)
+    keys = F.broadcast(spark.createDataFrame(heavy, rows.select(*on).schema))
+    few = rows.join(keys, on).join(F.broadcast(marks.join(keys, on)), on, how)
+    return rows.join(keys, on, "left_anti").join(marks, on, how).unionByName(few)
+
+
 def fold(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

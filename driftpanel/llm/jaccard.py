@@ -8,9 +8,11 @@ shingles of their prefixes.
 
 Groups that meet on a prefix shingle at fitting sizes are joined to the list's leader, and the
 connected clusters of groups hold every candidate pair. A cluster's sets go to one task, or, if it
-is large, each pair of its parts does; there group pairs are filtered by size, members verified by
-whole overlap counts, and only a spanning forest of the links comes out. So no list and no group
-of near copies ever emits its pairs, and none is left out.
+is large, each pair of its parts does. There the groups' prefix lists are looked up: a pair of groups
+passes that fits by size, and by the place of its first common shingle can still have enough in
+common; the members of such a pair, and those within a group, are verified by whole overlap counts,
+unless links found before connect them already. Only a spanning forest of the links comes out. So
+no list and no group of near copies ever emits its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, ascii_words, corpus_counts, hash_filter, per_block, reliable, word_blocks
+from .common import Block, ascii_words, corpus_counts, hash_filter, per_block, reliable, spread_join, word_blocks
 from .graph import components
 
 #: Odd multipliers of the shingle hash.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-#: A task's share of a large cluster, and the shingles whose overlaps are counted at a time.
-PART_SETS, PART_SHINGLES, COLUMNS = 1024, 4 << 20, 4096
+#: A task's share of a large cluster.
+PART_SETS, PART_SHINGLES = 1024, 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,7 +137,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) ->
 
     texts = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     texts = texts.filter("text is not null").filter(hash_filter(wanted, "text_hash")(F.col("text_hash")))
-    return texts.join(wanted, "text_hash").dropDuplicates(["text_hash"]).select("sid", "text").mapInArrow(compute, "sid bigint, cells binary")
+    one = texts.dropDuplicates(["text_hash"])  # of copies of a text one is sent by each task
+    return one.join(wanted, "text_hash").select("sid", "text").mapInArrow(compute, "sid bigint, cells binary")
 
 
 def cell_values(cell: bytes) -> np.ndarray:
@@ -144,71 +147,83 @@ def cell_values(cell: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def forest(cells: list[bytes], n: np.ndarray, num: int, den: int, first: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """(member, least member of its component) under links of similarity num / den or more. With
-    ``first``, only links between members of either side are looked for."""
-    m = len(cells)
-    owner = np.repeat(np.arange(m), n)
-    _, value, df = np.unique(np.concatenate([cell_values(c) for c in cells]), return_inverse=True, return_counts=True)
-    shared = df[value] > 1
-    owner, value = owner[shared], np.unique(value[shared], return_inverse=True)[1]
-    order = np.argsort(value, kind="stable")
-    owner, value = owner[order], value[order]
-    common = np.zeros((m, m), np.float32)
-    width = int(value[-1]) + 1 if len(value) else 0
-    for a in range(0, width, COLUMNS):  # overlap counts, some shingles at a time
-        lo, hi = np.searchsorted(value, [a, a + COLUMNS])
-        part = np.zeros((m, COLUMNS), np.float32)
-        part[owner[lo:hi], value[lo:hi] - a] = 1
-        used = np.flatnonzero(part.any(axis=1))
-        common[np.ix_(used, used)] += part[used] @ part[used].T
-    both = n[:, None] + n[None, :] - common
-    link = common * den >= num * both
-    np.fill_diagonal(link, False)
-    if first is not None:
-        link &= first[:, None] != first[None, :]
-    label = np.arange(m)
-    i, j = np.nonzero(link)
-    while len(i):
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return [(k, int(r)) for k, r in enumerate(label) if r != k]
+def linked(gid: np.ndarray, prefix: list[np.ndarray], n: np.ndarray, cells: list[bytes], num: int, den: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(member, another of its component) for all but one member of each component under links of
+    similarity num / den or more. With ``part``, only links between members of different parts are
+    looked for."""
+    values, root = [cell_values(c) for c in cells], np.arange(len(cells))
+    _, first, group = np.unique(gid, return_index=True, return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[by_group], np.arange(len(first) + 1))
+    size, lens = n[first], np.array([len(prefix[i]) for i in first])
+    token, owner = np.concatenate([prefix[i] for i in first]), np.repeat(np.arange(len(first)), lens)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(lens) - lens, lens)
+    order = np.argsort(token, kind="stable")
+    token, owner, place = token[order], owner[order], place[order]
+
+    def verify(x: int, others: np.ndarray) -> None:
+        many = 4
+        while len(others := others[root[others] != root[x]]):
+            some, others = others[:many], others[many:]
+            flat, sizes = np.concatenate([values[y] for y in some]), n[some]
+            at = np.searchsorted(values[x], flat)
+            at[at == len(values[x])] = 0
+            common = np.add.reduceat(values[x][at] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for y in some[common * den >= num * (n[x] + sizes - common)]:
+                root[root == root[y]] = root[x]
+            many *= 4
+
+    for g in range(len(first)):
+        own, mine = by_group[ends[g] : ends[g + 1]], prefix[first[g]]
+        low, high = np.searchsorted(token, mine), np.searchsorted(token, mine, "right")
+        counts = high - low
+        entry = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        at, other = np.repeat(np.arange(len(mine)), counts), owner[entry]
+        after = other > g
+        other, where = np.unique(other[after], return_index=True)  # each at the first common shingle
+        at, there = at[after][where], place[entry][after][where]
+        least, most = np.minimum(size[g], size[other]), np.maximum(size[g], size[other])
+        bound = np.minimum(size[g] - at, size[other] - there)  # what they can have in common from there
+        fits = (least * den >= num * most) & (bound * (num + den) >= num * (size[g] + size[other]))
+        candidates = np.concatenate([np.empty(0, np.int64), *(by_group[ends[k] : ends[k + 1]] for k in other[fits])])
+        for i, x in enumerate(own):
+            those = np.concatenate([own[i + 1 :], candidates])
+            verify(x, those if part is None else those[part[those] != part[x]])
+    return [(k, int(r)) for k, r in enumerate(root) if r != k]
 
 
 def links_in_clusters(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``members`` has cluster, sid, n: edges u, v (sids) that connect what links connect.
+    """``members`` has cluster, sid, gid, n, prefix: edges u, v (sids) that connect what links connect.
 
     A cluster of at most PART_SETS sets and PART_SHINGLES shingles is one task's work. A larger one
     is cut into parts of about that size by a hash of the sid, and each pair of parts is one.
     """
     sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
     parts = F.greatest(F.ceil(F.col("m") / PART_SETS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
-    dealt = members.join(sizes.select("cluster", parts.alias("parts")), "cluster").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    dealt = spread_join(members, reliable(sizes.select("cluster", parts.alias("parts"))), ["cluster"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("a"), F.greatest(k, F.col("part")).alias("b")))
-    rows = dealt.join(sets, "sid").select("cluster", "sid", "n", "part", "cells", F.explode(pairs).alias("p"))
-    rows = rows.select("cluster", "p.a", "p.b", "sid", "n", "part", "cells").repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
+    rows = dealt.join(sets, "sid").select("cluster", "sid", "gid", "n", "prefix", "part", "cells", F.explode(pairs).alias("p"))
+    rows = rows.select("cluster", "p.a", "p.b", "sid", "gid", "n", "prefix", "part", "cells").repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by unit of work."""
         key, held = None, []
 
         def flush() -> pa.RecordBatch:
-            sid, n, part, cells = (list(x) for x in zip(*held))
-            part = np.array(part)
-            found = forest(cells, np.array(n), num, den, part if key[1] != key[2] else None)
+            sid, gid, n, part, cells, prefix = zip(*held)
+            found = linked(np.array(gid), list(prefix), np.array(n), list(cells), num, den, np.array(part) if key[1] != key[2] else None)
             return pa.RecordBatch.from_arrays([pa.array([sid[i] for i, _ in found], pa.int64()), pa.array([sid[r] for _, r in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            for *unit, sid, n, part, cell in zip(*(batch.column(c).to_pylist() for c in ("cluster", "a", "b", "sid", "n", "part", "cells"))):
+            lists = batch.column("prefix")
+            flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
+            columns = (batch.column(c).to_pylist() for c in ("cluster", "a", "b", "sid", "gid", "n", "part", "cells"))
+            for i, (*unit, sid, gid, n, part, cell) in enumerate(zip(*columns)):
                 if unit != key:
                     if len(held) > 1:
                         yield flush()
                     key, held = unit, []
-                held.append((sid, n, part, cell))
+                held.append((sid, gid, n, part, cell, flat[ends[i] : ends[i + 1]]))
         if len(held) > 1:
             yield flush()
 
@@ -230,8 +245,8 @@ def similar_components(
     each = document_sets(docs, id_col, text_col, width, num, den)
     some = each.filter("n > 0")
 
-    sets = reliable(some.groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash")))
-    groups = some.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
+    sets = reliable(some.groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.first("prefix").alias("prefix")))
+    groups = sets.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", F.explode("prefix").alias("token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
     bucket = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(den / num))).cast("int")
@@ -240,18 +255,18 @@ def similar_components(
     # Fitting sizes fall into one bucket or two adjacent ones, so a leader for each list and bucket,
     # tied to that of the next, connects all that can link.
     leaders = reliable(shared.groupBy("token", "size").agg(F.min("gid").alias("leader")))
-    own = shared.join(leaders.repartition("token", "size"), ["token", "size"]).select(F.col("gid").alias("u"), F.col("leader").alias("v"))
+    own = spread_join(shared, leaders, ["token", "size"]).select(F.col("gid").alias("u"), F.col("leader").alias("v"))
     after = leaders.select("token", (F.col("size") - 1).alias("size"), F.col("leader").alias("v"))
     across = leaders.join(after, ["token", "size"]).select(F.col("leader").alias("u"), "v")
-    clusters = reliable(components(own.union(across)))
+    clusters = components(own.union(across)).select(F.col("node").alias("gid"), "root")
     several = sets.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1").select("gid")
-    placed = sets.join(clusters.withColumnRenamed("node", "gid"), "gid", "left").join(several.withColumn("many", F.lit(True)), "gid", "left")
-    members = reliable(placed.filter("root is not null or many").select("sid", "n", "text_hash", F.coalesce("root", "gid").alias("cluster")))
+    marks = reliable(clusters.join(several, "gid", "full_outer").select("gid", F.coalesce("root", "gid").alias("cluster")))
+    members = reliable(spread_join(sets, marks, ["gid"]).select("sid", "gid", "n", "text_hash", "cluster", "prefix"))
     cells = whole_sets(docs, members.select("sid", "text_hash"), text_col, width)
-    roots = components(links_in_clusters(members.select("cluster", "sid", "n"), cells, num, den))
+    roots = components(links_in_clusters(members.drop("text_hash"), cells, num, den))
 
     base = sets.select("sid", "least_id").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least_id", F.coalesce("root", "sid").alias("root"))
     ids = base.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = base.join(ids, "root").select("sid", "component_id")
-    rows = each.select("id", "n", "sid").join(named, "sid", "left")
+    named = reliable(base.join(ids, "root").select("sid", "component_id"))
+    rows = spread_join(each.select("id", "n", "sid"), named, ["sid"], "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

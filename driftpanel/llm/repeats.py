@@ -3,16 +3,21 @@
 Every string of ``length`` bytes holds a *seed*, the ``seed_bytes(length)``-byte string in it of the least hash
 (the leftmost of equals), so that equal strings have equal seeds at equal places. One seed stands
 for a run of windows; its context is those windows' bytes. Only seeds that occur more than once go
-on. Contexts that are equal as a whole are counted and need no text. Of the rest, the suffixes that
-start at a seed are sorted into an enhanced suffix array, its stack scan gives the common-prefix
-intervals, and in each interval the bytes before the seed are tested: members that differ there
-form a maximal repeat with all its occurrences, and if left and right extents reach ``length`` they
-are repeated bytes. Seeds with more than ``MAX_CONTEXTS`` different contexts are never gathered:
-their windows are counted by hash across the cluster, which gives the same bytes.
-
-Texts are UTF-8 bytes; matches never cross documents. Null texts are empty. Repeated rows repeat
-each other; null ids stay null; other columns are ignored; an empty table gives no rows. Documents
-are recognised by a 64-bit hash of the text and its length.
+on, and of contexts that are equal as a whole one goes on for all of them (a seed with one context
+is a tree of one leaf, which needs no bytes). The suffixes that start at a seed are sorted into an
+enhanced suffix array, its stack scan gives the common-prefix intervals, and in each interval the
+bytes before the seed are tested: members that differ there form a maximal repeat with all its
+occurrences, and if left and right extents reach ``length`` they are repeated bytes.
+
+A seed with more than ``MAX_CONTEXTS`` different contexts is no task's work. A string of ``length``
+bytes around it goes on by half of what is missing at least, to the right or to the left: the seed's
+group is dealt into groups of equal longer *cores*, either way, until each is small enough to be
+scanned or the core has ``length`` bytes, when all its members are repeats. Keys that hold many rows
+are joined by broadcast of at most a thousand keys (``common.spread_join``).
+
+Texts are UTF-8 bytes of any length, worked on whole; matches never cross documents. Null texts are
+empty. Repeated rows repeat each other; null ids stay null; other columns are carried along; an
+empty table gives no rows. Documents are recognised by a 64-bit hash of the text and its length.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_filter, reliable, slices, written
+from .common import free_names, hash_filter, reliable, slices, spread_join, written
 
 BLOCK = 2 << 20
 MAX_CONTEXTS = 5000
@@ -163,77 +168,100 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
 
     found = written(rows.mapInArrow(find, "key bigint, n_bytes bigint, p bigint, s bigint, e bigint, seed bigint, context bigint"), "seeds")
     often = found.groupBy("seed").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("varied")).filter("n > 1").drop("n")
-    candidates = reliable(found.join(often.repartition("seed"), "seed"))  # both sides by a shuffle of their own: Spark can split a hot seed
+    candidates = reliable(spread_join(found, often, ["seed"]))
     same = candidates.filter("not varied").select("key", "n_bytes", "s", "e")
 
     varied = candidates.filter("varied")
     each = reliable(varied.groupBy("seed", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "n_bytes", "p", "s", "e")).alias("r")))
-    sizes = each.groupBy("seed").agg(F.count("*").alias("contexts"))
-    copied = varied.join(each.filter("n > 1").select("seed", "context"), ["seed", "context"]).select("key", "n_bytes", "s", "e")
-    places = each.join(sizes, "seed").select("seed", "context", "contexts", "r.*")
+    copied = spread_join(varied, each.filter("n > 1").select("seed", "context"), ["seed", "context"]).select("key", "n_bytes", "s", "e")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BLOCK):
-                out = [[], [], [], [], []]
+                out = [[], [], [], []]
                 for text, at in zip(part.column("text").to_pylist(), part.column("at").to_pylist()):
                     data = text.encode()
                     for x in at:
-                        if x["n_bytes"] == len(data):
-                            for to, v in zip(out, (x["seed"], x["context"], x["contexts"], x["p"] - x["s"], data[x["s"] : x["e"]])):
-                                to.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["seed", "context", "contexts", "at", "bytes"])
-
-    keys = reliable(places.groupBy("key").agg(F.collect_list(F.struct("seed", "context", "contexts", "n_bytes", "p", "s", "e")).alias("at")))
-    texts = rows.filter(hash_filter(keys.select("key"), "key")(F.col("key")))
-    whole = texts.join(keys.repartition("key"), "key").select("text", "at").mapInArrow(cut, "seed bigint, context bigint, contexts bigint, at bigint, bytes binary")
-    whole = reliable(whole.dropDuplicates(["seed", "context"]))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by seed; a seed's are at most ``max_contexts``."""
-        rest = None
-        for batch in with_end(batches):
-            table = pa.Table.from_batches([batch]) if batch is not None else None
-            if rest is not None:
-                table = pa.concat_tables([rest, table]) if table is not None else rest
-            if table is None or not table.num_rows:
-                continue
-            seed = np.asarray(table.column("seed"))
-            ends = np.concatenate([np.flatnonzero(seed[1:] != seed[:-1]) + 1, [len(seed)]])
-            if batch is not None:  # the last seed may go on in the next batch
-                rest, ends = table.slice(int(ends[-2]) if len(ends) > 1 else 0), ends[:-1]
-            context, at, data = table.column("context").to_pylist(), table.column("at").to_pylist(), table.column("bytes").to_pylist()
-            out, start = [], 0
-            for end in ends.tolist():
-                for left, right, members in maximal_repeats(data[start:end], at[start:end], length):
-                    out += [(int(seed[start]), context[start + i], left, right) for i in members]
-                start = end
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["seed", "context", "left", "right"])
-
-    small = whole.filter(F.col("contexts") <= max_contexts).select("seed", "context", "at", "bytes").repartition("seed").sortWithinPartitions("seed")
-    extents = small.mapInArrow(scan, "seed bigint, context bigint, left bigint, right bigint")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "bytes", 64 << 10):
-                out = [np.empty(0, np.int64)] * 4
-                cells = part.column("bytes").to_pylist()
-                for i, data in enumerate(cells):
-                    starts = np.arange(len(data) - length + 1)
-                    at = part.column("at")[i].as_py()
-                    h = Hashes(np.frombuffer(data, np.uint8)).of(starts, starts + length)
-                    own = [np.full(len(starts), part.column(k)[i].as_py()) for k in ("seed", "context")]
-                    out = [np.concatenate([a, b]) for a, b in zip(out, [*own, starts - at, h.view(np.int64)])]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["seed", "context", "d", "w"])
-
-    each_window = whole.filter(F.col("contexts") > max_contexts).select("seed", "context", "at", "bytes").mapInArrow(windows, "seed bigint, context bigint, d bigint, w bigint")
-    twice = each_window.groupBy("seed", "d", "w").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    hot = each_window.join(twice, ["seed", "d", "w"]).select("seed", "context", (-F.col("d")).alias("left"), (F.col("d") + length).alias("right"))
-    partial = varied.join(extents.union(hot), ["seed", "context"]).select("key", "n_bytes", (F.col("p") - F.col("left")).alias("s"), (F.col("p") + F.col("right")).alias("e"))
+                        for to, v in zip(out, (x["seed"], x["context"], x["p"] - x["s"], data[x["s"] : x["e"]])):
+                            to.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["seed", "context", "at", "bytes"])
+
+    keys = reliable(each.select("seed", "context", "r.*").groupBy("key", "n_bytes").agg(F.collect_list(F.struct("seed", "context", "p", "s", "e")).alias("at")))
+    texts = rows.filter(hash_filter(keys.select("key"), "key")(F.col("key"))).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    one = texts.dropDuplicates(["key", "n_bytes"])  # of copies of a text one is sent by each task
+    whole = reliable(one.join(keys, ["key", "n_bytes"]).select("text", "at").mapInArrow(cut, "seed bigint, context bigint, at bigint, bytes binary"))
+
+    groups = extended(whole, length, max_contexts)
+    scanned = groups.filter("not equal").repartition("grp").sortWithinPartitions("grp").mapInArrow(functools.partial(scan, length=length), "seed bigint, context bigint, left bigint, right bigint")
+    extents = scanned.union(groups.filter("equal").select("seed", "context", "a", "b"))
+    partial = spread_join(varied, extents, ["seed", "context"]).select("key", "n_bytes", (F.col("p") - F.col("left")).alias("s"), (F.col("p") + F.col("right")).alias("e"))
     spans = same.union(copied).union(partial)
     return spans.groupBy("key", "n_bytes").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
+GROUPED = "grp bigint, seed bigint, context bigint, at bigint, bytes binary, a bigint, b bigint"
+
+
+def extended(whole: DataFrame, length: int, max_contexts: int) -> DataFrame:
+    """``whole`` (seed, context, at, bytes) with grp, a, b and equal. Members of a grp agree from
+    ``a`` bytes before the seed's place to ``b`` bytes after; any two that share a string of
+    ``length`` bytes around the seed have a grp in common. A grp has at most ``max_contexts`` members, or
+    is equal: its core is ``length`` bytes long."""
+    size = seed_bytes(length)
+    rest = length - size
+    pending = whole.select(F.col("seed").alias("grp"), "*", F.lit(0).cast("bigint").alias("a"), F.lit(size).cast("bigint").alias("b"))
+    ready = None
+    while True:
+        large = pending.groupBy("grp").agg(F.count("*").alias("m")).filter(F.col("m") > max_contexts).select("grp", F.lit(True).alias("many"))
+        if large.isEmpty():
+            small = pending.withColumn("equal", F.lit(False))
+            return small if ready is None else ready.unionByName(small)
+        marked = reliable(spread_join(pending, reliable(large), ["grp"], "left"))
+        done = marked.filter("many is null" if rest else "true").select(*pending.columns, F.coalesce("many", F.lit(False)).alias("equal"))
+        ready = done if ready is None else ready.unionByName(done)
+        if not rest:
+            return ready
+        step = -(-rest // 2)
+        rest -= step
+        pending = reliable(marked.filter("many").select(*pending.columns).mapInArrow(functools.partial(longer, step=step), GROUPED))
+
+
+def longer(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """Each row with its core longer by ``step`` bytes, to the right and to the left, as far as its
+    bytes go."""
+    for batch in batches:
+        out: list[tuple] = []
+        for seed, context, at, data, a, b in zip(*(batch.column(c).to_pylist() for c in ("seed", "context", "at", "bytes", "a", "b"))):
+            for x, y in ((a, b + step), (a + step, b)):
+                if x <= at and at + y <= len(data):
+                    grp = xxhash.xxh64_intdigest(data[at - x : at + y], x) - (1 << 63)
+                    out.append((grp, seed, context, at, data, x, y))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["grp", "seed", "context", "at", "bytes", "a", "b"])
+
+
+def scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The extents of each grp's members in maximal repeats. Rows come sorted by grp."""
+    rest = None
+    for batch in with_end(batches):
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        if rest is not None:
+            table = pa.concat_tables([rest, table]) if table is not None else rest
+        if table is None or not table.num_rows:
+            continue
+        grp = np.asarray(table.column("grp"))
+        ends = np.concatenate([np.flatnonzero(grp[1:] != grp[:-1]) + 1, [len(grp)]])
+        if batch is not None:  # the last group may go on in the next batch
+            rest, ends = table.slice(int(ends[-2]) if len(ends) > 1 else 0), ends[:-1]
+        seed, context, at, data = (table.column(c).to_pylist() for c in ("seed", "context", "at", "bytes"))
+        out, start = [], 0
+        for end in ends.tolist():
+            for left, right, members in maximal_repeats(data[start:end], at[start:end], length):
+                out += [(seed[start], context[start + i], left, right) for i in members]
+            start = end
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["seed", "context", "left", "right"])
+
+
 def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -257,13 +285,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     ``whole_characters`` leaves characters whole that a span would cut: it removes only those that
     lie inside. Columns of ``docs`` named like an output are replaced.
     """
-    spark = docs.sparkSession
     spans = reliable(repeated_spans(docs, length=length, text_col=text_col, max_contexts=max_contexts))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    keyed = docs.withColumns({"_key": F.xxhash64(text), "n_bytes": F.octet_length(text).cast("bigint")})
-    own = spans.select(F.col("key").alias("_key"), "n_bytes", F.col("spans").alias("_spans")).repartition("_key", "n_bytes")
-    maybe = keyed.withColumn("_maybe", hash_filter(spans.select("key"), "key")(F.col("_key")))
+    key, maybe_, spans_, r = free_names(docs, "_key", "_maybe", "_spans", "_r")
+    keyed = docs.withColumns({key: F.xxhash64(text), "n_bytes": F.octet_length(text).cast("bigint")})
+    own = spans.select(F.col("key").alias(key), "n_bytes", F.col("spans").alias(spans_))
+    maybe = keyed.withColumn(maybe_, hash_filter(spans.select("key"), "key")(F.col(key)))
 
     @F.pandas_udf("n_removed long, n_spans long, kept binary")
     def strip(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
@@ -278,11 +306,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text"
             out.append((sum(b - a for a, b in removed), len(removed), b"".join([*parts, data[at:]])))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
-    hit = maybe.filter("_maybe").join(own, ["_key", "n_bytes"], "left")
-    stripped = hit.withColumn("_r", strip(text, F.coalesce("_spans", F.array().cast("array<struct<s:bigint,e:bigint>>"))))
+    hit = spread_join(maybe.filter(F.col(maybe_)), own, [key, "n_bytes"], "left")
+    stripped = hit.withColumn(r, strip(text, F.coalesce(spans_, F.array().cast("array<struct<s:bigint,e:bigint>>"))))
     columns = [*[F.col(f"`{c}`") for c in docs.columns], F.col("n_bytes")]
     none = [F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), text.cast("binary").alias("kept")]
-    return stripped.select(*columns, "_r.n_removed", "_r.n_spans", "_r.kept").union(maybe.filter("not _maybe").select(*columns, *none))
+    return stripped.select(*columns, *[F.col(r)[c].alias(c) for c in ("n_removed", "n_spans", "kept")]).union(maybe.filter(~F.col(maybe_)).select(*columns, *none))
 
 
 #: Letters of scripts that are written without blanks: each counts as a word.
@@ -318,21 +346,22 @@ def remove_passages(docs: DataFrame, *, words: int = 51, text_col: str = "text")
     spans are narrowed to whole words. Columns of ``docs`` named like an output are replaced.
     """
     docs = docs.drop("n_removed", "kept")
+    codes_, key, size, maybe_, spans_, r = free_names(docs, "_codes", "_key", "_bytes", "_maybe", "_spans", "_r")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
             for part in slices(batch, text_col, BLOCK):
                 cells = pa.array([codes.of(x or "") for x in part.column(text_col).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, cells], names=[*part.schema.names, "_codes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, cells], names=[*part.schema.names, codes_])
 
     typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    schema = T.StructType([*typed.schema.fields, T.StructField("_codes", T.StringType())])
+    schema = T.StructType([*typed.schema.fields, T.StructField(codes_, T.StringType())])
     keyed = typed.mapInArrow(code, schema)
-    spans = reliable(repeated_spans(typed.select(text_col).mapInArrow(code, T.StructType([typed.schema[text_col], schema["_codes"]])), length=words * CODE, text_col="_codes"))
-    keyed = keyed.withColumns({"_key": F.xxhash64("_codes"), "_bytes": F.octet_length("_codes").cast("bigint")}).drop("_codes")
-    own = spans.select(F.col("key").alias("_key"), F.col("n_bytes").alias("_bytes"), F.col("spans").alias("_spans")).repartition("_key", "_bytes")
-    maybe = keyed.withColumn("_maybe", hash_filter(spans.select("key"), "key")(F.col("_key")))
+    spans = reliable(repeated_spans(typed.select(text_col).mapInArrow(code, T.StructType([typed.schema[text_col], schema[codes_]])), length=words * CODE, text_col=codes_))
+    keyed = keyed.withColumns({key: F.xxhash64(codes_), size: F.octet_length(codes_).cast("bigint")}).drop(codes_)
+    own = spans.select(F.col("key").alias(key), F.col("n_bytes").alias(size), F.col("spans").alias(spans_))
+    maybe = keyed.withColumn(maybe_, hash_filter(spans.select("key"), "key")(F.col(key)))
 
     @F.pandas_udf("n_removed long, kept string")
     def strip(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
@@ -349,10 +378,10 @@ def remove_passages(docs: DataFrame, *, words: int = 51, text_col: str = "text")
         return pd.DataFrame(out, columns=["n_removed", "kept"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hit = maybe.filter("_maybe").join(own, ["_key", "_bytes"], "left")
-    stripped = hit.withColumn("_r", strip(text, F.coalesce("_spans", F.array().cast("array<struct<s:bigint,e:bigint>>"))))
+    hit = reliable(maybe.filter(F.col(maybe_)))
+    stripped = spread_join(hit, own, [key, size], "left").withColumn(r, strip(text, F.coalesce(spans_, F.array().cast("array<struct<s:bigint,e:bigint>>"))))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return stripped.select(*columns, "_r.n_removed", "_r.kept").union(maybe.filter("not _maybe").select(*columns, F.lit(0).cast("bigint").alias("n_removed"), text.alias("kept")))
+    return stripped.select(*columns, F.col(r)["n_removed"].alias("n_removed"), F.col(r)["kept"].alias("kept")).union(maybe.filter(~F.col(maybe_)).select(*columns, F.lit(0).cast("bigint").alias("n_removed"), text.alias("kept")))
 
 
 def inner(data: bytes, a: int, b: int) -> tuple[int, int]:
