@@ -9,8 +9,9 @@ licence by an ordered sequence of identifiers that must follow one another among
 of a text. A match inside a longer one is dropped. All of it happens within the row: nothing is
 shuffled.
 
-Null and empty texts, and texts without a known sentence, give no rows. Repeated rows each give
-their matches; other columns are ignored; null ids stay null.
+Null and empty texts, and texts without a known sentence, give no rows; texts of any length are
+read whole. Repeated rows each give their matches; of rules that match the same sentences each gives
+a row; other columns are ignored, whatever their names; null ids stay null.
 """
 
 from __future__ import annotations
@@ -35,19 +36,41 @@ SENTENCES: dict[str, str] = {
     "mit-title": "The MIT License",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-keep": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3",
     "gpl2-notice": "This work is licensed under the GNU General Public License, version 2",
     "gpl-free": "This program is free software",
     "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+    "gpl-published": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl2-either": "either version 2 of the License, or (at your option) any later version",
+    "gpl3-either": "either version 3 of the License, or (at your option) any later version",
+    "agpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-free": "This library is free software",
+    "lgpl-published": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl21-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl21-either": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "lgpl3-notice": "This work is licensed under the GNU Lesser General Public License, version 3",
     "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "mpl2-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense-public": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "epl2-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "cc-by-4": "Licensed under CC BY 4.0",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0",
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0",
@@ -64,14 +87,33 @@ RULES: dict[str, tuple[str, tuple[str, ...]]] = {
     "mit-notice": ("MIT", ("mit-notice",)),
     "mit-licensed": ("MIT", ("mit-licensed",)),
     "mit-text": ("MIT", ("mit-grant", "mit-keep")),
+    "mit-whole": ("MIT", ("mit-grant", "mit-keep", "mit-as-is", "mit-liability")),
+    "mit-titled-whole": ("MIT", ("mit-title", "mit-grant", "mit-keep", "mit-as-is", "mit-liability")),
     "mit-titled-text": ("MIT", ("mit-title", "mit-grant", "mit-keep")),
     "gpl3-notice": ("GPL-3.0", ("gpl3-notice",)),
     "gpl2-notice": ("GPL-2.0", ("gpl2-notice",)),
     "gpl3-header": ("GPL-3.0-or-later", ("gpl-free", "gpl3-terms", "gpl-hope")),
     "gpl2-header": ("GPL-2.0-or-later", ("gpl-free", "gpl2-terms", "gpl-hope")),
+    "gpl3-header-parted": ("GPL-3.0-or-later", ("gpl-free", "gpl-published", "gpl3-either", "gpl-hope")),
+    "gpl2-header-parted": ("GPL-2.0-or-later", ("gpl-free", "gpl-published", "gpl2-either", "gpl-hope")),
+    "agpl3-header": ("AGPL-3.0-or-later", ("gpl-free", "agpl3-terms", "gpl-hope")),
+    "lgpl21-header": ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-terms", "lgpl-hope")),
+    "lgpl21-header-parted": ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-published", "lgpl21-either", "lgpl-hope")),
+    "lgpl3-header": ("LGPL-3.0-or-later", ("lgpl-free", "lgpl3-terms", "lgpl-hope")),
+    "lgpl3-header-parted": ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-published", "gpl3-either", "lgpl-hope")),
     "lgpl3-notice": ("LGPL-3.0", ("lgpl3-notice",)),
     "mpl2-form": ("MPL-2.0", ("mpl2-form",)),
     "bsd-text": ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    "bsd3-text": ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    "bsd2-whole": ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
+    "bsd3-whole": ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    "zlib-text": ("Zlib", ("zlib-as-is", "zlib-grant")),
+    "boost-text": ("BSL-1.0", ("boost-grant",)),
+    "boost-notice": ("BSL-1.0", ("boost-notice",)),
+    "mpl2-header": ("MPL-2.0", ("mpl2-form", "mpl2-copy")),
+    "mpl2-header-https": ("MPL-2.0", ("mpl2-form", "mpl2-copy-https")),
+    "epl2-header": ("EPL-2.0", ("epl2-grant",)),
+    "unlicense-text": ("Unlicense", ("unlicense-public", "unlicense-anyone")),
     "isc-text": ("ISC", ("isc-grant",)),
     "unlicense": ("Unlicense", ("unlicense-public",)),
     "cc-by-4": ("CC-BY-4.0", ("cc-by-4",)),

@@ -55,7 +55,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judge(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = rules.judge(tables(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 
 

@@ -6,9 +6,13 @@ votes on a good document says keep, and how often on a bad one it says reject. A
 if the posterior probability that it is good is at least one half. The patterns are at most
 3 ** rules, whatever the number of documents, so the estimation is one expression over one row.
 
-Null texts have no words. Repeated rows, ties and null ids are scored one by one; other columns
-pass through untouched, but for those named like an output, which are replaced. An empty table
-gives no rows.
+Counts, votes and the other columns are written once to the shared folder; estimation and verdict
+read them there.
+
+Null texts have no words; texts of any length are counted whole. Repeated rows and null ids are
+scored one by one; a posterior of exactly one half keeps. Other columns pass through untouched,
+whatever their names, but for those named like an output, which are replaced. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import free_names, once, written
 
 WINDOW = 5
 ROUNDS = 25
@@ -37,33 +41,34 @@ BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts of STATS, bigint, from the whole text."""
+    w, lines, h, g, s_, p = free_names(docs, "_w", "_lines", "_h", "_g", "_s", "_p")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     spaces = r"[\x20\x09-\x0D]+"
     one = docs.withColumns({
-        "_w": once(F.array_remove(F.split(text, spaces), "")),
-        "_lines": once(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
+        w: once(F.array_remove(F.split(text, spaces), "")),
+        lines: once(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
         "word_chars": F.length(F.regexp_replace(text, spaces, "")).cast("bigint"),
         "n_letters": F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("bigint"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint"),
     })
     two = one.withColumns({
-        "n_words": F.size("_w").cast("bigint"),
-        "_h": once(F.transform("_w", lambda x: F.xxhash64(x))),
-        "n_lines": F.size("_lines").cast("bigint"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-    }).drop("_w", "_lines")
-    last = F.size("_h") - WINDOW
-    window = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WINDOW)]))
-    three = two.withColumn("_g", once(F.when(last >= 0, window).otherwise(F.array().cast("array<bigint>")))).drop("_h")
+        "n_words": F.size(w).cast("bigint"),
+        h: once(F.transform(w, lambda x: F.xxhash64(x))),
+        "n_lines": F.size(lines).cast("bigint"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
+    }).drop(w, lines)
+    last = F.size(h) - WINDOW
+    window = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    three = two.withColumn(g, once(F.when(last >= 0, window).otherwise(F.array().cast("array<bigint>")))).drop(h)
     # Only a text with some window twice needs its positions.
-    four = three.withColumn("_s", once(F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.array_sort(F.transform("_g", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))).drop("_g")
-    twice = F.filter("_s", lambda s, k: (s["h"].eqNullSafe(F.get("_s", k - 1)["h"])) | (s["h"].eqNullSafe(F.get("_s", k + 1)["h"])))
-    five = four.withColumn("_p", once(F.array_sort(F.transform(twice, lambda s: s["i"])))).drop("_s")
+    four = three.withColumn(s_, once(F.when(F.size(F.array_distinct(g)) < F.size(g), F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))).drop(g)
+    twice = F.filter(s_, lambda s, k: (s["h"].eqNullSafe(F.get(s_, k - 1)["h"])) | (s["h"].eqNullSafe(F.get(s_, k + 1)["h"])))
+    five = four.withColumn(p, once(F.array_sort(F.transform(twice, lambda s: s["i"])))).drop(s_)
     covered = F.aggregate(
-        "_p", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
+        p, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"],
     )
-    return five.withColumn("n_repeat_words", once(F.coalesce(covered, F.lit(0)).cast("bigint"))).drop("_p")
+    return five.withColumn("n_repeat_words", once(F.coalesce(covered, F.lit(0)).cast("bigint"))).drop(p)
 
 
 def votes() -> str:
@@ -94,13 +99,16 @@ def estimates(patterns: DataFrame) -> DataFrame:
     return fitted.selectExpr(f"inline({weighed})").select(F.col("v").alias("votes"), F.round("w", 6).alias("posterior"))
 
 
-def judge(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with STATS, votes, posterior (of a good document), base_failed and kept."""
+def judge(docs: DataFrame, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with STATS, votes, posterior (of a good document), base_failed and kept; without its
+    text column if ``keep_text`` is false."""
     scored = text_stats(docs, text_col).withColumn("votes", F.expr(votes())).withColumn("base_failed", F.expr(BASE_FAILED))
+    scored = written(scored if keep_text else scored.drop(text_col), "votes")
     patterns = scored.groupBy("votes").agg(F.count("*").alias("n"))
     # One row for each pattern that occurs: at most 3 ** len(RULES).
-    known = F.broadcast(estimates(patterns).withColumnRenamed("votes", "_votes"))
-    out = scored.join(known, scored["votes"] == known["_votes"]).drop("_votes")
+    (own,) = free_names(scored, "_votes")
+    known = F.broadcast(estimates(patterns).withColumnRenamed("votes", own))
+    out = scored.drop("posterior", "kept").join(known, scored["votes"] == known[own]).drop(own)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
