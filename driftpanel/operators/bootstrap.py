@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.cache import Store
+
 
 def checked(block_size: int, n_paths: int, n_times: int | None = None, align: str = "inner", method: str = "block") -> None:
     if method != "block" or align != "inner":
@@ -39,7 +41,7 @@ def sequential_draws(spark: SparkSession, n_times: int, block_size: int, n_paths
 def resample(panel: DataFrame, draws: DataFrame, block_size: int) -> DataFrame:
     """``panel`` (time, time_idx, label, ret) along each path. Rows keep the calendar: the block's
     values stand at the next times of the history. Pass the same draws for assets and factors."""
-    times = F.broadcast(panel.select("time", "time_idx").distinct())
+    times = panel.select("time", "time_idx").distinct()
     each = draws.select("path", "block", "start", F.explode(F.sequence(F.lit(0), F.lit(block_size - 1))).alias("o"))
     moves = each.select("path", (F.col("block") * block_size + F.col("o")).alias("time_idx"), (F.col("start") + F.col("o")).alias("source_idx"))
     moves = moves.join(times, "time_idx")
@@ -58,5 +60,27 @@ def residual_paths(fits: DataFrame, factors: DataFrame, betas: DataFrame, draws:
     time_idx, asset, residual; ``betas`` asset, alpha, beta of one factor (time_idx, ret)."""
     drawn_e = resample(fits.select("time", "time_idx", "asset", F.col("residual").alias("ret")), draws, block_size)
     drawn_f = resample(factors, draws, block_size).select("path", "time_idx", F.col("ret").alias("f"))
-    rows = drawn_e.join(drawn_f, ["path", "time_idx"]).join(F.broadcast(betas), "asset")
+    rows = drawn_e.join(drawn_f, ["path", "time_idx"]).join(betas, "asset")
     return rows.select("path", "time", "time_idx", "asset", (F.col("alpha") + F.col("beta") * F.col("f") + F.col("ret")).alias("ret"))
+
+
+def paths(assets: DataFrame, factors: DataFrame, block_size: int, n_paths: int, seed: int | None, store: Store | None = None, source: str = "") -> tuple[DataFrame, DataFrame]:
+    """Assets and factors along paths of common draws. With a ``store`` and a seed the draws' rows are
+    kept and read again; ``source`` names the panels that they come from. Without a seed each call
+    draws anew."""
+    if seed is None:
+        seed = int(np.random.default_rng().integers(1 << 31))
+        store = None
+    draws = hashed_draws(assets, block_size, n_paths, seed)
+    out = []
+    for panel, label in ((assets, "asset"), (factors, "factor")):
+        make = lambda panel=panel: resample(panel, draws, block_size)
+        if store is None:
+            out.append(make())
+            continue
+        name = Store.name(f"{label}-paths", {"source": source, "block": block_size, "paths": n_paths, "seed": seed})
+        kept = store.fetch(name, make)
+        if not {"path", "time", "time_idx", label, "ret"} <= set(kept.columns):
+            raise ValueError(f"{store.path(name)} holds no {label} paths")
+        out.append(kept)
+    return out[0], out[1]

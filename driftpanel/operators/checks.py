@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 def check_panel(df: DataFrame, label: str) -> None:
     """time, ``label`` and ret must be there, with at least one row."""
-    missing = {"time", label, "ret"} - set(df.columns)
-    if missing:
-        raise ValueError(f"columns are missing: {sorted(missing)}")
+    check_columns(df, label, "time")
     if df.limit(1).count() == 0:
         raise ValueError("the panel is empty")
 
 
+def check_columns(df: DataFrame, label: str, *more: str) -> None:
+    if missing := {label, "ret", *more} - set(df.columns):
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+
+
 def panel_counts(df: DataFrame, label: str) -> DataFrame:
     """By label: rows, distinct times, and steps back in time by time_idx (0 in a sound panel)."""
     back = F.lag("time").over(W.partitionBy(label).orderBy("time_idx")) > F.col("time")
@@ -34,12 +37,22 @@ def variance_identity(fits: DataFrame, tolerance: float = 1e-2) -> DataFrame:
 
 
 def decomposition_identity(fits: DataFrame, tolerance: float = 1e-10) -> DataFrame:
-    """Largest |ret - fitted - residual| and |fitted - (alpha + beta f)| by asset; 0 if none."""
+    """Largest |ret - fitted - residual| and |fitted - (alpha + sum of beta_k f_k)| by asset, of as
+    many columns b1, f1, ... as there are; 0 if none."""
+    k = sum(c.startswith("b") and c[1:].isdigit() for c in fits.columns)
+    model = sum((F.col(f"b{i}") * F.col(f"f{i}") for i in range(1, k + 1)), F.col("alpha"))
     one = F.coalesce(F.max(F.abs(F.col("ret") - F.col("fitted") - F.col("residual"))), F.lit(0.0))
-    two = F.coalesce(F.max(F.abs(F.col("fitted") - (F.col("alpha") + F.col("b1") * F.col("f1")))), F.lit(0.0))
+    two = F.coalesce(F.max(F.abs(F.col("fitted") - model)), F.lit(0.0))
     return fits.groupBy("asset").agg(one.alias("reconstruction"), two.alias("fit")).select("asset", (F.col("reconstruction") < tolerance).alias("reconstruction_ok"), (F.col("fit") < tolerance).alias("fit_ok"))
 
 
+def finite(cov: DataFrame, value: str = "cov") -> DataFrame:
+    """``cov``, checked: a missing or infinite value fails when it is met."""
+    x = F.col(value)
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return cov.withColumn(value, F.when(~bad, x).otherwise(F.raise_error(F.lit(f"{value} is not finite")).cast("double")))
+
+
 def missing_labels(df: DataFrame, label: str, names: list[str]) -> list[str]:
     """Those of ``names`` (a short list of the caller's) that the panel lacks."""
     found = {r[0] for r in df.filter(F.col(label).isin(names)).select(label).distinct().collect()}

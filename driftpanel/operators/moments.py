@@ -9,18 +9,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _weight(halflife: float) -> Column:
-    """Of the recursion with alpha = 1 - exp(-ln 2 / halflife) that starts at the first value."""
-    a = 1 - math.exp(-math.log(2) / halflife)
-    last = F.col("n") - 1
-    return F.when(F.col("time_idx") == 0, F.pow(F.lit(1 - a), last)).otherwise(F.lit(a) * F.pow(F.lit(1 - a), last - F.col("time_idx")))
+def _keys(df: DataFrame, *names: str) -> list[str]:
+    return [c for c in ("path", *names) if c in df.columns]
 
 
-def _weighted(returns: DataFrame, halflife: float) -> DataFrame:
+def _weighted(rows: DataFrame, halflife: float) -> DataFrame:
+    """Rows with w, the weights of the recursion with alpha = 1 - exp(-ln 2 / halflife) that starts
+    at the first time of each path."""
     if halflife is None or halflife <= 0:
         raise ValueError("halflife must be positive")
-    n = F.broadcast(returns.agg((F.max("time_idx") + 1).alias("n")))
-    return returns.join(n, F.col("time_idx") < F.col("n")).withColumn("w", _weight(halflife))
+    a, keys = 1 - math.exp(-math.log(2) / halflife), _keys(rows)
+    ends = rows.groupBy(*keys).agg(F.min("time_idx").alias("_first"), F.max("time_idx").alias("_last"))
+    known = rows.join(ends, keys) if keys else rows.join(ends, F.col("time_idx") <= F.col("_last"))
+    age = F.pow(F.lit(1 - a), F.col("_last") - F.col("time_idx"))
+    return known.withColumn("w", F.when(F.col("time_idx") == F.col("_first"), age).otherwise(a * age)).drop("_first", "_last")
+
+
+def mean_of(rows: DataFrame, label: str, value: str = "ret", halflife: float | None = None) -> DataFrame:
+    """(path,) ``label``, m: the mean, exponentially weighted if ``halflife`` is given."""
+    keys = _keys(rows, label)
+    if halflife is None:
+        return rows.groupBy(*keys).agg(F.avg(value).alias("m"))
+    return _weighted(rows.filter(F.col(value).isNotNull()), halflife).groupBy(*keys).agg(F.sum(F.col("w") * F.col(value)).alias("m"))
+
+
+def variance_of(rows: DataFrame, label: str, value: str = "ret", halflife: float | None = None) -> DataFrame:
+    """(path,) ``label``, v: the variance, exponentially weighted if ``halflife`` is given."""
+    keys = _keys(rows, label)
+    if halflife is None:
+        return rows.groupBy(*keys).agg(F.var_samp(value).alias("v"))
+    w, x = F.col("w"), F.col(value)
+    sums = _weighted(rows.filter(x.isNotNull()), halflife).groupBy(*keys).agg(F.sum(w * x).alias("m"), F.sum(w * x * x).alias("xx"), F.sum(w * w).alias("ww"))
+    return sums.select(*keys, F.try_divide(F.col("xx") - F.col("m") * F.col("m"), 1 - F.col("ww")).alias("v"))
+
+
+def factor_cov(factors: DataFrame, halflife: float | None = None) -> DataFrame:
+    """(path,) factor, factor_p, cov, exponentially weighted if ``halflife`` is given."""
+    keys = _keys(factors)
+    rows = factors if halflife is None else _weighted(factors, halflife)
+    left = rows.select(*keys, "time_idx", "factor", F.col("ret").alias("x"), *(["w"] if halflife else []))
+    right = factors.select(*keys, "time_idx", F.col("factor").alias("factor_p"), F.col("ret").alias("y"))
+    pairs = left.join(right, [*keys, "time_idx"]).groupBy(*keys, "factor", "factor_p")
+    if halflife is None:
+        return pairs.agg(F.covar_samp("x", "y").alias("cov"))
+    w, x, y = F.col("w"), F.col("x"), F.col("y")
+    sums = pairs.agg(F.sum(w * x).alias("mx"), F.sum(w * y).alias("my"), F.sum(w * x * y).alias("xy"), F.sum(w * w).alias("ww"))
+    return sums.select(*keys, "factor", "factor_p", ((F.col("xy") - F.col("mx") * F.col("my")) / (1 - F.col("ww"))).alias("cov"))
 
 
 def mean_hist(returns: DataFrame) -> DataFrame:
@@ -51,7 +85,7 @@ def cov_hist(returns: DataFrame) -> DataFrame:
 
 def cov_ewma(returns: DataFrame, halflife: float) -> DataFrame:
     w = _weighted(returns, halflife).select("time_idx", "w").distinct()
-    pairs = _pairs(returns).join(F.broadcast(w), "time_idx")
+    pairs = _pairs(returns).join(w, "time_idx")
     sums = pairs.groupBy("asset_i", "asset_j").agg(
         F.sum(F.col("w") * F.col("x")).alias("mx"), F.sum(F.col("w") * F.col("y")).alias("my"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("w") * F.col("w")).alias("ww")
     )
@@ -67,45 +101,54 @@ def _checked(shrinkage: float, target: str, targets: tuple[str, ...]) -> None:
 
 def shrink_mean(mu: DataFrame, shrinkage: float, target: str = "grand_mean") -> DataFrame:
     _checked(shrinkage, target, ("zero", "grand_mean"))
-    to = F.lit(0.0) if target == "zero" else F.avg("mu").over(W.partitionBy(F.lit(0)))
-    return mu.select("asset", ((1 - shrinkage) * F.col("mu") + shrinkage * to).alias("mu"))
+    keys = _keys(mu)
+    if target == "zero":
+        return mu.select(*keys, "asset", ((1 - shrinkage) * F.col("mu")).alias("mu"))
+    mean = mu.groupBy(*keys).agg(F.avg("mu").alias("_mean"))
+    both = mu.join(mean, keys) if keys else mu.crossJoin(mean)  # one row
+    return both.select(*keys, "asset", ((1 - shrinkage) * F.col("mu") + shrinkage * F.col("_mean")).alias("mu"))
 
 
 def shrink_cov(cov: DataFrame, shrinkage: float, target: str = "diagonal") -> DataFrame:
     _checked(shrinkage, target, ("diagonal", "identity"))
-    own = F.col("asset_i") == F.col("asset_j")
+    own, keys = F.col("asset_i") == F.col("asset_j"), _keys(cov)
     if target == "diagonal":
         to = F.when(own, F.col("cov")).otherwise(0.0)
     else:
-        mean = F.broadcast(cov.filter(own).agg(F.avg("cov").alias("mean")))
-        cov = cov.join(mean, F.col("mean").isNotNull())
-        to = F.when(own, F.col("mean")).otherwise(0.0)
-    return cov.select("asset_i", "asset_j", ((1 - shrinkage) * F.col("cov") + shrinkage * to).alias("cov"))
+        mean = cov.filter(own).groupBy(*keys).agg(F.avg("cov").alias("_mean"))
+        cov = cov.join(mean, keys) if keys else cov.crossJoin(mean)  # one row
+        to = F.when(own, F.col("_mean")).otherwise(0.0)
+    return cov.select(*keys, "asset_i", "asset_j", ((1 - shrinkage) * F.col("cov") + shrinkage * to).alias("cov"))
 
 
 def stabilized(cov: DataFrame, ridge: float = 1e-8) -> DataFrame:
-    """Symmetric, with the ridge on the diagonal."""
-    other = cov.select(F.col("asset_i").alias("asset_j"), F.col("asset_j").alias("asset_i"), F.col("cov").alias("t"))
-    return cov.join(other, ["asset_i", "asset_j"]).select(
-        "asset_i", "asset_j", (0.5 * (F.col("cov") + F.col("t")) + F.when(F.col("asset_i") == F.col("asset_j"), ridge).otherwise(0.0)).alias("cov")
-    )
-
-
-def mean_factor_model(betas: DataFrame, factors: DataFrame, fits: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """B mean(f) + mean(residual) + alpha; missing residual means and alphas are 0."""
-    f = F.broadcast(factors.groupBy("factor").agg(F.avg("ret").alias("m")))
-    systematic = betas.join(f, "factor").groupBy("asset").agg(F.sum(F.col("beta") * F.col("m")).alias("s"))
-    rest = fits.groupBy("asset").agg(F.avg("residual").alias("e"))
-    rows = systematic.join(rest, "asset", "left").join(coefficients.select("asset", "alpha"), "asset", "left")
-    return rows.select("asset", (F.col("s") + F.coalesce("e", F.lit(0.0)) + F.coalesce("alpha", F.lit(0.0))).alias("mu"))
-
-
-def cov_factor_model(betas: DataFrame, covariance: DataFrame, fits: DataFrame) -> DataFrame:
-    """B Sigma B' + diag(var(residual)); a missing residual variance is 0."""
-    i = betas.select(F.col("asset").alias("asset_i"), "factor", F.col("beta").alias("bi"))
-    j = betas.select(F.col("asset").alias("asset_j"), F.col("factor").alias("factor_p"), F.col("beta").alias("bj"))
-    half = i.join(F.broadcast(covariance), "factor").groupBy("asset_i", "factor_p").agg(F.sum(F.col("bi") * F.col("cov")).alias("bs"))
-    systematic = half.join(j, "factor_p").groupBy("asset_i", "asset_j").agg(F.sum(F.col("bs") * F.col("bj")).alias("s"))
-    own = F.broadcast(fits.groupBy("asset").agg(F.coalesce(F.var_samp("residual"), F.lit(0.0)).alias("d")))
-    rows = systematic.join(own, F.col("asset_i") == F.col("asset"), "left")
-    return rows.select("asset_i", "asset_j", (F.col("s") + F.when(F.col("asset_i") == F.col("asset_j"), F.coalesce("d", F.lit(0.0))).otherwise(0.0)).alias("cov"))
+    """Symmetric, with the ridge on the diagonal; pairs that stand in one order only are left out."""
+    keys, half = _keys(cov), F.col("cov") * 0.5
+    sides = F.array(*[F.struct(F.col(i).alias("asset_i"), F.col(j).alias("asset_j"), half.alias("half")) for i, j in (("asset_i", "asset_j"), ("asset_j", "asset_i"))])
+    each = cov.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
+    both = each.groupBy(*keys, "asset_i", "asset_j").agg(F.sum("half").alias("cov"), F.count("*").alias("n")).filter("n = 2")
+    return both.select(*keys, "asset_i", "asset_j", (F.col("cov") + F.when(F.col("asset_i") == F.col("asset_j"), ridge).otherwise(0.0)).alias("cov"))
+
+
+def mean_factor_model(betas: DataFrame, factors: DataFrame, fits: DataFrame, coefficients: DataFrame, halflife: float | None = None) -> DataFrame:
+    """B mean(f) + mean(residual) + alpha, by path if there is one; missing residual means and alphas
+    are 0. ``betas`` is long (``risk.long_betas``, ``risk.array_betas``)."""
+    keys = _keys(betas)
+    f = mean_of(factors, "factor", halflife=halflife)
+    systematic = betas.join(f, [*keys, "factor"]).groupBy(*keys, "asset").agg(F.sum(F.col("beta") * F.col("m")).alias("s"))
+    rest = mean_of(fits, "asset", "residual", halflife).withColumnRenamed("m", "e")
+    on = [*keys, "asset"]
+    rows = systematic.join(rest, on, "left").join(coefficients.select(*on, "alpha"), on, "left")
+    return rows.select(*on, (F.col("s") + F.coalesce("e", F.lit(0.0)) + F.coalesce("alpha", F.lit(0.0))).alias("mu"))
+
+
+def cov_factor_model(betas: DataFrame, covariance: DataFrame, fits: DataFrame, halflife: float | None = None) -> DataFrame:
+    """B Sigma B' + diag(var(residual)), by path if there is one; a missing residual variance is 0."""
+    keys = _keys(betas)
+    i = betas.select(*keys, F.col("asset").alias("asset_i"), "factor", F.col("beta").alias("bi"))
+    j = betas.select(*keys, F.col("asset").alias("asset_j"), F.col("factor").alias("factor_p"), F.col("beta").alias("bj"))
+    half = i.join(covariance, [*keys, "factor"]).groupBy(*keys, "asset_i", "factor_p").agg(F.sum(F.col("bi") * F.col("cov")).alias("bs"))
+    systematic = half.join(j, [*keys, "factor_p"]).groupBy(*keys, "asset_i", "asset_j").agg(F.sum(F.col("bs") * F.col("bj")).alias("s"))
+    own = variance_of(fits, "asset", "residual", halflife).select(*keys, F.col("asset").alias("asset_i"), F.col("asset").alias("asset_j"), F.col("v").alias("d"))
+    rows = systematic.join(own, [*keys, "asset_i", "asset_j"], "left")
+    return rows.select(*keys, "asset_i", "asset_j", (F.col("s") + F.coalesce("d", F.lit(0.0))).alias("cov"))

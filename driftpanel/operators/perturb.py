@@ -16,7 +16,7 @@ def noisy(returns: DataFrame, scale: float, seed: int, label: str = "asset") ->
 
 def volatility_regime(returns: DataFrame, factor: float, start: str, end: str, label: str = "asset") -> DataFrame:
     """Returns from ``start`` to ``end`` spread about each series' mean by ``factor``."""
-    mean = F.broadcast(returns.groupBy(label).agg(F.avg("ret").alias("_mean")))
+    mean = returns.groupBy(label).agg(F.avg("ret").alias("_mean"))
     inside = (F.col("time") >= F.lit(start).cast("date")) & (F.col("time") <= F.lit(end).cast("date"))
     spread = F.col("_mean") + factor * (F.col("ret") - F.col("_mean"))
     return returns.join(mean, label).withColumn("ret", F.when(inside, spread).otherwise(F.col("ret"))).drop("_mean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -12,8 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.solver import solve
+from . import checks, moments
+from .regression import latest_model
+from .risk import array_betas
 
 CHECK = 1e-6
+#: What another start or a worse end may differ by before a warning.
+DIFFERENT = 1e-3
 DIAGNOSTICS = (
     "success boolean, status int, message string, cond_number double, constraint_violation int, obj_value double, obj_improvement double, "
     "local_perturbation_obj_diff double, weight_diff_init double, obj_diff_init double, n_iter int"
@@ -89,12 +95,16 @@ def optimize(cov: np.ndarray, mu: np.ndarray | None, problem: Problem, seed: int
     rng = np.random.default_rng(seed)
     end, first = value(w), value(start)
     record |= {"constraint_violation": len(broken), "obj_value": end, "obj_improvement": (end - first) / (abs(first) + 1e-12)}
+    if record["obj_improvement"] > CHECK and not violations(start, problem, low, high):
+        warnings.warn("the objective is worse than that of equal weights", stacklevel=2)
     if problem.long_only and problem.bounds is None and problem.min_weight is None and problem.max_weight is None and problem.gross_budget is None:
         near = np.clip(w + rng.uniform(-1e-6, 1e-6, n), 0, 1)
         record["local_perturbation_obj_diff"] = value(near / near.sum() * problem.budget) - end
     again, ok, _ = run(rng.dirichlet(np.ones(n)))
     if ok:
         record |= {"weight_diff_init": float(np.linalg.norm(again - w)), "obj_diff_init": abs(value(again) - end)}
+        if record["weight_diff_init"] > DIFFERENT and record["obj_diff_init"] > CHECK:
+            warnings.warn("another start ends elsewhere", stacklevel=2)
     return w, record
 
 
@@ -111,21 +121,31 @@ def violations(w: np.ndarray, problem: Problem, low: np.ndarray, high: np.ndarra
     return [k for k, bad in checks.items() if bad]
 
 
-def optimize_groups(cov: DataFrame, mu: DataFrame | None, problem: Problem, keys: list[str]) -> DataFrame:
+def _square_rows(cov: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each group and asset, with its row of the covariance as an array of structs."""
+    return cov.groupBy(*keys, F.col("asset_i").alias("asset")).agg(F.sort_array(F.collect_list(F.struct("asset_j", "cov"))).alias("row"))
+
+
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    names = list(pdf["asset"])
+    return np.array([[dict((x["asset_j"], x["cov"]) for x in row)[n] for n in names] for row in pdf["row"]], float)
+
+
+def optimize_groups(cov: DataFrame, mu: DataFrame | None, problem: Problem, keys: list[str] | None = None) -> DataFrame:
     """``cov`` (keys, asset_i, asset_j, cov) and ``mu`` (keys, asset, mu): for each group the keys,
-    asset, weight and the diagnostic record (the same for all assets of a group). The random starts
-    of the checks are seeded by the keys."""
-    cells = cov.groupBy(*keys, F.col("asset_i").alias("asset")).agg(F.sort_array(F.collect_list(F.struct("asset_j", "cov"))).alias("row"))
+    asset, weight and the diagnostic record (the same for all assets of a group). A group is as large
+    as its assets squared. Without keys each path, if there is one, is a group. The random starts of
+    the checks are seeded by the keys."""
+    keys = [c for c in ("path",) if c in cov.columns] if keys is None else keys
+    cells = _square_rows(cov, keys)
     cells = cells.join(mu, [*keys, "asset"], "left") if mu is not None else cells.withColumn("mu", F.lit(None).cast("double"))
 
     no_mu = mu is None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("asset", ignore_index=True)
-        names = list(pdf["asset"])
-        matrix = np.array([[dict((x["asset_j"], x["cov"]) for x in row)[n] for n in names] for row in pdf["row"]], float)
         seed = zlib.crc32(repr([str(pdf[k].iloc[0]) for k in keys]).encode())
-        w, record = optimize(matrix, None if no_mu else pdf["mu"].to_numpy(float), problem, seed)
+        w, record = optimize(_matrix(pdf), None if no_mu else pdf["mu"].to_numpy(float), problem, seed)
         out = pdf[[*keys, "asset"]].copy()
         out["weight"] = [None if np.isnan(x) else float(x) for x in w]
         for k, v in record.items():
@@ -134,21 +154,20 @@ def optimize_groups(cov: DataFrame, mu: DataFrame | None, problem: Problem, keys
 
     types = dict(cov.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "asset string, weight double", DIAGNOSTICS])
-    if keys:
-        return cells.groupBy(*keys).applyInPandas(run, schema)
-    return cells.groupBy(F.lit(0).alias("_")).applyInPandas(run, schema)
+    return cells.groupBy(*(keys or [F.lit(0).alias("_")])).applyInPandas(run, schema)
 
 
 def closed_form(cov: DataFrame) -> DataFrame:
-    """asset, weight of least variance without bounds: inverse(cov) 1, scaled to sum to 1."""
-    cells = cov.groupBy(F.col("asset_i").alias("asset")).agg(F.sort_array(F.collect_list(F.struct("asset_j", "cov"))).alias("row"))
+    """(path,) asset, weight of least variance without bounds: inverse(cov) 1, scaled to sum to 1."""
+    keys = [c for c in ("path",) if c in cov.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("asset", ignore_index=True)
-        x = np.linalg.solve(np.array([[c["cov"] for c in row] for row in pdf["row"]], float), np.ones(len(pdf)))
-        return pd.DataFrame({"asset": pdf["asset"], "weight": x / x.sum()})
+        x = np.linalg.solve(_matrix(pdf), np.ones(len(pdf)))
+        return pdf[[*keys, "asset"]].assign(weight=x / x.sum())
 
-    return cells.groupBy(F.lit(0).alias("_")).applyInPandas(run, "asset string, weight double")
+    schema = ", ".join([*(f"{k} int" for k in keys), "asset string, weight double"])
+    return _square_rows(cov, keys).groupBy(*(keys or [F.lit(0).alias("_")])).applyInPandas(run, schema)
 
 
 def diagnostics(solved: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,9 +175,17 @@ def diagnostics(solved: DataFrame, keys: list[str]) -> DataFrame:
     return solved.select(*keys, *NAMES).distinct()
 
 
+def factor_model(coefficients: DataFrame, fits: DataFrame, factors: DataFrame) -> dict[str, DataFrame]:
+    """What the estimators' factor_model method takes, from a model with arrays: of the whole sample,
+    or the last coefficients of a rolling one."""
+    last = latest_model(coefficients) if "time_idx" in coefficients.columns else coefficients
+    return {"coefficients": last, "betas": array_betas(last), "fits": fits, "factors": factors}
+
+
 @dataclass
 class MeanEstimator:
-    """Means of returns (time_idx, asset, ret), or of a factor model passed to ``fit``."""
+    """Means of returns (time_idx, asset, ret), or of a factor model passed to ``fit``; by path if
+    they have one. With a halflife, a factor model's means are weighted too."""
 
     method: str = "hist"
     halflife: float | None = None
@@ -167,15 +194,14 @@ class MeanEstimator:
     mean_: DataFrame | None = field(default=None, init=False)
 
     def fit(self, returns: DataFrame | None = None, model: dict[str, DataFrame] | None = None) -> MeanEstimator:
-        from . import moments as M
-
         if self.method == "factor_model":
-            mu = M.mean_factor_model(model["betas"], model["factors"], model["fits"], model["coefficients"])
+            mu = moments.mean_factor_model(model["betas"], model["factors"], model["fits"], model["coefficients"], self.halflife)
         elif self.method in ("hist", "ewma"):
-            mu = M.mean_hist(returns) if self.method == "hist" else M.mean_ewma(returns, self.halflife)
+            checks.check_columns(returns, "asset")
+            mu = moments.mean_hist(returns) if self.method == "hist" else moments.mean_ewma(returns, self.halflife)
         else:
             raise ValueError(f"unknown method {self.method!r}")
-        self.mean_ = M.shrink_mean(mu, self.shrinkage, self.target)
+        self.mean_ = moments.shrink_mean(mu, self.shrinkage, self.target)
         return self
 
 
@@ -189,19 +215,28 @@ class CovarianceEstimator:
     covariance_: DataFrame | None = field(default=None, init=False)
 
     def fit(self, returns: DataFrame | None = None, model: dict[str, DataFrame] | None = None) -> CovarianceEstimator:
-        from . import moments as M
-        from .risk import factor_covariance
-
         if self.method == "factor_model":
-            cov = M.cov_factor_model(model["betas"], factor_covariance(model["factors"]), model["fits"])
+            cov = moments.cov_factor_model(model["betas"], moments.factor_cov(model["factors"], self.halflife), model["fits"], self.halflife)
         elif self.method in ("hist", "ewma"):
-            cov = M.cov_hist(returns) if self.method == "hist" else M.cov_ewma(returns, self.halflife)
+            checks.check_columns(returns, "asset")
+            cov = moments.cov_hist(returns) if self.method == "hist" else moments.cov_ewma(returns, self.halflife)
         else:
             raise ValueError(f"unknown method {self.method!r}")
-        self.covariance_ = M.stabilized(M.shrink_cov(cov, self.shrinkage, self.target), self.ridge)
+        self.covariance_ = moments.stabilized(moments.shrink_cov(cov, self.shrinkage, self.target), self.ridge)
         return self
 
 
+def compute_mu(returns: DataFrame | None = None, model: dict[str, DataFrame] | None = None, **settings: Any) -> DataFrame:
+    """asset, mu of a ``MeanEstimator`` with ``settings``."""
+    return MeanEstimator(**settings).fit(returns, model).mean_
+
+
+def compute_cov(returns: DataFrame | None = None, model: dict[str, DataFrame] | None = None, **settings: Any) -> DataFrame:
+    """asset_i, asset_j, cov of a ``CovarianceEstimator`` with ``settings``; a value that is missing
+    or not finite fails."""
+    return checks.finite(CovarianceEstimator(**settings).fit(returns, model).covariance_)
+
+
 @dataclass
 class PortfolioOptimizer:
     """Means, covariance, weights, in one object: ``fit(...).get_weights()``."""
@@ -214,44 +249,78 @@ class PortfolioOptimizer:
     def fit(self, returns: DataFrame | None = None, model: dict[str, DataFrame] | None = None) -> PortfolioOptimizer:
         self.mean.fit(returns, model)
         self.covariance.fit(returns, model)
-        self.solved_ = optimize_groups(self.covariance.covariance_, self.mean.mean_, self.problem, [])
+        self.solved_ = optimize_groups(self.covariance.covariance_, self.mean.mean_, self.problem)
         return self
 
     def get_weights(self) -> DataFrame:
-        return self.solved_.select("asset", "weight")
+        return self.solved_.select(*[c for c in ("path",) if c in self.solved_.columns], "asset", "weight")
+
+
+#: Older option -> where it goes now; those in LEGACY depend on others.
+CLASSIC = {
+    "ewma_mu_halflife": "mean.halflife", "mu_shrinkage": "mean.shrinkage", "ewma_cov_halflife": "covariance.halflife", "cov_shrinkage": "covariance.shrinkage",
+    "obj": "problem.objective", "rf": "problem.risk_free_rate", "l": "problem.risk_aversion", "budget": "problem.budget", "gross_budget": "problem.gross_budget", "upperlng": "problem.max_weight",
+}
+LEGACY = ("method_mu", "method_cov", "sht", "budgetsht", "uppersht")
+
+
+def classic_optimizer(**options: Any) -> PortfolioOptimizer:
+    """A ``PortfolioOptimizer`` from the older option names; others raise ValueError. ``sht`` allows
+    short positions: without it the long side has the whole budget, with it ``budgetsht`` bounds the
+    short side and ``uppersht`` each short weight."""
+    if unknown := sorted(set(options) - set(CLASSIC) - set(LEGACY)):
+        raise ValueError(f"unknown options: {unknown}")
+    given: dict[str, dict[str, Any]] = {"mean": {}, "covariance": {}, "problem": {}}
+    for option, to in CLASSIC.items():
+        if option in options:
+            part, _, name = to.partition(".")
+            given[part][name] = options[option]
+    for option, part in (("method_mu", "mean"), ("method_cov", "covariance")):
+        method = options.get(option, "hist")
+        given[part]["method"] = "ewma" if method.startswith("ewma") else method
+    short, floor = bool(options.get("sht")), options.get("uppersht")
+    sides = {"short_budget": options.get("budgetsht"), "min_weight": None if floor is None else -floor} if short else {"long_budget": options.get("budget", 1.0)}
+    return PortfolioOptimizer(MeanEstimator(**given["mean"]), CovarianceEstimator(**given["covariance"]), Problem(long_only=not short, **sides, **given["problem"]))
+
+
+def sample_weights(assets: DataFrame, factors: DataFrame, problem: Problem, shrinkage: float = 0.1, ridge: float = 1e-8) -> DataFrame:
+    """path, asset, weight and record of each path (path, time, time_idx, label, ret) from the
+    covariance of a factor model over its whole sample, for any number of factors."""
+    from .regression import sample_ols_any
+
+    coefficients, fits = (x.persist() for x in sample_ols_any(assets, factors))  # each is read several times
+    cov = compute_cov(model=factor_model(coefficients, fits, factors), method="factor_model", shrinkage=shrinkage, ridge=ridge)
+    return optimize_groups(cov, None, problem)
 
 
-def classic_optimizer(
-    method_mu: str = "hist", method_cov: str = "hist", ewma_mu_halflife: float | None = None, ewma_cov_halflife: float | None = None, mu_shrinkage: float = 0.0, cov_shrinkage: float = 0.0,
-    obj: str = "min_variance", rf: float = 0.0, l: float = 1.0, sht: bool = False, budget: float = 1.0, budgetsht: float | None = None, gross_budget: float | None = None,
-    upperlng: float | None = None, uppersht: float | None = None,
-) -> PortfolioOptimizer:
-    """The older names of the same."""
-    kind = lambda m: "ewma" if m.startswith("ewma") else m
-    problem = Problem(
-        objective=obj, long_only=not sht, budget=budget, gross_budget=gross_budget, long_budget=None if sht else budget, short_budget=budgetsht if sht else None,
-        risk_free_rate=rf, risk_aversion=l, max_weight=upperlng, min_weight=-uppersht if sht and uppersht is not None else None,
-    )
-    return PortfolioOptimizer(MeanEstimator(kind(method_mu), ewma_mu_halflife, mu_shrinkage), CovarianceEstimator(kind(method_cov), ewma_cov_halflife, cov_shrinkage), problem)
+def slices(rebalances: DataFrame) -> DataFrame:
+    """``rebalances`` ((path,) time, window_start) as one row for each of its days: at, time. Rows of a
+    panel meet only the rebalances that hold them, by an equality on (path and) time."""
+    keys = [c for c in ("path",) if c in rebalances.columns]
+    return rebalances.select(*keys, F.col("time").alias("at"), F.explode(F.sequence("window_start", "time")).alias("time"))
 
 
 def rolling_weights(model: DataFrame, factors: DataFrame, rebalances: DataFrame, problem: Problem, shrinkage: float = 0.1, ridge: float = 1e-8) -> DataFrame:
     """Weights at each rebalance of each path from a factor-model covariance.
 
-    ``model`` is that of ``rolling_ols_any``; ``rebalances`` has path, time, window_start. The
-    slice of a rebalance is the range of dates between them: an equality on the path, and a range.
-    Residuals of a first slice may be a single one: their variance is then 0.
+    ``model`` is that of ``rolling_ols_any``; ``rebalances`` has path, time, window_start. Each row
+    goes only to the rebalances whose slice holds its date (``slices``). Betas are the last that the
+    slice has. Residuals of a first slice may be a single one: their variance is then 0.
     """
-    at = rebalances.select("path", F.col("time").alias("at"), "window_start")
-    inside = lambda df: df.join(at, "path").filter((F.col("time") >= F.col("window_start")) & (F.col("time") <= F.col("at")))
+    days = slices(rebalances)
+    inside = lambda df: df.join(days, ["path", "time"])
     f = factors.select("path", "time", "factor", "ret")
-    pairs = f.alias("a").join(f.alias("b"), ["path", "time"]).select("path", "time", F.col("a.factor").alias("factor"), F.col("b.factor").alias("factor_p"), F.col("a.ret").alias("x"), F.col("b.ret").alias("y"))
-    sigma = inside(pairs).groupBy("path", "at", "factor", "factor_p").agg(F.covar_samp("x", "y").alias("cov"))
-    own = inside(model.select("path", "time", "asset", "residual")).groupBy("path", "at", "asset").agg(F.coalesce(F.var_samp("residual"), F.lit(0.0)).alias("d"))
-    latest = model.join(at, (model["path"] == at["path"]) & (model["time"] == at["at"])).select(model["path"], "at", "window_start", "asset", "betas")
+    held = inside(f)
+    pairs = held.withColumnRenamed("ret", "x").join(held.select("path", "at", "time", F.col("factor").alias("factor_p"), F.col("ret").alias("y")), ["path", "at", "time"])
+    sigma = pairs.groupBy("path", "at", "factor", "factor_p").agg(F.covar_samp("x", "y").alias("cov"))
+    # the last betas of the slice, and the residuals' variance
+    own = inside(model.select("path", "time", "asset", "residual", "betas")).groupBy("path", "at", "asset").agg(
+        F.coalesce(F.var_samp("residual"), F.lit(0.0)).alias("d"), F.max_by("betas", F.when(F.col("betas").isNotNull(), F.col("time"))).alias("betas")
+    )
     square = F.sort_array(F.collect_list(F.struct("factor", "factor_p", "cov")))
     sigma = sigma.groupBy("path", "at").agg(square.alias("sigma"))
-    rows = latest.join(own, ["path", "at", "asset"]).join(sigma, ["path", "at"])
+    starts = rebalances.select("path", F.col("time").alias("at"), "window_start")
+    rows = own.filter("betas is not null").join(sigma, ["path", "at"]).join(starts, ["path", "at"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("asset", ignore_index=True)
@@ -271,4 +340,7 @@ def rolling_weights(model: DataFrame, factors: DataFrame, rebalances: DataFrame,
     return rows.groupBy("path", "at").applyInPandas(run, f"path int, at date, window_start date, asset string, weight double, {DIAGNOSTICS}").withColumnRenamed("at", "time")
 
 
-__all__ = ["CovarianceEstimator", "MeanEstimator", "PortfolioOptimizer", "Problem", "classic_optimizer", "diagnostics", "optimize", "optimize_groups", "rolling_weights"]
+__all__ = [
+    "CovarianceEstimator", "MeanEstimator", "PortfolioOptimizer", "Problem", "classic_optimizer", "closed_form", "compute_cov", "compute_mu", "diagnostics", "factor_model",
+    "optimize", "optimize_groups", "rolling_weights", "sample_weights", "slices",
+]

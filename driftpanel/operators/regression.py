@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK = 256
+from .runs import CHUNK, chunk_of, in_runs, own_rows
 
 
 def joined(assets: DataFrame, wide: DataFrame) -> DataFrame:
@@ -51,11 +51,11 @@ def _project(rows: DataFrame, k: int, intercept: bool) -> DataFrame:
 def rolling_ols(assets: DataFrame, wide: DataFrame, window: int, k: int = 1, intercept: bool = True) -> DataFrame:
     """Rows of ``assets`` with f1.., b1.., alpha, fitted and residual of the trailing ``window``
     rows; NULL until a window is full."""
-    rows = joined(assets, wide)
-    over = W.partitionBy(*_keys(rows)).orderBy("time_idx").rowsBetween(-(window - 1), 0)
+    rows, chunk = joined(assets, wide), chunk_of(window)
+    over = W.partitionBy(*_keys(rows), "run").orderBy("time_idx").rowsBetween(-(window - 1), 0)
     full = F.count("ret").over(over) == window
     fit = {n: F.when(full, c) for n, c in _fit(rows, k, intercept, over).items()}
-    return _project(rows.withColumns(fit), k, intercept)
+    return _project(own_rows(in_runs(rows, window, chunk).withColumns(fit), chunk), k, intercept)
 
 
 def sample_ols(assets: DataFrame, wide: DataFrame, k: int = 1, intercept: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -66,12 +66,13 @@ def sample_ols(assets: DataFrame, wide: DataFrame, k: int = 1, intercept: bool =
     return coefficients, _project(rows.join(coefficients, keys), k, intercept)
 
 
-def matrix_rows(assets: DataFrame, factors: DataFrame) -> DataFrame:
-    """One row for each path and time: r and f as arrays in the order of their labels."""
-    def arrays(df: DataFrame, label: str, out: str) -> DataFrame:
-        each = df.groupBy("path", "time", "time_idx").agg(F.sort_array(F.collect_list(F.struct(label, "ret"))).alias("_a"))
-        return each.select("path", "time", "time_idx", F.col(f"_a.{label}").alias(f"{out}_names"), F.col("_a.ret").alias(out))
+def arrays(df: DataFrame, label: str, out: str) -> DataFrame:
+    """One row for each path and time: the returns as an array in the order of their labels."""
+    each = df.groupBy("path", "time", "time_idx").agg(F.sort_array(F.collect_list(F.struct(label, "ret"))).alias("_a"))
+    return each.select("path", "time", "time_idx", F.col(f"_a.{label}").alias(f"{out}_names"), F.col("_a.ret").alias(out))
 
+
+def matrix_rows(assets: DataFrame, factors: DataFrame) -> DataFrame:
     return arrays(assets, "asset", "r").join(arrays(factors, "factor", "f"), ["path", "time", "time_idx"])
 
 
@@ -85,15 +86,13 @@ def _windows(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def rolling_ols_any(assets: DataFrame, factors: DataFrame, window: int, intercept: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """path, time, time_idx, asset, alpha, betas, fitted, residual for any number of factors (in the
-    order of their names). Dates are split into runs that overlap by a window."""
-    rows = matrix_rows(assets, factors)
-    runs = F.sequence(F.expr(f"cast(floor(time_idx / {chunk}) as int)"), F.expr(f"cast(floor((time_idx + {window - 1}) / {chunk}) as int)"))
-    rows = rows.withColumn("run", F.explode(runs))
+    """path, time, time_idx, asset, alpha, factors, betas, fitted, residual for any number of factors
+    (in the order of their names). Dates are split into runs that overlap by a window."""
+    rows = in_runs(matrix_rows(assets, factors), window, chunk)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("time_idx", ignore_index=True)
-        columns = ["path", "time", "time_idx", "asset", "alpha", "betas", "fitted", "residual"]
+        columns = ["path", "time", "time_idx", "asset", "alpha", "factors", "betas", "fitted", "residual"]
         if len(pdf) < window:
             return pd.DataFrame(columns=columns)
         run = pdf["run"].iloc[0]
@@ -105,24 +104,35 @@ def rolling_ols_any(assets: DataFrame, factors: DataFrame, window: int, intercep
         b, last = b[own], last[own]
         fitted = np.einsum("nk,nkm->nm", x[last], b)
         out: list[tuple] = []
-        names = list(pdf["r_names"].iloc[0])
+        names, labels = list(pdf["r_names"].iloc[0]), list(pdf["f_names"].iloc[0])
         for i, t in enumerate(last):
             for j, n in enumerate(names):
-                out.append((pdf["path"][t], pdf["time"][t], pdf["time_idx"][t], n, b[i, 0, j] if intercept else None, b[i, int(intercept) :, j], fitted[i, j], r[t, j] - fitted[i, j]))
+                out.append((pdf["path"][t], pdf["time"][t], pdf["time_idx"][t], n, b[i, 0, j] if intercept else None, labels, b[i, int(intercept) :, j], fitted[i, j], r[t, j] - fitted[i, j]))
         return pd.DataFrame(out, columns=columns)
 
-    schema = "path int, time date, time_idx int, asset string, alpha double, betas array<double>, fitted double, residual double"
+    schema = "path int, time date, time_idx int, asset string, alpha double, factors array<string>, betas array<double>, fitted double, residual double"
     return rows.groupBy("path", "run").applyInPandas(solve, schema)
 
 
-def sample_ols_any(assets: DataFrame, factors: DataFrame, intercept: bool = True) -> DataFrame:
-    """path, asset, alpha, betas over all rows of a path, for any number of factors: the normal
-    equations' moments would lose rank information, so each path is solved as a whole."""
+def sample_ols_any(assets: DataFrame, factors: DataFrame, intercept: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(coefficients: path, asset, alpha, factors, betas; rows with fitted and residual) over all rows
+    of each series, for any number of factors: each series is a minimum-norm problem of its own."""
+    rows = assets.join(arrays(factors, "factor", "f"), ["path", "time", "time_idx"])
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, r = np.stack(pdf["f"].to_list()), np.stack(pdf["r"].to_list())
+        f = np.stack(pdf["f"].to_list())
         x = np.column_stack([np.ones(len(f)), f]) if intercept else f
-        b = np.linalg.lstsq(x, r, rcond=None)[0]
-        names = list(pdf["r_names"].iloc[0])
-        return pd.DataFrame({"path": pdf["path"].iloc[0], "asset": names, "alpha": b[0] if intercept else None, "betas": list(b[int(intercept) :].T)})
+        b = np.linalg.lstsq(x, pdf["ret"].to_numpy(float), rcond=None)[0]
+        return pd.DataFrame({"path": pdf["path"].iloc[:1], "asset": pdf["asset"].iloc[0], "alpha": b[0] if intercept else None, "factors": [list(pdf["f_names"].iloc[0])], "betas": [b[int(intercept) :]]})
+
+    coefficients = rows.groupBy("path", "asset").applyInPandas(solve, "path int, asset string, alpha double, factors array<string>, betas array<double>")
+    dot = F.aggregate(F.zip_with("betas", "f", lambda b, f: b * f), F.coalesce("alpha", F.lit(0.0)), lambda a, x: a + x)
+    fits = rows.join(coefficients.drop("factors"), ["path", "asset"]).withColumn("fitted", dot)
+    return coefficients, fits.select("path", "time", "time_idx", "asset", "ret", "fitted", (F.col("ret") - F.col("fitted")).alias("residual"))
+
 
-    return matrix_rows(assets, factors).groupBy("path").applyInPandas(solve, "path int, asset string, alpha double, betas array<double>")
+def latest_model(model: DataFrame) -> DataFrame:
+    """path, asset and the last alpha, factors, betas that a rolling model has."""
+    known = model.filter("betas is not null")
+    last = known.groupBy("path", "asset").agg(F.max_by(F.struct("alpha", "factors", "betas"), "time_idx").alias("m"))
+    return last.select("path", "asset", "m.*")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 def dense(prices: DataFrame) -> DataFrame:
     """Every series at every time that any series has; absent prices are NULL. The grid is times by
     series, both counts of a calendar and of names."""
-    grid = prices.select("time").distinct().crossJoin(F.broadcast(prices.select("series").distinct()))
+    names = prices.agg(F.collect_set("series").alias("_names"))  # one row, of the series' names
+    grid = prices.select("time").distinct().crossJoin(names).select("time", F.explode("_names").alias("series"))
     return grid.join(prices, ["time", "series"], "left")
 
 
@@ -24,7 +25,7 @@ def log_returns(prices: DataFrame) -> DataFrame:
 def complete_dates(returns: DataFrame) -> DataFrame:
     """Times at which every series has a return."""
     n = returns.select(F.countDistinct("series").alias("n"))
-    full = returns.groupBy("time").agg(F.count("ret").alias("c")).join(F.broadcast(n), F.col("c") == F.col("n")).select("time")
+    full = returns.groupBy("time").agg(F.count("ret").alias("c")).join(n, F.col("c") == F.col("n")).select("time")
     return returns.join(full, "time").select("time", "series", "ret")
 
 
@@ -32,7 +33,7 @@ def aligned(assets: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame
     """Both panels on their common times, with time_idx from 0. Only the distinct times, a calendar,
     pass through one window."""
     times = assets.select("time").distinct().join(factors.select("time").distinct(), "time")
-    index = F.broadcast(times.select("time", (F.row_number().over(W.orderBy("time")) - 1).alias("time_idx")))
+    index = times.select("time", (F.row_number().over(W.orderBy("time")) - 1).alias("time_idx"))
     one, two = assets.join(index, "time"), factors.join(index, "time")
     return one.select("time", "time_idx", F.col("series").alias("asset"), "ret"), two.select("time", "time_idx", F.col("series").alias("factor"), "ret")
 

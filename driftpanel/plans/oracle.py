@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from .queries import BLOCK, EVERY, HALFLIFE, PATHS, SEED, SHRINKAGE, WINDOW
+from .queries import BLOCK, EVERY, HALFLIFE, PATHS, REGIONS, SEED, SHRINKAGE, WINDOW
 
 ITEMS = {
     "type": ("lineitem join part on l_partkey = p_partkey", "p_type"),
     "brand": ("lineitem join part on l_partkey = p_partkey", "p_brand"),
     "flag": ("lineitem", "l_returnflag"),
+    "status": ("lineitem", "l_linestatus"),
     "region": ("lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey", "r_name"),
 }
 
@@ -29,9 +30,9 @@ def log_returns(p: str, px: str) -> str:
 {p}_r as (select time, series, ret from (select *, count(ret) over (partition by time) as c from {p}_l) where c = (select count(distinct series) from {p}_d))"""
 
 
-def panels(factor: str = "flag") -> str:
+def panels(factor: str = "flag", by: str = "type") -> str:
     """Tables a (time, time_idx, asset, ret) and f (time, time_idx, factor, ret)."""
-    return f"""with {log_returns("pa", prices("type"))}, {log_returns("pf", prices(factor))},
+    return f"""with {log_returns("pa", prices(by))}, {log_returns("pf", prices(factor))},
 ti as (select time, row_number() over (order by time) - 1 as time_idx from (select time from pa_r intersect select time from pf_r)),
 a as (select time, time_idx, series as asset, ret from pa_r join ti using (time)),
 f as (select time, time_idx, series as factor, ret from pf_r join ti using (time))"""
@@ -102,6 +103,107 @@ def business_day_before(day: str, n: int) -> str:
     return f"({MONDAY} + cast((({index}) // 5) * 7 + ({index}) % 5 as integer))"
 
 
+def orthogonal(rolling: bool) -> str:
+    """Tables for any number of factors, here the regions, one set for each end t of a window (one
+    for the whole sample, t = -1): o, factors made orthogonal one after the other (q), and their
+    projections r on those before; n, sums of q; cf, coefficients alpha, b1, ... by t and asset; and
+    fit, the rows of the last date (all, for the sample) with fitted and residual."""
+    k = range(1, REGIONS + 1)
+    wide = ", ".join(f"max(case when i = {j} then ret end) as f{j}" for j in k)
+    out = [f"fn as (select factor, row_number() over (order by factor) as i from (select distinct factor from f))", f"w0 as (select time_idx, {wide} from f join fn using (factor) group by time_idx)"]
+    if rolling:
+        out.append(f"o0 as (select e.time_idx as t, w0.* from w0 join (select time_idx from w0 where time_idx >= {WINDOW - 1}) e on w0.time_idx between e.time_idx - {WINDOW - 1} and e.time_idx)")
+    else:
+        out.append("o0 as (select -1 as t, * from w0)")
+    for j in k:
+        rs = "".join(f", sum(f{j} * q{m}) over d / sum(q{m} * q{m}) over d as r{j}_{m}" for m in range(1, j))
+        minus = "".join(f" - r{j}_{m} * q{m}" for m in range(1, j))
+        out.append(f"p{j} as (select *, avg(f{j}) over d as a{j}{rs} from o{j - 1} window d as (partition by t)), o{j} as (select *, f{j} - a{j}{minus} as q{j} from p{j})")
+    rs = [f"r{j}_{m}" for j in k for m in range(1, j)]
+    keep = ", ".join(f"max({c}) as {c}" for c in [*rs, *(f"a{j}" for j in k)])
+    out.append(f"n as (select t, count(*) as rows_, {keep}, {', '.join(f'sum(q{j} * q{j}) as s{j}' for j in k)} from o{REGIONS} group by t)")
+    out.append(f"cs as (select t, asset, avg(ret) as m, {', '.join(f'sum(ret * q{j}) / sum(q{j} * q{j}) as c{j}' for j in k)} from o{REGIONS} join a using (time_idx) group by t, asset)")
+    last, steps = f"cs join n using (t)", []
+    for j in reversed(k):  # back substitution
+        steps.append(f"b{j}_ as (select *, c{j}{''.join(f' - r{m}_{j} * b{m}' for m in range(j + 1, REGIONS + 1))} as b{j} from {last})")
+        last = f"b{j}_"
+    out += steps
+    model = " + ".join(f"b{j} * f{j}" for j in k)
+    out.append(f"cf as (select *, m{''.join(f' - b{j} * a{j}' for j in k)} as alpha from {last})")
+    at = "cf.t = w0.time_idx" if rolling else "true"
+    out.append(f"fit as (select cf.*, a.time, a.time_idx, ret, alpha + {model} as fitted, ret - (alpha + {model}) as residual from cf join w0 on {at} join a on a.time_idx = w0.time_idx and a.asset = cf.asset)")
+    # cov(f_j, fitted) from the orthogonal parts
+    cov = {j: " + ".join([f"c{j} * s{j}", *(f"c{m} * r{j}_{m} * s{m}" for m in range(1, j))]) for j in k}
+    contributions = ", ".join(f"b{j} * ({cov[j]}) / (rows_ - 1) as k{j}" for j in k)
+    out.append(f"ko as (select *, {contributions} from cf)")
+    return f"{panels('region')},\n" + ",\n".join(out)
+
+
+BETAS = ", ".join(f"round(b{j}, 6) + 0 as b{j}" for j in range(1, REGIONS + 1))
+SYS = " + ".join(f"k{j}" for j in range(1, REGIONS + 1))
+
+
+def rounded(digits: int, x: str, name: str) -> str:
+    return f"round({x}, {digits}) + 0 as {name}"
+
+
+RISK_COLUMNS = ", ".join([rounded(9, "sys_var", "sys_var"), rounded(9, "idio_var", "idio_var"), rounded(9, "sys_var + idio_var", "total_var"), rounded(6, "case when sys_var + idio_var > 0 then sys_var / (sys_var + idio_var) end", "sys_share")])
+ROLLING_RISK = f"""rr as (select fit.time, fit.asset, {SYS} as sys_var, case when count(residual) over w = {WINDOW} then var_samp(residual) over w end as idio_var
+  from fit join (select t, asset, {", ".join(f"k{j}" for j in range(1, REGIONS + 1))} from ko) q using (t, asset) window w as (partition by fit.asset order by fit.time_idx rows {WINDOW - 1} preceding))"""
+#: The five-factor model's covariance: B Sigma B' from the orthogonal parts.
+PARTS = {j: f"(b{j} + {' + '.join(f'r{m}_{j} * b{m}' for m in range(j + 1, REGIONS + 1))})" if j < REGIONS else f"b{j}" for j in range(1, REGIONS + 1)}
+MODEL_COV = f"""ov as (select asset, rows_, {", ".join(f"{PARTS[j]} as g{j}, s{j}" for j in PARTS)} from cf),
+rv as (select asset, var_samp(residual) as d, avg(residual) as e from fit group by asset),
+mc as (select x.asset as asset_i, y.asset as asset_j, ({" + ".join(f"x.g{j} * y.g{j} * x.s{j}" for j in PARTS)}) / (x.rows_ - 1) + case when x.asset = y.asset then d else 0 end as cov from ov x cross join ov y join rv on rv.asset = x.asset)"""
+
+PAIR_COV = """k as (select min(asset_i) as one, max(asset_i) as two from st), v as (select one, two, (select cov from st where asset_i = one and asset_j = one) as v1, (select cov from st where asset_i = two and asset_j = two) as v2,
+  (select cov from st where asset_i = one and asset_j = two) as c, (select avg(ret) from a where asset = one) as m1, (select avg(ret) from a where asset = two) as m2 from k)"""
+PAIR = f"{panels(by='status')},\n{STABLE},\n{PAIR_COV}"
+
+
+def pair(w: str, base: str = PAIR) -> str:
+    """Both weights, given that of the first asset."""
+    return f"{base}, w as (select one, two, {w} as w from v) select one as asset, round(w, 4) + 0 as weight from w union all select two, round(1 - w, 4) + 0 from w"
+
+
+SHARPE = """(select w from (select unnest([0.0, 1.0, case when (m1 * v2 - m2 * c) + (m2 * v1 - m1 * c) <> 0 then greatest(0.0, least(1.0, (m1 * v2 - m2 * c) / ((m1 * v2 - m2 * c) + (m2 * v1 - m1 * c)))) end]) as w)
+  where w is not null order by (m1 * w + m2 * (1 - w)) / sqrt(v1 * w * w + v2 * (1 - w) * (1 - w) + 2 * c * w * (1 - w)) desc limit 1)"""
+EW_STABLE = f"""{EW}, cv as (select p.asset as asset_i, q.asset as asset_j, (sum(p.w * p.ret * q.ret) - sum(p.w * p.ret) * sum(p.w * q.ret)) / (1 - sum(p.w * p.w)) as cov from ew p join ew q using (time_idx) group by all),
+sh as (select asset_i, asset_j, (1 - {SHRINKAGE}) * cov + {SHRINKAGE} * case when asset_i = asset_j then cov else 0 end as cov from cv),
+st as (select asset_i, asset_j, cov + case when asset_i = asset_j then 1e-8 else 0 end as cov from sh)"""
+PAIR_BOOT = f"{panels(by='status')},\n{DRAWS}, x as (select ha.*, hf.ret as f1 from ha join hf using (path, time_idx) where factor = 'R')"
+
+
+def solved_pair(keys: str, source: str) -> str:
+    """pw (keys, asset, weight) and pc (keys, cond, better) from ``source`` (keys, asset, b, s, d)."""
+    both = ", ".join(f"l.{x}" for x in keys.split(", "))
+    on = " and ".join(f"l.{x} = q.{x}" for x in keys.split(", "))
+    return f"""pm as (select {both}, l.asset as one, q.asset as two, l.b * l.b * l.s + l.d + 1e-8 as v1, q.b * q.b * q.s + q.d + 1e-8 as v2, (1 - {SHRINKAGE}) * l.b * q.b * l.s as c
+  from {source} l join {source} q on {on} and l.asset < q.asset),
+pe as (select *, greatest(0, least(1, (v2 - c) / (v1 + v2 - 2 * c))) as w, sqrt((v1 - v2) * (v1 - v2) + 4 * c * c) as gap from pm),
+pc as (select {keys}, (v1 + v2 + gap) / (v1 + v2 - gap) as cond, (v1 * w * w + v2 * (1 - w) * (1 - w) + 2 * c * w * (1 - w)) / ((v1 + v2 + 2 * c) / 4) - 1 as better from pe),
+pw as (select {keys}, one as asset, w as weight from pe union all select {keys}, two, 1 - w from pe)"""
+
+
+ROLLING_PAIR = f"""{PAIR_BOOT},
+{rolling1(key="path, ")},
+rb as (select path, time as at_, time - {7 * (WINDOW - 1)} as ws from (select distinct path, time, time_idx from ha) where time_idx >= {WINDOW - 1} and (time_idx - {WINDOW - 1}) % {EVERY} = 0),
+sl as (select rb.path, at_ as time, asset, coalesce(var_samp(residual), 0) as d, var_samp(f1) as s, arg_max(b1, r1.time) filter (where b1 is not null) as b from rb join r1 on r1.path = rb.path and r1.time between ws and at_ group by all),
+{solved_pair("path, time", "sl")}"""
+SAMPLE_PAIR = f"""{PAIR_BOOT},
+kp as (select path, asset, {OLS1} as b, avg(ret) - {OLS1} * avg(f1) as alpha, var_samp(f1) as s from x group by path, asset),
+sl as (select path, asset, b, s, var_samp(ret - (alpha + b * f1)) as d from x join kp using (path, asset) group by all),
+{solved_pair("path", "sl")}"""
+HELD_PAIR = """h0 as (select ha.*, last_value(weight ignore nulls) over (partition by path, asset order by time_idx rows unbounded preceding) as held from ha left join pw using (path, time, asset)),
+h1 as (select *, lag(held) over (partition by path, asset order by time_idx) as held1 from h0),
+dy as (select path, time, time_idx, sum(held1 * (exp(ret) - 1)) as r from h1 group by all having count(held1) = count(*)),
+cum as (select path, time, (exp(sum(ln(1 + r)) over (partition by path order by time_idx rows unbounded preceding)) - 1) * 100 as cumulative from dy)"""
+
+
+def bands(value: str, digits: int) -> str:
+    return ", ".join([*(rounded(digits, f"quantile_cont({value}, {p}) filter (path >= 0)", n) for p, n in ((0.1, "p10"), (0.5, "median"), (0.9, "p90"))), rounded(digits, f"max({value}) filter (path < 0)", "realized")])
+
+
 SQL: dict[str, str] = {
     "panel_vwap": f"select time, series, {r('price')} from ({prices('type')})",
     "panel_brand_month": f"select time, series, {r('price')} from ({prices('brand', 'month')})",
@@ -154,11 +256,6 @@ select asset_i, asset_j, {r('s + case when asset_i = asset_j then d else 0 end',
     "bootstrap_rolling_ols": f"""{BOOT}, x as (select ha.*, hf.ret as f1 from ha join hf using (path, time_idx) where factor = 'R'),
 {rolling1(key='path, ')} select path::int as path, time, asset, {r('alpha')}, {r('b1')}, {r('residual')} from r1""",
     "residual_bootstrap": f"""{BOOT},\n{WIDE},\n{SAMPLE1} select path::int as path, ti.time, asset, {r('alpha + b1 * f1 + residual', 'ret')} from moves join ti using (time_idx) join s1 on s1.time_idx = source_idx""",
-    "minvar_two_asset": f"""{panels().replace("a as (select", "a0 as (select", 1)}, a as (select * from a0 where asset in (select distinct asset from a0 order by asset limit 2)),
-{STABLE}, k as (select min(asset_i) as one, max(asset_i) as two from st), v as (select (select cov from st where asset_i = one and asset_j = one) as v1, (select cov from st where asset_i = two and asset_j = two) as v2,
-  (select cov from st where asset_i = one and asset_j = two) as c, one, two from k),
-w as (select one, two, greatest(0, least(1, (v2 - c) / (v1 + v2 - 2 * c))) as w from v)
-select one as asset, round(w, 6) + 0 as weight from w union all select two, round(1 - w, 6) + 0 from w""",
     "rebalance_dates": f"{panels()} select time, time_idx::int as time_idx from ti where time_idx >= {WINDOW - 1} and (time_idx - {WINDOW - 1}) % {EVERY} = 0",
     "rebalance_slices": f"""{panels()}, rb as (select time as at_, time - {7 * (WINDOW - 1)} as ws from ti where time_idx >= {WINDOW - 1} and (time_idx - {WINDOW - 1}) % {EVERY} = 0)
 select at_ as at, asset, count(*) as n_rows, {r('avg(ret)', 'mean')}, {r('var_samp(ret)', 'var')} from rb join a on a.time between ws and at_ group by at_, asset""",
@@ -171,7 +268,7 @@ select count(*) as n_paths, {r('avg(x)', 'mean')}, {r('quantile_cont(x, 0.75) -
     "factor_heatmap": f"""{BASE}, q2 as (select *, {rolling(TWO)} as b1, {rolling(OTHER)} as b2, {rolling("var_samp(f1)")} as v1, {rolling("var_samp(f2)")} as v2, {rolling("covar_samp(f1, f2)")} as c from x)
 select time, asset, {r('b1 * (v1 * b1 + c * b2)', '"c_R"')}, {r('b2 * (c * b1 + v2 * b2)', '"c_A"')} from q2 where b1 is not null""",
     "event_daily_mean": f"select ts::date as time, event_type as series, {r('avg(value)', 'price')} from events group by all",
-    "minvar_closed_form_3": f"""{panels().replace("a as (select", "a0 as (select", 1)}, a as (select * from a0 where asset in (select distinct asset from a0 order by asset limit 3)),
+    "minvar_closed_form_3": f"""{panels(by="flag")},
 {STABLE}, o as (select asset, row_number() over (order by asset) as k from (select distinct asset_i as asset from st)),
 g as (select max(cov) filter (i.k = 1 and j.k = 1) as a, max(cov) filter (i.k = 1 and j.k = 2) as b, max(cov) filter (i.k = 1 and j.k = 3) as c, max(cov) filter (i.k = 2 and j.k = 2) as d,
   max(cov) filter (i.k = 2 and j.k = 3) as e, max(cov) filter (i.k = 3 and j.k = 3) as f from st join o i on i.asset = asset_i join o j on j.asset = asset_j),
@@ -181,4 +278,38 @@ select asset, round(case k when 1 then w1 when 2 then w2 else w3 end / (w1 + w2
     "noisy_returns": f"{panels()} select time, asset, {r(f"ret + (cast('0x' || substr(md5(asset || '-' || time_idx::varchar || '-{SEED}'), 1, 8) as bigint) / 4294967296.0 * 2 - 1) * 0.001", 'ret')} from a",
     "volatility_regime": f"{panels()}, m as (select asset, avg(ret) as m from a group by asset) select time, asset, {r("case when time between date '1995-01-01' and date '1995-12-31' then m + 2 * (ret - m) else ret end", 'ret')} from a join m using (asset)",
     "reindexed_means": f"with {log_returns('p', prices('brand', 'month'))} select series, {r('coalesce(mean, 0)', 'mean')} from (select distinct p_brand as series from part) left join (select series, avg(ret) as mean from p_r group by series) using (series)",
+    "stored_prices": f"select time, series, 'factor' as kind, {r('price')} from ({prices('flag')}) where time between date '1995-01-01' and date '1996-12-31'",
+    "rolling_ols_multi": f"{orthogonal(True)} select time, asset, {rounded(8, 'alpha', 'alpha')}, {BETAS}, {rounded(8, 'fitted', 'fitted')}, {rounded(8, 'residual', 'residual')} from fit",
+    "sample_ols_multi": f"{orthogonal(False)} select asset, {rounded(8, 'alpha', 'alpha')}, {BETAS} from cf",
+    "sample_ols_multi_fit": f"{orthogonal(False)} select time, asset, {rounded(8, 'fitted', 'fitted')}, {rounded(8, 'residual', 'residual')} from fit",
+    "rolling_risk_multi": f"{orthogonal(True)},\n{ROLLING_RISK} select time, asset, {RISK_COLUMNS} from rr",
+    "rolling_contributions_multi": f"""{orthogonal(True)} select time, ko.asset, factor, {rounded(9, f"case i {' '.join(f'when {j} then k{j}' for j in PARTS)} end", "contribution")}
+  from ko join (select distinct time, time_idx from a) d on d.time_idx = ko.t cross join fn""",
+    "sample_risk_multi": f"{orthogonal(False)}, rr as (select asset, {SYS} as sys_var, idio_var from ko join (select asset, var_samp(residual) as idio_var from fit group by asset) using (asset)) select asset, {RISK_COLUMNS} from rr",
+    "compute_mu_multi": f"""{orthogonal(False)}, mu as (select asset, {" + ".join(f"b{j} * a{j}" for j in PARTS)} + e + alpha as mu from cf join (select asset, avg(residual) as e from fit group by asset) using (asset))
+select asset, {rounded(8, f"(1 - {SHRINKAGE}) * mu + {SHRINKAGE} * avg(mu) over ()", "mu")} from mu""",
+    "compute_cov_multi": f"{orthogonal(False)},\n{MODEL_COV} select asset_i, asset_j, {rounded(9, f'case when asset_i = asset_j then cov + 1e-8 else (1 - {SHRINKAGE}) * cov end', 'cov')} from mc",
+    "variance_ewma": f"{panels()},\n{EW} select asset, {r('(sum(w * ret * ret) - sum(w * ret) * sum(w * ret)) / (1 - sum(w * w))', 'variance')} from ew group by asset",
+    "mean_factor_model_ewma": f"""{BASE},\n{SAMPLE2}, {EW.replace("ew as (select *", "wt as (select distinct time_idx")} select asset, {r('s + e + alpha', 'mu')} from (select asset, sum(beta * m) as s from bt join (select factor, sum(w * ret) as m from f2 join wt using (time_idx) group by factor) using (factor) group by asset)
+  join (select asset, sum(w * residual) as e from s2 join wt using (time_idx) group by asset) using (asset) join k2 using (asset)""",
+    "cov_factor_model_ewma": f"""{BASE},\n{SAMPLE2}, {EW.replace("ew as (select *", "wt as (select distinct time_idx")},
+fe as (select f2.*, w from f2 join wt using (time_idx)), ge as (select l.factor, q.factor as factor_p, (sum(l.w * l.ret * q.ret) - sum(l.w * l.ret) * sum(l.w * q.ret)) / (1 - sum(l.w * l.w)) as cov from fe l join fe q using (time_idx) group by all),
+sv as (select i.asset as asset_i, j.asset as asset_j, sum(i.beta * cov * j.beta) as s from bt i join ge using (factor) join bt j on j.factor = factor_p group by all)
+select asset_i, asset_j, {r('s + case when asset_i = asset_j then d else 0 end', 'cov')} from sv join (select asset, (sum(w * residual * residual) - sum(w * residual) * sum(w * residual)) / (1 - sum(w * w)) as d from s2 join wt using (time_idx) group by asset) on asset = asset_i""",
+    "minvar_two_asset": pair("greatest(0, least(1, (v2 - c) / (v1 + v2 - 2 * c)))"),
+    "mean_variance_two_asset": pair("greatest(0, least(1, (4 * (v2 - c) + m1 - m2) / (4 * (v1 + v2 - 2 * c))))"),
+    "max_sharpe_two_asset": pair(SHARPE),
+    "long_short_two_asset": pair("greatest(0.1, least(0.9, (2 * (v2 - c) + m1 - m2) / (2 * (v1 + v2 - 2 * c))))"),
+    "optimizer_fit_two_asset": pair("greatest(0, least(1, (v2 - c) / (v1 + v2 - 2 * c)))", f"{panels(by='status')},\n{EW_STABLE},\n{PAIR_COV}"),
+    "pair_rolling_weights": f"{ROLLING_PAIR} select path::int as path, time, asset, {rounded(4, 'weight', 'weight')} from pw",
+    "pair_diagnostic_summary": f"""{ROLLING_PAIR} select case when path >= 0 then 'bootstrap_paths' else 'realized_path' end as kind, count(*) as n_records, 1.0::double as success_rate, 0::bigint as constraint_violations,
+  {rounded(4, "median(cond)", "median_cond_number")}, {rounded(4, "max(cond)", "max_cond_number")}, {rounded(4, "median(better)", "median_obj_improvement")}, 0.0::double as max_multi_init_obj_diff from pc group by 1""",
+    "pair_weight_bands": f"{ROLLING_PAIR} select time, asset, {bands('weight', 4)} from pw group by time, asset",
+    "pair_weight_std": f"{ROLLING_PAIR} select time, asset, {rounded(4, 'stddev_samp(weight)', 'std')} from pw where path >= 0 group by time, asset",
+    "pair_top_assets": f"{ROLLING_PAIR} select asset, {rounded(4, 'avg(weight)', 'mean_weight')} from pw where path >= 0 group by asset order by avg(weight) desc, asset limit 6",
+    "pair_cumulative": f"{ROLLING_PAIR},\n{HELD_PAIR} select path::int as path, time, {rounded(2, 'cumulative', 'cumulative')} from cum",
+    "pair_weights_through_time": f"{ROLLING_PAIR} select time, asset, {rounded(4, 'weight', 'weight')} from pw where path = -1",
+    "pair_sample_weights": f"{SAMPLE_PAIR} select path::int as path, asset, {rounded(4, 'weight', 'weight')} from pw",
+    "pair_weight_boxes": f"""{SAMPLE_PAIR} select asset, {", ".join(rounded(4, f"quantile_cont(weight, {p}) filter (path >= 0)", n) for p, n in ((0.0, "least"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "most")))},
+  {rounded(4, "max(weight) filter (path < 0)", "realized")} from pw group by asset""",
 }

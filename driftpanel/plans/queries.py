@@ -6,6 +6,7 @@ Doubles are rounded to ten decimals.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, checks, moments, perturb, portfolio, regression, returns, risk
-from ..sources.prices import derived_prices, from_wide, to_wide
+from ..sources.cache import Store
+from ..sources.prices import derived_prices, from_wide, load_prices, to_wide
 from . import report
 
 WINDOW, EVERY, BLOCK, PATHS, SEED, HALFLIFE, SHRINKAGE = 52, 4, 4, 10, 42, 26, 0.1
 ONE, TWO = ["R"], ["R", "A"]
+REGIONS = 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -30,8 +33,19 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 10) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def panels(spark: SparkSession, sf_dir: str, factor: str = "flag") -> tuple[DataFrame, DataFrame]:
-    return returns.panel(derived_prices(spark, sf_dir, "type"), derived_prices(spark, sf_dir, factor))
+def panels(spark: SparkSession, sf_dir: str, factor: str = "flag", by: str = "type") -> tuple[DataFrame, DataFrame]:
+    return returns.panel(derived_prices(spark, sf_dir, by), derived_prices(spark, sf_dir, factor))
+
+
+SHARED: dict[tuple[str, ...], DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that several queries read, persisted for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in SHARED:
+        SHARED[key] = make().persist()
+    return SHARED[key]
 
 
 def one_factor(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -44,12 +58,15 @@ def two_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return a, f.filter(F.col("factor").isin(TWO)), returns.wide_factors(f, TWO)
 
 
-def drawn(spark: SparkSession, sf_dir: str, block: int = BLOCK, history: bool = True) -> tuple[DataFrame, DataFrame]:
+def drawn(spark: SparkSession, sf_dir: str, block: int = BLOCK, history: bool = True, by: str = "type") -> tuple[DataFrame, DataFrame]:
     """Assets and flag factors along the bootstrap paths, and the history as path -1."""
-    a, f = panels(spark, sf_dir)
-    draws = bootstrap.hashed_draws(a, block, PATHS, SEED)
-    pa, pf = bootstrap.resample(a, draws, block), bootstrap.resample(f, draws, block)
-    return (bootstrap.with_history(pa, a), bootstrap.with_history(pf, f)) if history else (pa, pf)
+    a, f = (shared(spark, sf_dir, f"panel-{by}-{k}", lambda x=x: x) for k, x in enumerate(panels(spark, sf_dir, by=by)))
+
+    def paths(panel: DataFrame) -> DataFrame:
+        found = bootstrap.resample(panel, bootstrap.hashed_draws(a, block, PATHS, SEED), block)
+        return bootstrap.with_history(found, panel) if history else found
+
+    return tuple(shared(spark, sf_dir, f"paths-{by}-{block}-{history}-{k}", lambda x=x: paths(x)) for k, x in enumerate((a, f)))
 
 
 # Panels
@@ -104,6 +121,15 @@ def wide_long_round_trip(spark, sf_dir):
     return from_wide(to_wide(prices, ["A", "N", "R"])).filter("price is not null")
 
 
+@query
+def stored_prices(spark, sf_dir):
+    """Factor prices through a store: made and kept by the first call, read by the second."""
+    store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/prices-{uuid.uuid4().hex}")
+    for _ in range(2):
+        out = load_prices(spark, sf_dir, "flag", kind="factor", start="1995-01-01", end="1996-12-31", store=store)
+    return out
+
+
 @query
 def panel_checks(spark, sf_dir):
     return checks.panel_counts(panels(spark, sf_dir)[0], "asset")
@@ -213,19 +239,76 @@ def decomposition_identity(spark, sf_dir):
 
 
 def _any_factors(spark, sf_dir):
-    a, f = panels(spark, sf_dir, "region")
-    return a.withColumn("path", F.lit(-1)), f.withColumn("path", F.lit(-1))
+    both = (x.withColumn("path", F.lit(-1)) for x in panels(spark, sf_dir, "region"))
+    return tuple(shared(spark, sf_dir, f"regions-{k}", lambda x=x: x) for k, x in enumerate(both))
+
+
+def each_beta() -> list:
+    return [F.round(F.col("betas")[k], 6).alias(f"b{k + 1}") for k in range(REGIONS)]
 
 
 @query
 def rolling_ols_multi(spark, sf_dir):
-    """Five region factors; with the identity ret = fitted + residual in the rows."""
-    return regression.rolling_ols_any(*_any_factors(spark, sf_dir), WINDOW).drop("path")
+    """Five region factors, in the order of their names."""
+    model = regression.rolling_ols_any(*_any_factors(spark, sf_dir), WINDOW)
+    return model.select("time", "asset", F.round("alpha", 8).alias("alpha"), *each_beta(), F.round("fitted", 8).alias("fitted"), F.round("residual", 8).alias("residual"))
 
 
 @query
 def sample_ols_multi(spark, sf_dir):
-    return regression.sample_ols_any(*_any_factors(spark, sf_dir)).drop("path")
+    return regression.sample_ols_any(*_any_factors(spark, sf_dir))[0].select("asset", F.round("alpha", 8).alias("alpha"), *each_beta())
+
+
+@query
+def sample_ols_multi_fit(spark, sf_dir):
+    fits = regression.sample_ols_any(*_any_factors(spark, sf_dir))[1]
+    return fits.select("time", "asset", F.round("fitted", 8).alias("fitted"), F.round("residual", 8).alias("residual"))
+
+
+def _risk_multi(spark, sf_dir):
+    a, f = _any_factors(spark, sf_dir)
+    return risk.rolling_risk_any(regression.rolling_ols_any(a, f, WINDOW), f, WINDOW)
+
+
+def _rounded_risk(df, *keys):
+    return df.select(*keys, *[F.round(c, 9).alias(c) for c in ("sys_var", "idio_var", "total_var")], F.round("sys_share", 6).alias("sys_share"))
+
+
+@query
+def rolling_risk_multi(spark, sf_dir):
+    return _rounded_risk(_risk_multi(spark, sf_dir), "time", "asset")
+
+
+@query
+def rolling_contributions_multi(spark, sf_dir):
+    """The heat map of any number of factors."""
+    return risk.contribution_rows(_risk_multi(spark, sf_dir)).select("time", "asset", "factor", F.round("contribution", 9).alias("contribution"))
+
+
+def _sample_model(spark, sf_dir):
+    a, f = _any_factors(spark, sf_dir)
+    coefficients, fits = regression.sample_ols_any(a, f)
+    return portfolio.factor_model(shared(spark, sf_dir, "five-coefficients", lambda: coefficients), shared(spark, sf_dir, "five-fits", lambda: fits), f)
+
+
+@query
+def sample_risk_multi(spark, sf_dir):
+    m = _sample_model(spark, sf_dir)
+    return _rounded_risk(risk.sample_risk(m["fits"], m["betas"], risk.factor_covariance(m["factors"])), "asset")
+
+
+@query
+def compute_mu_multi(spark, sf_dir):
+    """Shrunk means of the five-factor model."""
+    mu = portfolio.compute_mu(model=_sample_model(spark, sf_dir), method="factor_model", shrinkage=SHRINKAGE)
+    return mu.select("asset", F.round("mu", 8).alias("mu"))
+
+
+@query
+def compute_cov_multi(spark, sf_dir):
+    """Shrunk, stable covariances of the five-factor model."""
+    cov = portfolio.compute_cov(model=_sample_model(spark, sf_dir), method="factor_model", shrinkage=SHRINKAGE)
+    return cov.select("asset_i", "asset_j", F.round("cov", 9).alias("cov"))
 
 
 @query
@@ -296,6 +379,23 @@ def cov_factor_model(spark, sf_dir):
     return moments.cov_factor_model(m["betas"], risk.factor_covariance(m["factors"]), m["fits"])
 
 
+@query
+def mean_factor_model_ewma(spark, sf_dir):
+    m = _two_factor_model(spark, sf_dir)
+    return moments.mean_factor_model(m["betas"], m["factors"], m["fits"], m["coefficients"], HALFLIFE)
+
+
+@query
+def cov_factor_model_ewma(spark, sf_dir):
+    m = _two_factor_model(spark, sf_dir)
+    return moments.cov_factor_model(m["betas"], moments.factor_cov(m["factors"], HALFLIFE), m["fits"], HALFLIFE)
+
+
+@query
+def variance_ewma(spark, sf_dir):
+    return moments.variance_of(panels(spark, sf_dir)[0], "asset", halflife=HALFLIFE).withColumnRenamed("v", "variance")
+
+
 # Bootstrap
 
 
@@ -353,29 +453,53 @@ def residual_bootstrap(spark, sf_dir):
 # Portfolios
 
 
-def _stable(spark, sf_dir, names=None):
-    a = panels(spark, sf_dir)[0]
-    if names:
-        a = a.filter(F.col("asset").isin(names))
+def _stable(spark, sf_dir, by="type"):
+    a = panels(spark, sf_dir, by=by)[0]
     return a, moments.stabilized(moments.shrink_cov(moments.cov_hist(a), SHRINKAGE))
 
 
-def _first_cov(spark, sf_dir, n: int) -> DataFrame:
-    """The stable covariance of the first ``n`` assets by name."""
-    a = panels(spark, sf_dir)[0]
-    names = a.select("asset").distinct().orderBy("asset").limit(n)
-    return moments.stabilized(moments.shrink_cov(moments.cov_hist(a.join(F.broadcast(names), "asset")), SHRINKAGE))
+def _pair(spark, sf_dir, problem, with_mu=True):
+    """Weights of the two line statuses, whose problem SQL can solve."""
+    a, cov = _stable(spark, sf_dir, "status")
+    return portfolio.optimize_groups(cov, moments.mean_hist(a) if with_mu else None, problem).select("asset", F.round("weight", 4).alias("weight"))
 
 
 @query
 def minvar_two_asset(spark, sf_dir):
-    solved = portfolio.optimize_groups(_first_cov(spark, sf_dir, 2), None, portfolio.Problem(), [])
-    return solved.select("asset", F.round("weight", 6).alias("weight"))
+    return _pair(spark, sf_dir, portfolio.Problem(), with_mu=False)
+
+
+@query
+def mean_variance_two_asset(spark, sf_dir):
+    return _pair(spark, sf_dir, portfolio.Problem("mean_variance", risk_aversion=2.0))
+
+
+@query
+def max_sharpe_two_asset(spark, sf_dir):
+    return _pair(spark, sf_dir, portfolio.Problem("max_sharpe"))
+
+
+@query
+def long_short_two_asset(spark, sf_dir):
+    return _pair(spark, sf_dir, portfolio.Problem("mean_variance", long_only=False, gross_budget=1.4, short_budget=0.2, min_weight=-0.2, max_weight=0.9))
+
+
+@query
+def optimizer_fit_two_asset(spark, sf_dir):
+    optimizer = portfolio.PortfolioOptimizer(portfolio.MeanEstimator("ewma", HALFLIFE), portfolio.CovarianceEstimator("ewma", HALFLIFE, SHRINKAGE))
+    return optimizer.fit(panels(spark, sf_dir, by="status")[0]).get_weights().select("asset", F.round("weight", 4).alias("weight"))
 
 
 @query
 def minvar_closed_form_3(spark, sf_dir):
-    return portfolio.closed_form(_first_cov(spark, sf_dir, 3)).select("asset", F.round("weight", 8).alias("weight"))
+    """Of the three return flags."""
+    return portfolio.closed_form(_stable(spark, sf_dir, "flag")[1]).select("asset", F.round("weight", 8).alias("weight"))
+
+
+@query
+def minvar_closed_form(spark, sf_dir):
+    """Of all part types."""
+    return portfolio.closed_form(_stable(spark, sf_dir)[1])
 
 
 @query
@@ -429,18 +553,23 @@ def _rebalances(times: DataFrame) -> DataFrame:
 def rebalance_slices(spark, sf_dir):
     a = panels(spark, sf_dir)[0]
     times = a.select("time", "time_idx").distinct()
-    at = _rebalances(times).select(F.col("time").alias("at"), "window_start")
-    rows = a.join(F.broadcast(at), (F.col("time") >= F.col("window_start")) & (F.col("time") <= F.col("at")))
+    at = portfolio.slices(_rebalances(times))
+    rows = a.join(at, "time")
     return rows.groupBy("at", "asset").agg(F.count("*").alias("n_rows"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"))
 
 
-def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rolling(spark: SparkSession, sf_dir: str, by: str = "type", names: list[str] | None = None) -> DataFrame:
     """Weights and records at each rebalance of all paths and the history."""
-    a, f = drawn(spark, sf_dir)
-    a, f = a.drop("source_idx"), f.drop("source_idx")
-    model = regression.rolling_ols_any(a, f, WINDOW)
-    times = a.select("path", "time", "time_idx").distinct()
-    return portfolio.rolling_weights(model, f, _rebalances(times), portfolio.Problem(), SHRINKAGE)
+
+    def make() -> DataFrame:
+        a, f = drawn(spark, sf_dir, by=by)
+        a, f = a.drop("source_idx"), f.drop("source_idx")
+        f = f if names is None else f.filter(F.col("factor").isin(names))
+        model = regression.rolling_ols_any(a, f, WINDOW)
+        times = a.select("path", "time", "time_idx").distinct()
+        return portfolio.rolling_weights(model, f, _rebalances(times), portfolio.Problem(), SHRINKAGE)
+
+    return shared(spark, sf_dir, f"rolling-{by}-{names}", make)
 
 
 @query
@@ -475,6 +604,77 @@ def cumulative_portfolio(spark, sf_dir):
     return report.portfolio_cumulative(rolling(spark, sf_dir), a.drop("source_idx"))
 
 
+def _rolling_pair(spark, sf_dir):
+    """The same of the two line statuses and one factor, whose problems SQL can solve."""
+    return rolling(spark, sf_dir, "status", ONE)
+
+
+def _rounded_to(df, digits, *names):
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+@query
+def pair_rolling_weights(spark, sf_dir):
+    return _rounded_to(_rolling_pair(spark, sf_dir).select("path", "time", "asset", "weight"), 4, "weight")
+
+
+@query
+def pair_diagnostic_summary(spark, sf_dir):
+    summary = report.diagnostic_summary(portfolio.diagnostics(_rolling_pair(spark, sf_dir), ["path", "time"]))
+    return _rounded_to(summary, 4, "median_cond_number", "max_cond_number", "median_obj_improvement", "max_multi_init_obj_diff")
+
+
+@query
+def pair_weight_bands(spark, sf_dir):
+    return _rounded_to(report.bands(_rolling_pair(spark, sf_dir), "weight", ["time", "asset"]), 4, "p10", "median", "p90", "realized")
+
+
+@query
+def pair_weight_std(spark, sf_dir):
+    return _rounded_to(report.spread(_rolling_pair(spark, sf_dir), "weight", ["time", "asset"]), 4, "std")
+
+
+@query
+def pair_top_assets(spark, sf_dir):
+    return _rounded_to(report.top_assets(_rolling_pair(spark, sf_dir)), 4, "mean_weight")
+
+
+@query
+def pair_cumulative(spark, sf_dir):
+    a, _ = drawn(spark, sf_dir, by="status")
+    out = report.portfolio_cumulative(_rolling_pair(spark, sf_dir), a.drop("source_idx")).select("path", "time", "cumulative")
+    return _rounded_to(out, 2, "cumulative")
+
+
+@query
+def pair_weights_through_time(spark, sf_dir):
+    """What an area chart of the history's weights shows."""
+    history = _rolling_pair(spark, sf_dir).filter("path = -1").drop("path")
+    return _rounded_to(report.weights_through_time(history.withColumn("weight", F.greatest("weight", F.lit(0.0))), kind="area"), 4, "weight")
+
+
+def _sample_pair(spark, sf_dir):
+    a, f = drawn(spark, sf_dir, by="status")
+    return portfolio.sample_weights(a.drop("source_idx"), f.drop("source_idx").filter(F.col("factor").isin(ONE)), portfolio.Problem(), SHRINKAGE)
+
+
+@query
+def pair_sample_weights(spark, sf_dir):
+    """One problem for each path, on its whole sample."""
+    return _rounded_to(_sample_pair(spark, sf_dir).select("path", "asset", "weight"), 4, "weight")
+
+
+@query
+def pair_weight_boxes(spark, sf_dir):
+    return _rounded_to(report.weight_boxes(_sample_pair(spark, sf_dir)), 4, "least", "q1", "median", "q3", "most", "realized")
+
+
+@query
+def sample_weights(spark, sf_dir):
+    a, f = drawn(spark, sf_dir)
+    return portfolio.sample_weights(a.drop("source_idx"), f.drop("source_idx"), portfolio.Problem(), SHRINKAGE).select("path", "asset", "weight")
+
+
 def _equal(spark, sf_dir):
     a, _ = drawn(spark, sf_dir)
     a = a.drop("source_idx")
@@ -522,7 +722,7 @@ def event_daily_mean(spark, sf_dir):
 def risk_lines(spark, sf_dir):
     """Shares of systematic and own variance of one asset by week."""
     model = regression.rolling_ols(*one_factor(spark, sf_dir), WINDOW)
-    one = model.join(F.broadcast(model.agg(F.min("asset").alias("asset"))), "asset")
+    one = model.join(model.agg(F.min("asset").alias("asset")), "asset")
     whole = F.col("sys_var") + F.col("idio_var")
     return risk.rolling_risk(one, WINDOW).select("time", "asset", F.try_divide("sys_var", whole).alias("sys"), F.try_divide("idio_var", whole).alias("idio"))
 

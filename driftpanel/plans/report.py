@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.returns import select_series
+
 
 def bands(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Exact p10, median and p90 across paths (history, path -1, apart), and the history's value."""
@@ -18,6 +20,23 @@ def spread(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.filter("path >= 0").groupBy(*keys).agg(F.stddev_samp(value).alias("std"))
 
 
+def weights_through_time(weights: DataFrame, assets: list[str] | None = None, kind: str = "line") -> DataFrame:
+    """time, asset, weight (by path if there is one) of the named assets; all of them must be there.
+    An area cannot show negative weights: with one below -1e-12 it fails when it is met."""
+    if kind not in ("line", "area"):
+        raise ValueError("kind must be 'line' or 'area'")
+    rows = weights if assets is None else select_series(weights, "asset", assets)
+    shown = F.when(F.col("weight").isNull() | (F.col("weight") >= -1e-12), F.col("weight")).otherwise(F.raise_error(F.lit("an area needs weights of at least 0")).cast("double"))
+    return rows.select(*[c for c in ("path",) if c in rows.columns], "time", "asset", (shown if kind == "area" else F.col("weight")).alias("weight"))
+
+
+def weight_boxes(weights: DataFrame) -> DataFrame:
+    """By asset the least, quartiles and largest of the paths' weights, and the history's."""
+    drawn = F.when(F.col("path") >= 0, F.col("weight"))
+    cuts = [F.percentile(drawn, p).alias(name) for p, name in ((0.0, "least"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "most"))]
+    return weights.groupBy("asset").agg(*cuts, F.max(F.when(F.col("path") < 0, F.col("weight"))).alias("realized"))
+
+
 def top_assets(weights: DataFrame, n: int = 6) -> DataFrame:
     """The assets of the largest mean weight; ties by name."""
     mean = weights.filter("path >= 0").groupBy("asset").agg(F.avg("weight").alias("mean_weight"))
@@ -48,7 +67,7 @@ def portfolio_cumulative(weights: DataFrame, returns: DataFrame) -> DataFrame:
 def equal_weights(returns: DataFrame, rebalances: DataFrame) -> DataFrame:
     """path, time, asset, weight = 1 / assets at each rebalance (time_idx)."""
     n = F.count("*").over(W.partitionBy("path", "time"))
-    return returns.join(F.broadcast(rebalances.select("time_idx")), "time_idx", "left_semi").select("path", "time", "asset", (F.lit(1.0) / n).alias("weight"))
+    return returns.join(rebalances.select("time_idx"), "time_idx", "left_semi").select("path", "time", "asset", (F.lit(1.0) / n).alias("weight"))
 
 
 def diagnostic_summary(records: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import Store
+
 #: Series that a panel can be built on, by the table that names them.
 SERIES = ("type", "brand", "flag", "status", "region", "priority", "event")
 
@@ -58,9 +60,14 @@ def derived_prices(spark: SparkSession, sf_dir: str, by: str, frequency: str = "
     return volume.select("time", "series", F.try_divide("value", "quantity").alias("price"))
 
 
-def load_prices(spark: SparkSession, path: str, series: Sequence[str] | None = None, start: str | None = None, end: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
+def read_prices(spark: SparkSession, path: str, series: Sequence[str] | None = None, start: str | None = None, end: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
     """A stored panel of time, series, price; filters reach the scan."""
     rows = spark.read.format(fmt).options(**options).load(path).select(F.col("time").cast("date").alias("time"), F.col("series").cast("string").alias("series"), F.col("price").cast("double").alias("price"))
+    return between(rows, series, start, end)
+
+
+def between(rows: DataFrame, series: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The named series from ``start`` to ``end``, both included; what is None is not bounded."""
     if series is not None:
         rows = rows.filter(F.col("series").isin(list(series)))
     if start is not None:
@@ -68,6 +75,40 @@ def load_prices(spark: SparkSession, path: str, series: Sequence[str] | None = N
     return rows if end is None else rows.filter(F.col("time") <= F.lit(end).cast("date"))
 
 
+#: How a frequency is called in the metadata of a panel.
+FREQUENCIES = {"day": "daily", "week": "weekly", "month": "monthly"}
+
+
+def load_prices(
+    spark: SparkSession, sf_dir: str, by: str, *, kind: str = "asset", frequency: str = "week", series: Sequence[str] | None = None, start: str | None = None, end: str | None = None, store: Store | None = None,
+) -> DataFrame:
+    """time, series, kind, price of derived prices, with their origin as the price column's metadata.
+    With a ``store`` they are kept as asked for, and read there the next time; which series are asked
+    for counts, not in which order."""
+    if kind not in ("asset", "factor"):
+        raise ValueError("kind must be 'asset' or 'factor'")
+
+    def make() -> DataFrame:
+        return between(derived_prices(spark, sf_dir, by, frequency), series, start, end).select("time", "series", F.lit(kind).alias("kind"), "price")
+
+    settings = {"from": sf_dir, "by": by, "frequency": frequency, "start": start, "end": end}
+    rows = make() if store is None else store.fetch(Store.name(f"{kind}-prices", settings, {"series": series or ["*"]}), make)
+    origin = {"by": by, "frequency": FREQUENCIES[frequency], "kind": kind, "value": "mean" if by in ("event", "priority") else "volume-weighted average"}
+    return rows.select("time", "series", "kind", F.col("price").alias("price", metadata=origin))
+
+
+def to_long(data: DataFrame, value: str = "ret") -> DataFrame:
+    """time, series and ``value`` of a long or a wide frame, in time order; an empty one fails, and so
+    does one without time."""
+    if "time" not in data.columns:
+        raise ValueError("no time column")
+    label = next((c for c in ("series", "asset", "factor") if c in data.columns), None)
+    long = data.select("time", F.col(label).alias("series"), value) if label and value in data.columns else from_wide(data, value=value)
+    if long.isEmpty():
+        raise ValueError("the frame is empty")
+    return long.orderBy("time", "series")
+
+
 def from_wide(df: DataFrame, time: str = "time", value: str = "price") -> DataFrame:
     """A wide frame (one column for each series) as a long one; missing stays missing."""
     names = [c for c in df.columns if c != time]

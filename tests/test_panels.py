@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftpanel.operators import bootstrap, checks, moments, portfolio, regression, returns, risk
+from driftpanel.operators import bootstrap, checks, moments, portfolio, regression, returns, risk, runs
 from driftpanel.plans import report
 from driftpanel.sources import cache, prices
 
+#: A small panel of three assets and two factors.
 A = np.array([[0.010, 0.005, -0.002], [0.011, 0.004, -0.001], [0.009, 0.006, 0.000], [0.008, 0.003, 0.001], [0.012, 0.002, -0.003], [0.007, 0.005, 0.002]])
 FACTORS = np.array([[0.010, 0.004], [0.011, 0.003], [0.009, 0.005], [0.008, 0.002], [0.012, 0.001], [0.007, 0.004]])
 
@@ -66,7 +67,7 @@ def test_any_number_of_factors_matches_least_squares(spark):
         b = np.linalg.lstsq(x, r[w][:, "AB".index(row.asset)], rcond=None)[0]
         assert np.allclose([row.alpha, *row.betas], b, atol=1e-9)
         assert abs(row.fitted + row.residual - r[row.time_idx, "AB".index(row.asset)]) < 1e-12
-    whole = regression.sample_ols_any(a, g).filter("asset = 'A'").first()
+    whole = regression.sample_ols_any(a, g)[0].filter("asset = 'A'").first()
     assert np.allclose([whole.alpha, *whole.betas], np.linalg.lstsq(np.column_stack([np.ones(40), f]), r[:, 0], rcond=None)[0])
 
 
@@ -130,14 +131,15 @@ def test_estimators_and_groups(small):
     assert checks.missing_labels(small[0], "asset", ["A", "Z"]) == ["Z"]
 
 
-def test_cache_keys_and_wide_frames(spark, tmp_path):
-    assert cache.price_key(["B", "A"], "x", "y", "1d") == cache.price_key(["A", "B"], "x", "y", "1d")
-    assert cache.bootstrap_key(["B", "A"], [], "x", "y", 1, 1, 1) != cache.bootstrap_key(["A", "B"], [], "x", "y", 1, 1, 1)
-    made = []
+def test_store_names_and_wide_frames(spark, tmp_path):
+    name = cache.Store.name
+    assert name("x", {"a": 1}, {"l": ["B", "A"]}) == name("x", {"a": 1}, {"l": ["A", "B"]}) != name("x", {"a": 2}, {"l": ["A", "B"]})
+    assert name("x", {"a": ["B", "A"]}) != name("x", {"a": ["A", "B"]}) and name("x", {"a": 1, "b": 2}) == name("x", {"b": 2, "a": 1})
+    store, made = cache.Store(spark, str(tmp_path)), []
     make = lambda: made.append(1) or spark.range(3)
     for _ in range(2):
-        assert cache.read_through(spark, str(tmp_path), "k", make).count() == 3
-    assert made == [1]
+        assert store.fetch("k", make).count() == 3
+    assert made == [1] and store.holds("k") and not store.holds("other")
     wide = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0, float("nan"))], "time date, A double, B double")
     assert {(r.series, r.price) for r in prices.from_wide(wide).collect()} == {("A", 1.0), ("B", None)}
     with pytest.raises(ValueError):
@@ -156,3 +158,145 @@ def test_event_stream_gives_the_batch_means(spark, tmp_path):
         assert sorted(r.price for r in spark.table("means").collect()) == [1.5, 5.5, 9.5]
     finally:
         job.stop()
+
+
+def numpy_risk(r, f, window):
+    """(time_idx, asset) -> contributions and own variance, by the definitions."""
+    beta, resid, out = {}, np.full(r.shape, np.nan), {}
+    for t in range(window - 1, len(f)):
+        w = slice(t - window + 1, t + 1)
+        b = np.linalg.lstsq(np.column_stack([np.ones(window), f[w]]), r[w], rcond=None)[0]
+        beta[t], resid[t] = b[1:], r[t] - b[0] - f[t] @ b[1:]
+        sigma = np.cov(f[w], rowvar=False)
+        for j in range(r.shape[1]):
+            own = resid[w, j]
+            out[t, j] = b[1:, j] * (sigma @ b[1:, j]), None if np.isnan(own).any() else own.var(ddof=1)
+    return out
+
+
+def test_rolling_risk_of_three_factors(spark):
+    rng = np.random.default_rng(8)
+    r, f, window = rng.normal(0, 0.01, (30, 2)), rng.normal(0, 0.01, (30, 3)), 6
+    a = long(spark, r, "AB", "asset").withColumn("path", F.lit(0))
+    g = long(spark, f, "XYZ", "factor").withColumn("path", F.lit(0))
+    want = numpy_risk(r, f, window)
+    rows = risk.rolling_risk_any(regression.rolling_ols_any(a, g, window), g, window).collect()
+    assert len(rows) == len(want)
+    for row in rows:
+        parts, own = want[row.time_idx, "AB".index(row.asset)]
+        assert np.allclose(row.contributions, parts, atol=1e-12) and abs(row.sys_var - parts.sum()) < 1e-12
+        assert row.idio_var is None if own is None else abs(row.idio_var - own) < 1e-12
+        assert row.sys_share is None if own is None else abs(row.sys_share - parts.sum() / (parts.sum() + own)) < 1e-9
+    long_rows = risk.contribution_rows(risk.rolling_risk_any(regression.rolling_ols_any(a, g, window), g, window))
+    assert long_rows.count() == 3 * len(want) and set(long_rows.columns) == {"path", "time", "asset", "factor", "contribution"}
+
+
+def test_windows_do_not_depend_on_runs(spark):
+    rng = np.random.default_rng(4)
+    a, f = long(spark, rng.normal(0, 1, (25, 2)), "AB", "asset"), long(spark, rng.normal(0, 1, (25, 1)), "X", "factor")
+    rows = regression.joined(a, returns.wide_factors(f, ["X"]))
+    for chunk in (3, 7, 100):
+        cut = runs.own_rows(runs.in_runs(rows, 4, chunk), chunk)
+        assert cut.count() == rows.count() and cut.exceptAll(rows.select(cut.columns)).count() == 0
+
+
+def test_compute_mu_and_cov_of_a_model(small):
+    a, f = (x.withColumn("path", F.lit(0)) for x in small)
+    model = portfolio.factor_model(*regression.sample_ols_any(a, f), f)
+    mu = {r.asset: r.mu for r in portfolio.compute_mu(model=model, method="factor_model", shrinkage=0.1).collect()}
+    assert np.allclose([mu[k] for k in "ABC"], [0.00898888889, 0.00418888889, -0.0000111111], atol=1e-10)
+    cov = {(r.asset_i, r.asset_j): r.cov for r in portfolio.compute_cov(model=model, method="factor_model", shrinkage=0.1).collect()}
+    want = 0.9 * np.cov(A, rowvar=False) + 0.1 * np.diag(np.diag(np.cov(A, rowvar=False))) + 1e-8 * np.eye(3)
+    assert np.allclose([[cov[i, j] for j in "ABC"] for i in "ABC"], want, atol=1e-14)
+    rolling = portfolio.factor_model(regression.rolling_ols_any(a, f, 4), small[0].limit(0).withColumn("residual", F.lit(0.0)), f)
+    assert rolling["betas"].count() == 6
+    w = {r.asset: r.weight for r in portfolio.sample_weights(a, f, portfolio.Problem()).collect()}
+    assert abs(w["A"] - 0.44705882) < 1e-6 and abs(sum(w.values()) - 1) < 1e-8
+
+
+def test_a_value_that_is_not_finite_fails(spark):
+    cov = spark.createDataFrame([("A", "A", 1.0), ("A", "B", float("nan"))], "asset_i string, asset_j string, cov double")
+    with pytest.raises(Exception, match="not finite"):
+        checks.finite(cov).collect()
+    assert checks.finite(cov.limit(1)).count() == 1
+
+
+def test_ewma_moments_are_those_of_pandas(small):
+    h = 2.0
+    wide = pd.DataFrame(FACTORS, columns=["MKT", "SEC"])
+    mean = {r.factor: r.m for r in moments.mean_of(small[1], "factor", halflife=h).collect()}
+    assert np.allclose([mean[k] for k in wide], wide.ewm(halflife=h, adjust=False).mean().iloc[-1], atol=1e-15)
+    cov = {(r.factor, r.factor_p): r.cov for r in moments.factor_cov(small[1], h).collect()}
+    want = wide.ewm(halflife=h, adjust=False).cov().loc[5]
+    assert np.allclose([[cov[i, j] for j in wide] for i in wide], want, atol=1e-18)
+    var = {r.factor: r.v for r in moments.variance_of(small[1], "factor", halflife=h).collect()}
+    assert np.allclose([var[k] for k in wide], np.diag(want), atol=1e-18)
+
+
+def test_weights_for_figures(spark):
+    day = dt.date(2024, 1, 1)
+    w = spark.createDataFrame([(p, day, n, x) for p in (-1, 0, 1, 2) for n, x in (("A", 0.1 * (p + 2)), ("B", 1 - 0.1 * (p + 2)))], "path int, time date, asset string, weight double")
+    boxes = {r.asset: r for r in report.weight_boxes(w).collect()}
+    assert np.allclose([boxes["A"].least, boxes["A"].q1, boxes["A"].median, boxes["A"].most, boxes["A"].realized], [0.2, 0.25, 0.3, 0.4, 0.1])
+    assert report.weights_through_time(w, ["A"], "area").count() == 4
+    with pytest.raises(ValueError):
+        report.weights_through_time(w, ["A", "Z"])
+    with pytest.raises(Exception, match="at least 0"):
+        report.weights_through_time(w.withColumn("weight", -F.col("weight")), kind="area").collect()
+    assert report.weights_through_time(w.withColumn("weight", -F.col("weight"))).count() == 8
+
+
+def test_closed_form_by_path(spark):
+    covs = {p: np.cov(np.random.default_rng(p).normal(size=(30, 3)), rowvar=False) for p in (0, 1)}
+    rows = [(p, i, j, float(c["ABC".index(i), "ABC".index(j)])) for p, c in covs.items() for i in "ABC" for j in "ABC"]
+    got = {(r.path, r.asset): r.weight for r in portfolio.closed_form(spark.createDataFrame(rows, "path int, asset_i string, asset_j string, cov double")).collect()}
+    for p, c in covs.items():
+        x = np.linalg.solve(c, np.ones(3))
+        assert np.allclose([got[p, n] for n in "ABC"], x / x.sum())
+
+
+def test_stored_paths_are_drawn_once(small, spark, tmp_path):
+    a, f = small
+    store = cache.Store(spark, str(tmp_path))
+    one, two = (bootstrap.paths(a, f, 2, 3, 7, store, "small")[0] for _ in range(2))
+    assert one.exceptAll(two).count() == 0 and len(list(tmp_path.iterdir())) == 2
+    assert bootstrap.paths(a, f, 2, 3, 8, store, "small")[0].count() == 54 and len(list(tmp_path.iterdir())) == 4
+    bootstrap.paths(a, f, 2, 3, None, store, "small")
+    assert len(list(tmp_path.iterdir())) == 4
+
+
+def test_residual_paths_without_residuals_are_the_model(small):
+    """Degenerate residuals: every path is alpha + beta f of the drawn dates."""
+    a, f = small
+    fits = a.select("time", "time_idx", "asset", F.lit(0.0).alias("residual"))
+    betas = a.sparkSession.createDataFrame([("A", 0.1, 1.0), ("B", 0.0, 2.0), ("C", 0.2, 0.0)], "asset string, alpha double, beta double")
+    market = f.filter("factor = 'MKT'")
+    rows = bootstrap.residual_paths(fits, market, betas, bootstrap.hashed_draws(a, 2, 5, 1), 2).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.path, r.time_idx), {})[r.asset] = r.ret
+    values = set(np.round(FACTORS[:, 0], 12))
+    assert all(abs(v["C"] - 0.2) < 1e-15 and round(v["A"] - 0.1, 12) in values and abs(v["B"] - 2 * (v["A"] - 0.1)) < 1e-12 for v in by.values())
+
+
+def test_symmetric_assets_get_equal_weights():
+    rng = np.random.default_rng(9)
+    for rho in (0.0, 0.3, 0.8):
+        cov = 0.04 * (rho + (1 - rho) * np.eye(5))
+        w, record = portfolio.optimize(cov, None, portfolio.Problem(), int(rng.integers(100)))
+        assert np.allclose(w, 0.2, atol=1e-7) and record["weight_diff_init"] < 1e-5
+
+
+def test_loaded_prices_carry_their_origin(spark, tmp_path):
+    items = spark.createDataFrame([(dt.date(2024, 1, d), s, 10.0 * d, 2.0) for d in (1, 2, 9) for s in "AN"], "l_shipdate date, l_returnflag string, l_extendedprice double, l_quantity double")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    store = cache.Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        got = prices.load_prices(spark, str(tmp_path), "flag", kind="factor", frequency="day", series=["A"], end="2024-01-02", store=store)
+    assert [(r.time, r.series, r.kind, r.price) for r in got.orderBy("time").collect()] == [(dt.date(2024, 1, 1), "A", "factor", 5.0), (dt.date(2024, 1, 2), "A", "factor", 10.0)]
+    assert got.schema["price"].metadata["frequency"] == "daily"
+    with pytest.raises(ValueError):
+        prices.load_prices(spark, str(tmp_path), "flag", kind="other")
+    with pytest.raises(ValueError):
+        prices.to_long(got.limit(0), "price")
+    assert prices.to_long(got, "price").columns == ["time", "series", "price"]

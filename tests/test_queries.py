@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.compare import rows_of, rows_of_sql
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["panel_vwap", "log_returns", "aligned_returns", "business_windows", "sample_ols_k2", "rolling_risk_k1", "cov_ewma", "cov_factor_model", "bootstrap_paths", "minvar_two_asset", "cumulative_bands"]
+NAMES = ["panel_vwap", "log_returns", "aligned_returns", "business_windows", "sample_ols_k2", "rolling_risk_k1", "cov_ewma", "cov_factor_model", "bootstrap_paths", "minvar_two_asset", "cumulative_bands", "sample_ols_multi", "rolling_risk_multi", "pair_rolling_weights"]
 
 
 def test_every_sql_has_its_query():

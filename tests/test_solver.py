@@ -45,10 +45,19 @@ def test_errors():
         optimize(np.eye(2), None, Problem(short_budget=0.1))
     with pytest.raises(ValueError):
         optimize(np.eye(2), None, Problem("other"))
-    with pytest.raises(TypeError):
+    with pytest.raises(ValueError):
         classic_optimizer(colour="red")
 
 
 def test_infeasible_is_reported():
     w, record = optimize(np.eye(3), None, Problem(max_weight=0.1, raise_on_failure=False))
     assert np.isnan(w).all() and not record["success"]
+
+
+def test_starts_end_at_the_same_weights():
+    rng = np.random.default_rng(12)
+    for k in range(40):
+        n = int(rng.integers(2, 25))
+        x = rng.normal(size=(n + 5, n)) * rng.uniform(0.2, 3, n)
+        w, record = optimize(np.cov(x, rowvar=False) + 1e-8 * np.eye(n), rng.normal(0, 0.1, n), Problem(("min_variance", "mean_variance")[k % 2]), k)
+        assert record["success"] and record["obj_diff_init"] < 1e-6 and record["weight_diff_init"] < 1e-2
