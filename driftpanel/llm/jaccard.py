@@ -192,8 +192,9 @@ def linked(gid: np.ndarray, prefix: list[np.ndarray], n: np.ndarray, cells: list
     return [(k, int(r)) for k, r in enumerate(root) if r != k]
 
 
-def links_in_clusters(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``members`` has cluster, sid, gid, n, prefix: edges u, v (sids) that connect what links connect.
+def links_in_clusters(members: DataFrame, sets: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """``members`` has cluster, sid, gid, n; ``sets`` sid, cells; ``prefixes`` gid, prefix: edges u, v
+    (sids) that connect what links connect.
 
     A cluster of at most PART_SETS sets and PART_SHINGLES shingles is one task's work. A larger one
     is cut into parts of about that size by a hash of the sid, and each pair of parts is one.
@@ -202,7 +203,7 @@ def links_in_clusters(members: DataFrame, sets: DataFrame, num: int, den: int) -
     parts = F.greatest(F.ceil(F.col("m") / PART_SETS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
     dealt = spread_join(members, reliable(sizes.select("cluster", parts.alias("parts"))), ["cluster"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("a"), F.greatest(k, F.col("part")).alias("b")))
-    rows = dealt.join(sets, "sid").select("cluster", "sid", "gid", "n", "prefix", "part", "cells", F.explode(pairs).alias("p"))
+    rows = spread_join(reliable(dealt), prefixes, ["gid"]).join(sets, "sid").select("cluster", "sid", "gid", "n", "prefix", "part", "cells", F.explode(pairs).alias("p"))
     rows = rows.select("cluster", "p.a", "p.b", "sid", "gid", "n", "prefix", "part", "cells").repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +246,8 @@ def similar_components(
     each = document_sets(docs, id_col, text_col, width, num, den)
     some = each.filter("n > 0")
 
-    sets = reliable(some.groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.first("prefix").alias("prefix")))
-    groups = sets.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
+    sets = reliable(some.groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash")))
+    groups = some.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", F.explode("prefix").alias("token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
     bucket = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(den / num))).cast("int")
@@ -261,9 +262,10 @@ def similar_components(
     clusters = components(own.union(across)).select(F.col("node").alias("gid"), "root")
     several = sets.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1").select("gid")
     marks = reliable(clusters.join(several, "gid", "full_outer").select("gid", F.coalesce("root", "gid").alias("cluster")))
-    members = reliable(spread_join(sets, marks, ["gid"]).select("sid", "gid", "n", "text_hash", "cluster", "prefix"))
+    members = reliable(spread_join(sets, marks, ["gid"]).select("sid", "gid", "n", "text_hash", "cluster"))
     cells = whole_sets(docs, members.select("sid", "text_hash"), text_col, width)
-    roots = components(links_in_clusters(members.drop("text_hash"), cells, num, den))
+    prefixes = some.filter(hash_filter(members.select("gid"), "gid")(F.col("gid"))).groupBy("gid").agg(F.first("prefix").alias("prefix"))
+    roots = components(links_in_clusters(members.drop("text_hash"), cells, prefixes, num, den))
 
     base = sets.select("sid", "least_id").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least_id", F.coalesce("root", "sid").alias("root"))
     ids = base.groupBy("root").agg(F.min("least_id").alias("component_id"))

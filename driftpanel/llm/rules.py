@@ -6,9 +6,6 @@ votes on a good document says keep, and how often on a bad one it says reject. A
 if the posterior probability that it is good is at least one half. The patterns are at most
 3 ** rules, whatever the number of documents, so the estimation is one expression over one row.
 
-Counts, votes and the other columns are written once to the shared folder; estimation and verdict
-read them there.
-
 Null texts have no words; texts of any length are counted whole. Repeated rows and null ids are
 scored one by one; a posterior of exactly one half keeps. Other columns pass through untouched,
 whatever their names, but for those named like an output, which are replaced. An empty table gives
@@ -20,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, once, written
+from .common import free_names, once, reliable
 
 WINDOW = 5
 ROUNDS = 25
@@ -101,9 +98,10 @@ def estimates(patterns: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with STATS, votes, posterior (of a good document), base_failed and kept; without its
-    text column if ``keep_text`` is false."""
+    text column if ``keep_text`` is false: then counts are computed once into the checkpoint folder,
+    and else twice, as a copy of all texts would fill it."""
     scored = text_stats(docs, text_col).withColumn("votes", F.expr(votes())).withColumn("base_failed", F.expr(BASE_FAILED))
-    scored = written(scored if keep_text else scored.drop(text_col), "votes")
+    scored = scored if keep_text else reliable(scored.drop(text_col))
     patterns = scored.groupBy("votes").agg(F.count("*").alias("n"))
     # One row for each pattern that occurs: at most 3 ** len(RULES).
     (own,) = free_names(scored, "_votes")
