@@ -9,11 +9,9 @@ enhanced suffix array, its stack scan gives the common-prefix intervals, and in
 bytes before the seed are tested: members that differ there form a maximal repeat with all its
 occurrences, and if left and right extents reach ``length`` they are repeated bytes.
 
-A seed with more than ``MAX_CONTEXTS`` different contexts is no task's work. A string of ``length``
-bytes around it goes on by half of what is missing at least, to the right or to the left: the seed's
-group is dealt into groups of equal longer *cores*, either way, until each is small enough to be
-scanned or the core has ``length`` bytes, when all its members are repeats. Keys that hold many rows
-are joined by broadcast of at most a thousand keys (``common.spread_join``).
+A seed with more than ``MAX_CONTEXTS`` different contexts is no task's work: its contexts' windows are
+counted by hash across the cluster, which gives the same bytes in time linear in them. Keys that hold many
+rows are joined by broadcast of at most a thousand keys (``common.spread_join``).
 
 Texts are UTF-8 bytes of any length, worked on whole; matches never cross documents. Null texts are
 empty. Repeated rows repeat each other; null ids stay null; other columns are carried along; an
@@ -191,57 +189,39 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     one = texts.dropDuplicates(["key", "n_bytes"])  # of copies of a text one is sent by each task
     whole = reliable(one.join(keys, ["key", "n_bytes"]).select("text", "at").mapInArrow(cut, "seed bigint, context bigint, at bigint, bytes binary"))
 
-    groups = extended(whole, length, max_contexts)
-    scanned = groups.filter("not equal").repartition("grp").sortWithinPartitions("grp").mapInArrow(functools.partial(scan, length=length), "seed bigint, context bigint, left bigint, right bigint")
-    extents = scanned.union(groups.filter("equal").select("seed", "context", "a", "b"))
+    large = reliable(whole.groupBy("seed").agg(F.count("*").alias("m")).filter(F.col("m") > max_contexts).select("seed", F.lit(True).alias("many")))
+    few = large.isEmpty()
+    marked = whole.withColumn("many", F.lit(None).cast("boolean")) if few else reliable(spread_join(whole, large, ["seed"], "left"))
+    small = marked.filter("many is null").select("seed", "context", "at", "bytes")
+    extents = small.repartition("seed").sortWithinPartitions("seed").mapInArrow(functools.partial(scan, length=length), EXTENTS)
+    if not few:
+        each_window = marked.filter("many").mapInArrow(functools.partial(windows, length=length), "seed bigint, context bigint, d bigint, w bigint")
+        twice = each_window.groupBy("seed", "d", "w").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        hot = each_window.join(twice.repartition("seed", "d", "w"), ["seed", "d", "w"])  # Spark can split a window of many contexts
+        extents = extents.union(hot.select("seed", "context", (-F.col("d")).alias("left"), (F.col("d") + length).alias("right")))
     partial = spread_join(varied, extents, ["seed", "context"]).select("key", "n_bytes", (F.col("p") - F.col("left")).alias("s"), (F.col("p") + F.col("right")).alias("e"))
     spans = same.union(copied).union(partial)
     return spans.groupBy("key", "n_bytes").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-GROUPED = "grp bigint, seed bigint, context bigint, at bigint, bytes binary, a bigint, b bigint"
+EXTENTS = "seed bigint, context bigint, left bigint, right bigint"
 
 
-def extended(whole: DataFrame, length: int, max_contexts: int) -> DataFrame:
-    """``whole`` (seed, context, at, bytes) with grp, a, b and equal. Members of a grp agree from
-    ``a`` bytes before the seed's place to ``b`` bytes after; any two that share a string of
-    ``length`` bytes around the seed have a grp in common. A grp has at most ``max_contexts`` members, or
-    is equal: its core is ``length`` bytes long."""
-    size = seed_bytes(length)
-    rest = length - size
-    pending = whole.select(F.col("seed").alias("grp"), "*", F.lit(0).cast("bigint").alias("a"), F.lit(size).cast("bigint").alias("b"))
-    ready = None
-    while True:
-        large = pending.groupBy("grp").agg(F.count("*").alias("m")).filter(F.col("m") > max_contexts).select("grp", F.lit(True).alias("many"))
-        if large.isEmpty():
-            small = pending.withColumn("equal", F.lit(False))
-            return small if ready is None else ready.unionByName(small)
-        marked = reliable(spread_join(pending, reliable(large), ["grp"], "left"))
-        done = marked.filter("many is null" if rest else "true").select(*pending.columns, F.coalesce("many", F.lit(False)).alias("equal"))
-        ready = done if ready is None else ready.unionByName(done)
-        if not rest:
-            return ready
-        step = -(-rest // 2)
-        rest -= step
-        pending = reliable(marked.filter("many").select(*pending.columns).mapInArrow(functools.partial(longer, step=step), GROUPED))
-
-
-def longer(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
-    """Each row with its core longer by ``step`` bytes, to the right and to the left, as far as its
-    bytes go."""
+def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each window of ``length`` bytes of each context: its place from the seed and its hash."""
     for batch in batches:
-        out: list[tuple] = []
-        for seed, context, at, data, a, b in zip(*(batch.column(c).to_pylist() for c in ("seed", "context", "at", "bytes", "a", "b"))):
-            for x, y in ((a, b + step), (a + step, b)):
-                if x <= at and at + y <= len(data):
-                    grp = xxhash.xxh64_intdigest(data[at - x : at + y], x) - (1 << 63)
-                    out.append((grp, seed, context, at, data, x, y))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["grp", "seed", "context", "at", "bytes", "a", "b"])
+        for part in slices(batch, "bytes", 64 << 10):
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+            for seed, context, at, data in zip(*(part.column(c).to_pylist() for c in ("seed", "context", "at", "bytes"))):
+                starts = np.arange(len(data) - length + 1)
+                h = Hashes(np.frombuffer(data, np.uint8)).of(starts, starts + length)
+                for to, v in zip(out, (np.full(len(starts), seed), np.full(len(starts), context), starts - at, h.view(np.int64))):
+                    to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["seed", "context", "d", "w"])
 
 
 def scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The extents of each grp's members in maximal repeats. Rows come sorted by grp."""
+    """The extents of each seed's contexts in maximal repeats. Rows come sorted by seed."""
     rest = None
     for batch in with_end(batches):
         table = pa.Table.from_batches([batch]) if batch is not None else None
@@ -249,15 +229,15 @@ def scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             table = pa.concat_tables([rest, table]) if table is not None else rest
         if table is None or not table.num_rows:
             continue
-        grp = np.asarray(table.column("grp"))
-        ends = np.concatenate([np.flatnonzero(grp[1:] != grp[:-1]) + 1, [len(grp)]])
-        if batch is not None:  # the last group may go on in the next batch
+        seed = np.asarray(table.column("seed"))
+        ends = np.concatenate([np.flatnonzero(seed[1:] != seed[:-1]) + 1, [len(seed)]])
+        if batch is not None:  # the last seed may go on in the next batch
             rest, ends = table.slice(int(ends[-2]) if len(ends) > 1 else 0), ends[:-1]
-        seed, context, at, data = (table.column(c).to_pylist() for c in ("seed", "context", "at", "bytes"))
+        context, at, data = (table.column(c).to_pylist() for c in ("context", "at", "bytes"))
         out, start = [], 0
         for end in ends.tolist():
             for left, right, members in maximal_repeats(data[start:end], at[start:end], length):
-                out += [(seed[start], context[start + i], left, right) for i in members]
+                out += [(int(seed[start]), context[start + i], left, right) for i in members]
             start = end
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["seed", "context", "left", "right"])
 

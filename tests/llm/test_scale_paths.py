@@ -65,7 +65,7 @@ def test_linked_groups_against_all_pairs(num, den, parts):
     assert same(got) == same(root) and len(found) == len(sets) - len(set(root))
 
 
-def test_large_seeds_are_dealt_by_longer_cores(spark):
+def test_seeds_of_many_contexts_are_counted_by_windows(spark):
     """One seed in many contexts: the middle of every text is the same, what stands around differs."""
     rng = np.random.default_rng(3)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
