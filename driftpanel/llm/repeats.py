@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import free_names, hash_filter, reliable, slices, spread_join, written
 
-BLOCK = (1 << 20) - 1  # bytes of text worked on at a time, about 150 times that in memory
+BLOCK = (1 << 19) - 1  # bytes of text worked on at a time, about 150 times that in memory
 MAX_CONTEXTS = 5000
 MULTIPLIER = 0x9E3779B97F4A7C15
 ODD = np.array([0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -69,7 +69,7 @@ class Hashes:
     """Hashes of substrings of ``data`` from one sum, by place and length."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(20, int(len(data)).bit_length())
+        size = 1 << max(19, int(len(data)).bit_length())
         power, self.inverse = powers(size)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(byte_values()[data] * power[: len(data)], dtype=np.uint64)])
 
