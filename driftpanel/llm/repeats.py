@@ -23,19 +23,19 @@ from __future__ import annotations
 import base64
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import free_names, hash_filter, reliable, slices, spread_join, written
 
-BLOCK = (1 << 19) - 1  # bytes of text worked on at a time, about 150 times that in memory
+BLOCK = (1 << 17) - 1  # bytes of text worked on at a time, about 150 times that in memory
 MAX_CONTEXTS = 5000
 MULTIPLIER = 0x9E3779B97F4A7C15
 ODD = np.array([0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -273,24 +273,36 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     own = spans.select(F.col("key").alias(key), "n_bytes", F.col("spans").alias(spans_))
     maybe = keyed.withColumn(maybe_, hash_filter(spans.select("key"), "key")(F.col(key)))
 
-    @F.pandas_udf("n_removed long, n_spans long, kept binary")
-    def strip(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, s in zip(texts, all_spans):
-            data, at, parts, removed = x.encode(), 0, [], merged(s)
-            if whole_characters:
-                removed = [(a, b) for a, b in (inner(data, a, b) for a, b in removed) if a < b]
-            for a, b in removed:
-                parts.append(data[at:a])
-                at = b
-            out.append((sum(b - a for a, b in removed), len(removed), b"".join([*parts, data[at:]])))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
-
-    hit = spread_join(maybe.filter(F.col(maybe_)), own, [key, "n_bytes"], "left")
-    stripped = hit.withColumn(r, strip(text, F.coalesce(spans_, F.array().cast("array<struct<s:bigint,e:bigint>>"))))
+    def strip(text: str, found: list) -> tuple[int, int, bytes]:
+        data, at, parts, removed = text.encode(), 0, [], merged(found)
+        if whole_characters:
+            removed = [(a, b) for a, b in (inner(data, a, b) for a, b in removed) if a < b]
+        for a, b in removed:
+            parts.append(data[at:a])
+            at = b
+        return sum(b - a for a, b in removed), len(removed), b"".join([*parts, data[at:]])
+
+    hit = spread_join(maybe.filter(F.col(maybe_)), own, [key, "n_bytes"], "left").withColumn(r, text)
     columns = [*[F.col(f"`{c}`") for c in docs.columns], F.col("n_bytes")]
+    stripped = stripped_rows(hit.select(*columns, r, spans_), r, spans_, strip, "n_removed bigint, n_spans bigint, kept binary")
     none = [F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), text.cast("binary").alias("kept")]
-    return stripped.select(*columns, *[F.col(r)[c].alias(c) for c in ("n_removed", "n_spans", "kept")]).union(maybe.filter(~F.col(maybe_)).select(*columns, *none))
+    return stripped.union(maybe.filter(~F.col(maybe_)).select(*columns, *none))
+
+
+def stripped_rows(rows: DataFrame, text: str, spans: str, fn: Callable[[str, list], tuple], outputs: str) -> DataFrame:
+    """``rows`` with the ``outputs`` of ``fn(text, spans)`` (no spans: empty) for these two columns, a slice of a batch at a time."""
+    carried = [c for c in rows.columns if c not in (text, spans)]
+    added = T.StructType.fromDDL(outputs)
+    kinds = to_arrow_schema(added)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, BLOCK):
+                cells = list(zip(*(fn(x, s or []) for x, s in zip(part.column(text).to_pylist(), part.column(spans).to_pylist()))))
+                new = [pa.array(x, f.type) for x, f in zip(cells, kinds)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *new], names=[*carried, *added.names])
+
+    return rows.mapInArrow(apply, T.StructType([*(rows.schema[c] for c in carried), *added.fields]))
 
 
 #: Letters of scripts that are written without blanks: each counts as a word.
@@ -343,25 +355,21 @@ def remove_passages(docs: DataFrame, *, words: int = 51, text_col: str = "text")
     own = spans.select(F.col("key").alias(key), F.col("n_bytes").alias(size), F.col("spans").alias(spans_))
     maybe = keyed.withColumn(maybe_, hash_filter(spans.select("key"), "key")(F.col(key)))
 
-    @F.pandas_udf("n_removed long, kept string")
-    def strip(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, s in zip(texts, all_spans):
-            # first and last word; a repeat holds whole words, so touching ones are one run to remove
-            runs = merged({"s": -(-int(x["s"]) // CODE), "e": int(x["e"]) // CODE} for x in s)
-            places = [m.span() for m in WORD.finditer(text)] if runs else []
-            at, parts = 0, []
-            for a, b in runs:
-                parts.append(text[at : places[a][0]])
-                at = places[b - 1][1]
-            out.append((sum(b - a for a, b in runs), "".join([*parts, text[at:]])))
-        return pd.DataFrame(out, columns=["n_removed", "kept"])
+    def strip(text: str, found: list) -> tuple[int, str]:
+        # first and last word; a repeat holds whole words, so touching ones are one run to remove
+        runs = merged({"s": -(-int(x["s"]) // CODE), "e": int(x["e"]) // CODE} for x in found)
+        places = [m.span() for m in WORD.finditer(text)] if runs else []
+        at, parts = 0, []
+        for a, b in runs:
+            parts.append(text[at : places[a][0]])
+            at = places[b - 1][1]
+        return sum(b - a for a, b in runs), "".join([*parts, text[at:]])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hit = reliable(maybe.filter(F.col(maybe_)))
-    stripped = spread_join(hit, own, [key, size], "left").withColumn(r, strip(text, F.coalesce(spans_, F.array().cast("array<struct<s:bigint,e:bigint>>"))))
+    hit = spread_join(reliable(maybe.filter(F.col(maybe_))), own, [key, size], "left").withColumn(r, text)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return stripped.select(*columns, F.col(r)["n_removed"].alias("n_removed"), F.col(r)["kept"].alias("kept")).union(maybe.filter(~F.col(maybe_)).select(*columns, F.lit(0).cast("bigint").alias("n_removed"), text.alias("kept")))
+    stripped = stripped_rows(hit.select(*columns, r, spans_), r, spans_, strip, "n_removed bigint, kept string")
+    return stripped.union(maybe.filter(~F.col(maybe_)).select(*columns, F.lit(0).cast("bigint").alias("n_removed"), text.alias("kept")))
 
 
 def inner(data: bytes, a: int, b: int) -> tuple[int, int]:
