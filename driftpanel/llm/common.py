@@ -8,6 +8,7 @@ occurrence, and no word - however common - has more entries than there are block
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import uuid
 import zlib
@@ -43,7 +44,21 @@ def reliable(df: DataFrame) -> DataFrame:
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint()
+    with shuffles_removed(spark):
+        return df.select("*").checkpoint()
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside lose their shuffle files when their job ends, not when the driver next
+    collects garbage: what they computed is stored by then. A stage that is needed again runs again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def free_names(docs: DataFrame, *names: str) -> list[str]:
@@ -277,7 +292,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not sc.getCheckpointDir():
         reliable(spark.range(1))
     path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.select("*").write.parquet(path)
     return spark.read.parquet(path)
 
 
