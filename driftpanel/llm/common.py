@@ -16,7 +16,6 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -32,9 +31,14 @@ BLOCK_SCHEMA = (
 )
 
 
-def reliable(df: DataFrame) -> DataFrame:
+#: Bytes of the batches that a job which holds texts in Python is sent at a time.
+SMALL_BATCH = 4 << 20
+
+
+def reliable(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, its lineage cut.
 
+    With ``batch_bytes``, Python is sent at most about so many at a time (never fewer than a row).
     The folder is the one that the cluster names in ``spark.checkpoint.dir``. Where none is named, a
     session on one machine (``local[...]``) gets a folder beside its warehouse, any other fails.
     """
@@ -44,7 +48,7 @@ def reliable(df: DataFrame) -> DataFrame:
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
-    with shuffles_removed(spark):
+    with shuffles_removed(spark), batches_of(spark, batch_bytes):
         return df.select("*").checkpoint()
 
 
@@ -61,6 +65,20 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, batch_bytes: int | None) -> Iterator[None]:
+    """Batches to Python of at most ``batch_bytes``, or the session's own limit where that is less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    own = int(before.rstrip("b")) if before.rstrip("b").isdigit() else None
+    if batch_bytes is not None and (own is None or own > batch_bytes):
+        spark.conf.set(name, str(batch_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_names(docs: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as it takes to be no column of ``docs``."""
     taken = {c.lower() for c in docs.columns}
@@ -285,14 +303,15 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in a new folder under the shared checkpoint folder, read again."""
+def written(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """``df`` as Parquet in a new folder under the shared checkpoint folder, read again; see
+    ``reliable`` for ``batch_bytes``."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         reliable(spark.range(1))
     path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    with shuffles_removed(spark):
+    with shuffles_removed(spark), batches_of(spark, batch_bytes):
         df.select("*").write.parquet(path)
     return spark.read.parquet(path)
 
@@ -312,10 +331,10 @@ def hash_filter(keys: DataFrame, col: str) -> Callable[[str], Column]:
     table[bits["k"].to_numpy(np.int64)] = bits["b"].to_numpy(np.int64)
     sent = keys.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        x = h.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
-        return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        x = np.asarray(h) & ((1 << FILTER_BITS) - 1)
+        return pa.array((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
 
     return maybe
 

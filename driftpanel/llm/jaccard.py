@@ -112,7 +112,7 @@ class WordHashes(dict):
     """Hashes of words, kept for the words met last."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 1 << 16:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, 42)
         return out

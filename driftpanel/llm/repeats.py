@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import free_names, hash_filter, reliable, slices, spread_join, written
+from .common import SMALL_BATCH, free_names, hash_filter, reliable, slices, spread_join, written
 
 BLOCK = (1 << 17) - 1  # bytes of text worked on at a time, about 150 times that in memory
 MAX_CONTEXTS = 5000
@@ -164,7 +164,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
                 columns = [np.asarray(part.column("key"))[doc], lens[doc], seed - base, lo - base, hi - base + length, h, c]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["key", "n_bytes", "p", "s", "e", "seed", "context"])
 
-    found = written(rows.mapInArrow(find, "key bigint, n_bytes bigint, p bigint, s bigint, e bigint, seed bigint, context bigint"), "seeds")
+    found = written(rows.mapInArrow(find, "key bigint, n_bytes bigint, p bigint, s bigint, e bigint, seed bigint, context bigint"), "seeds", SMALL_BATCH)
     often = found.groupBy("seed").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("varied")).filter("n > 1").drop("n")
     candidates = reliable(spread_join(found, often, ["seed"]))
     same = candidates.filter("not varied").select("key", "n_bytes", "s", "e")
@@ -187,7 +187,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     keys = reliable(each.select("seed", "context", "r.*").groupBy("key", "n_bytes").agg(F.collect_list(F.struct("seed", "context", "p", "s", "e")).alias("at")))
     texts = rows.filter(hash_filter(keys.select("key"), "key")(F.col("key"))).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     one = texts.dropDuplicates(["key", "n_bytes"])  # of copies of a text one is sent by each task
-    whole = reliable(one.join(keys, ["key", "n_bytes"]).select("text", "at").mapInArrow(cut, "seed bigint, context bigint, at bigint, bytes binary"))
+    whole = reliable(one.join(keys, ["key", "n_bytes"]).select("text", "at").mapInArrow(cut, "seed bigint, context bigint, at bigint, bytes binary"), SMALL_BATCH)
 
     large = reliable(whole.groupBy("seed").agg(F.count("*").alias("m")).filter(F.col("m") > max_contexts).select("seed", F.lit(True).alias("many")))
     few = large.isEmpty()
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     ``whole_characters`` leaves characters whole that a span would cut: it removes only those that
     lie inside. Columns of ``docs`` named like an output are replaced.
     """
-    spans = reliable(repeated_spans(docs, length=length, text_col=text_col, max_contexts=max_contexts))
+    spans = reliable(repeated_spans(docs, length=length, text_col=text_col, max_contexts=max_contexts), SMALL_BATCH)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     key, maybe_, spans_, r = free_names(docs, "_key", "_maybe", "_spans", "_r")
@@ -316,7 +316,7 @@ class Codes(dict):
     """Codes of words, of one width."""
 
     def __missing__(self, word: str) -> str:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 15:
             self.clear()
         code = base64.b64encode(xxhash.xxh3_64_digest(word.encode()))[:CODE].decode()
         self[word] = code
@@ -350,7 +350,7 @@ def remove_passages(docs: DataFrame, *, words: int = 51, text_col: str = "text")
     typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*typed.schema.fields, T.StructField(codes_, T.StringType())])
     keyed = typed.mapInArrow(code, schema)
-    spans = reliable(repeated_spans(typed.select(text_col).mapInArrow(code, T.StructType([typed.schema[text_col], schema[codes_]])), length=words * CODE, text_col=codes_))
+    spans = reliable(repeated_spans(typed.select(text_col).mapInArrow(code, T.StructType([typed.schema[text_col], schema[codes_]])), length=words * CODE, text_col=codes_), SMALL_BATCH)
     keyed = keyed.withColumns({key: F.xxhash64(codes_), size: F.octet_length(codes_).cast("bigint")}).drop(codes_)
     own = spans.select(F.col("key").alias(key), F.col("n_bytes").alias(size), F.col("spans").alias(spans_))
     maybe = keyed.withColumn(maybe_, hash_filter(spans.select("key"), "key")(F.col(key)))
@@ -366,7 +366,7 @@ def remove_passages(docs: DataFrame, *, words: int = 51, text_col: str = "text")
         return sum(b - a for a, b in runs), "".join([*parts, text[at:]])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hit = spread_join(reliable(maybe.filter(F.col(maybe_))), own, [key, size], "left").withColumn(r, text)
+    hit = spread_join(reliable(maybe.filter(F.col(maybe_)), SMALL_BATCH), own, [key, size], "left").withColumn(r, text)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     stripped = stripped_rows(hit.select(*columns, r, spans_), r, spans_, strip, "n_removed bigint, kept string")
     return stripped.union(maybe.filter(~F.col(maybe_)).select(*columns, F.lit(0).cast("bigint").alias("n_removed"), text.alias("kept")))
