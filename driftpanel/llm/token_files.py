@@ -24,8 +24,12 @@ empty table gives empty files and no rows.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
+import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,21 +41,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import OTHER, matchers
+from .bpe import LETTER, OTHER, matchers
 from .common import SMALL_BATCH, pack, reliable, slices, sum_tables, table_rows, unpack, written
 
 BLOCK_IDS, EVERY, MAX_BITS = 1 << 16, 1 << 9, 18
 TEXT = 1 << 20  # bytes of text at a time
-KNOWN = 1 << 19  # words whose ids a Python worker keeps
+JOINED = 256  # words encoded in one text
+BLANK_LETTERS = re.compile(f" [{LETTER}]+")
+KNOWN = 1 << 20  # words whose ids a Python worker keeps, in about 200 MB
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Encoder:
     """Ids of texts as the tokenizer gives them. Where it splits texts by ``PATTERN`` alone, the
-    words of texts below U+0250 are encoded once each and looked up; other texts as a whole."""
+    words of texts below U+0250 are numbered, encoded once each and looked up by number; other texts
+    are encoded as a whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = KNOWN):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
@@ -63,23 +71,69 @@ class Encoder:
         simple = all(not x.get("lstrip") and not x.get("rstrip") and x.get("special") for x in settings.get("added_tokens", []))
         self.words = matchers(PATTERN)[1] if plain and simple else None
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-
-    def all(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if self.words is None:
-            return self.all(texts)
-        split = [None if OTHER.search(t) else self.words.findall(t) for t in texts]
-        own = [w for w in split if w is not None]
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        if new := list(set().union(*own) - self.known.keys()):
-            self.known.update(zip(new, self.all(new)))
-        rest = iter(self.all([t for t, w in zip(texts, split) if w is None]))
-        return [next(rest) if w is None else b"".join(map(self.known.__getitem__, w)) for w in split]
+        self.width = np.zeros(self.size, np.int64)  # bytes of each token: byte-level tokens have a character for each
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
+        self.known = known
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.table, self.edge = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # word k has table[edge[k]:edge[k + 1]]
+
+    def all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of single words. Those of a blank and letters are encoded many in one text, which
+        the pattern splits before each blank, and told apart by the bytes of their tokens."""
+        joins = np.fromiter(map(bool, map(BLANK_LETTERS.fullmatch, words)), bool, len(words))
+        one, rest = [w for w, j in zip(words, joins) if j], [w for w, j in zip(words, joins) if not j]
+        flat, _ = self.all(["".join(one[i : i + JOINED]) for i in range(0, len(one), JOINED)])
+        stops = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum([len(w.encode()) for w in one], dtype=np.int64), "left") + 1
+        other, n = self.all(rest)
+        size = np.zeros(len(words), np.int64)
+        size[joins], size[~joins] = np.diff(stops, prepend=0), n
+        out = np.zeros(int(size.sum()), np.uint32)
+        own = np.repeat(joins, size)
+        out[own], out[~own] = flat, other
+        return out, size
+
+    def learn(self, before: int) -> None:
+        """Encodes the words numbered from ``before`` on."""
+        now = len(self.number)
+        ids, size = self.each(list(itertools.islice(reversed(self.number), now - before))[::-1])
+        end = int(self.edge[before])
+        if now >= len(self.edge):
+            self.edge = np.concatenate([self.edge, np.zeros(max(now, len(self.edge)), np.int64)])
+        if end + len(ids) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros(max(len(ids), len(self.table)), np.uint32)])
+        self.table[end : end + len(ids)] = ids
+        self.edge[before + 1 : now + 1] = end + np.cumsum(size)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        fast = [self.words is not None and not OTHER.search(t) for t in texts]
+        if len(self.number) > self.known:
+            self.forget()
+        before, number = len(self.number), self.number.__getitem__
+        words = [self.words.findall(t) for t, f in zip(texts, fast) if f]
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        seq = np.fromiter(map(number, itertools.chain.from_iterable(words)), np.int64, int(lens.sum()))
+        if len(self.number) > before:
+            self.learn(before)
+        first, size = self.edge[seq], self.edge[seq + 1] - self.edge[seq]
+        ends = np.cumsum(size)
+        flat = self.table[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])]
+        known = iter(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        other, n = self.all([t for t, f in zip(texts, fast) if not f])
+        edge = np.concatenate([[0], np.cumsum(n)])
+        rest = iter(zip(edge[:-1].tolist(), edge[1:].tolist()))
+        return [flat[slice(*next(known))] if f else other[slice(*next(rest))] for f in fast]
 
 
 @functools.lru_cache(maxsize=1)
@@ -120,12 +174,13 @@ class Codes:
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits.astype(np.int64)
+        self.small = bits.astype(np.uint8)
         order = np.lexsort((np.arange(len(bits)), self.bits))
         self.order = order[self.bits[order] > 0]
         self.most = int(self.bits.max(initial=1))
         step = np.int64(1) << (self.most - self.bits[self.order])
-        self.codes = np.zeros(len(bits), np.uint64)
-        self.codes[self.order] = ((np.cumsum(step) - step) >> (self.most - self.bits[self.order])).astype(np.uint64)
+        self.codes = np.zeros(len(bits), np.uint32)
+        self.codes[self.order] = (np.cumsum(step) - step) >> (self.most - self.bits[self.order])
 
     @functools.cached_property
     def table(self) -> np.ndarray:
@@ -137,13 +192,13 @@ class Codes:
 
     def encode(self, ids: np.ndarray, every: int) -> tuple[bytes, np.ndarray]:
         """The bits of ``ids``, and the bit at which each ``every``-th begins."""
-        size = self.bits[ids]
+        size = self.small[ids]
         if len(ids) and not size.min():
             raise ValueError("an id has no code")
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         at = ends - size
         word, shift = at >> 5, (64 - (at & 31) - size).astype(np.uint64)
-        shifted = self.codes[ids] << shift
+        shifted = self.codes[ids].astype(np.uint64) << shift
         out = np.zeros((int(ends[-1]) if len(ids) else 0) // 32 + 2, np.uint64)
         if len(ids):
             first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
@@ -186,22 +241,22 @@ def ordered_ids(docs: DataFrame, path: str, *, end_id: int, id_col: str, text_co
     arrow = to_arrow_type(kind)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path), np.array([end_id], np.uint32)
         part, block, at, held, who, total = 0, 0, 0, [], [], 0
 
         def done() -> pa.RecordBatch:
             cells = [pa.array([x], t) for x, t in ((part, pa.int32()), (block, pa.int64()), (at, pa.int64()), (total, pa.int64()))]
             cells.append(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(who)))
-            packed = pack(np.array([len(x) // 4 for x in held], np.int64)), pack(np.frombuffer(b"".join(held), "<u4"))
+            packed = pack(np.array([len(x) + 1 for x in held], np.int64)), pack(np.concatenate([y for x in held for y in (x, end)]))
             return pa.RecordBatch.from_arrays([*cells, *(pa.array([x], pa.binary()) for x in packed)], names=ROWS)
 
         for batch in batches:
             for some in slices(batch, "text", TEXT):
                 part = some.column("part")[0].as_py()
-                each, first = [x + end for x in enc.ids(some.column("text").to_pylist())], 0
-                for i, x in enumerate(each):
+                first = 0
+                for i, x in enumerate(enc.ids(some.column("text").to_pylist())):
                     held.append(x)
-                    total += len(x) // 4
+                    total += len(x) + 1
                     if total >= block_ids:
                         who.append(some.column("id").slice(first, i + 1 - first).cast(arrow))
                         yield done()
@@ -253,7 +308,7 @@ def write_ids(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data, marks = codes.encode(unpack(batch.column("ids")[i].as_py()).astype(np.int64), every)
+                data, marks = codes.encode(unpack(batch.column("ids")[i].as_py()), every)
                 new = [pa.array([every], pa.int32()), pa.array([pack(marks)], pa.binary()), pa.array([data], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:-1], *new], names=[*ROWS[:-1], "every", "marks", "data"])
 

@@ -196,9 +196,12 @@ def test_files_of_awkward_tables(spark):
 
 
 def test_words_looked_up_are_those_of_the_library():
-    enc = token_files.Encoder(FILE)
-    texts = ["".join(map(chr, range(k, k + 40))) + " it's we'll\n\n x  y " for k in range(0, 0x250, 40)] + ["日本 x", "don't  stop\t\tnow", "\x1c\x1d 1a'sb", "l" * 200_000]
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == [x[:-1] for x in library_ids(texts)]
+    texts = ["".join(map(chr, range(k, k + 40))) + " it's we'll\n\n x  y " for k in range(0, 0x250, 40)] + ["日本 x", "don't  stop\t\tnow", "\x1c\x1d 1a'sb", "l" * 200_000, ""]
+    want = [x[:-1] for x in library_ids(texts)]
+    for enc in (token_files.Encoder(FILE), token_files.Encoder(FILE, known=5)):
+        assert [x.tolist() for x in enc.ids(texts)] == want
+        assert [x.tolist() for t in texts for x in enc.ids([t])] == want
+        assert enc.ids([]) == []
 
 
 @settings(max_examples=60, deadline=None)
