@@ -2,94 +2,61 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .crossproducts import both_orders, covariances, ew_covariances, ew_moments
+
 
 def _keys(df: DataFrame, *names: str) -> list[str]:
     return [c for c in ("path", *names) if c in df.columns]
 
 
-def _weighted(rows: DataFrame, halflife: float) -> DataFrame:
-    """Rows with w, the weights of the recursion with alpha = 1 - exp(-ln 2 / halflife) that starts
-    at the first time of each path."""
-    if halflife is None or halflife <= 0:
-        raise ValueError("halflife must be positive")
-    a, keys = 1 - math.exp(-math.log(2) / halflife), _keys(rows)
-    ends = rows.groupBy(*keys).agg(F.min("time_idx").alias("_first"), F.max("time_idx").alias("_last"))
-    known = rows.join(ends, keys) if keys else rows.join(ends, F.col("time_idx") <= F.col("_last"))
-    age = F.pow(F.lit(1 - a), F.col("_last") - F.col("time_idx"))
-    return known.withColumn("w", F.when(F.col("time_idx") == F.col("_first"), age).otherwise(a * age)).drop("_first", "_last")
-
-
 def mean_of(rows: DataFrame, label: str, value: str = "ret", halflife: float | None = None) -> DataFrame:
     """(path,) ``label``, m: the mean, exponentially weighted if ``halflife`` is given."""
     keys = _keys(rows, label)
     if halflife is None:
         return rows.groupBy(*keys).agg(F.avg(value).alias("m"))
-    return _weighted(rows.filter(F.col(value).isNotNull()), halflife).groupBy(*keys).agg(F.sum(F.col("w") * F.col(value)).alias("m"))
+    return ew_moments(rows, keys, {"m": F.col(value)}, halflife).drop("w2")
 
 
 def variance_of(rows: DataFrame, label: str, value: str = "ret", halflife: float | None = None) -> DataFrame:
     """(path,) ``label``, v: the variance, exponentially weighted if ``halflife`` is given."""
-    keys = _keys(rows, label)
+    keys, x = _keys(rows, label), F.col(value)
     if halflife is None:
         return rows.groupBy(*keys).agg(F.var_samp(value).alias("v"))
-    w, x = F.col("w"), F.col(value)
-    sums = _weighted(rows.filter(x.isNotNull()), halflife).groupBy(*keys).agg(F.sum(w * x).alias("m"), F.sum(w * x * x).alias("xx"), F.sum(w * w).alias("ww"))
-    return sums.select(*keys, F.try_divide(F.col("xx") - F.col("m") * F.col("m"), 1 - F.col("ww")).alias("v"))
+    found = ew_moments(rows, keys, {"m": x, "xx": x * x}, halflife)
+    return found.select(*keys, F.when(F.col("w2") < 1 - 1e-12, (F.col("xx") - F.col("m") * F.col("m")) / (1 - F.col("w2"))).alias("v"))
 
 
 def factor_cov(factors: DataFrame, halflife: float | None = None) -> DataFrame:
     """(path,) factor, factor_p, cov, exponentially weighted if ``halflife`` is given."""
     keys = _keys(factors)
-    rows = factors if halflife is None else _weighted(factors, halflife)
-    left = rows.select(*keys, "time_idx", "factor", F.col("ret").alias("x"), *(["w"] if halflife else []))
-    right = factors.select(*keys, "time_idx", F.col("factor").alias("factor_p"), F.col("ret").alias("y"))
-    pairs = left.join(right, [*keys, "time_idx"]).groupBy(*keys, "factor", "factor_p")
-    if halflife is None:
-        return pairs.agg(F.covar_samp("x", "y").alias("cov"))
-    w, x, y = F.col("w"), F.col("x"), F.col("y")
-    sums = pairs.agg(F.sum(w * x).alias("mx"), F.sum(w * y).alias("my"), F.sum(w * x * y).alias("xy"), F.sum(w * w).alias("ww"))
-    return sums.select(*keys, "factor", "factor_p", ((F.col("xy") - F.col("mx") * F.col("my")) / (1 - F.col("ww"))).alias("cov"))
+    half = covariances(factors, "factor", keys) if halflife is None else ew_covariances(factors, "factor", halflife, keys)
+    return both_orders(half, keys, "factor", "factor_p")
 
 
 def mean_hist(returns: DataFrame) -> DataFrame:
-    return returns.groupBy("asset").agg(F.avg("ret").alias("mu"))
+    """(path,) asset, mu: the mean of what is there."""
+    return mean_of(returns, "asset").withColumnRenamed("m", "mu")
 
 
 def mean_ewma(returns: DataFrame, halflife: float) -> DataFrame:
-    return _weighted(returns, halflife).groupBy("asset").agg(F.sum(F.col("w") * F.col("ret")).alias("mu"))
-
-
-def _pairs(returns: DataFrame) -> DataFrame:
-    """Each pair of assets i <= j by time. Assets are few beside times; the join is by time."""
-    left = returns.select("time_idx", F.col("asset").alias("asset_i"), F.col("ret").alias("x"))
-    right = returns.select("time_idx", F.col("asset").alias("asset_j"), F.col("ret").alias("y"))
-    return left.join(right, "time_idx").filter("asset_i <= asset_j")
-
-
-def _mirrored(half: DataFrame) -> DataFrame:
-    other = half.filter("asset_i < asset_j").select(F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j"), "cov")
-    return half.unionByName(other)
+    """(path,) asset, mu: the last value of the recursion that starts at the first value of each series; a gap
+    lets what came before fade by its length."""
+    return mean_of(returns, "asset", halflife=halflife).withColumnRenamed("m", "mu")
 
 
 def cov_hist(returns: DataFrame) -> DataFrame:
-    """asset_i, asset_j, cov (n - 1), pairs of rows that both have."""
-    pairs = _pairs(returns.filter("ret is not null"))
-    return _mirrored(pairs.groupBy("asset_i", "asset_j").agg(F.covar_samp("x", "y").alias("cov")))
+    """(path,) asset_i, asset_j, cov (n - 1), of the dates that both have."""
+    keys = _keys(returns)
+    return both_orders(covariances(returns, "asset", keys), keys, "asset_i", "asset_j")
 
 
 def cov_ewma(returns: DataFrame, halflife: float) -> DataFrame:
-    w = _weighted(returns, halflife).select("time_idx", "w").distinct()
-    pairs = _pairs(returns).join(w, "time_idx")
-    sums = pairs.groupBy("asset_i", "asset_j").agg(
-        F.sum(F.col("w") * F.col("x")).alias("mx"), F.sum(F.col("w") * F.col("y")).alias("my"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("w") * F.col("w")).alias("ww")
-    )
-    return _mirrored(sums.select("asset_i", "asset_j", ((F.col("xy") - F.col("mx") * F.col("my")) / (1 - F.col("ww"))).alias("cov")))
+    """(path,) asset_i, asset_j, cov of the recursion over the dates that both have, unbiased."""
+    keys = _keys(returns)
+    return both_orders(ew_covariances(returns, "asset", halflife, keys), keys, "asset_i", "asset_j")
 
 
 def _checked(shrinkage: float, target: str, targets: tuple[str, ...]) -> None:

@@ -1,8 +1,8 @@
 """Linear factor models, rolling and over the whole sample.
 
-One or two factors are plain window aggregates. Any number goes through ``applyInPandas`` with the
-minimum-norm solution of least squares, one problem for all assets of a window, split by path and
-run of dates.
+One or two factors are plain window aggregates. Any number goes through ``applyInPandas``: windows are
+solved along a run of dates by updating, and by the minimum-norm solution where rank drops, keyed by
+asset and split by path and run.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runs import CHUNK, chunk_of, in_runs, own_rows
+from .runs import chunk_of, in_runs, own_rows
 
 
-def joined(assets: DataFrame, wide: DataFrame) -> DataFrame:
+def joined(assets: DataFrame, wide: DataFrame | None) -> DataFrame:
+    """Assets with the factors of their time; without ``wide`` they have them already."""
+    if wide is None:
+        return assets
     keys = [c for c in ("path", "time", "time_idx") if c in assets.columns and c in wide.columns]
     return assets.join(wide, keys)
 
@@ -48,17 +52,17 @@ def _project(rows: DataFrame, k: int, intercept: bool) -> DataFrame:
     return rows.withColumn("fitted", fitted).withColumn("residual", F.col("ret") - F.col("fitted"))
 
 
-def rolling_ols(assets: DataFrame, wide: DataFrame, window: int, k: int = 1, intercept: bool = True) -> DataFrame:
-    """Rows of ``assets`` with f1.., b1.., alpha, fitted and residual of the trailing ``window``
-    rows; NULL until a window is full."""
+def rolling_ols(assets: DataFrame, wide: DataFrame | None, window: int, k: int = 1, intercept: bool = True) -> DataFrame:
+    """Rows of ``assets`` with f1.., b1.., alpha, fitted and residual of the trailing ``window`` dates
+    (time_idx); NULL where the series lacks one of them."""
     rows, chunk = joined(assets, wide), chunk_of(window)
-    over = W.partitionBy(*_keys(rows), "run").orderBy("time_idx").rowsBetween(-(window - 1), 0)
+    over = W.partitionBy(*_keys(rows), "run").orderBy("time_idx").rangeBetween(-(window - 1), 0)
     full = F.count("ret").over(over) == window
     fit = {n: F.when(full, c) for n, c in _fit(rows, k, intercept, over).items()}
     return _project(own_rows(in_runs(rows, window, chunk).withColumns(fit), chunk), k, intercept)
 
 
-def sample_ols(assets: DataFrame, wide: DataFrame, k: int = 1, intercept: bool = True) -> tuple[DataFrame, DataFrame]:
+def sample_ols(assets: DataFrame, wide: DataFrame | None, k: int = 1, intercept: bool = True) -> tuple[DataFrame, DataFrame]:
     """(coefficients by asset, rows with fitted and residual) over all rows."""
     rows = joined(assets, wide)
     keys = _keys(rows)
@@ -72,8 +76,9 @@ def arrays(df: DataFrame, label: str, out: str) -> DataFrame:
     return each.select("path", "time", "time_idx", F.col(f"_a.{label}").alias(f"{out}_names"), F.col("_a.ret").alias(out))
 
 
-def matrix_rows(assets: DataFrame, factors: DataFrame) -> DataFrame:
-    return arrays(assets, "asset", "r").join(arrays(factors, "factor", "f"), ["path", "time", "time_idx"])
+#: A window's Gram matrix is solved as it is if the least pivot of its Cholesky factor, of columns scaled to
+#: length one, is above this; below, columns are as good as dependent and the minimum-norm solution is taken.
+PIVOT = 1e-2
 
 
 def least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -85,33 +90,113 @@ def _windows(a: np.ndarray, w: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(a, w, axis=0).swapaxes(1, 2)
 
 
-def rolling_ols_any(assets: DataFrame, factors: DataFrame, window: int, intercept: bool = True, chunk: int = CHUNK) -> DataFrame:
+def _moving(a: np.ndarray, w: int) -> np.ndarray:
+    """Sums of ``a`` over each window of ``w`` rows: what enters is added, what leaves is taken away."""
+    total = np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)])
+    return total[w:] - total[:-w]
+
+
+def rolling_least_squares(f: np.ndarray, r: np.ndarray, window: int, intercept: bool = True) -> np.ndarray:
+    """Coefficients (T - window + 1, k, N) of each trailing window of T rows: factors ``f`` (T, k) without
+    gaps on returns ``r`` (T, N) with NaN where a series has none; NaN where its window has such.
+
+    The Gram matrix and the products with the returns are kept up to date along the run, row in, row
+    out, around the run's means. Each is factored (Cholesky, columns scaled to length one); where a
+    pivot shows that rank drops, that window alone is solved by singular values.
+    """
+    if intercept:
+        f = np.column_stack([np.ones(len(f)), f])
+    k, known = f.shape[1], ~np.isnan(r)
+    shift = np.where(np.arange(k) >= int(intercept), f.mean(axis=0), 0.0) if intercept else np.zeros(k)
+    x, y = f - shift, np.where(known, r, 0.0)
+    gram = _moving(x[:, :, None] * x[:, None, :], window)
+    both = _moving(x[:, :, None] * y[:, None, :], window)
+    full = _moving(known.astype(float), window) > window - 0.5
+    size = np.sqrt(np.maximum(np.einsum("nii->ni", gram), 0))
+    safe = np.where(size > 0, size, 1)
+    scaled = gram / (safe[:, :, None] * safe[:, None, :])
+    pivots, good = _pivots(scaled)
+    good &= (size > 0).all(axis=1) & (pivots > PIVOT)
+    out = np.full((len(gram), k, r.shape[1]), np.nan)
+    if good.any():
+        out[good] = np.linalg.solve(scaled[good], both[good] / safe[good][:, :, None]) / safe[good][:, :, None]
+    if intercept:  # back from the shifted factors
+        out[:, 0] -= np.einsum("k,nkm->nm", shift[1:], out[:, 1:])
+    if not good.all():
+        bad = np.flatnonzero(~good)
+        out[bad] = least_squares(_windows(f, window)[bad], _windows(np.where(known, r, 0.0), window)[bad])
+    return np.where(full[:, None, :], out, np.nan)
+
+
+def _pivots(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least diagonal of each matrix's Cholesky factor, and whether there is one."""
+    n, k = gram.shape[:2]
+    low, least, good = np.zeros_like(gram), np.full(n, np.inf), np.ones(n, bool)
+    for j in range(k):
+        d = gram[:, j, j] - (low[:, j, :j] ** 2).sum(axis=1)
+        good &= d > 0
+        root = np.sqrt(np.where(d > 0, d, 1))
+        least = np.minimum(least, np.where(d > 0, root, 0))
+        low[:, j, j] = root
+        for i in range(j + 1, k):
+            low[:, i, j] = (gram[:, i, j] - (low[:, i, :j] * low[:, j, :j]).sum(axis=1)) / root
+    return least, good
+
+
+def rolling_ols_any(assets: DataFrame, factors: DataFrame, window: int, intercept: bool = True, chunk: int | None = None, blocks: int = 1) -> DataFrame:
     """path, time, time_idx, asset, alpha, factors, betas, fitted, residual for any number of factors
-    (in the order of their names). Dates are split into runs that overlap by a window."""
-    rows = in_runs(matrix_rows(assets, factors), window, chunk)
+    (in the order of their names), at the dates of a series whose ``window`` dates it has in full.
+
+    Dates are split into runs that overlap by a window, assets by hash into ``blocks`` (for very many); the
+    factors of a run go to each of its blocks once. All factors must be there at each date that has one.
+    """
+    size = chunk_of(window) if chunk is None else chunk
+    label = T.StructType.fromDDL("path int, run int, block int, time date, time_idx int, asset string, ret double")
+    block = F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int")
+    left = in_runs(assets.select("path", "time", "time_idx", "asset", "ret").withColumn("block", block), window, size).select(*[F.col(f.name).cast(f.dataType) for f in label])
+    right = in_runs(arrays(factors, "factor", "f"), window, size).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def solve(key, rows: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({c: pd.Series([], dtype=object) for c in MODEL})
+        if rows.empty or f.empty:
+            return nothing
+        f = f.sort_values("time_idx", ignore_index=True)
+        at, names = f["time_idx"].to_numpy(np.int64), list(f["f_names"].iloc[0])
+        if any(list(n) != names for n in f["f_names"]):
+            raise ValueError("a date lacks a factor that another has")
+        series, column = np.unique(rows["asset"].to_numpy(str).astype(object), return_inverse=True)
+        x, out = np.stack(f["f"].to_list()).astype(float), []
+        for first, last in _stretches(at):  # a date without factors breaks the windows that would hold it
+            if last - first < window:
+                continue
+            own = np.flatnonzero((rows["time_idx"] >= at[first]) & (rows["time_idx"] <= at[last - 1]))
+            r = np.full((last - first, len(series)), np.nan)
+            r[rows["time_idx"].to_numpy(np.int64)[own] - at[first], column[own]] = rows["ret"].to_numpy(float)[own]
+            b = rolling_least_squares(x[first:last], r, window, intercept)
+            i, j = np.nonzero(~np.isnan(b[:, 0, :]) & (at[first + window - 1 : last] // size == key[1])[:, None])
+            if not len(i):
+                continue
+            end, beta = i + window - 1, b[i, int(intercept) :, j]
+            alpha = b[i, 0, j] if intercept else np.full(len(i), np.nan)
+            fitted = np.einsum("nk,nk->n", x[first:last][end], beta) + (alpha if intercept else 0)
+            out.append(pd.DataFrame({
+                "path": key[0], "time": f["time"].to_numpy()[first + end], "time_idx": at[first + end], "asset": series[j], "alpha": pd.Series(alpha).astype(object).where(~np.isnan(alpha), None),
+                "factors": [names] * len(i), "betas": list(beta), "fitted": fitted, "residual": r[end, j] - fitted,
+            }))
+        return pd.concat(out, ignore_index=True) if out else nothing
+
+    keys = ["path", "run", "block"]
+    schema = "path int, time date, time_idx int, asset string, alpha double, factors array<string>, betas array<double>, fitted double, residual double"
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(solve, schema)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time_idx", ignore_index=True)
-        columns = ["path", "time", "time_idx", "asset", "alpha", "factors", "betas", "fitted", "residual"]
-        if len(pdf) < window:
-            return pd.DataFrame(columns=columns)
-        run = pdf["run"].iloc[0]
-        f, r = np.stack(pdf["f"].to_list()), np.stack(pdf["r"].to_list())
-        x = np.column_stack([np.ones(len(f)), f]) if intercept else f
-        b = least_squares(_windows(x, window), _windows(r, window))
-        last = np.arange(window - 1, len(pdf))
-        own = np.flatnonzero(pdf["time_idx"].to_numpy()[last] // chunk == run)
-        b, last = b[own], last[own]
-        fitted = np.einsum("nk,nkm->nm", x[last], b)
-        out: list[tuple] = []
-        names, labels = list(pdf["r_names"].iloc[0]), list(pdf["f_names"].iloc[0])
-        for i, t in enumerate(last):
-            for j, n in enumerate(names):
-                out.append((pdf["path"][t], pdf["time"][t], pdf["time_idx"][t], n, b[i, 0, j] if intercept else None, labels, b[i, int(intercept) :, j], fitted[i, j], r[t, j] - fitted[i, j]))
-        return pd.DataFrame(out, columns=columns)
 
-    schema = "path int, time date, time_idx int, asset string, alpha double, factors array<string>, betas array<double>, fitted double, residual double"
-    return rows.groupBy("path", "run").applyInPandas(solve, schema)
+MODEL = ["path", "time", "time_idx", "asset", "alpha", "factors", "betas", "fitted", "residual"]
+
+
+def _stretches(at: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of the stretches of consecutive numbers."""
+    cut = np.flatnonzero(np.diff(at) != 1) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(at)]))
 
 
 def sample_ols_any(assets: DataFrame, factors: DataFrame, intercept: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .crossproducts import both_orders, covariances
 from .runs import chunk_of, in_runs, own_rows
 
 
@@ -18,7 +19,7 @@ def rolling_risk(model: DataFrame, window: int) -> DataFrame:
     """Of a one-factor rolling model: sys_var from the first full window, idio_var (and what builds
     on it) once a window holds only full residuals."""
     keys, chunk = [c for c in ("path", "asset") if c in model.columns], chunk_of(window)
-    over = W.partitionBy(*keys, "run").orderBy("time_idx").rowsBetween(-(window - 1), 0)
+    over = W.partitionBy(*keys, "run").orderBy("time_idx").rangeBetween(-(window - 1), 0)
     sys = F.when(F.count("f1").over(over) == window, F.col("b1") * F.col("b1") * F.var_samp("f1").over(over))
     idio = F.when(F.count("residual").over(over) == window, F.var_samp("residual").over(over))
     return _shares(own_rows(in_runs(model, window, chunk).withColumns({"sys_var": sys, "idio_var": idio}), chunk))
@@ -30,7 +31,7 @@ def rolling_covariance(factors: DataFrame, window: int) -> DataFrame:
     chunk = chunk_of(window)
     x = factors.select("path", "time_idx", "factor", F.col("ret").alias("x"))
     y = factors.select("path", "time_idx", F.col("factor").alias("factor_p"), F.col("ret").alias("y"))
-    over = W.partitionBy("path", "run", "factor", "factor_p").orderBy("time_idx").rowsBetween(-(window - 1), 0)
+    over = W.partitionBy("path", "run", "factor", "factor_p").orderBy("time_idx").rangeBetween(-(window - 1), 0)
     pairs = in_runs(x.join(y, ["path", "time_idx"]), window, chunk).withColumns({"n": F.count("x").over(over), "cov": F.covar_samp("x", "y").over(over)})
     full = own_rows(pairs, chunk).filter(F.col("n") == window)
     return full.groupBy("path", "time_idx").agg(F.sort_array(F.collect_list(F.struct("factor", "factor_p", "cov"))).alias("s")).select("path", "time_idx", F.col("s.cov").alias("sigma"))
@@ -51,7 +52,7 @@ def rolling_risk_any(model: DataFrame, factors: DataFrame, window: int) -> DataF
     """The same of a model of ``rolling_ols_any`` with any number of factors: path, time, time_idx,
     asset, factors, contributions (array), sys_var, idio_var, total_var, sys_share."""
     chunk = chunk_of(window)
-    over = W.partitionBy("path", "asset", "run").orderBy("time_idx").rowsBetween(-(window - 1), 0)
+    over = W.partitionBy("path", "asset", "run").orderBy("time_idx").rangeBetween(-(window - 1), 0)
     idio = F.when(F.count("residual").over(over) == window, F.var_samp("residual").over(over))
     rows = own_rows(in_runs(model, window, chunk).withColumn("idio_var", idio), chunk)
     rows = rows.join(rolling_covariance(factors, window), ["path", "time_idx"]).withColumn("contributions", _contributions())
@@ -66,10 +67,7 @@ def contribution_rows(risk: DataFrame) -> DataFrame:
 def factor_covariance(factors: DataFrame) -> DataFrame:
     """factor, factor_p, cov over all rows (and by path if there is one)."""
     keys = [c for c in ("path",) if c in factors.columns]
-    on = [*keys, "time_idx"]
-    left = factors.select(*on, "factor", F.col("ret").alias("x"))
-    right = factors.select(*on, F.col("factor").alias("factor_p"), F.col("ret").alias("y"))
-    return left.join(right, on).groupBy(*keys, "factor", "factor_p").agg(F.covar_samp("x", "y").alias("cov"))
+    return both_orders(covariances(factors, "factor", keys), keys, "factor", "factor_p")
 
 
 def long_betas(coefficients: DataFrame, names: list[str]) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, checks, moments, perturb, portfolio, regression, returns, risk
-from ..sources.cache import Store
-from ..sources.prices import derived_prices, from_wide, load_prices, to_wide
+from ..sources.cache import Store, session_store
+from ..sources.prices import derived_prices, from_wide, item_prices, load_prices, to_wide
 from . import report
 
 WINDOW, EVERY, BLOCK, PATHS, SEED, HALFLIFE, SHRINKAGE = 52, 4, 4, 10, 42, 26, 0.1
@@ -33,40 +33,46 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 10) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def panels(spark: SparkSession, sf_dir: str, factor: str = "flag", by: str = "type") -> tuple[DataFrame, DataFrame]:
-    return returns.panel(derived_prices(spark, sf_dir, by), derived_prices(spark, sf_dir, factor))
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that several queries read, kept as files for the session."""
+    return session_store(spark).fetch(Store.name(name, {"from": sf_dir}), make, {"from": sf_dir})
 
 
-SHARED: dict[tuple[str, ...], DataFrame] = {}
+def price_rows(spark: SparkSession, sf_dir: str, *by: str, frequency: str = "week") -> DataFrame:
+    """The prices of some kinds of series with those before them: from one scan of the line items."""
+    kinds = sorted({*by})
+    return stored(spark, sf_dir, f"prices-{'-'.join(kinds)}-{frequency}", lambda: returns.with_previous(item_prices(spark, sf_dir, kinds, frequency)))
 
 
-def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A frame that several queries read, persisted for the session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in SHARED:
-        SHARED[key] = make().persist()
-    return SHARED[key]
+def prices_of(spark: SparkSession, sf_dir: str, by: str, frequency: str = "week") -> DataFrame:
+    return price_rows(spark, sf_dir, by, frequency=frequency).select("time", "series", "price")
 
 
-def one_factor(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a, f = panels(spark, sf_dir)
-    return a, returns.wide_factors(f, ONE)
+def panel_rows(spark: SparkSession, sf_dir: str, factor: str = "flag", by: str = "type") -> DataFrame:
+    return returns.panel_rows(price_rows(spark, sf_dir, by, factor), by, factor)
 
 
-def two_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    a, f = panels(spark, sf_dir)
-    return a, f.filter(F.col("factor").isin(TWO)), returns.wide_factors(f, TWO)
+def panels(spark: SparkSession, sf_dir: str, factor: str = "flag", by: str = "type") -> tuple[DataFrame, DataFrame]:
+    return returns.sides(panel_rows(spark, sf_dir, factor, by), by, factor)
+
+
+def one_factor(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, None]:
+    return returns.with_factors(panel_rows(spark, sf_dir), "type", "flag", ONE), None
+
+
+def two_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, None]:
+    return returns.with_factors(panel_rows(spark, sf_dir), "type", "flag", TWO), panels(spark, sf_dir)[1].filter(F.col("factor").isin(TWO)), None
 
 
 def drawn(spark: SparkSession, sf_dir: str, block: int = BLOCK, history: bool = True, by: str = "type") -> tuple[DataFrame, DataFrame]:
     """Assets and flag factors along the bootstrap paths, and the history as path -1."""
-    a, f = (shared(spark, sf_dir, f"panel-{by}-{k}", lambda x=x: x) for k, x in enumerate(panels(spark, sf_dir, by=by)))
+    a, f = (stored(spark, sf_dir, f"panel-{by}-{k}", lambda x=x: x) for k, x in enumerate(panels(spark, sf_dir, by=by)))
 
     def paths(panel: DataFrame) -> DataFrame:
         found = bootstrap.resample(panel, bootstrap.hashed_draws(a, block, PATHS, SEED), block)
         return bootstrap.with_history(found, panel) if history else found
 
-    return tuple(shared(spark, sf_dir, f"paths-{by}-{block}-{history}-{k}", lambda x=x: paths(x)) for k, x in enumerate((a, f)))
+    return tuple(stored(spark, sf_dir, f"paths-{by}-{block}-{history}-{k}", lambda x=x: paths(x)) for k, x in enumerate((a, f)))
 
 
 # Panels
@@ -89,12 +95,12 @@ def panel_region_day(spark, sf_dir):
 
 @query
 def log_returns(spark, sf_dir):
-    return returns.log_returns(derived_prices(spark, sf_dir, "type", "day")).select("time", "series", "ret")
+    return returns.log_returns(prices_of(spark, sf_dir, "type", "day")).select("time", "series", "ret")
 
 
 @query
 def complete_dates(spark, sf_dir):
-    return returns.complete_dates(returns.log_returns(derived_prices(spark, sf_dir, "brand", "week")))
+    return returns.complete_dates(returns.log_returns(prices_of(spark, sf_dir, "brand", "week")))
 
 
 @query
@@ -240,7 +246,7 @@ def decomposition_identity(spark, sf_dir):
 
 def _any_factors(spark, sf_dir):
     both = (x.withColumn("path", F.lit(-1)) for x in panels(spark, sf_dir, "region"))
-    return tuple(shared(spark, sf_dir, f"regions-{k}", lambda x=x: x) for k, x in enumerate(both))
+    return tuple(stored(spark, sf_dir, f"regions-{k}", lambda x=x: x) for k, x in enumerate(both))
 
 
 def each_beta() -> list:
@@ -288,7 +294,7 @@ def rolling_contributions_multi(spark, sf_dir):
 def _sample_model(spark, sf_dir):
     a, f = _any_factors(spark, sf_dir)
     coefficients, fits = regression.sample_ols_any(a, f)
-    return portfolio.factor_model(shared(spark, sf_dir, "five-coefficients", lambda: coefficients), shared(spark, sf_dir, "five-fits", lambda: fits), f)
+    return portfolio.factor_model(stored(spark, sf_dir, "five-coefficients", lambda: coefficients), stored(spark, sf_dir, "five-fits", lambda: fits), f)
 
 
 @query
@@ -569,7 +575,7 @@ def rolling(spark: SparkSession, sf_dir: str, by: str = "type", names: list[str]
         times = a.select("path", "time", "time_idx").distinct()
         return portfolio.rolling_weights(model, f, _rebalances(times), portfolio.Problem(), SHRINKAGE)
 
-    return shared(spark, sf_dir, f"rolling-{by}-{names}", make)
+    return stored(spark, sf_dir, f"rolling-{by}-{names}", make)
 
 
 @query
@@ -740,6 +746,6 @@ def volatility_regime(spark, sf_dir):
 @query
 def reindexed_means(spark, sf_dir):
     """Mean returns for every brand that the parts have, 0 where the panel lacks it."""
-    means = returns.complete_dates(returns.log_returns(derived_prices(spark, sf_dir, "brand", "month"))).groupBy("series").agg(F.avg("ret").alias("mean"))
+    means = returns.complete_dates(returns.log_returns(prices_of(spark, sf_dir, "brand", "month"))).groupBy("series").agg(F.avg("ret").alias("mean"))
     labels = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("series"))
     return returns.reindex(means, labels, "series", 0.0)

@@ -46,18 +46,38 @@ def derived_prices(spark: SparkSession, sf_dir: str, by: str, frequency: str = "
         return table(spark, sf_dir, "events").groupBy(period("ts", frequency).alias("time"), F.col("event_type").alias("series")).agg(F.avg("value").alias("price"))
     if by == "priority":
         return table(spark, sf_dir, "orders").groupBy(period("o_orderdate", frequency).alias("time"), F.col("o_orderpriority").alias("series")).agg(F.avg("o_totalprice").alias("price"))
+    return item_prices(spark, sf_dir, [by], frequency).select("time", "series", "price")
+
+
+#: Where the name of a line item's series stands.
+ITEM_KEYS = {"type": "p_type", "brand": "p_brand", "flag": "l_returnflag", "status": "l_linestatus", "region": "r_name"}
+
+
+def item_prices(spark: SparkSession, sf_dir: str, by: Sequence[str], frequency: str = "week") -> DataFrame:
+    """by, time, series, price: volume-weighted average prices of line items for several keys at once.
+
+    One scan of the items serves all keys: their grouping sets are partly aggregated before anything
+    is shuffled. Items without a time or a key's name have no price there.
+    """
+    keys = list(dict.fromkeys(by))
+    if unknown := [k for k in keys if k not in ITEM_KEYS]:
+        raise ValueError(f"unknown series {unknown[0]!r}; one of {SERIES}")
     items = table(spark, sf_dir, "lineitem")
-    if by in ("type", "brand"):
-        rows = items.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("series", F.col(f"p_{by}"))
-    elif by == "region":
+    if {"type", "brand"} & {*keys}:
+        items = items.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    if "region" in keys:
         places = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        rows = items.join(places, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("series", F.col("r_name"))
-    elif by in ("flag", "status"):
-        rows = items.withColumn("series", F.col({"flag": "l_returnflag", "status": "l_linestatus"}[by]))
+        items = items.join(places, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = items.select(period("l_shipdate", frequency).alias("time"), *[F.col(ITEM_KEYS[k]).alias(n) for k, n in zip(keys, names)], "l_extendedprice", "l_quantity")
+    rows = rows.filter(F.col("time").isNotNull())
+    sums = [F.sum("l_extendedprice").alias("value"), F.sum("l_quantity").alias("quantity")]
+    if len(keys) == 1:
+        volume = rows.groupBy("time", F.col("k0").alias("series")).agg(*sums).withColumn("by", F.lit(keys[0]))
     else:
-        raise ValueError(f"unknown series {by!r}; one of {SERIES}")
-    volume = rows.groupBy(period("l_shipdate", frequency).alias("time"), "series").agg(F.sum("l_extendedprice").alias("value"), F.sum("l_quantity").alias("quantity"))
-    return volume.select("time", "series", F.try_divide("value", "quantity").alias("price"))
+        own = F.coalesce(*[F.when(F.grouping(n) == 0, F.lit(k)) for k, n in zip(keys, names)])
+        volume = rows.groupingSets([["time", n] for n in names], "time", *names).agg(*sums, own.alias("by")).withColumn("series", F.coalesce(*names))
+    return volume.filter(F.col("series").isNotNull()).select("by", "time", "series", F.try_divide("value", "quantity").alias("price"))
 
 
 def read_prices(spark: SparkSession, path: str, series: Sequence[str] | None = None, start: str | None = None, end: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
