@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Block, pack, parts, per_block, unpack, unpack_words, word_blocks
+from .common import BLOCK_BYTES, Block, lean, pack, parts, per_block, unpack, unpack_words, word_blocks
 
 #: The classes of the pattern for characters below U+0250, where the standard library's faster
 #: matcher can stand in for \p{L}, \p{N} and \s.
@@ -90,7 +90,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
                 out_ids.append(pack(np.fromiter(itertools.chain.from_iterable(ids), np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), pa.array(out_n, pa.binary()), pa.array(out_ids, pa.binary())], names=["block", "part", "n", "ids"])
 
-    encoded = parts(blocks).mapInArrow(once, "block bigint, part int, n binary, ids binary")
+    encoded = parts(blocks).mapInArrow(lean(once), "block bigint, part int, n binary, ids binary")
 
     def assemble(block: Block) -> pa.Table:
         size, first, flat, base = block.numbers("n"), np.empty(block.size, np.int64), [], 0

@@ -9,6 +9,7 @@ occurrence, and no word - however common - has more entries than there are block
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import itertools
 import uuid
 import zlib
@@ -52,6 +53,27 @@ def reliable(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
         return df.select("*").checkpoint()
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the machine: its allocators keep it otherwise, and workers
+    stay from task to task and stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # not all C libraries have it
+        trim(0)
+
+
+def lean(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``fn`` of a task's batches, after which its memory is given back."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Frames made inside lose their shuffle files when their job ends, not when the driver next
@@ -205,7 +227,7 @@ def word_blocks(
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.lit(1) if mark is None else mark, F.lit(0)).cast("bigint").alias("mark"), F.col(text_col).cast("string").alias("text")
     )
-    blocks = rows.mapInArrow(build, BLOCK_SCHEMA)
+    blocks = rows.mapInArrow(lean(build), BLOCK_SCHEMA)
     return reliable(blocks) if kept else blocks.repartition(ranges, "block")
 
 
@@ -234,7 +256,7 @@ def parts(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *cells], names=["block", "part", "sizes", "cells", "counts"])
 
     ranges = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.mapInArrow(explode, "block bigint, part int, sizes binary, cells binary, counts binary").repartition(ranges, "part")
+    return blocks.mapInArrow(lean(explode), "block bigint, part int, sizes binary, cells binary, counts binary").repartition(ranges, "part")
 
 
 def total_counts(batches: list[pa.RecordBatch]) -> dict[bytes, int]:
@@ -257,7 +279,7 @@ def corpus_counts(blocks: DataFrame) -> DataFrame:
             out = [pack(np.fromiter(map(total.__getitem__, unpack_words(s, c)), np.int64)) for s, c in zip(batch.column("sizes").to_pylist(), batch.column("cells").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), pa.array(out, pa.binary())], names=["block", "part", "n"])
 
-    return parts(blocks).mapInArrow(count, "block bigint, part int, n binary")
+    return parts(blocks).mapInArrow(lean(count), "block bigint, part int, n binary")
 
 
 class Block:
@@ -293,8 +315,11 @@ def per_block(blocks: DataFrame, values: DataFrame, fn: Callable[[Block], pa.Tab
     """``fn`` of each block with its parts' ``values``, at most ``block_bytes`` of text at a time."""
 
     def apply(same: pa.Table, rows: pa.Table) -> pa.Table:
-        block = Block(same, rows)
-        return pa.concat_tables([fn(block)] * block.copies)
+        try:
+            block = Block(same, rows)
+            return pa.concat_tables([fn(block)] * block.copies)
+        finally:
+            give_back()
 
     return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(apply, schema)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, ascii_words, corpus_counts, hash_filter, per_block, reliable, spread_join, word_blocks
+from .common import Block, ascii_words, corpus_counts, hash_filter, lean, per_block, reliable, spread_join, word_blocks
 from .graph import components
 
 #: Odd multipliers of the shingle hash.
@@ -138,7 +138,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) ->
     texts = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     texts = texts.filter("text is not null").filter(hash_filter(wanted, "text_hash")(F.col("text_hash")))
     one = texts.dropDuplicates(["text_hash"])  # of copies of a text one is sent by each task
-    return one.join(wanted, "text_hash").select("sid", "text").mapInArrow(compute, "sid bigint, cells binary")
+    return one.join(wanted, "text_hash").select("sid", "text").mapInArrow(lean(compute), "sid bigint, cells binary")
 
 
 def cell_values(cell: bytes) -> np.ndarray:
@@ -228,7 +228,7 @@ def links_in_clusters(members: DataFrame, sets: DataFrame, prefixes: DataFrame,
         if len(held) > 1:
             yield flush()
 
-    return rows.mapInArrow(solve, "u bigint, v bigint")
+    return rows.mapInArrow(lean(solve), "u bigint, v bigint")
 
 
 def similar_components(

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SMALL_BATCH, free_names, hash_filter, reliable, slices, spread_join, written
+from .common import SMALL_BATCH, free_names, hash_filter, lean, reliable, slices, spread_join, written
 
 BLOCK = (1 << 17) - 1  # bytes of text worked on at a time, about 150 times that in memory
 MAX_CONTEXTS = 5000
@@ -164,7 +164,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
                 columns = [np.asarray(part.column("key"))[doc], lens[doc], seed - base, lo - base, hi - base + length, h, c]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["key", "n_bytes", "p", "s", "e", "seed", "context"])
 
-    found = written(rows.mapInArrow(find, "key bigint, n_bytes bigint, p bigint, s bigint, e bigint, seed bigint, context bigint"), "seeds", SMALL_BATCH)
+    found = written(rows.mapInArrow(lean(find), "key bigint, n_bytes bigint, p bigint, s bigint, e bigint, seed bigint, context bigint"), "seeds", SMALL_BATCH)
     often = found.groupBy("seed").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("varied")).filter("n > 1").drop("n")
     candidates = reliable(spread_join(found, often, ["seed"]))
     same = candidates.filter("not varied").select("key", "n_bytes", "s", "e")
@@ -187,15 +187,15 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     keys = reliable(each.select("seed", "context", "r.*").groupBy("key", "n_bytes").agg(F.collect_list(F.struct("seed", "context", "p", "s", "e")).alias("at")))
     texts = rows.filter(hash_filter(keys.select("key"), "key")(F.col("key"))).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     one = texts.dropDuplicates(["key", "n_bytes"])  # of copies of a text one is sent by each task
-    whole = reliable(one.join(keys, ["key", "n_bytes"]).select("text", "at").mapInArrow(cut, "seed bigint, context bigint, at bigint, bytes binary"), SMALL_BATCH)
+    whole = reliable(one.join(keys, ["key", "n_bytes"]).select("text", "at").mapInArrow(lean(cut), "seed bigint, context bigint, at bigint, bytes binary"), SMALL_BATCH)
 
     large = reliable(whole.groupBy("seed").agg(F.count("*").alias("m")).filter(F.col("m") > max_contexts).select("seed", F.lit(True).alias("many")))
     few = large.isEmpty()
     marked = whole.withColumn("many", F.lit(None).cast("boolean")) if few else reliable(spread_join(whole, large, ["seed"], "left"))
     small = marked.filter("many is null").select("seed", "context", "at", "bytes")
-    extents = small.repartition("seed").sortWithinPartitions("seed").mapInArrow(functools.partial(scan, length=length), EXTENTS)
+    extents = small.repartition("seed").sortWithinPartitions("seed").mapInArrow(lean(functools.partial(scan, length=length)), EXTENTS)
     if not few:
-        each_window = marked.filter("many").mapInArrow(functools.partial(windows, length=length), "seed bigint, context bigint, d bigint, w bigint")
+        each_window = marked.filter("many").mapInArrow(lean(functools.partial(windows, length=length)), "seed bigint, context bigint, d bigint, w bigint")
         twice = each_window.groupBy("seed", "d", "w").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
         hot = each_window.join(twice.repartition("seed", "d", "w"), ["seed", "d", "w"])  # Spark can split a window of many contexts
         extents = extents.union(hot.select("seed", "context", (-F.col("d")).alias("left"), (F.col("d") + length).alias("right")))
@@ -302,7 +302,7 @@ def stripped_rows(rows: DataFrame, text: str, spans: str, fn: Callable[[str, lis
                 new = [pa.array(x, f.type) for x, f in zip(cells, kinds)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *new], names=[*carried, *added.names])
 
-    return rows.mapInArrow(apply, T.StructType([*(rows.schema[c] for c in carried), *added.fields]))
+    return rows.mapInArrow(lean(apply), T.StructType([*(rows.schema[c] for c in carried), *added.fields]))
 
 
 #: Letters of scripts that are written without blanks: each counts as a word.
@@ -349,8 +349,8 @@ def remove_passages(docs: DataFrame, *, words: int = 51, text_col: str = "text")
 
     typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*typed.schema.fields, T.StructField(codes_, T.StringType())])
-    keyed = typed.mapInArrow(code, schema)
-    spans = reliable(repeated_spans(typed.select(text_col).mapInArrow(code, T.StructType([typed.schema[text_col], schema[codes_]])), length=words * CODE, text_col=codes_), SMALL_BATCH)
+    keyed = typed.mapInArrow(lean(code), schema)
+    spans = reliable(repeated_spans(typed.select(text_col).mapInArrow(lean(code), T.StructType([typed.schema[text_col], schema[codes_]])), length=words * CODE, text_col=codes_), SMALL_BATCH)
     keyed = keyed.withColumns({key: F.xxhash64(codes_), size: F.octet_length(codes_).cast("bigint")}).drop(codes_)
     own = spans.select(F.col("key").alias(key), F.col("n_bytes").alias(size), F.col("spans").alias(spans_))
     maybe = keyed.withColumn(maybe_, hash_filter(spans.select("key"), "key")(F.col(key)))

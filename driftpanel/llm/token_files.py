@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import LETTER, OTHER, matchers
-from .common import SMALL_BATCH, pack, reliable, slices, sum_tables, table_rows, unpack, written
+from .common import SMALL_BATCH, lean, pack, reliable, slices, sum_tables, table_rows, unpack, written
 
 BLOCK_IDS, EVERY, MAX_BITS = 1 << 16, 1 << 9, 18
 TEXT = 1 << 20  # bytes of text at a time
@@ -267,7 +267,7 @@ def ordered_ids(docs: DataFrame, path: str, *, end_id: int, id_col: str, text_co
 
     schema = T.StructType.fromDDL("part int, block bigint, at bigint, n_ids bigint")
     schema.add("doc_ids", T.ArrayType(kind)).add("sizes", "binary").add("ids", "binary")
-    return rows.mapInArrow(build, schema)
+    return rows.mapInArrow(lean(build), schema)
 
 
 ROWS = ["part", "block", "at", "n_ids", "doc_ids", "sizes", "ids"]
