@@ -19,6 +19,23 @@ def check_columns(df: DataFrame, label: str, *more: str) -> None:
         raise ValueError(f"columns are missing: {sorted(missing)}")
 
 
+def check_rows(df: DataFrame, label: str) -> None:
+    """What an estimator needs of returns: ``label``, ret and time_idx, with at least one row."""
+    check_columns(df, label, "time_idx")
+    if df.isEmpty():
+        raise ValueError("there are no returns")
+
+
+def check_model(model: dict[str, DataFrame] | None) -> None:
+    """What an estimator needs of a factor model: its four frames, and dates that fits and factors share."""
+    if missing := {"coefficients", "betas", "fits", "factors"} - set(model or {}):
+        raise ValueError(f"the model lacks {sorted(missing)}")
+    check_columns(model["factors"], "factor", "time_idx")
+    on = [c for c in ("path", "time_idx") if c in model["fits"].columns and c in model["factors"].columns]
+    if not on or model["fits"].join(model["factors"], on, "left_semi").isEmpty():
+        raise ValueError("the model's fits and factors share no date")
+
+
 def panel_counts(df: DataFrame, label: str) -> DataFrame:
     """By label: rows, distinct times, and steps back in time by time_idx (0 in a sound panel)."""
     back = F.lag("time").over(W.partitionBy(label).orderBy("time_idx")) > F.col("time")

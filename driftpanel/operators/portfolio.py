@@ -18,6 +18,9 @@ from .regression import latest_model
 from .risk import array_betas
 
 CHECK = 1e-6
+ILL_CONDITIONED = 1e8
+#: Days of the rebalances that one task solves in a row.
+RUN_DAYS = 731
 #: What another start or a worse end may differ by before a warning.
 DIFFERENT = 1e-3
 DIAGNOSTICS = (
@@ -57,11 +60,24 @@ class Problem:
         return low, high
 
 
-def optimize(cov: np.ndarray, mu: np.ndarray | None, problem: Problem, seed: int = 0) -> tuple[np.ndarray, dict[str, Any]]:
+@dataclass
+class Warm:
+    """Where the last problem of a row of like ones ended: the next starts there."""
+
+    names: list[str] | None = None
+    weights: np.ndarray | None = None
+    held: tuple[int, ...] = ()
+
+
+def optimize(cov: np.ndarray, mu: np.ndarray | None, problem: Problem, seed: int = 0, warm: Warm | None = None, names: list[str] | None = None) -> tuple[np.ndarray, dict[str, Any]]:
     """Weights and a diagnostic record. Covariance and means are divided by the mean variance
-    first; l2_reg and risk_free_rate are not."""
+    first; l2_reg and risk_free_rate are not. A condition number above ILL_CONDITIONED warns.
+
+    ``warm`` starts the search at the weights of another problem of the same ``names`` and keeps this one's
+    answer for the next.
+    """
     n = len(cov)
-    if cov.shape != (n, n) or not np.allclose(cov, cov.T, atol=1e-8):
+    if cov.shape != (n, n) or not n or not np.allclose(cov, cov.T, atol=1e-8):
         raise ValueError("the covariance must be square and symmetric")
     scale = np.trace(cov) / n
     if not scale > 0:
@@ -72,8 +88,12 @@ def optimize(cov: np.ndarray, mu: np.ndarray | None, problem: Problem, seed: int
     low, high = problem.limits(n)
     start = np.full(n, problem.budget / n)
 
-    def run(w0: np.ndarray) -> tuple[np.ndarray, bool, int]:
-        return solve(s, m, problem.objective, low, high, problem.budget, problem.gross_budget, problem.long_budget, problem.short_budget, problem.risk_aversion, problem.risk_free_rate, problem.l2_reg, w0)
+    cond = float(np.linalg.cond(s))
+    if cond > ILL_CONDITIONED:
+        warnings.warn(f"the covariance is ill-conditioned: {cond:.3g}", stacklevel=2)
+
+    def run(w0: np.ndarray, held: tuple[int, ...] = ()) -> tuple[np.ndarray, bool, int, tuple[int, ...]]:
+        return solve(s, m, problem.objective, low, high, problem.budget, problem.gross_budget, problem.long_budget, problem.short_budget, problem.risk_aversion, problem.risk_free_rate, problem.l2_reg, w0, held)
 
     def value(w: np.ndarray) -> float:
         risk, l2 = w @ s @ w, problem.l2_reg * w @ w
@@ -83,8 +103,11 @@ def optimize(cov: np.ndarray, mu: np.ndarray | None, problem: Problem, seed: int
             return float(problem.risk_aversion * risk - m @ w + l2)
         return float(-(m @ w - problem.risk_free_rate) / np.sqrt(max(risk, 1e-16)) + l2)
 
-    w, ok, steps = run(start)
-    record: dict[str, Any] = dict.fromkeys(NAMES) | {"success": bool(ok), "status": 0 if ok else 1, "message": "converged" if ok else "not converged", "cond_number": float(np.linalg.cond(s)), "constraint_violation": 0, "n_iter": int(steps)}
+    same = warm is not None and warm.weights is not None and warm.names == names and len(warm.weights) == n
+    w, ok, steps, held = run(warm.weights, warm.held) if same else run(start)
+    if warm is not None:
+        warm.names, warm.weights, warm.held = (names, w, held) if ok else (None, None, ())
+    record: dict[str, Any] = dict.fromkeys(NAMES) | {"success": bool(ok), "status": 0 if ok else 1, "message": "converged" if ok else "not converged", "cond_number": cond, "constraint_violation": 0, "n_iter": int(steps)}
     if not ok:
         if problem.raise_on_failure:
             raise RuntimeError("the solver did not converge")
@@ -100,7 +123,7 @@ def optimize(cov: np.ndarray, mu: np.ndarray | None, problem: Problem, seed: int
     if problem.long_only and problem.bounds is None and problem.min_weight is None and problem.max_weight is None and problem.gross_budget is None:
         near = np.clip(w + rng.uniform(-1e-6, 1e-6, n), 0, 1)
         record["local_perturbation_obj_diff"] = value(near / near.sum() * problem.budget) - end
-    again, ok, _ = run(rng.dirichlet(np.ones(n)))
+    again, ok, *_ = run(rng.dirichlet(np.ones(n)))
     if ok:
         record |= {"weight_diff_init": float(np.linalg.norm(again - w)), "obj_diff_init": abs(value(again) - end)}
         if record["weight_diff_init"] > DIFFERENT and record["obj_diff_init"] > CHECK:
@@ -195,9 +218,10 @@ class MeanEstimator:
 
     def fit(self, returns: DataFrame | None = None, model: dict[str, DataFrame] | None = None) -> MeanEstimator:
         if self.method == "factor_model":
+            checks.check_model(model)
             mu = moments.mean_factor_model(model["betas"], model["factors"], model["fits"], model["coefficients"], self.halflife)
         elif self.method in ("hist", "ewma"):
-            checks.check_columns(returns, "asset")
+            checks.check_rows(returns, "asset")
             mu = moments.mean_hist(returns) if self.method == "hist" else moments.mean_ewma(returns, self.halflife)
         else:
             raise ValueError(f"unknown method {self.method!r}")
@@ -216,9 +240,10 @@ class CovarianceEstimator:
 
     def fit(self, returns: DataFrame | None = None, model: dict[str, DataFrame] | None = None) -> CovarianceEstimator:
         if self.method == "factor_model":
+            checks.check_model(model)
             cov = moments.cov_factor_model(model["betas"], moments.factor_cov(model["factors"], self.halflife), model["fits"], self.halflife)
         elif self.method in ("hist", "ewma"):
-            checks.check_columns(returns, "asset")
+            checks.check_rows(returns, "asset")
             cov = moments.cov_hist(returns) if self.method == "hist" else moments.cov_ewma(returns, self.halflife)
         else:
             raise ValueError(f"unknown method {self.method!r}")
@@ -305,7 +330,8 @@ def rolling_weights(model: DataFrame, factors: DataFrame, rebalances: DataFrame,
 
     ``model`` is that of ``rolling_ols_any``; ``rebalances`` has path, time, window_start. Each row
     goes only to the rebalances whose slice holds its date (``slices``). Betas are the last that the
-    slice has. Residuals of a first slice may be a single one: their variance is then 0.
+    slice has. Residuals of a first slice may be a single one: their variance is then 0. Problems of one
+    path and run of dates are solved in order of time, each warm-started from the one before.
     """
     days = slices(rebalances)
     inside = lambda df: df.join(days, ["path", "time"])
@@ -323,21 +349,28 @@ def rolling_weights(model: DataFrame, factors: DataFrame, rebalances: DataFrame,
     rows = own.filter("betas is not null").join(sigma, ["path", "at"]).join(starts, ["path", "at"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("asset", ignore_index=True)
+        warm, out = Warm(), []
+        for _, one in pdf.groupby("at", sort=True):
+            out.append(solved(one.sort_values("asset", ignore_index=True), warm))
+        return pd.concat(out, ignore_index=True)
+
+    def solved(pdf: pd.DataFrame, warm: Warm) -> pd.DataFrame:
         b, k = np.stack(pdf["betas"].to_list()), len(pdf["betas"].iloc[0])
         s = np.array([x["cov"] for x in pdf["sigma"].iloc[0]], float).reshape(k, k)
         c = b @ s @ b.T + np.diag(pdf["d"].to_numpy(float))
         c = (1 - shrinkage) * c + shrinkage * np.diag(np.diag(c))
         c = 0.5 * (c + c.T) + ridge * np.eye(len(c))
         seed = zlib.crc32(f"{pdf['path'].iloc[0]}|{pdf['at'].iloc[0]}".encode())
-        w, record = optimize(c, None, replace(problem, raise_on_failure=False), seed)
+        w, record = optimize(c, None, replace(problem, raise_on_failure=False), seed, warm, list(pdf["asset"]))
         out = pdf[["path", "at", "window_start", "asset"]].copy()
         out["weight"] = [None if np.isnan(x) else float(x) for x in w]
         for key, v in record.items():
             out[key] = v
         return out
 
-    return rows.groupBy("path", "at").applyInPandas(run, f"path int, at date, window_start date, asset string, weight double, {DIAGNOSTICS}").withColumnRenamed("at", "time")
+    # rebalances of a run of dates follow one another in a task, each from where the last one ended
+    dated = rows.withColumn("_run", F.floor(F.datediff("at", F.lit("1970-01-01").cast("date")) / RUN_DAYS))
+    return dated.groupBy("path", "_run").applyInPandas(run, f"path int, at date, window_start date, asset string, weight double, {DIAGNOSTICS}").withColumnRenamed("at", "time")
 
 
 __all__ = [

@@ -103,40 +103,70 @@ def business_day_before(day: str, n: int) -> str:
     return f"({MONDAY} + cast((({index}) // 5) * 7 + ({index}) % 5 as integer))"
 
 
-def orthogonal(rolling: bool) -> str:
+def orthogonal(rolling: bool, base: str | None = None, count: int = REGIONS, key: str = "", assets: str = "a", factors: str = "f") -> str:
     """Tables for any number of factors, here the regions, one set for each end t of a window (one
     for the whole sample, t = -1): o, factors made orthogonal one after the other (q), and their
-    projections r on those before; n, sums of q; cf, coefficients alpha, b1, ... by t and asset; and
-    fit, the rows of the last date (all, for the sample) with fitted and residual."""
-    k = range(1, REGIONS + 1)
+    projections r on those before; np, sums of q; cf, coefficients alpha, b1, ... by t and asset; and
+    fit, the rows of the last date (all, for the sample) with fitted and residual. ``key`` ("path, ")
+    keeps the paths of ``assets`` and ``factors`` apart."""
+    k = range(1, count + 1)
+    same = " and ".join(f"e.{x} = w0.{x}" for x in key.replace(",", "").split()) or "true"
     wide = ", ".join(f"max(case when i = {j} then ret end) as f{j}" for j in k)
-    out = [f"fn as (select factor, row_number() over (order by factor) as i from (select distinct factor from f))", f"w0 as (select time_idx, {wide} from f join fn using (factor) group by time_idx)"]
+    out = [f"fn as (select factor, row_number() over (order by factor) as i from (select distinct factor from {factors}))", f"w0 as (select {key}time_idx, {wide} from {factors} join fn using (factor) group by {key}time_idx)"]
     if rolling:
-        out.append(f"o0 as (select e.time_idx as t, w0.* from w0 join (select time_idx from w0 where time_idx >= {WINDOW - 1}) e on w0.time_idx between e.time_idx - {WINDOW - 1} and e.time_idx)")
+        out.append(f"o0 as (select e.time_idx as t, w0.* from w0 join (select {key}time_idx from w0 where time_idx >= {WINDOW - 1}) e on {same} and w0.time_idx between e.time_idx - {WINDOW - 1} and e.time_idx)")
     else:
         out.append("o0 as (select -1 as t, * from w0)")
     for j in k:
         rs = "".join(f", sum(f{j} * q{m}) over d / sum(q{m} * q{m}) over d as r{j}_{m}" for m in range(1, j))
         minus = "".join(f" - r{j}_{m} * q{m}" for m in range(1, j))
-        out.append(f"p{j} as (select *, avg(f{j}) over d as a{j}{rs} from o{j - 1} window d as (partition by t)), o{j} as (select *, f{j} - a{j}{minus} as q{j} from p{j})")
+        out.append(f"p{j} as (select *, avg(f{j}) over d as a{j}{rs} from o{j - 1} window d as (partition by {key}t)), o{j} as (select *, f{j} - a{j}{minus} as q{j} from p{j})")
     rs = [f"r{j}_{m}" for j in k for m in range(1, j)]
     keep = ", ".join(f"max({c}) as {c}" for c in [*rs, *(f"a{j}" for j in k)])
-    out.append(f"n as (select t, count(*) as rows_, {keep}, {', '.join(f'sum(q{j} * q{j}) as s{j}' for j in k)} from o{REGIONS} group by t)")
-    out.append(f"cs as (select t, asset, avg(ret) as m, {', '.join(f'sum(ret * q{j}) / sum(q{j} * q{j}) as c{j}' for j in k)} from o{REGIONS} join a using (time_idx) group by t, asset)")
-    last, steps = f"cs join n using (t)", []
+    out.append(f"np as (select {key}t, count(*) as rows_, {keep}, {', '.join(f'sum(q{j} * q{j}) as s{j}' for j in k)} from o{count} group by {key}t)")
+    out.append(f"cs as (select {key}t, asset, avg(ret) as m, {', '.join(f'sum(ret * q{j}) / sum(q{j} * q{j}) as c{j}' for j in k)} from o{count} join {assets} using ({key}time_idx) group by {key}t, asset)")
+    last, steps = f"cs join np using ({key}t)", []
     for j in reversed(k):  # back substitution
-        steps.append(f"b{j}_ as (select *, c{j}{''.join(f' - r{m}_{j} * b{m}' for m in range(j + 1, REGIONS + 1))} as b{j} from {last})")
+        steps.append(f"b{j}_ as (select *, c{j}{''.join(f' - r{m}_{j} * b{m}' for m in range(j + 1, count + 1))} as b{j} from {last})")
         last = f"b{j}_"
     out += steps
     model = " + ".join(f"b{j} * f{j}" for j in k)
     out.append(f"cf as (select *, m{''.join(f' - b{j} * a{j}' for j in k)} as alpha from {last})")
+    paths = "".join(f" and cf.{x} = w0.{x}" for x in key.replace(",", "").split())
+    same = "".join(f" and x.{v} = cf.{v}" for v in key.replace(",", "").split())
     at = "cf.t = w0.time_idx" if rolling else "true"
-    out.append(f"fit as (select cf.*, a.time, a.time_idx, ret, alpha + {model} as fitted, ret - (alpha + {model}) as residual from cf join w0 on {at} join a on a.time_idx = w0.time_idx and a.asset = cf.asset)")
+    out.append(f"fit as (select cf.*, x.time, x.time_idx, ret, alpha + {model} as fitted, ret - (alpha + {model}) as residual from cf join w0 on {at}{paths} join {assets} x on x.time_idx = w0.time_idx and x.asset = cf.asset{same})")
     # cov(f_j, fitted) from the orthogonal parts
     cov = {j: " + ".join([f"c{j} * s{j}", *(f"c{m} * r{j}_{m} * s{m}" for m in range(1, j))]) for j in k}
     contributions = ", ".join(f"b{j} * ({cov[j]}) / (rows_ - 1) as k{j}" for j in k)
     out.append(f"ko as (select *, {contributions} from cf)")
-    return f"{panels('region')},\n" + ",\n".join(out)
+    return f"{base or panels('region')},\n" + ",\n".join(out)
+
+
+def long_only(keys: str, cov: str, mu: str | None = None, risk_aversion: float = 1.0) -> str:
+    """Table sw (keys, asset, weight): the weights of at least 0 that sum to 1 and minimise risk_aversion w'Cw - mu'w,
+    exactly. ``cov`` names a table (keys, asset_i, asset_j, cov), ``mu`` one of (keys, asset, mu).
+
+    For each set of assets that may hold a weight (bits of s) the others' rows become those of the
+    identity, Gauss-Jordan steps solve C x = 1 and C y = mu, and of the sets whose weights are not
+    negative the one of the least objective holds the answer."""
+    both = f"{keys}, " if keys else ""
+    on = f"using ({both}asset)"
+    means = mu or f"(select distinct {both}asset_i as asset, 0.0::double as mu from {cov})"
+    by = f"group by {keys}" if keys else ""
+    two = 2 * risk_aversion
+    inside = "(s >> (i - 1)) & 1 = 1"
+    return f"""gr as (select {both}asset_i as asset, list(cov order by asset_j) as row from {cov} group by {both}asset_i),
+gm as (select {both}list(asset order by asset) as names, list(row order by asset) as c, list(mu order by asset) as mu, count(*)::int as n from gr join {means} m {on} {by}),
+gs as (select *, [[case when {inside} and (s >> (j - 1)) & 1 = 1 then c[i][j] when i = j and not ({inside}) then 1.0 else 0.0 end for j in range(1, n + 1)]
+    || [case when {inside} then 1.0 else 0.0 end, case when {inside} then mu[i] else 0.0 end] for i in range(1, n + 1)] as e
+  from (select *, unnest(range(1, 1::bigint << n)) as s from gm)),
+gj as (select {both}s, n, names, mu, 1 as k, e from gs
+  union all select {both}s, n, names, mu, k + 1, [[case when i = k then e[k][j] / e[k][k] else e[i][j] - e[i][k] * e[k][j] / e[k][k] end for j in range(1, n + 3)] for i in range(1, n + 1)] from gj where k <= n),
+gx as (select {both}n, names, mu, x, y, ({two} - list_sum(y)) / list_sum(x) as lam from (select {both}n, names, mu, [v[n + 1] for v in e] as x, [v[n + 2] for v in e] as y from gj where k = n + 1)),
+gw as (select {both}n, names, mu, lam, [(y[i] + lam * x[i]) / {two} for i in range(1, n + 1)] as w from gx),
+gb as (select {both}arg_min(names, lam - list_dot_product(mu, w)) as names, arg_min(w, lam - list_dot_product(mu, w)) as w from gw where list_min(w) >= -1e-12 {by}),
+sw as (select {both}unnest(names) as asset, greatest(unnest(w), 0.0) as weight from gb)"""
 
 
 BETAS = ", ".join(f"round(b{j}, 6) + 0 as b{j}" for j in range(1, REGIONS + 1))
@@ -204,7 +234,36 @@ def bands(value: str, digits: int) -> str:
     return ", ".join([*(rounded(digits, f"quantile_cont({value}, {p}) filter (path >= 0)", n) for p, n in ((0.1, "p10"), (0.5, "median"), (0.9, "p90"))), rounded(digits, f"max({value}) filter (path < 0)", "realized")])
 
 
+#: The covariance of each rebalance of each path, from the three flags' rolling model.
+ROLLING_ALL = f"""{orthogonal(True, f"{BOOT}", 3, "path, ", "ha", "hf")},
+rb as (select path, time as at_, time_idx as at_idx, time - {7 * (WINDOW - 1)} as ws from (select distinct path, time, time_idx from ha) where time_idx >= {WINDOW - 1} and (time_idx - {WINDOW - 1}) % {EVERY} = 0),
+sd as (select rb.path, at_, fit.asset, coalesce(var_samp(residual), 0) as d from rb join fit on fit.path = rb.path and fit.time between ws and at_ group by all),
+wd as (select path, time, w0.* exclude (path) from w0 join (select distinct path, time, time_idx from ha) using (path, time_idx)),
+sf as (select rb.path, at_, {", ".join(f"covar_samp(f{i}, f{j}) as s{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))} from rb join wd on wd.path = rb.path and wd.time between ws and at_ group by all),
+sb as (select rb.path, at_, asset, b1, b2, b3 from rb join cf on cf.path = rb.path and cf.t = at_idx),
+rc as (select x.path, x.at_ as time, x.asset as asset_i, y.asset as asset_j, {" + ".join(f"x.b{i} * s{i}{j} * y.b{j}" for i in (1, 2, 3) for j in (1, 2, 3))} as c, d from sb x join sb y using (path, at_) join sf using (path, at_) join sd on sd.path = x.path and sd.at_ = x.at_ and sd.asset = x.asset),
+rv_ as (select path, time, asset_i, asset_j, case when asset_i = asset_j then c + d + 1e-8 else (1 - {SHRINKAGE}) * c end as cov from rc),
+{long_only("path, time", "rv_")}""".replace("with ", "with recursive ", 1)
+SAMPLE_ALL = f"""{orthogonal(False, f"{BOOT}", 3, "path, ", "ha", "hf")},
+sd as (select path, asset, var_samp(residual) as d from fit group by all),
+sf as (select path, {", ".join(f"covar_samp(f{i}, f{j}) as s{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))} from w0 group by path),
+rc as (select x.path, x.asset as asset_i, y.asset as asset_j, {" + ".join(f"x.b{i} * s{i}{j} * y.b{j}" for i in (1, 2, 3) for j in (1, 2, 3))} as c, d from cf x join cf y using (path) join sf using (path) join sd on sd.path = x.path and sd.asset = x.asset),
+rv_ as (select path, asset_i, asset_j, case when asset_i = asset_j then c + d + 1e-8 else (1 - {SHRINKAGE}) * c end as cov from rc),
+{long_only("path", "rv_")}""".replace("with ", "with recursive ", 1)
+STABLE_ALL = f"{panels()},\n{STABLE}".replace("with ", "with recursive ", 1)
+EW_ALL = f"{panels()},\n{EW_STABLE}".replace("with ", "with recursive ", 1)
+MU_ALL = "(select asset, avg(ret) as mu from a group by asset)"
 SQL: dict[str, str] = {
+    "minvar_closed_form": f"{STABLE_ALL}, {long_only('', 'st')}, gf as (select names, x from gj, lateral (select [v[n + 1] for v in e] as x) where k = n + 1 and s = (1::bigint << n) - 1) select unnest(names) as asset, round(unnest([v / list_sum(x) for v in x]), 8) + 0 as weight from gf",
+    "minvar_weights": f"{STABLE_ALL}, {long_only('', 'st')} select asset, {rounded(6, 'weight', 'weight')} from sw",
+    "mean_variance_weights": f"{STABLE_ALL}, {long_only('', 'st', MU_ALL, 2.0)} select asset, {rounded(6, 'weight', 'weight')} from sw",
+    "optimizer_fit": f"{EW_ALL}, {long_only('', 'st')} select asset, {rounded(6, 'weight', 'weight')} from sw",
+    "rolling_weights": f"{ROLLING_ALL} select path::int as path, time, asset, {rounded(6, 'weight', 'weight')} from sw",
+    "weight_bands": f"{ROLLING_ALL} select time, asset, {bands('weight', 6)} from sw group by time, asset",
+    "weight_std": f"{ROLLING_ALL} select time, asset, {rounded(6, 'stddev_samp(weight)', 'std')} from sw where path >= 0 group by time, asset",
+    "top6_assets": f"{ROLLING_ALL} select asset, {rounded(6, 'avg(weight)', 'mean_weight')} from sw where path >= 0 group by asset order by avg(weight) desc, asset limit 6",
+    "cumulative_portfolio": f"{ROLLING_ALL},\n{HELD_PAIR.replace('pw using', 'sw using')} select path::int as path, time, time_idx::int as time_idx, {rounded(6, 'cumulative', 'cumulative')} from cum join (select distinct path, time, time_idx from ha) using (path, time)",
+    "sample_weights": f"{SAMPLE_ALL} select path::int as path, asset, {rounded(6, 'weight', 'weight')} from sw",
     "panel_vwap": f"select time, series, {r('price')} from ({prices('type')})",
     "panel_brand_month": f"select time, series, {r('price')} from ({prices('brand', 'month')})",
     "panel_region_day": f"select time, series, {r('price')} from ({prices('region', 'day')})",
@@ -262,6 +321,7 @@ select at_ as at, asset, count(*) as n_rows, {r('avg(ret)', 'mean')}, {r('var_sa
     "equal_weight_cumulative": f"{BOOT},\n{EQUAL} select path::int as path, time, {r('cumulative')} from cum",
     "cumulative_bands": f"""{BOOT},\n{EQUAL} select time, {r('quantile_cont(cumulative, 0.1) filter (path >= 0)', 'p10')}, {r('quantile_cont(cumulative, 0.5) filter (path >= 0)', 'median')},
   {r('quantile_cont(cumulative, 0.9) filter (path >= 0)', 'p90')}, {r('max(cumulative) filter (path < 0)', 'realized')} from cum group by time""",
+    "return_quantiles": f"{BOOT} select asset, {', '.join(r(f'quantile_cont(ret, {q})', n) for q, n in ((0.0, 'least'), (0.1, 'p10'), (0.5, 'median'), (0.9, 'p90'), (1.0, 'most')))} from ba group by asset",
     "terminal_stats": f"""{BOOT},\n{EQUAL}, l as (select path, arg_max(cumulative, time_idx) as x from cum where path >= 0 group by path)
 select count(*) as n_paths, {r('avg(x)', 'mean')}, {r('quantile_cont(x, 0.75) - quantile_cont(x, 0.25)', 'iqr')}, {r('quantile_cont(x, 0.1)', 'worst_decile')} from l""",
     "sharpe_table": f"{BOOT} select path::int as path, asset, {r('avg(ret) / stddev_samp(ret)', 'sharpe')} from ha group by all",
@@ -313,3 +373,33 @@ select asset_i, asset_j, {r('s + case when asset_i = asset_j then d else 0 end',
     "pair_weight_boxes": f"""{SAMPLE_PAIR} select asset, {", ".join(rounded(4, f"quantile_cont(weight, {p}) filter (path >= 0)", n) for p, n in ((0.0, "least"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "most")))},
   {rounded(4, "max(weight) filter (path < 0)", "realized")} from pw group by asset""",
 }
+SQL["many_path_bands"] = SQL["cumulative_bands"]
+
+
+def drawn_sql(scale: float, seed: int, frequency: str) -> str:
+    u = lambda k: f"((cast('0x' || substr(h, {8 * k + 1}, 8) as bigint) + 0.5) / 4294967296.0)"
+    rows = f"select time, series, md5('{seed}|' || series || '|' || time::varchar) as h from (select distinct date_trunc('{frequency}', l_shipdate::date)::date as time from lineitem) cross join (select distinct p_type as series from part) where isodow(time) <= 5"
+    return f"select time, series, {r(f'sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)}) * {scale}', 'ret')} from ({rows})"
+
+
+SQL["mock_asset_returns"] = drawn_sql(0.01, 1, "day")
+SQL["mock_factor_returns"] = drawn_sql(0.008, 2, "week")
+SQL["selected_series"] = f"{panels()} select time, factor, {r('ret')} from f where factor in ('A', 'R')"
+SQL["missing_series"] = f"select distinct p_brand as series from part where p_brand not in (select series from ({prices('brand')}) where time < date '1992-01-08')"
+#: Exponential weights by path: every path has all dates.
+EWB = f"""eb as (select ha.*, case when time_idx = 0 then pow(1 - {ALPHA}, m - 1) else {ALPHA} * pow(1 - {ALPHA}, m - 1 - time_idx) end as w from ha, (select max(time_idx) + 1 as m from ha))"""
+SQL["bootstrap_mean_ewma"] = f"""{BOOT}, {EWB}, mu as (select path, asset, sum(w * ret) as mu from eb group by all)
+select path::int as path, asset, {r(f'(1 - {SHRINKAGE}) * mu + {SHRINKAGE} * avg(mu) over (partition by path)', 'mu')} from mu"""
+SQL["bootstrap_cov"] = f"""{BOOT}, cb as (select p.path, p.asset as asset_i, q.asset as asset_j, covar_samp(p.ret, q.ret) as cov from ha p join ha q using (path, time_idx) group by all)
+select path::int as path, asset_i, asset_j, {r(f'case when asset_i = asset_j then cov + 1e-8 else (1 - {SHRINKAGE}) * cov end', 'cov')} from cb"""
+SQL["bootstrap_cov_ewma"] = f"""{BOOT}, {EWB} select p.path::int as path, p.asset as asset_i, q.asset as asset_j,
+  {r('(sum(p.w * p.ret * q.ret) - sum(p.w * p.ret) * sum(p.w * q.ret)) / (1 - sum(p.w * p.w))', 'cov')} from eb p join eb q using (path, time_idx) group by p.path, p.asset, q.asset"""
+#: Returns of a brand's own rows, and the positions of the days.
+GAPPY = f"""with gp as ({prices('brand', 'day')}), gi as (select time, row_number() over (order by time) - 1 as time_idx from (select distinct time from gp)),
+gl as (select *, lag(price) over (partition by series order by time) as before from gp),
+gt as (select time_idx, series as asset, ln(price / before) as ret from gl join gi using (time) where price > 0 and before > 0)"""
+#: y -> (d y + a x) / (d + a) with d = (1 - a) ** gap: a value's share is a / (d + a) times the shares d / (d + a) of those after it.
+SQL["gappy_mean_ewma"] = f"""{GAPPY}, gd as (select *, pow(1 - {ALPHA}, time_idx - lag(time_idx) over (partition by asset order by time_idx)) as d from gt),
+gw as (select *, coalesce(exp(sum(ln(d / (d + {ALPHA}))) over (partition by asset order by time_idx rows between 1 following and unbounded following)), 1) as later from gd)
+select asset, {r(f'sum(ret * later * coalesce({ALPHA} / (d + {ALPHA}), 1))', 'mu')} from gw group by asset"""
+SQL["gappy_cov_hist"] = f"{GAPPY} select p.asset as asset_i, q.asset as asset_j, {r('covar_samp(p.ret, q.ret)', 'cov')} from gt p join gt q using (time_idx) group by p.asset, q.asset"

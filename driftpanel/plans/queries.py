@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, checks, moments, perturb, portfolio, regression, returns, risk
+from ..operators import bootstrap, checks, moments, perturb, portfolio, regression, returns, risk, scans
 from ..sources.cache import Store, session_store
-from ..sources.prices import derived_prices, from_wide, item_prices, load_prices, to_wide
+from ..sources.prices import derived_prices, drawn_returns, from_wide, item_prices, load_prices, to_wide
 from . import report
 
 WINDOW, EVERY, BLOCK, PATHS, SEED, HALFLIFE, SHRINKAGE = 52, 4, 4, 10, 42, 26, 0.1
@@ -136,6 +136,35 @@ def stored_prices(spark, sf_dir):
     return out
 
 
+def _mock(spark, sf_dir, scale, seed, frequency):
+    """Drawn returns of the part types on the days (or weeks) of the line items."""
+    days = prices_of(spark, sf_dir, "type", frequency).select("time").distinct().filter("weekday(time) < 5")
+    return drawn_returns(days, spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("series")).distinct(), scale, seed)
+
+
+@query
+def mock_asset_returns(spark, sf_dir):
+    return _mock(spark, sf_dir, 0.01, 1, "day")
+
+
+@query
+def mock_factor_returns(spark, sf_dir):
+    return _mock(spark, sf_dir, 0.008, 2, "week")
+
+
+@query
+def selected_series(spark, sf_dir):
+    """Some named series; a missing name would fail."""
+    return returns.select_series(panels(spark, sf_dir)[1], "factor", ["A", "R"]).select("time", "factor", "ret")
+
+
+@query
+def missing_series(spark, sf_dir):
+    """Series of the parts that the weekly brand panel has no complete date for: a left anti join."""
+    labels = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("series")).distinct()
+    return labels.join(prices_of(spark, sf_dir, "brand").filter("time < date'1992-01-08'").select("series").distinct(), "series", "left_anti")
+
+
 @query
 def panel_checks(spark, sf_dir):
     return checks.panel_counts(panels(spark, sf_dir)[0], "asset")
@@ -397,6 +426,46 @@ def cov_factor_model_ewma(spark, sf_dir):
     return moments.cov_factor_model(m["betas"], moments.factor_cov(m["factors"], HALFLIFE), m["fits"], HALFLIFE)
 
 
+def _by_path(spark, sf_dir):
+    return drawn(spark, sf_dir)[0].drop("source_idx")
+
+
+@query
+def bootstrap_mean_ewma(spark, sf_dir):
+    """Shrunk means of each path."""
+    return portfolio.compute_mu(_by_path(spark, sf_dir), method="ewma", halflife=HALFLIFE, shrinkage=SHRINKAGE)
+
+
+@query
+def bootstrap_cov(spark, sf_dir):
+    """Shrunk, stable covariances of each path."""
+    return portfolio.compute_cov(_by_path(spark, sf_dir), method="hist", shrinkage=SHRINKAGE)
+
+
+@query
+def bootstrap_cov_ewma(spark, sf_dir):
+    return moments.cov_ewma(_by_path(spark, sf_dir), HALFLIFE)
+
+
+def _gappy(spark, sf_dir):
+    """Daily brand returns with the days that a brand misses: each brand's own rows, positions by day."""
+    rows = price_rows(spark, sf_dir, "brand", frequency="day")
+    days = returns.calendar(rows)
+    return rows.withColumn("ret", returns.log_return(F.col("price"), F.col("prev_price"))).join(days, "time").select("time_idx", F.col("series").alias("asset"), "ret")
+
+
+@query
+def gappy_mean_ewma(spark, sf_dir):
+    """The recursion over series that miss days: what came before fades by the length of the gap."""
+    return moments.mean_ewma(_gappy(spark, sf_dir), HALFLIFE)
+
+
+@query
+def gappy_cov_hist(spark, sf_dir):
+    """Covariances of the days that both brands have."""
+    return moments.cov_hist(_gappy(spark, sf_dir))
+
+
 @query
 def variance_ewma(spark, sf_dir):
     return moments.variance_of(panels(spark, sf_dir)[0], "asset", halflife=HALFLIFE).withColumnRenamed("v", "variance")
@@ -459,6 +528,11 @@ def residual_bootstrap(spark, sf_dir):
 # Portfolios
 
 
+def _six(df: DataFrame, *names: str) -> DataFrame:
+    """Weights, or the columns ``names``, to six digits: the solver and SQL are both exact beyond that."""
+    return _rounded_to(df, 6, *(names or ("weight",)))
+
+
 def _stable(spark, sf_dir, by="type"):
     a = panels(spark, sf_dir, by=by)[0]
     return a, moments.stabilized(moments.shrink_cov(moments.cov_hist(a), SHRINKAGE))
@@ -505,18 +579,18 @@ def minvar_closed_form_3(spark, sf_dir):
 @query
 def minvar_closed_form(spark, sf_dir):
     """Of all part types."""
-    return portfolio.closed_form(_stable(spark, sf_dir)[1])
+    return portfolio.closed_form(_stable(spark, sf_dir)[1]).select("asset", F.round("weight", 8).alias("weight"))
 
 
 @query
 def minvar_weights(spark, sf_dir):
-    return portfolio.optimize_groups(_stable(spark, sf_dir)[1], None, portfolio.Problem(), []).select("asset", "weight")
+    return _six(portfolio.optimize_groups(_stable(spark, sf_dir)[1], None, portfolio.Problem(), []).select("asset", "weight"))
 
 
 @query
 def mean_variance_weights(spark, sf_dir):
     a, cov = _stable(spark, sf_dir)
-    return portfolio.optimize_groups(cov, moments.mean_hist(a), portfolio.Problem("mean_variance", risk_aversion=2.0), []).select("asset", "weight")
+    return _six(portfolio.optimize_groups(cov, moments.mean_hist(a), portfolio.Problem("mean_variance", risk_aversion=2.0), []).select("asset", "weight"))
 
 
 @query
@@ -541,7 +615,7 @@ def opt_diagnostics(spark, sf_dir):
 @query
 def optimizer_fit(spark, sf_dir):
     optimizer = portfolio.PortfolioOptimizer(portfolio.MeanEstimator("ewma", HALFLIFE), portfolio.CovarianceEstimator("ewma", HALFLIFE, SHRINKAGE))
-    return optimizer.fit(panels(spark, sf_dir)[0]).get_weights()
+    return _six(optimizer.fit(panels(spark, sf_dir)[0]).get_weights())
 
 
 @query
@@ -575,12 +649,12 @@ def rolling(spark: SparkSession, sf_dir: str, by: str = "type", names: list[str]
         times = a.select("path", "time", "time_idx").distinct()
         return portfolio.rolling_weights(model, f, _rebalances(times), portfolio.Problem(), SHRINKAGE)
 
-    return stored(spark, sf_dir, f"rolling-{by}-{names}", make)
+    return stored(spark, sf_dir, f"rolling-{by}-{'-'.join(names or ['all'])}", make)
 
 
 @query
 def rolling_weights(spark, sf_dir):
-    return rolling(spark, sf_dir).select("path", "time", "asset", "weight")
+    return _six(rolling(spark, sf_dir).select("path", "time", "asset", "weight"))
 
 
 @query
@@ -591,23 +665,23 @@ def diagnostic_summary(spark, sf_dir):
 
 @query
 def weight_bands(spark, sf_dir):
-    return report.bands(rolling(spark, sf_dir), "weight", ["time", "asset"])
+    return _six(report.bands(rolling(spark, sf_dir), "weight", ["time", "asset"]), "p10", "median", "p90", "realized")
 
 
 @query
 def weight_std(spark, sf_dir):
-    return report.spread(rolling(spark, sf_dir), "weight", ["time", "asset"])
+    return _six(report.spread(rolling(spark, sf_dir), "weight", ["time", "asset"]), "std")
 
 
 @query
 def top6_assets(spark, sf_dir):
-    return report.top_assets(rolling(spark, sf_dir))
+    return _six(report.top_assets(rolling(spark, sf_dir)), "mean_weight")
 
 
 @query
 def cumulative_portfolio(spark, sf_dir):
     a, _ = drawn(spark, sf_dir)
-    return report.portfolio_cumulative(rolling(spark, sf_dir), a.drop("source_idx"))
+    return _six(report.portfolio_cumulative(rolling(spark, sf_dir), a.drop("source_idx")), "cumulative")
 
 
 def _rolling_pair(spark, sf_dir):
@@ -678,7 +752,7 @@ def pair_weight_boxes(spark, sf_dir):
 @query
 def sample_weights(spark, sf_dir):
     a, f = drawn(spark, sf_dir)
-    return portfolio.sample_weights(a.drop("source_idx"), f.drop("source_idx"), portfolio.Problem(), SHRINKAGE).select("path", "asset", "weight")
+    return _six(portfolio.sample_weights(a.drop("source_idx"), f.drop("source_idx"), portfolio.Problem(), SHRINKAGE).select("path", "asset", "weight"))
 
 
 def _equal(spark, sf_dir):
@@ -698,6 +772,20 @@ def cumulative_bands(spark, sf_dir):
     return report.bands(_equal(spark, sf_dir), "cumulative", ["time"])
 
 
+@query
+def return_quantiles(spark, sf_dir):
+    """Exact quantiles of each asset's returns along all paths, by selection."""
+    cuts = {"least": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "most": 1.0}
+    return scans.quantiles(drawn(spark, sf_dir, history=False)[0], ["asset"], "ret", cuts, few=256, bins=64)
+
+
+@query
+def many_path_bands(spark, sf_dir):
+    """``cumulative_bands`` by selection."""
+    paths = stored(spark, sf_dir, "equal-paths", lambda: _equal(spark, sf_dir))
+    return report.many_path_bands(paths, "cumulative", ["time"])
+
+
 @query
 def terminal_stats(spark, sf_dir):
     return report.terminal_stats(_equal(spark, sf_dir))

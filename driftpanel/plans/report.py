@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.returns import select_series
+from ..operators.scans import prefix, quantiles
 
 
 def bands(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -15,6 +16,14 @@ def bands(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.percentile(drawn, 0.1).alias("p10"), F.percentile(drawn, 0.5).alias("median"), F.percentile(drawn, 0.9).alias("p90"), F.max(F.when(F.col("path") < 0, F.col(value))).alias("realized"))
 
 
+def many_path_bands(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """The same by selection, for so many paths that no task should hold a group's values: ``df`` stored."""
+    drawn = F.when(F.col("path") >= 0, F.col(value))
+    found = quantiles(df.select(*keys, drawn.alias("_v")), keys, "_v", {"p10": 0.1, "median": 0.5, "p90": 0.9})
+    realized = df.groupBy(*keys).agg(F.max(F.when(F.col("path") < 0, F.col(value))).alias("realized"))
+    return found.join(realized, keys)
+
+
 def spread(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Standard deviation across paths."""
     return df.filter("path >= 0").groupBy(*keys).agg(F.stddev_samp(value).alias("std"))
@@ -47,8 +56,8 @@ def cumulative_returns(returns: DataFrame) -> DataFrame:
     """Percent growth of each series along its path."""
     label = next(c for c in ("asset", "factor") if c in returns.columns)
     keys = [c for c in ("path",) if c in returns.columns]
-    total = F.sum("ret").over(W.partitionBy(*keys, label).orderBy("time_idx").rowsBetween(W.unboundedPreceding, 0))
-    return returns.select(*keys, "time", "time_idx", label, ((F.exp(total) - 1) * 100).alias("cumulative"))
+    total = prefix(returns.select(*keys, "time", "time_idx", label, "ret"), [*keys, label], sums={"total": F.col("ret")})
+    return total.select(*keys, "time", "time_idx", label, ((F.exp("total") - 1) * 100).alias("cumulative"))
 
 
 def portfolio_cumulative(weights: DataFrame, returns: DataFrame) -> DataFrame:
@@ -56,12 +65,10 @@ def portfolio_cumulative(weights: DataFrame, returns: DataFrame) -> DataFrame:
     next; rows before every asset has one are left out."""
     keys = ["path", "asset"]
     rows = returns.join(weights.select("path", "time", "asset", "weight"), ["path", "time", "asset"], "left")
-    held = F.last("weight", ignorenulls=True).over(W.partitionBy(*keys).orderBy("time_idx").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("held", held)
-    rows = rows.withColumn("held", F.lag("held").over(W.partitionBy(*keys).orderBy("time_idx")))
+    rows = prefix(rows, keys, lasts={"held": F.col("weight")}, before=True)
     daily = rows.groupBy("path", "time", "time_idx").agg(F.sum(F.col("held") * F.expm1("ret")).alias("r"), (F.count("held") == F.count("*")).alias("full")).filter("full")
-    total = F.sum(F.log1p("r")).over(W.partitionBy("path").orderBy("time_idx").rowsBetween(W.unboundedPreceding, 0))
-    return daily.select("path", "time", "time_idx", ((F.exp(total) - 1) * 100).alias("cumulative"))
+    total = prefix(daily, ["path"], sums={"total": F.log1p("r")})
+    return total.select("path", "time", "time_idx", ((F.exp("total") - 1) * 100).alias("cumulative"))
 
 
 def equal_weights(returns: DataFrame, rebalances: DataFrame) -> DataFrame:

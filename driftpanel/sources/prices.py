@@ -141,10 +141,31 @@ def to_wide(df: DataFrame, names: Sequence[str], value: str = "price") -> DataFr
     return df.groupBy("time").pivot("series", list(names)).agg(F.first(value))
 
 
+def uniform(text: Column, k: int) -> Column:
+    """The k-th of four numbers in (0, 1) that belong to ``text``: from its MD5, so that any engine and
+    any partitioning has the same."""
+    return (F.conv(F.substring(F.md5(text), 8 * k + 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
+
+
+def normal(text: Column) -> Column:
+    """A standard normal number that belongs to ``text`` (Box and Muller's transform)."""
+    return F.sqrt(-2 * F.ln(uniform(text, 0))) * F.cos(2 * F.pi() * uniform(text, 1))
+
+
+def drawn_returns(days: DataFrame, names: DataFrame, scale: float = 0.01, seed: int = 0) -> DataFrame:
+    """time, series, ret: normal returns of ``names`` (series) on each of ``days`` (time, few). A value depends
+    on seed, series and day alone."""
+    rows = names.select("series").crossJoin(F.broadcast(days.select("time")))  # the grid is what is asked for
+    return rows.select("time", "series", (normal(F.concat_ws("|", F.lit(str(seed)), "series", F.col("time").cast("string"))) * scale).alias("ret"))
+
+
+def business_days(spark: SparkSession, start: str, end: str) -> DataFrame:
+    return spark.sql(f"select explode(sequence(date'{start}', date'{end}')) as time").filter("weekday(time) < 5")
+
+
 def mock_returns(spark: SparkSession, start: str, end: str, names: Sequence[str], scale: float = 0.01, seed: int = 0) -> DataFrame:
     """Normal returns on business days, for trials without data: time, series, ret."""
     if not names:
         raise ValueError("names must not be empty")
-    days = spark.sql(f"select explode(sequence(date'{start}', date'{end}')) as time").filter("weekday(time) < 5")
-    rows = days.select("time", F.explode(F.array(*map(F.lit, names))).alias("series"))
-    return rows.withColumn("ret", F.randn(seed) * scale)
+    series = spark.createDataFrame([(n,) for n in names], "series string")
+    return drawn_returns(business_days(spark, start, end), series, scale, seed)

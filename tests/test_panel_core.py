@@ -185,6 +185,31 @@ def test_many_series_are_not_joined_with_themselves(spark):
     assert all(abs(r.cov - want[int(r.i[1:]), int(r.j[1:])]) < 1e-12 for r in got)
 
 
+def test_estimators_check_what_they_are_given(spark, paths):
+    df = paths[1]
+    for bad in (df.limit(0), df.drop("ret"), df.drop("time_idx")):
+        with pytest.raises(ValueError):
+            portfolio.compute_mu(bad)
+        with pytest.raises(ValueError):
+            portfolio.compute_cov(bad)
+    fits = df.withColumn("residual", F.col("ret"))
+    factors = df.withColumnRenamed("asset", "factor")
+    model = {"coefficients": df, "betas": df, "fits": fits, "factors": factors.withColumn("time_idx", F.col("time_idx") + 1000)}
+    for wrong in (None, {}, model, model | {"factors": factors.drop("ret")}):
+        with pytest.raises(ValueError):
+            portfolio.compute_cov(model=wrong, method="factor_model")
+
+
+def test_mock_returns_do_not_depend_on_partitions(spark):
+    one = prices.mock_returns(spark, "2024-01-01", "2024-03-29", ["a", "b"], 0.01, 7)
+    names = spark.createDataFrame([("b",), ("a",)], "series string").repartition(5)
+    two = prices.drawn_returns(prices.business_days(spark, "2024-01-01", "2024-03-29").repartition(7), names, 0.01, 7)
+    assert one.count() == 65 * 2 and one.exceptAll(two).count() == 0
+    x = np.array([r.ret for r in prices.mock_returns(spark, "2000-01-03", "2020-01-01", ["a", "b"], 1.0, 3).collect()])
+    assert abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03 and abs((x**4).mean() - 3) < 0.3
+    assert prices.mock_returns(spark, "2024-01-01", "2024-01-05", ["a"], 0.01, 8).exceptAll(one).count() == 5
+
+
 def test_a_halflife_is_needed(paths):
     for h in (None, 0, -1.0):
         with pytest.raises(ValueError):
