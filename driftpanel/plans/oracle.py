@@ -338,7 +338,8 @@ select asset, round(case k when 1 then w1 when 2 then w2 else w3 end / (w1 + w2
     "noisy_returns": f"{panels()} select time, asset, {r(f"ret + (cast('0x' || substr(md5(asset || '-' || time_idx::varchar || '-{SEED}'), 1, 8) as bigint) / 4294967296.0 * 2 - 1) * 0.001", 'ret')} from a",
     "volatility_regime": f"{panels()}, m as (select asset, avg(ret) as m from a group by asset) select time, asset, {r("case when time between date '1995-01-01' and date '1995-12-31' then m + 2 * (ret - m) else ret end", 'ret')} from a join m using (asset)",
     "reindexed_means": f"with {log_returns('p', prices('brand', 'month'))} select series, {r('coalesce(mean, 0)', 'mean')} from (select distinct p_brand as series from part) left join (select series, avg(ret) as mean from p_r group by series) using (series)",
-    "stored_prices": f"select time, series, 'factor' as kind, {r('price')} from ({prices('flag')}) where time between date '1995-01-01' and date '1996-12-31'",
+    "stored_prices": f"select time, series, 'factor' as kind, {r('price')} from ({prices('flag')})",
+    "loaded_slice": f"select time, series, 'asset' as kind, {r('price')} from ({prices('type', 'day')}) where time between date '1995-01-01' and date '1996-12-31'",
     "rolling_ols_multi": f"{orthogonal(True)} select time, asset, {rounded(8, 'alpha', 'alpha')}, {BETAS}, {rounded(8, 'fitted', 'fitted')}, {rounded(8, 'residual', 'residual')} from fit",
     "sample_ols_multi": f"{orthogonal(False)} select asset, {rounded(8, 'alpha', 'alpha')}, {BETAS} from cf",
     "sample_ols_multi_fit": f"{orthogonal(False)} select time, asset, {rounded(8, 'fitted', 'fitted')}, {rounded(8, 'residual', 'residual')} from fit",

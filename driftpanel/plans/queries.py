@@ -130,12 +130,18 @@ def wide_long_round_trip(spark, sf_dir):
 @query
 def stored_prices(spark, sf_dir):
     """Factor prices through a store: made and kept by the first call, read by the second."""
-    store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/prices-{uuid.uuid4().hex}")
+    store = Store(spark, f"{session_store(spark).folder}/stored-{uuid.uuid4().hex}")
     for _ in range(2):
-        out = load_prices(spark, sf_dir, "flag", kind="factor", start="1995-01-01", end="1996-12-31", store=store)
+        out = load_prices(spark, sf_dir, "flag", kind="factor", store=store)
     return out
 
 
+@query
+def loaded_slice(spark, sf_dir):
+    """A span of time, read from the stored panel by pushed filters."""
+    return load_prices(spark, sf_dir, "type", frequency="day", start="1995-01-01", end="1996-12-31", store=session_store(spark))
+
+
 def _mock(spark, sf_dir, scale, seed, frequency):
     """Drawn returns of the part types on the days (or weeks) of the line items."""
     days = prices_of(spark, sf_dir, "type", frequency).select("time").distinct().filter("weekday(time) < 5")

@@ -103,16 +103,21 @@ def load_prices(
     spark: SparkSession, sf_dir: str, by: str, *, kind: str = "asset", frequency: str = "week", series: Sequence[str] | None = None, start: str | None = None, end: str | None = None, store: Store | None = None,
 ) -> DataFrame:
     """time, series, kind, price of derived prices, with their origin as the price column's metadata.
-    With a ``store`` they are kept as asked for, and read there the next time; which series are asked
-    for counts, not in which order."""
+
+    With a ``store`` the panel of all series and times is kept once, in files that are cut and sorted by
+    series and time, and each call reads of it what it asks for: the filters reach the scan, whose
+    statistics leave out the other files and row groups."""
     if kind not in ("asset", "factor"):
         raise ValueError("kind must be 'asset' or 'factor'")
 
     def make() -> DataFrame:
-        return between(derived_prices(spark, sf_dir, by, frequency), series, start, end).select("time", "series", F.lit(kind).alias("kind"), "price")
+        return derived_prices(spark, sf_dir, by, frequency).select("time", "series", F.lit(kind).alias("kind"), "price")
+
+    def sorted_() -> DataFrame:
+        return make().repartitionByRange("series", "time").sortWithinPartitions("series", "time")
 
-    settings = {"from": sf_dir, "by": by, "frequency": frequency, "start": start, "end": end}
-    rows = make() if store is None else store.fetch(Store.name(f"{kind}-prices", settings, {"series": series or ["*"]}), make)
+    settings = {"from": sf_dir, "by": by, "frequency": frequency}
+    rows = between(make() if store is None else store.fetch(Store.name(f"{kind}-prices", settings), sorted_, settings), series, start, end)
     origin = {"by": by, "frequency": FREQUENCIES[frequency], "kind": kind, "value": "mean" if by in ("event", "priority") else "volume-weighted average"}
     return rows.select("time", "series", "kind", F.col("price").alias("price", metadata=origin))
 

@@ -295,6 +295,10 @@ def test_loaded_prices_carry_their_origin(spark, tmp_path):
         got = prices.load_prices(spark, str(tmp_path), "flag", kind="factor", frequency="day", series=["A"], end="2024-01-02", store=store)
     assert [(r.time, r.series, r.kind, r.price) for r in got.orderBy("time").collect()] == [(dt.date(2024, 1, 1), "A", "factor", 5.0), (dt.date(2024, 1, 2), "A", "factor", 10.0)]
     assert got.schema["price"].metadata["frequency"] == "daily"
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan" not in plan and "PushedFilters" in plan and "LessThanOrEqual(time" in plan and "EqualTo(series,A)" in plan
+    assert prices.load_prices(spark, str(tmp_path), "flag", kind="factor", frequency="day", store=store).count() == 6
+    assert len(list((tmp_path / "store").iterdir())) == 1  # one stored panel serves all spans
     with pytest.raises(ValueError):
         prices.load_prices(spark, str(tmp_path), "flag", kind="other")
     with pytest.raises(ValueError):
