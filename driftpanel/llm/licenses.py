@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, in DataFrame expressions only.
 
 A text is cut into pieces at its line ends and sentence ends, normalised to lower-case letters and
-digits. A known sentence of public licences is one piece, or the pieces of lines that follow one
+digits. A known sentence of public licences (in some, any name of up to eight words may stand for the owner's) is one piece, or the pieces of lines that follow one
 another without a sentence end or a blank line between (the text is wrapped, maybe in a comment of
 marks other than letters and digits); of two at one place the longer counts. A colon ends a sentence
 if the texts before and after it are known. Known sentences become identifiers, and a rule names a
@@ -78,7 +78,28 @@ SENTENCES: dict[str, str] = {
     "cc-by-nc-sa-4": "Licensed under CC BY-NC-SA 4.0",
     "cc0": "Licensed under CC0 1.0",
     "reserved": "All rights reserved",
+    "apache2-asf": "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements",
+    "apache2-asf-notice": "See the NOTICE file distributed with this work for additional information regarding copyright ownership",
+    "apache2-asf-grant": 'The ASF licenses this file to you under the Apache License, Version 2.0 (the "License")',
+    "mit-project": "This project is licensed under the MIT License",
+    "mit-project-file": "This project is licensed under the MIT License - see the LICENSE file for details",
+    "mit-project-md": "This project is licensed under the MIT License - see the LICENSE.md file for details",
+    "gpl2-only-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2",
+    "gpl2-only-license": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License",
+    "gpl3-only-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
+    "gpl3-only-license": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+    "gpl2-version": "version 2 of the License",
+    "gpl3-version": "version 3 of the License",
+    "bsd-endorse-owner": "Neither the name of <owner> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-own": "Neither the name of <owner> nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-author": "The name of <owner> may not be used to endorse or promote products derived from this software without specific prior written permission",
 }
+#: Identifiers that stand behind "SPDX-License-Identifier:".
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+SENTENCES |= {f"spdx-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 #: Rule -> (licence, its sentences in order).
 RULES: dict[str, tuple[str, tuple[str, ...]]] = {
     "apache2-notice": ("Apache-2.0", ("apache2-notice",)),
@@ -123,36 +144,64 @@ RULES: dict[str, tuple[str, tuple[str, ...]]] = {
     "cc-by-nc-sa-4": ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4",)),
     "cc0": ("CC0-1.0", ("cc0",)),
     "reserved": ("all-rights-reserved", ("reserved",)),
+    "apache2-asf": ("Apache-2.0", ("apache2-asf", "apache2-asf-notice", "apache2-asf-grant")),
+    "apache2-asf-header": ("Apache-2.0", ("apache2-asf", "apache2-asf-notice", "apache2-asf-grant", "apache2-use", "apache2-copy", "apache2-basis", "apache2-limits")),
+    "mit-project": ("MIT", ("mit-project",)),
+    "mit-project-file": ("MIT", ("mit-project-file",)),
+    "mit-project-md": ("MIT", ("mit-project-md",)),
+    "gpl2-only": ("GPL-2.0-only", ("gpl-free", "gpl2-only-terms", "gpl-hope")),
+    "gpl2-only-license": ("GPL-2.0-only", ("gpl-free", "gpl2-only-license", "gpl-hope")),
+    "gpl2-only-parted": ("GPL-2.0-only", ("gpl-free", "gpl-published", "gpl2-version", "gpl-hope")),
+    "gpl3-only": ("GPL-3.0-only", ("gpl-free", "gpl3-only-terms", "gpl-hope")),
+    "gpl3-only-license": ("GPL-3.0-only", ("gpl-free", "gpl3-only-license", "gpl-hope")),
+    "gpl3-only-parted": ("GPL-3.0-only", ("gpl-free", "gpl-published", "gpl3-version", "gpl-hope")),
 }
+RULES |= {f"spdx-{x}": (x, (f"spdx-{x}",)) for x in SPDX}
+for name in ("bsd-endorse-owner", "bsd-endorse-own", "bsd-endorse-author"):  # the third condition under other names
+    RULES |= {f"{name}-text": ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", name)), f"{name}-whole": ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", name, "bsd-as-is"))}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SENTENCE_END, NOT_PLAIN = r"[.!?;]+[ \t\r\n]+", r"[^a-z0-9\n]+"
 #: In a plain text, which is lower case, S is a sentence end, and B and E enclose known sentences.
 PLAIN = r"[^a-z0-9:\nS]+"
 
 
+#: In a sentence it stands for a name of one to OWNER_WORDS words.
+OWNER, OWNER_WORDS = "<owner>", 8
+
+
 def normal(sentence: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
+    """Words parted by blanks; a name is ``@``."""
+    return " @ ".join(re.sub(r"[^a-z0-9]+", " ", x.lower()).strip() for x in sentence.split(OWNER))
 
 
 def marks(sentences: dict[str, str]) -> str:
-    """Pattern of a known sentence in a plain text, from one boundary to the next."""
-    ordered = sorted({normal(s) for s in sentences.values()}, key=len, reverse=True)
-    known = "|".join(s.replace(" ", r"(?:[ :]+|[ :]*\n[ :]*)") for s in ordered)
+    """Pattern of a known sentence in a plain text, from one boundary to the next. Of two that match
+    the longer stands first, those with names last."""
+    ordered = sorted({normal(s) for s in sentences.values()}, key=lambda s: ("@" in s, -len(s), s))
+    gap = r"(?:[ :]+|[ :]*\n[ :]*)"
+    known = "|".join(s.replace(" ", gap).replace("@", rf"[a-z0-9]+(?:{gap}[a-z0-9]+){{0,{OWNER_WORDS - 1}}}?") for s in ordered)
     end = r"(?=[ :]*(?:[\nS]|\z))"
     return rf"((?:^|[\nS]|\G(?!^) *:)[ :]*)({known})(?:{end}|(?= *:[ :]*(?:{known}){end}))"
 
 
+def with_names(sentences: dict[str, str]) -> dict[str, str]:
+    """Patterns of the normalised sentences that have a name in them."""
+    return {k: "^" + normal(s).replace("@", f"[a-z0-9]+( [a-z0-9]+){{0,{OWNER_WORDS - 1}}}") + "$" for k, s in sentences.items() if OWNER in s}
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: dict[str, tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """One row for each match: the id, rule, license, first (the number of its first sentence in
     the text, from 0) and n_sentences."""
-    known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (normal(s), k)])
+    known = F.create_map(*[F.lit(x) for k, s in sentences.items() if OWNER not in s for x in (normal(s), k)])
+    named = with_names(sentences)
+    which = lambda x: F.coalesce(F.try_element_at(known, x), *[F.when(x.rlike(p), F.lit(k)) for k, p in named.items()])
     ends = F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), SENTENCE_END, "S")
     marked = F.regexp_replace(F.regexp_replace(ends, PLAIN, " "), marks(sentences), "$1B$2E")
     cut = docs.select(F.col(id_col), once(F.split(marked, "B")).alias("p")).filter(F.size("p") > 1)
     cut = cut.select(id_col, "p", once(F.transform("p", lambda x: F.length(x) - F.length(F.translate(x, "\nS", "")))).alias("n"))
     before = lambda i: F.aggregate(F.slice("n", 1, i + 1), F.lit(0), lambda a, x: a + x)
     sentence = lambda x: F.trim(F.regexp_replace(F.substring_index(x, "E", 1), "[ :\n]+", " "))
-    each = F.transform(F.slice("p", 2, F.size("p")), lambda x, i: F.struct(F.try_element_at(known, sentence(x)).alias("k"), before(i).alias("i")))
+    each = F.transform(F.slice("p", 2, F.size("p")), lambda x, i: F.struct(which(sentence(x)).alias("k"), before(i).alias("i")))
     ids = cut.select(id_col, once(each).alias("m"))
     table = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"), F.array(*map(F.lit, seq)).alias("seq")) for r, (lic, seq) in rules.items()])
     ids = ids.select(id_col, "m", once(F.transform("m", lambda x: x["k"])).alias("k"))
@@ -165,13 +214,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sen
 
 def oracle_sql() -> str:
     """The same as DuckDB SQL."""
-    values = ", ".join(f"('{normal(s)}', '{k}')" for k, s in SENTENCES.items())
+    values = ", ".join(f"('{normal(s)}', '{k}')" for k, s in SENTENCES.items() if OWNER not in s)
+    named = " ".join(f"when regexp_matches(s, '{p}') then '{k}'" for k, p in with_names(SENTENCES).items())
     rules = ", ".join(f"('{r}', '{lic}', {list(seq)})" for r, (lic, seq) in RULES.items())
     return f"""
 with known(s, k) as (values {values}), rules(rule, license, seq) as (values {rules}),
 cut as (select doc_id, string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SENTENCE_END}', chr(10), 'g'), '{NOT_PLAIN}', ' ', 'g'), chr(10)) as ss from documents),
 each as (select doc_id, trim(unnest(ss)) as s, generate_subscripts(ss, 1) - 1 as i from cut),
-m as (select doc_id, k, i, row_number() over (partition by doc_id order by i) as a from each join known using (s)),
+met as (select doc_id, i, coalesce(known.k, case {named} end) as k from each left join known using (s)),
+m as (select doc_id, k, i, row_number() over (partition by doc_id order by i) as a from met where k is not null),
 lists as (select doc_id, list(k order by a) as ks from m group by doc_id),
 f as (select m.doc_id, rule, license, a, a + len(seq) as b, i as first from m join rules on rules.seq[1] = m.k join lists using (doc_id) where ks[a : a + len(seq) - 1] = seq)
 select doc_id, rule, license, first::bigint as first, (b - a)::bigint as n_sentences from f
