@@ -48,7 +48,7 @@ BLOCK_IDS, EVERY, MAX_BITS = 1 << 16, 1 << 9, 18
 TEXT = 1 << 20  # bytes of text at a time
 JOINED = 256  # words encoded in one text
 BLANK_LETTERS = re.compile(f" [{LETTER}]+")
-KNOWN = 1 << 20  # words whose ids a Python worker keeps, in about 200 MB
+KNOWN = 3 << 19  # words whose ids a Python worker keeps, in about 300 MB
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
