@@ -7,14 +7,13 @@ runs' totals - one row for each - are scanned, and what came before a run is add
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.cache import session_store
+from ..sources.cache import kept
 
 #: Positions of a run.
 RUN = 1024
@@ -61,7 +60,7 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: d
     ``few`` values, or equal ones; only those are sorted. A pass is one aggregation with partial counts, so
     no task holds a group. ``rows`` is read in each pass: give it stored. The driver sees two numbers of a pass.
     """
-    keys, store = list(keys), session_store(rows.sparkSession)
+    keys = list(keys)
     known = rows.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x is not null")
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p")) for n, p in probabilities.items()]))
     ends = known.groupBy(*keys).agg(F.count("*").alias("_m"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).withColumn("_w", wanted)
@@ -72,9 +71,9 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: d
     names, open_ = [*keys, "_q", "_f", "_rank"], (F.col("_m") > few) & (F.col("_lo") < F.col("_hi"))
 
     def stored(df: DataFrame) -> tuple[DataFrame, int, int]:
-        kept = store.fetch(f"ranks-{uuid.uuid4().hex}", lambda: df)
-        seen = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum(open_.cast("bigint")), F.lit(0)).alias("more")).first()
-        return kept, seen.n, seen.more
+        ranks_ = kept(df)
+        seen = ranks_.agg(F.count("*").alias("n"), F.coalesce(F.sum(open_.cast("bigint")), F.lit(0)).alias("more")).first()
+        return ranks_, seen.n, seen.more
 
     def inside(part: DataFrame, n: int) -> DataFrame:
         part = F.broadcast(part) if n <= SMALL else part

@@ -64,15 +64,21 @@ def two_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return returns.with_factors(panel_rows(spark, sf_dir), "type", "flag", TWO), panels(spark, sf_dir)[1].filter(F.col("factor").isin(TWO)), None
 
 
-def drawn(spark: SparkSession, sf_dir: str, block: int = BLOCK, history: bool = True, by: str = "type") -> tuple[DataFrame, DataFrame]:
-    """Assets and flag factors along the bootstrap paths, and the history as path -1."""
-    a, f = (stored(spark, sf_dir, f"panel-{by}-{k}", lambda x=x: x) for k, x in enumerate(panels(spark, sf_dir, by=by)))
+def drawn_side(spark: SparkSession, sf_dir: str, side: str, block: int = BLOCK, history: bool = True, by: str = "type") -> DataFrame:
+    """Assets (or the flags, with ``side`` "factor") along the bootstrap paths, and the history as path -1."""
+    kind = by if side == "asset" else "flag"
 
-    def paths(panel: DataFrame) -> DataFrame:
-        found = bootstrap.resample(panel, bootstrap.hashed_draws(a, block, PATHS, SEED), block)
+    def make() -> DataFrame:
+        rows = stored(spark, sf_dir, f"panel-{by}", lambda: panel_rows(spark, sf_dir, by=by))
+        panel = rows.filter(F.col("by") == kind).select("time", "time_idx", F.col("series").alias(side), "ret")
+        found = bootstrap.resample(panel, bootstrap.hashed_draws(rows, block, PATHS, SEED), block)
         return bootstrap.with_history(found, panel) if history else found
 
-    return tuple(stored(spark, sf_dir, f"paths-{by}-{block}-{history}-{k}", lambda x=x: paths(x)) for k, x in enumerate((a, f)))
+    return stored(spark, sf_dir, f"paths-{by}-{block}-{history}-{side}", make)
+
+
+def drawn(spark: SparkSession, sf_dir: str, by: str = "type") -> tuple[DataFrame, DataFrame]:
+    return tuple(drawn_side(spark, sf_dir, side, by=by) for side in ("asset", "factor"))
 
 
 # Panels
@@ -433,7 +439,7 @@ def cov_factor_model_ewma(spark, sf_dir):
 
 
 def _by_path(spark, sf_dir):
-    return drawn(spark, sf_dir)[0].drop("source_idx")
+    return drawn_side(spark, sf_dir, "asset").drop("source_idx")
 
 
 @query
@@ -487,32 +493,32 @@ def bootstrap_draws(spark, sf_dir):
 
 @query
 def bootstrap_paths(spark, sf_dir):
-    return drawn(spark, sf_dir, history=False)[0].select("path", "time", "asset", "ret", "source_idx")
+    return drawn_side(spark, sf_dir, "asset", history=False).select("path", "time", "asset", "ret", "source_idx")
 
 
 @query
 def bootstrap_factor_paths(spark, sf_dir):
-    return drawn(spark, sf_dir, history=False)[1].select("path", "time", "factor", "ret", "source_idx")
+    return drawn_side(spark, sf_dir, "factor", history=False).select("path", "time", "factor", "ret", "source_idx")
 
 
 @query
 def bootstrap_cumulative(spark, sf_dir):
-    return report.cumulative_returns(drawn(spark, sf_dir)[0]).select("path", "time", "asset", "cumulative")
+    return report.cumulative_returns(drawn_side(spark, sf_dir, "asset")).select("path", "time", "asset", "cumulative")
 
 
 @query
 def bootstrap_moments(spark, sf_dir):
-    return drawn(spark, sf_dir)[0].groupBy("path", "asset").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"))
+    return drawn_side(spark, sf_dir, "asset").groupBy("path", "asset").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"))
 
 
 @query
 def path_counts(spark, sf_dir):
-    return checks.path_counts(drawn(spark, sf_dir)[0], "asset")
+    return checks.path_counts(drawn_side(spark, sf_dir, "asset"), "asset")
 
 
 @query
 def path_lines(spark, sf_dir):
-    return report.path_lines(drawn(spark, sf_dir)[1], "R", 5).select("path", "time", "factor", "cumulative")
+    return report.path_lines(drawn_side(spark, sf_dir, "factor"), "R", 5).select("path", "time", "factor", "cumulative")
 
 
 @query
@@ -686,7 +692,7 @@ def top6_assets(spark, sf_dir):
 
 @query
 def cumulative_portfolio(spark, sf_dir):
-    a, _ = drawn(spark, sf_dir)
+    a = drawn_side(spark, sf_dir, "asset")
     return _six(report.portfolio_cumulative(rolling(spark, sf_dir), a.drop("source_idx")), "cumulative")
 
 
@@ -727,7 +733,7 @@ def pair_top_assets(spark, sf_dir):
 
 @query
 def pair_cumulative(spark, sf_dir):
-    a, _ = drawn(spark, sf_dir, by="status")
+    a = drawn_side(spark, sf_dir, "asset", by="status")
     out = report.portfolio_cumulative(_rolling_pair(spark, sf_dir), a.drop("source_idx")).select("path", "time", "cumulative")
     return _rounded_to(out, 2, "cumulative")
 
@@ -762,7 +768,7 @@ def sample_weights(spark, sf_dir):
 
 
 def _equal(spark, sf_dir):
-    a, _ = drawn(spark, sf_dir)
+    a = drawn_side(spark, sf_dir, "asset")
     a = a.drop("source_idx")
     times = panels(spark, sf_dir)[0].select("time", "time_idx").distinct()
     return report.portfolio_cumulative(report.equal_weights(a, returns.rebalance_dates(times, WINDOW, EVERY)), a)
@@ -782,7 +788,7 @@ def cumulative_bands(spark, sf_dir):
 def return_quantiles(spark, sf_dir):
     """Exact quantiles of each asset's returns along all paths, by selection."""
     cuts = {"least": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "most": 1.0}
-    return scans.quantiles(drawn(spark, sf_dir, history=False)[0], ["asset"], "ret", cuts, few=256, bins=64)
+    return scans.quantiles(drawn_side(spark, sf_dir, "asset", history=False), ["asset"], "ret", cuts, few=256, bins=64)
 
 
 @query
@@ -799,7 +805,7 @@ def terminal_stats(spark, sf_dir):
 
 @query
 def sharpe_table(spark, sf_dir):
-    return report.sharpe(drawn(spark, sf_dir)[0])
+    return report.sharpe(drawn_side(spark, sf_dir, "asset"))
 
 
 @query

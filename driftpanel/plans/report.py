@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.returns import select_series
 from ..operators.scans import prefix, quantiles
+from ..sources.cache import kept
 
 
 def bands(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -67,7 +68,7 @@ def portfolio_cumulative(weights: DataFrame, returns: DataFrame) -> DataFrame:
     rows = returns.join(weights.select("path", "time", "asset", "weight"), ["path", "time", "asset"], "left")
     rows = prefix(rows, keys, lasts={"held": F.col("weight")}, before=True)
     daily = rows.groupBy("path", "time", "time_idx").agg(F.sum(F.col("held") * F.expm1("ret")).alias("r"), (F.count("held") == F.count("*")).alias("full")).filter("full")
-    total = prefix(daily, ["path"], sums={"total": F.log1p("r")})
+    total = prefix(kept(daily), ["path"], sums={"total": F.log1p("r")})
     return total.select("path", "time", "time_idx", ((F.exp("total") - 1) * 100).alias("cumulative"))
 
 
