@@ -79,7 +79,7 @@ def equal_weights(returns: DataFrame, rebalances: DataFrame) -> DataFrame:
 
 
 def diagnostic_summary(records: DataFrame) -> DataFrame:
-    """Over bootstrap paths and over the history."""
+    """Over bootstrap paths and over the history. The names of the columns are fixed values of the interface."""
     kind = F.when(F.col("path") >= 0, "bootstrap_paths").otherwise("realized_path")
     return records.groupBy(kind.alias("kind")).agg(
         F.count("*").alias("n_records"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.sum("constraint_violation").alias("constraint_violations"), F.median("cond_number").alias("median_cond_number"),
