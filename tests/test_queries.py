@@ -26,5 +26,5 @@ def test_rolling_weights_are_portfolios(spark):
     for r in rows:
         total[r.path, r.time] = total.get((r.path, r.time), 0) + r.weight
         assert -1e-6 <= r.weight <= 1 + 1e-6
-    assert total and all(abs(v - 1) < 1e-6 for v in total.values())
+    assert total and all(abs(v - 1) < 4e-6 for v in total.values())  # weights have six digits
     assert {p for p, _ in total} == set(range(-1, 10))
