@@ -29,7 +29,6 @@ import json
 import os
 import re
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,22 +40,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import LETTER, OTHER, matchers
+from .bpe import LETTER
 from .common import SMALL_BATCH, lean, pack, reliable, slices, sum_tables, table_rows, unpack, written
+from .repeats import Hashes
 
 BLOCK_IDS, EVERY, MAX_BITS = 1 << 16, 1 << 9, 18
 TEXT = 1 << 20  # bytes of text at a time
 JOINED = 256  # words encoded in one text
 BLANK_LETTERS = re.compile(f" [{LETTER}]+")
-KNOWN = 3 << 19  # words whose ids a Python worker keeps, in about 300 MB
+KNOWN = 3 << 19  # words whose ids a Python worker keeps, in about 150 MB
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Characters of texts that are split as bytes: below U+0080, or letters below U+0250.
+UNUSUAL = re.compile(f"[^\0-\x7f{LETTER.removeprefix('A-Za-z')}]")
+#: By byte: 0 for signs, 1 letters and the bytes of others, 2 digits, 3 white space.
+KINDS = np.array([1 if b >= 0x80 or chr(b).isalpha() else 2 if 48 <= b <= 57 else 3 if b == 32 or 9 <= b <= 13 else 0 for b in range(256)], np.uint8)
+
+
+def word_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the words of ``PATTERN`` begin in texts without ``UNUSUAL`` characters, joined in ``data``; ``first``
+    marks where each text begins.
+
+    Runs of one kind are words. Of white space before something else the last character stands alone, or, if
+    it is a blank, belongs to what follows. A sign ' that begins a word takes s, t, m, d, re, ve or ll with it.
+    """
+    kind = KINDS[data]
+    start = first.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    last = np.flatnonzero((kind[:-1] == 3) & (kind[1:] != 3) & ~first[1:])
+    start[last] = True
+    start[last[data[last] == 32] + 1] = False
+    quote = np.flatnonzero((data == 39) & start)
+    padded, ends = np.concatenate([data, np.zeros(2, np.uint8)]), np.concatenate([first, [True, True]])
+    one, two = padded[quote + 1], padded[quote + 2]
+    here = ~ends[quote + 1]
+    short = here & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = here & ~ends[np.minimum(quote + 2, len(data))] & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+    start[quote[short | long] + 1] = False
+    after = np.concatenate([quote[short] + 2, quote[long] + 3])
+    start[after[after < len(data)]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """Ids of texts as the tokenizer gives them. Where it splits texts by ``PATTERN`` alone, the
-    words of texts below U+0250 are numbered, encoded once each and looked up by number; other texts
-    are encoded as a whole."""
+    """Ids of texts as the tokenizer gives them. Where it splits texts by ``PATTERN`` alone, texts are
+    split as bytes, their words told apart by 64-bit hashes, and each word encoded once and then looked
+    up; texts with unusual characters are encoded as a whole."""
 
     def __init__(self, path: str, known: int = KNOWN):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -68,8 +99,7 @@ class Encoder:
             settings = json.load(f)
         split = settings.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not settings.get("normalizer")
-        simple = all(not x.get("lstrip") and not x.get("rstrip") and x.get("special") for x in settings.get("added_tokens", []))
-        self.words = matchers(PATTERN)[1] if plain and simple else None
+        self.splits = plain and all(not x.get("lstrip") and not x.get("rstrip") and x.get("special") for x in settings.get("added_tokens", []))
         self.size = self.tokenizer.get_vocab_size()
         self.width = np.zeros(self.size, np.int64)  # bytes of each token: byte-level tokens have a character for each
         for token, i in self.tokenizer.get_vocab().items():
@@ -78,7 +108,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and the words' numbers
         self.table, self.edge = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # word k has table[edge[k]:edge[k + 1]]
 
     def all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +132,11 @@ class Encoder:
         out[own], out[~own] = flat, other
         return out, size
 
-    def learn(self, before: int) -> None:
-        """Encodes the words numbered from ``before`` on."""
-        now = len(self.number)
-        ids, size = self.each(list(itertools.islice(reversed(self.number), now - before))[::-1])
+    def learn(self, words: list[str]) -> None:
+        """Encodes ``words``, which get the next numbers."""
+        before = len(self.keys)
+        now = before + len(words)
+        ids, size = self.each(words)
         end = int(self.edge[before])
         if now >= len(self.edge):
             self.edge = np.concatenate([self.edge, np.zeros(max(now, len(self.edge)), np.int64)])
@@ -114,26 +145,44 @@ class Encoder:
         self.table[end : end + len(ids)] = ids
         self.edge[before + 1 : now + 1] = end + np.cumsum(size)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        fast = [self.words is not None and not OTHER.search(t) for t in texts]
-        if len(self.number) > self.known:
+    def looked_up(self, cells: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts without unusual characters, as UTF-8."""
+        lens = np.array([len(c) for c in cells], np.int64)
+        edge = np.concatenate([[0], np.cumsum(lens)])
+        joined = b"".join(cells)
+        if not joined:
+            return [np.zeros(0, np.uint32) for _ in cells]
+        data, first = np.frombuffer(joined, np.uint8), np.zeros(len(joined), bool)
+        first[edge[:-1][lens > 0]] = True
+        start = word_starts(data, first)
+        stop = np.append(start[1:], len(data))
+        hashed, at, inverse = np.unique(Hashes(data).of(start, stop), return_index=True, return_inverse=True)
+        if len(self.keys) > self.known:
             self.forget()
-        before, number = len(self.number), self.number.__getitem__
-        words = [self.words.findall(t) for t, f in zip(texts, fast) if f]
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        seq = np.fromiter(map(number, itertools.chain.from_iterable(words)), np.int64, int(lens.sum()))
-        if len(self.number) > before:
-            self.learn(before)
-        first, size = self.edge[seq], self.edge[seq + 1] - self.edge[seq]
+        place = np.searchsorted(self.keys, hashed)
+        new = np.ones(len(hashed), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != hashed[inside]
+        number = np.empty(len(hashed), np.int64)
+        number[~new] = self.numbers[place[~new]]
+        if new.any():
+            number[new] = len(self.keys) + np.arange(int(new.sum()))
+            self.learn([joined[a:b].decode() for a, b in zip(start[at[new]].tolist(), stop[at[new]].tolist())])
+            self.keys, self.numbers = np.insert(self.keys, place[new], hashed[new]), np.insert(self.numbers, place[new], number[new])
+        seq = number[inverse]
+        begin, size = self.edge[seq], self.edge[seq + 1] - self.edge[seq]
         ends = np.cumsum(size)
-        flat = self.table[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])]
-        known = iter(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        flat = self.table[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))]
+        cut = np.concatenate([[0], ends])[np.searchsorted(start, edge)].tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        fast = [self.splits and not UNUSUAL.search(t) for t in texts]
+        known = iter(self.looked_up([t.encode() for t, f in zip(texts, fast) if f]))
         other, n = self.all([t for t, f in zip(texts, fast) if not f])
-        edge = np.concatenate([[0], np.cumsum(n)])
-        rest = iter(zip(edge[:-1].tolist(), edge[1:].tolist()))
-        return [flat[slice(*next(known))] if f else other[slice(*next(rest))] for f in fast]
+        rest = iter(np.split(other, np.cumsum(n)[:-1])) if len(n) else iter(())
+        return [next(known) if f else next(rest) for f in fast]
 
 
 @functools.lru_cache(maxsize=1)
