@@ -404,3 +404,17 @@ SQL["gappy_mean_ewma"] = f"""{GAPPY}, gd as (select *, pow(1 - {ALPHA}, time_idx
 gw as (select *, coalesce(exp(sum(ln(d / (d + {ALPHA}))) over (partition by asset order by time_idx rows between 1 following and unbounded following)), 1) as later from gd)
 select asset, {r(f'sum(ret * later * coalesce({ALPHA} / (d + {ALPHA}), 1))', 'mu')} from gw group by asset"""
 SQL["gappy_cov_hist"] = f"{GAPPY} select p.asset as asset_i, q.asset as asset_j, {r('covar_samp(p.ret, q.ret)', 'cov')} from gt p join gt q using (time_idx) group by p.asset, q.asset"
+
+
+def improvement(keys: str, cov: str) -> str:
+    """The scaled objective of the weights sw, and what it gains on equal weights."""
+    both = f"{keys}, " if keys else ""
+    one, two = (f"join sw {t} on {' and '.join([f'{t}.asset = c.asset_{t}', *(f'{t}.{k} = c.{k}' for k in keys.split(', ') if k)])}" for t in "ij")
+    own = ", ".join(f"c.{k}" for k in keys.split(", ") if k)
+    return f"""im as (select {own + ', ' if keys else ''}sum(i.weight * j.weight * cov) / avg(case when asset_i = asset_j then cov end) as f, avg(cov) / avg(case when asset_i = asset_j then cov end) as f0
+  from {cov} c {one} {two} {f'group by {own}' if keys else ''})
+select {both.replace('path', 'path::int as path')}true as success, 0::int as constraint_violation, {rounded(6, 'f', 'obj_value')}, {rounded(6, '(f - f0) / (abs(f0) + 1e-12)', 'obj_improvement')} from im"""
+
+
+SQL["minvar_improvement"] = f"{STABLE_ALL}, {long_only('', 'st')}, {improvement('', 'st')}"
+SQL["rolling_improvement"] = f"{ROLLING_ALL}, {improvement('path, time', 'rv_')}"

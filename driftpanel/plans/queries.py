@@ -669,6 +669,22 @@ def rolling_weights(spark, sf_dir):
     return _six(rolling(spark, sf_dir).select("path", "time", "asset", "weight"))
 
 
+def _improvement(records: DataFrame, *keys: str) -> DataFrame:
+    """Of records, what the exact weights determine: the objective, and what it gains on equal weights."""
+    return _six(records.select(*keys, "success", "constraint_violation", "obj_value", "obj_improvement"), "obj_value", "obj_improvement")
+
+
+@query
+def minvar_improvement(spark, sf_dir):
+    solved = portfolio.optimize_groups(_stable(spark, sf_dir)[1], None, portfolio.Problem(), [])
+    return _improvement(portfolio.diagnostics(solved, []))
+
+
+@query
+def rolling_improvement(spark, sf_dir):
+    return _improvement(portfolio.diagnostics(rolling(spark, sf_dir), ["path", "time"]), "path", "time")
+
+
 @query
 def diagnostic_summary(spark, sf_dir):
     records = portfolio.diagnostics(rolling(spark, sf_dir), ["path", "time"])
