@@ -13,6 +13,8 @@ A seed with more than ``MAX_CONTEXTS`` different contexts is no task's work: its
 counted by hash across the cluster, which gives the same bytes in time linear in them. Keys that hold many
 rows are joined by broadcast of at most a thousand keys (``common.spread_join``).
 
+The same search runs over words in the place of bytes: a word is one unit, its 64-bit hash.
+
 Texts are UTF-8 bytes of any length, worked on whole; matches never cross documents. Null texts are
 empty. Repeated rows repeat each other; null ids stay null; other columns are carried along; an
 empty table gives no rows. Documents are recognised by a 64-bit hash of the text and its length.
@@ -27,8 +29,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,6 +41,7 @@ from .common import SMALL_BATCH, free_names, hash_filter, lean, reliable, slices
 BLOCK = (1 << 17) - 1  # bytes of text worked on at a time, about 150 times that in memory
 MAX_CONTEXTS = 5000
 MULTIPLIER = 0x9E3779B97F4A7C15
+WORD_BYTES = 8  # of a word's hash
 ODD = np.array([0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -66,19 +70,43 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of substrings of ``data`` from one sum, by place and length."""
+    """Hashes of substrings of ``data`` (bytes, or words' hashes) from one sum, by place and length."""
 
     def __init__(self, data: np.ndarray):
         size = 1 << max(19, int(len(data)).bit_length())
         power, self.inverse = powers(size)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(byte_values()[data] * power[: len(data)], dtype=np.uint64)])
+        values = byte_values()[data] if data.dtype == np.uint8 else data
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values * power[: len(data)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
+def word_values(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' words one after another, as 64-bit hashes, and how many each text has. Words are
+    ``[^\\x20\\x09-\\x0D]+``, or letters of ``UNSPACED``."""
+    cells = [x.encode() for x in texts]
+    for i, cell in enumerate(cells):
+        if len(cell) and np.frombuffer(cell, np.uint8).max() >= 0xE0 and ANY_UNSPACED.search(texts[i]):
+            cells[i] = " ".join(BLANK_WORD.findall(texts[i])).encode()
+    data = np.frombuffer(b"".join(c + b" " for c in cells), np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    until = np.searchsorted(start, np.cumsum([len(c) + 1 for c in cells]))
+    return Hashes(data).of(start, end), np.diff(np.concatenate([[0], until]))
+
+
+def units(texts: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, or words' hashes, one after another, and how many each text has."""
+    if words:
+        return word_values(texts)
+    cells = [x.encode() for x in texts]
+    return np.frombuffer(b"".join(cells), np.uint8), np.array([len(c) for c in cells])
+
+
 def seeds(data: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of documents of ``lens`` bytes in ``data``: each seed's document, its place, the first and
+    """Of documents of ``lens`` bytes (or words) in ``data``: each seed's document, its place, the first and
     last window that it stands for (places in ``data``), its hash and its context's hash."""
     size = seed_bytes(length)
     w, n = length - size + 1, len(data) - size + 1
@@ -148,20 +176,24 @@ def maximal_repeats(contexts: list[bytes], at: list[int], length: int) -> Iterat
             stack.append((now, first))
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text", max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text", max_contexts: int = MAX_CONTEXTS, words: bool = False) -> DataFrame:
     """key, n_bytes (of a text: its hash and length) and spans array<struct<s, e>>: the bytes
-    covered by a ``length``-byte string that also starts elsewhere. Texts without any are absent."""
+    covered by a ``length``-byte string that also starts elsewhere. Texts without any are absent.
+
+    With ``words``, the length and the spans are in words (see ``word_values``), whatever stands between them.
+    """
+    width = WORD_BYTES if words else 1
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).filter(F.octet_length("text") >= length)
+    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).filter(F.octet_length("text") >= (2 * length - 1 if words else length))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BLOCK):
-                cells = [x.encode() for x in part.column("text").to_pylist()]
-                lens = np.array([len(c) for c in cells])
-                doc, seed, lo, hi, h, c = seeds(np.frombuffer(b"".join(cells), np.uint8), lens, length)
+                data, lens = units(part.column("text").to_pylist(), words)
+                doc, seed, lo, hi, h, c = seeds(data, lens, length)
                 base = (np.cumsum(lens) - lens)[doc]
-                columns = [np.asarray(part.column("key"))[doc], lens[doc], seed - base, lo - base, hi - base + length, h, c]
+                size = np.asarray(pc.binary_length(part.column("text")))
+                columns = [np.asarray(part.column("key"))[doc], size[doc], seed - base, lo - base, hi - base + length, h, c]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["key", "n_bytes", "p", "s", "e", "seed", "context"])
 
     found = written(rows.mapInArrow(lean(find), "key bigint, n_bytes bigint, p bigint, s bigint, e bigint, seed bigint, context bigint"), "seeds", SMALL_BATCH)
@@ -177,10 +209,10 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
         for batch in batches:
             for part in slices(batch, "text", BLOCK):
                 out = [[], [], [], []]
-                for text, at in zip(part.column("text").to_pylist(), part.column("at").to_pylist()):
-                    data = text.encode()
+                data, lens = units(part.column("text").to_pylist(), words)
+                for base, at in zip((np.cumsum(lens) - lens).tolist(), part.column("at").to_pylist()):
                     for x in at:
-                        for to, v in zip(out, (x["seed"], x["context"], x["p"] - x["s"], data[x["s"] : x["e"]])):
+                        for to, v in zip(out, (x["seed"], x["context"], x["p"] - x["s"], data[base + x["s"] : base + x["e"]].tobytes())):
                             to.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["seed", "context", "at", "bytes"])
 
@@ -193,9 +225,9 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     few = large.isEmpty()
     marked = whole.withColumn("many", F.lit(None).cast("boolean")) if few else reliable(spread_join(whole, large, ["seed"], "left"))
     small = marked.filter("many is null").select("seed", "context", "at", "bytes")
-    extents = small.repartition("seed").sortWithinPartitions("seed").mapInArrow(lean(functools.partial(scan, length=length)), EXTENTS)
+    extents = small.repartition("seed").sortWithinPartitions("seed").mapInArrow(lean(functools.partial(scan, length=length, width=width)), EXTENTS)
     if not few:
-        each_window = marked.filter("many").mapInArrow(lean(functools.partial(windows, length=length)), "seed bigint, context bigint, d bigint, w bigint")
+        each_window = marked.filter("many").mapInArrow(lean(functools.partial(windows, length=length, width=width)), "seed bigint, context bigint, d bigint, w bigint")
         twice = each_window.groupBy("seed", "d", "w").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
         hot = each_window.join(twice.repartition("seed", "d", "w"), ["seed", "d", "w"])  # Spark can split a window of many contexts
         extents = extents.union(hot.select("seed", "context", (-F.col("d")).alias("left"), (F.col("d") + length).alias("right")))
@@ -207,21 +239,23 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, text_col: str = "text"
 EXTENTS = "seed bigint, context bigint, left bigint, right bigint"
 
 
-def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each window of ``length`` bytes of each context: its place from the seed and its hash."""
+def windows(batches: Iterator[pa.RecordBatch], length: int, width: int = 1) -> Iterator[pa.RecordBatch]:
+    """Each window of ``length`` units (of ``width`` bytes) of each context: its place from the seed and its hash."""
+    kind = np.uint8 if width == 1 else np.uint64
     for batch in batches:
         for part in slices(batch, "bytes", 64 << 10):
             out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
             for seed, context, at, data in zip(*(part.column(c).to_pylist() for c in ("seed", "context", "at", "bytes"))):
-                starts = np.arange(len(data) - length + 1)
-                h = Hashes(np.frombuffer(data, np.uint8)).of(starts, starts + length)
+                starts = np.arange(len(data) // width - length + 1)
+                h = Hashes(np.frombuffer(data, kind)).of(starts, starts + length)
                 for to, v in zip(out, (np.full(len(starts), seed), np.full(len(starts), context), starts - at, h.view(np.int64))):
                     to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["seed", "context", "d", "w"])
 
 
-def scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The extents of each seed's contexts in maximal repeats. Rows come sorted by seed."""
+def scan(batches: Iterator[pa.RecordBatch], length: int, width: int = 1) -> Iterator[pa.RecordBatch]:
+    """The extents of each seed's contexts in maximal repeats, in whole units of ``width`` bytes. Rows
+    come sorted by seed."""
     rest = None
     for batch in with_end(batches):
         table = pa.Table.from_batches([batch]) if batch is not None else None
@@ -236,8 +270,9 @@ def scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         context, at, data = (table.column(c).to_pylist() for c in ("context", "at", "bytes"))
         out, start = [], 0
         for end in ends.tolist():
-            for left, right, members in maximal_repeats(data[start:end], at[start:end], length):
-                out += [(int(seed[start]), context[start + i], left, right) for i in members]
+            for left, right, members in maximal_repeats(data[start:end], [x * width for x in at[start:end]], length * width):
+                if left // width + right // width >= length:
+                    out += [(int(seed[start]), context[start + i], left // width, right // width) for i in members]
             start = end
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["seed", "context", "left", "right"])
 
@@ -258,19 +293,27 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text", whole_characters: bool = False, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text", whole_characters: bool = False, max_contexts: int = MAX_CONTEXTS, passage_words: int | None = None) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept (binary): each text's bytes without those
     covered by a ``length``-byte string that also starts anywhere else.
 
     ``whole_characters`` leaves characters whole that a span would cut: it removes only those that
     lie inside. Columns of ``docs`` named like an output are replaced.
+
+    ``passage_words`` adds n_passage_words: how many of a text's words (see ``word_values``) lie in runs of so many
+    that also stand anywhere else, whatever the blanks between them. They are counted, not removed.
     """
     spans = reliable(repeated_spans(docs, length=length, text_col=text_col, max_contexts=max_contexts), SMALL_BATCH)
+    counts = []
+    if passage_words is not None:
+        counts, docs = ["n_passage_words"], docs.drop("n_passage_words")
+        runs = repeated_spans(docs, length=passage_words, text_col=text_col, max_contexts=max_contexts, words=True)
+        spans = reliable(spans.join(runs.select("key", "n_bytes", covered("spans").alias(counts[0])), ["key", "n_bytes"], "full"), SMALL_BATCH)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     key, maybe_, spans_, r = free_names(docs, "_key", "_maybe", "_spans", "_r")
     keyed = docs.withColumns({key: F.xxhash64(text), "n_bytes": F.octet_length(text).cast("bigint")})
-    own = spans.select(F.col("key").alias(key), "n_bytes", F.col("spans").alias(spans_))
+    own = spans.select(F.col("key").alias(key), "n_bytes", F.col("spans").alias(spans_), *counts)
     maybe = keyed.withColumn(maybe_, hash_filter(spans.select("key"), "key")(F.col(key)))
 
     def strip(text: str, found: list) -> tuple[int, int, bytes]:
@@ -284,11 +327,19 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text"
 
     hit = spread_join(maybe.filter(F.col(maybe_)), own, [key, "n_bytes"], "left").withColumn(r, text)
     columns = [*[F.col(f"`{c}`") for c in docs.columns], F.col("n_bytes")]
-    stripped = stripped_rows(hit.select(*columns, r, spans_), r, spans_, strip, "n_removed bigint, n_spans bigint, kept binary")
-    none = [F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), text.cast("binary").alias("kept")]
+    known = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in counts]
+    stripped = stripped_rows(hit.select(*columns, *known, r, spans_), r, spans_, strip, "n_removed bigint, n_spans bigint, kept binary")
+    none = [*(F.lit(0).cast("bigint").alias(c) for c in counts), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), text.cast("binary").alias("kept")]
     return stripped.union(maybe.filter(~F.col(maybe_)).select(*columns, *none))
 
 
+def covered(spans: str) -> Column:
+    """How many places lie in any of the spans of this column."""
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
+    add = lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), F.lit(0).cast("bigint"))).alias("n"), F.greatest(x["e"], a["end"]).alias("end"))
+    return F.aggregate(F.array_sort(spans), none, add, lambda a: a["n"])
+
+
 def stripped_rows(rows: DataFrame, text: str, spans: str, fn: Callable[[str, list], tuple], outputs: str) -> DataFrame:
     """``rows`` with the ``outputs`` of ``fn(text, spans)`` (no spans: empty) for these two columns, a slice of a batch at a time."""
     carried = [c for c in rows.columns if c not in (text, spans)]
@@ -308,6 +359,7 @@ def stripped_rows(rows: DataFrame, text: str, spans: str, fn: Callable[[str, lis
 #: Letters of scripts that are written without blanks: each counts as a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 ANY_UNSPACED, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+BLANK_WORD = re.compile(rf"[{UNSPACED}]|[^\x20\x09-\x0d{UNSPACED}]+")
 #: Characters of a word's code, 6 bits of its hash each.
 CODE = 6
 
