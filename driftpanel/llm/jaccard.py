@@ -1,12 +1,15 @@
 """N-gram Jaccard self-join by grouped prefixes.
 
 A document's set holds its distinct shingles, as 64-bit hashes. Any two sets whose Jaccard
-similarity reaches the threshold share a shingle within the first ``n - ceil(t n) + 1`` of each,
+similarity reaches the threshold share k shingles within the first ``n - ceil(t n) + k`` of each,
 in any common order; the order here puts shingles with the rarest word first, by exact counts of
 words over all documents. Sets with the same prefix and size form one group. Groups meet on the
 shingles of their prefixes.
 
-Groups that meet on a prefix shingle at fitting sizes are joined to the list's leader, and the
+Here k is one, and one more for each forty that sets must share (``least_shared``): long texts
+meet on a few shingles by chance, the more texts there are the more of them, but not on so many.
+Groups of fitting sizes that meet k times on short lists are joined; longer lists are not paired,
+so groups that meet on one and share k shingles with any others are joined to its leader. The
 connected clusters of groups hold every candidate pair. A cluster's sets go to one task, or, if it
 is large, each pair of its parts does. There the groups' prefix lists are looked up: a pair of groups
 passes that fits by size, and by the place of its first common shingle can still have enough in
@@ -33,6 +36,10 @@ from .graph import components
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+#: Sets that link share one more shingle of their prefixes for each so many that the smaller must share.
+EXTRA = 40
+#: Groups of a list whose pairs are counted; longer lists join theirs by a leader.
+SHORT_LIST = 16
 #: A task's share of a large cluster.
 PART_SETS, PART_SHINGLES = 1024, 4 << 20
 
@@ -61,9 +68,18 @@ def shingle(h: np.ndarray, lens: np.ndarray, width: int) -> tuple[np.ndarray, np
     return np.concatenate(docs), np.concatenate(hashes), np.concatenate(firsts)
 
 
+def quotient(a: Column | np.ndarray, b: int):
+    return F.floor(a / b) if isinstance(a, Column) else a // b
+
+
 def need(n: Column | np.ndarray, num: int, den: int):
-    """ceil(num n / den), of arrays."""
-    return (num * n + den - 1) // den
+    """ceil(num n / den)."""
+    return quotient(num * n + den - 1, den)
+
+
+def least_shared(n: Column | np.ndarray, num: int, den: int):
+    """How many shingles of their prefixes a set of ``n`` and one of at least that many share if they link."""
+    return quotient(need(n, num, den), EXTRA) + 1
 
 
 def sum_by(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -95,7 +111,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, num:
         doc, hashed = doc[new], hashed[new]
         n = np.bincount(doc, minlength=len(lens))
         sid = mix(sum_by(mix(hashed), n) + n.astype(np.uint64))
-        p = np.where(n > 0, n - need(n, num, den) + 1, 0)
+        p = np.where(n > 0, n - need(n, num, den) + least_shared(n, num, den), 0)
         start = np.cumsum(n) - n
         flat = hashed[np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())]
         gid = mix(sum_by(mix(flat ^ ODD[0]), p) + n.astype(np.uint64) * ODD[1])
@@ -231,6 +247,31 @@ def links_in_clusters(members: DataFrame, sets: DataFrame, prefixes: DataFrame,
     return rows.mapInArrow(lean(solve), "u bigint, v bigint")
 
 
+def paired(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges u, v between groups of fitting sizes that meet often enough on short lists alone.
+    ``shared`` has a row for each group of a list: token, gid, n, groups (in the list)."""
+    short = shared.filter(F.col("groups") <= SHORT_LIST)
+    one, other = (short.select("token", F.col("gid").alias(k), F.col("n").alias(f"n_{k}")) for k in ("u", "v"))
+    least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
+    met = one.join(other, "token").filter("u > v").filter(least * den >= num * most).select("u", "v", least.alias("n"))
+    return met.groupBy("u", "v", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least_shared(F.col("n"), num, den)).select("u", "v")
+
+
+def led(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges u, v that connect the groups that meet on a long list at fitting sizes, without those
+    that share too little with all others together to link."""
+    often = shared.groupBy("gid", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least_shared(need(F.col("n"), num, den), num, den))
+    bucket = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(den / num))).cast("int")
+    long = reliable(shared.filter(F.col("groups") > SHORT_LIST).join(often.select("gid"), "gid", "left_semi").select("token", "gid", bucket.alias("size")))
+
+    # Fitting sizes fall into one bucket or two adjacent ones, so a leader for each list and bucket,
+    # tied to that of the next, connects all that can link.
+    leaders = reliable(long.groupBy("token", "size").agg(F.min("gid").alias("leader")))
+    own = spread_join(long, leaders, ["token", "size"]).select(F.col("gid").alias("u"), F.col("leader").alias("v"))
+    after = leaders.select("token", (F.col("size") - 1).alias("size"), F.col("leader").alias("v"))
+    return own.union(leaders.join(after, ["token", "size"]).select(F.col("leader").alias("u"), "v"))
+
+
 def similar_components(
     docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -249,17 +290,9 @@ def similar_components(
     sets = reliable(some.groupBy("sid", "gid", "n").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash")))
     groups = some.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", F.explode("prefix").alias("token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
-    bucket = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(den / num))).cast("int")
-    shared = reliable(postings.join(lists.repartition("token"), "token").select("token", "gid", bucket.alias("size")))
-
-    # Fitting sizes fall into one bucket or two adjacent ones, so a leader for each list and bucket,
-    # tied to that of the next, connects all that can link.
-    leaders = reliable(shared.groupBy("token", "size").agg(F.min("gid").alias("leader")))
-    own = spread_join(shared, leaders, ["token", "size"]).select(F.col("gid").alias("u"), F.col("leader").alias("v"))
-    after = leaders.select("token", (F.col("size") - 1).alias("size"), F.col("leader").alias("v"))
-    across = leaders.join(after, ["token", "size"]).select(F.col("leader").alias("u"), "v")
-    clusters = components(own.union(across)).select(F.col("node").alias("gid"), "root")
+    lists = postings.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
+    shared = reliable(postings.join(lists.repartition("token"), "token").select("token", "gid", "n", "groups"))
+    clusters = components(paired(shared, num, den).union(led(shared, num, den))).select(F.col("node").alias("gid"), "root")
     several = sets.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1").select("gid")
     marks = reliable(clusters.join(several, "gid", "full_outer").select("gid", F.coalesce("root", "gid").alias("cluster")))
     members = reliable(spread_join(sets, marks, ["gid"]).select("sid", "gid", "n", "text_hash", "cluster"))
