@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from driftpanel.llm import jaccard
+from driftpanel.llm import jaccard, stages
 
 
 def brute(texts, width, num, den):
@@ -37,6 +37,22 @@ def test_chance_meetings_form_no_cluster(spark, monkeypatch):
     assert sent == [2]
 
 
+def test_near_copies_sends_no_texts_that_meet_by_chance(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [[f"t{i}w{k}" for k in rng.permutation(np.repeat(np.arange(150), 4))] for i in range(30)]
+    for i in range(30):  # each phrase of five words in two texts
+        for text, at in ((words[i], 100), (words[(i + 1) % 30], 300)):
+            text[at : at + 5] = [f"p{i}{c}" for c in "abcde"]
+    copy = list(words[7])
+    copy[500:503] = ["x", "y", "z"]
+    sent = []
+    links = jaccard.links_in_clusters
+    monkeypatch.setattr(jaccard, "links_in_clusters", lambda members, *rest: sent.append(members.count()) or links(members, *rest))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*words, copy])], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in stages.near_copies(spark, docs, "").collect()) == list(range(30))
+    assert sent == [2]
+
+
 @pytest.mark.parametrize("width,num,den", [(3, 9, 10), (5, 4, 5)])
 @pytest.mark.parametrize("short", [1, 4, 16])
 def test_longer_sets_against_all_pairs(spark, monkeypatch, width, num, den, short):
